@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, hilbert, packing, risk_rules
 from .common import read
 
 
+def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(read(spark, sf_dir, "documents"), 24, ["lang", "source"])
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
 
@@ -17,9 +21,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_risk_controlled_rules": op5_risk_controlled_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_hilbert_sharding": hilbert.oracle_sql(24, ["lang", "source"]),
+    "op5_risk_controlled_rules": risk_rules.oracle_sql(),
+}
