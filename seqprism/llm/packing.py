@@ -1,9 +1,8 @@
 """Best-fit packing by the sum-of-squares rule (operator 2).
 
-A pass over the texts turns each document into token pieces; only the last-full-length pieces and
-the short first ones leave it, as a few integers. Pieces of full length are sequences of their own.
-The others are dealt by a hash into blocks of bounded size, and each block is packed alone: a piece
-goes where the sum of squared counts of open sequences per residual gap becomes smallest. Blocks do
+A pass over the texts turns each document into token pieces, a few integers each, which are dealt by
+a hash into blocks of bounded size. Each block is packed alone: a piece of full length is a sequence
+of its own, any other goes where the sum of squared counts of open sequences per residual gap becomes smallest. Blocks do
 not see each other, which costs at most a few part-filled sequences per block.
 """
 
@@ -145,9 +144,6 @@ def pack_pieces(rows: DataFrame, n_documents: int, size: int = 2048) -> DataFram
     """Adds sequence_id and offset to the rows of pieces()."""
     blocks = max(1, -(-n_documents // BLOCK_PIECES))
     spread = F.xxhash64("key", "start", "length", "ids_crc32")
-    full = F.col("length") == size
-    # Full pieces carry no choice: they stay out of the blocks and out of the shuffle.
-    alone = rows.where(full).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
         sequence, offset = sum_of_squares(block["length"].to_numpy(), size)
@@ -155,8 +151,7 @@ def pack_pieces(rows: DataFrame, n_documents: int, size: int = 2048) -> DataFram
 
     names = [*rows.columns, "sequence_id", "offset"]
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    packed = rows.where(~full).withColumn("block", F.pmod(spread, F.lit(blocks)).cast("long")).groupBy("block").applyInPandas(pack, shape)
-    return alone.select(*names).unionByName(packed)
+    return rows.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("long")).groupBy("block").applyInPandas(pack, shape)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
