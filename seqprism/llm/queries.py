@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hilbert, packing, risk_rules
+from . import bpe, hilbert, packing, risk_rules, suffix_dedup
 from .common import read
 
 
@@ -25,11 +25,16 @@ def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passage_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_risk_controlled_rules": op5_risk_controlled_rules,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
