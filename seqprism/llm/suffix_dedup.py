@@ -4,11 +4,11 @@ A byte goes if a `window`-byte string that covers it also starts in a document w
 
 1. Documents with equal texts: only the one with the smallest id is searched; the others are removed
    whole if they have a window at all.
-2. Every window of the rest contains a landmark: the least hash among its `gram`-byte strings. The
-   landmarks of all documents are dealt by hash; those in two documents or more are suspects. Equal
-   windows have the same landmark at the same place, so none is missed.
-3. Each suspect's surroundings (all windows around the landmark) go to the shard of its hash. A shard
-   sorts the suffixes of its distinct surroundings by external induction with common prefixes; runs
+2. Every window of the rest has a landmark: the least hash among its `gram`-byte strings. The runs of
+   windows with one landmark are dealt by its hash; those with a landmark that two documents have
+   are suspects. Equal windows have equal landmarks, so none is missed.
+3. The bytes of each suspect run go to the shard of its hash. A shard sorts the suffixes of its
+   distinct runs by external induction with common prefixes; runs
    of suffixes with a common prefix of `window` bytes are equal windows, and each is removed where
    the document has a larger id than the least one of the run.
 
@@ -78,27 +78,29 @@ def sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     return out
 
 
-def landmarks(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the landmarks of documents that lie one after another in data.
+def landmarks(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, number of windows) of each run of windows with the same landmark.
 
-    ends: where each document ends. A landmark is the least hash of some window within a document;
-    of equal least hashes all count.
+    data: documents one after another, each ending at one of ends. A run has as many windows as a
+    window has grams at most; longer ones (of periodic text) are split.
     """
     if len(data) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = gram_hashes(data, gram)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     width = window - gram + 1
-    least = sliding(hashes, width, np.minimum)
+    least = sliding(gram_hashes(data, gram) | np.uint64(1), width, np.minimum)
     starts = np.append(0, ends[:-1])
-    edges = np.zeros(len(least) + 1, np.int32)
     usable = ends - starts >= window
+    edges = np.zeros(len(least) + 1, np.int32)
     np.add.at(edges, starts[usable], 1)
     np.add.at(edges, ends[usable] - window + 1, -1)
     least[np.cumsum(edges[:-1]) == 0] = 0
-    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
-    padded[width - 1 : width - 1 + len(least)] = least
-    at = np.flatnonzero(sliding(padded, width, np.maximum) == hashes)
-    return at, hashes[at]
+    heads = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    length = np.diff(np.append(heads, len(least)))
+    heads, length = heads[least[heads] != 0], length[least[heads] != 0]
+    parts = -(-length // width)
+    number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(heads, parts) + number * width
+    return least[first], first, np.minimum(np.repeat(heads + length, parts) - first, width)
 
 
 def _spans(sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -120,8 +122,17 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), at
 
 
-#: One landmark in a bundle: its hash, and its place in the document that is numbered in the bundle.
-MARK = [("hash", "<u8"), ("at", "<u4"), ("doc", "<u4")]
+def _halves(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """32-bit numbers as their low and high halves: the high ones compress to almost nothing."""
+    return (numbers & 0xFFFF).astype("<u2").tobytes(), (numbers >> 16).astype("<u2").tobytes()
+
+
+def _joined(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) % np.uint64(buckets)
 
 
 def _mark_bundles(window: int, gram: int, buckets: int):
@@ -129,87 +140,104 @@ def _mark_bundles(window: int, gram: int, buckets: int):
         for batch in batches:
             data, offsets = _bytes_of(batch.column(2))
             rows = batch.column(1).to_numpy()
-            places, hashes, owners = [], [], []
+            places, hashes, owners, lengths = [], [], [], []
             for a, b in _spans(np.diff(offsets)):
                 own = offsets[a : b + 1] - offsets[a]
-                at, hashed = landmarks(data[offsets[a] : offsets[b]], own[1:], window, gram)
+                hashed, at, length = landmarks(data[offsets[a] : offsets[b]], own[1:], window, gram)
                 doc = np.searchsorted(own, at, side="right") - 1
                 places.append((at - own[doc]).astype(np.uint32))
                 hashes.append(hashed)
+                lengths.append(length.astype(np.uint8))
                 owners.append((doc + a).astype(np.uint32))
             if not places or not sum(map(len, places)):
                 continue
-            hashes, places, owners = map(np.concatenate, (hashes, places, owners))
-            bucket = (hashes >> np.uint64(20)) % np.uint64(buckets)
+            hashes, places, owners, lengths = map(np.concatenate, (hashes, places, owners, lengths))
+            bucket = _bucket(hashes, buckets)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
             for k in np.flatnonzero(np.diff(bounds)):
                 own = order[bounds[k] : bounds[k + 1]]
-                docs, doc = np.unique(owners[own], return_inverse=True)
-                out.append((int(k), hashes[own].tobytes(), places[own].tobytes(), doc.astype(np.uint16 if len(docs) <= 65536 else np.uint32).tobytes(), rows[docs].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "hashes", "places", "doc", "rows"])
+                docs, counts = np.unique(owners[own], return_counts=True)
+                # Within a bucket of bounded size, 32 bits of the hash tell strings apart well enough
+                # for suspects; the bytes decide later.
+                out.append((int(k), hashes[own].astype(np.uint32).tobytes(), *_halves(places[own]), lengths[own].tobytes(), counts.astype(np.uint32).tobytes(), rows[docs].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "hashes", "low", "high", "lengths", "counts", "rows"])
 
     return run
 
 
 def _suspects(bundles: pd.DataFrame) -> pd.DataFrame:
-    """(row, hash, at) of the landmarks that more than one row has."""
-    hashes, places, rows = [], [], []
-    for h, p, d, r in zip(bundles["hashes"], bundles["places"], bundles["doc"], bundles["rows"], strict=True):
-        hashes.append(np.frombuffer(h, np.uint64))
-        places.append(np.frombuffer(p, np.uint32))
-        rows.append(np.frombuffer(r, np.int64)[np.frombuffer(d, np.uint16 if len(d) == 2 * len(hashes[-1]) else np.uint32)])
-    hashes, places, rows = map(np.concatenate, (hashes, places, rows))
+    """(row, bucket, low, high, lengths): runs of windows whose landmark more than one row has, by row."""
+    hashes = np.frombuffer(b"".join(bundles["hashes"]), np.uint32)
+    places = _joined(b"".join(bundles["low"]), b"".join(bundles["high"]))
+    lengths = np.frombuffer(b"".join(bundles["lengths"]), np.uint8)
+    rows = np.repeat(np.frombuffer(b"".join(bundles["rows"]), np.int64), np.frombuffer(b"".join(bundles["counts"]), np.uint32))
     order = np.argsort(hashes, kind="stable")
-    hashes, places, rows = hashes[order], places[order], rows[order]
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    several = np.minimum.reduceat(rows, starts) != np.maximum.reduceat(rows, starts)
-    keep = np.repeat(several, np.diff(np.append(starts, len(hashes))))
-    return pd.DataFrame({"row": rows[keep], "hash": hashes[keep].view(np.int64), "at": places[keep].astype(np.int32)})
+    ordered = hashes[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    several = np.minimum.reduceat(rows[order], starts) != np.maximum.reduceat(rows[order], starts)
+    keep = order[np.repeat(several, np.diff(np.append(starts, len(hashes))))]
+    keep = keep[np.argsort(rows[keep], kind="stable")]
+    rows, places, lengths = rows[keep], places[keep], lengths[keep]
+    heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.empty(0, np.int64)
+    own = [_halves(p) for p in np.split(places, heads[1:])] if len(rows) else []
+    return pd.DataFrame({"row": rows[heads], "bucket": np.full(len(heads), bundles["bucket"].iloc[0], np.int32), "low": [x[0] for x in own], "high": [x[1] for x in own], "lengths": [x.tobytes() for x in np.split(lengths, heads[1:])] if len(rows) else []})
 
 
-def _surroundings(window: int, gram: int, buckets: int):
-    """Cuts the bytes around each suspect: window - gram on either side, as far as the document goes."""
-    reach = window - gram
-    width = 2 * reach + gram
+def _surroundings(window: int, gram: int):
+    """Cuts the bytes of each suspect run of windows."""
+    width = 2 * window - gram
 
     def run(batches):
         for batch in batches:
-            out = []
             data, offsets = _bytes_of(batch.column(2))
-            spots = batch.column(3).flatten()
-            counts = np.asarray(batch.column(3).value_lengths().fill_null(0))
-            doc = np.repeat(np.arange(len(counts)), counts)
-            at = spots.field(0).to_numpy().astype(np.int64)
-            hashes = spots.field(1).to_numpy().view(np.uint64)
-            begin, end = offsets[:-1][doc], offsets[1:][doc]
-            first = np.maximum(begin + at - reach, begin)
-            last = np.minimum(begin + at + gram + reach, end)
-            index = first[:, None] + np.arange(width)
-            inside = index < last[:, None]
-            cut_out = np.where(inside, data[np.minimum(index, len(data) - 1)], 0).astype(np.uint8)
             keys, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bucket = (hashes >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[k] : bounds[k + 1]]
-                out.append((int(k), cut_out[own].tobytes(), (last - first)[own].astype(np.uint8).tobytes(), keys[doc[own]].tobytes(), rows[doc[own]].tobytes(), (first - begin)[own].astype(np.uint32).tobytes()))
+            spots = batch.column(3).flatten()
+            lists = np.asarray(batch.column(3).value_lengths().fill_null(0))
+            low, high = spots.field(1).to_pylist(), spots.field(2).to_pylist()
+            sizes = np.array([len(x) // 2 for x in low], np.int64)
+            at = _joined(b"".join(low), b"".join(high))
+            doc = np.repeat(np.repeat(np.arange(len(lists)), lists), sizes)
+            bucket = np.repeat(spots.field(0).to_numpy(), sizes)
+            size = np.frombuffer(b"".join(spots.field(3).to_pylist()), np.uint8).astype(np.int64) + window - 1
+            first = offsets[:-1][doc] + at
+            order = np.lexsort((at, doc, bucket))
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)) if len(order) else [0]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = order[a:b]
+                inside = np.arange(width) < size[own][:, None]
+                piece = data[np.minimum(first[own][:, None] + np.arange(width), len(data) - 1)]
+                docs, counts = np.unique(doc[own], return_counts=True)
+                out.append((int(bucket[own[0]]), piece[inside].tobytes(), size[own].astype(np.uint8).tobytes(), *_halves(at[own]), counts.astype(np.uint32).tobytes(), keys[docs].tobytes(), rows[docs].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "bytes", "lengths", "keys", "rows", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], names=["bucket", "bytes", "lengths", "low", "high", "counts", "keys", "rows"])
 
     return run
 
 
+def _distinct(pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first, number of each piece's kind): equal pieces found by a hash and compared."""
+    with np.errstate(over="ignore"):
+        names = (pieces * _mixed(np.arange(1, pieces.shape[1] + 1, dtype=np.uint64) * _ODD)).sum(axis=1, dtype=np.uint64) + _mixed(lengths.astype(np.uint64))
+    _, first, number = np.unique(names, return_index=True, return_inverse=True)
+    alike = (lengths == lengths[first[number]]) & (pieces == pieces[first[number]]).all(axis=1)
+    if not alike.all():
+        # A hash in common by chance: such pieces stand for themselves.
+        odd = np.flatnonzero(~alike)
+        number[odd] = len(first) + np.arange(len(odd))
+        first = np.append(first, odd)
+    return first, number
+
+
 def repeated_spans(pieces: np.ndarray, lengths: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, start, end) of the runs to remove from each piece of a shard.
 
     pieces: one row of bytes for each, filled up with zeros beyond its length; keys: its document's id.
     """
     width = pieces.shape[1]
-    full = np.concatenate([pieces, lengths[:, None]], axis=1)
-    _, first, number = np.unique(np.ascontiguousarray(full).view(f"V{width + 1}").ravel(), return_index=True, return_inverse=True)
+    first, number = _distinct(pieces, lengths)
     least_key = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least_key, number, keys)
     # The text: every distinct piece once, each character raised by one, with a 0 after each.
@@ -257,14 +285,27 @@ def repeated_spans(pieces: np.ndarray, lengths: np.ndarray, keys: np.ndarray, wi
 
 
 def _shard(window: int, gram: int):
-    width = 2 * (window - gram) + gram
+    width = 2 * window - gram
 
     def run(bundles: pd.DataFrame) -> pd.DataFrame:
-        joined = {c: b"".join(bundles[c]) for c in ("bytes", "lengths", "keys", "rows", "starts")}
-        pieces = np.frombuffer(joined["bytes"], np.uint8).reshape(-1, width)
-        piece, begin, end = repeated_spans(pieces, np.frombuffer(joined["lengths"], np.uint8), np.frombuffer(joined["keys"], np.int64), window)
-        start = np.frombuffer(joined["starts"], np.uint32).astype(np.int64)[piece]
-        return pd.DataFrame({"row": np.frombuffer(joined["rows"], np.int64)[piece], "begin": start + begin, "end": start + end})
+        joined = {c: b"".join(bundles[c]) for c in ("bytes", "lengths", "low", "high", "counts", "keys", "rows")}
+        lengths = np.frombuffer(joined["lengths"], np.uint8)
+        pieces = np.zeros((len(lengths), width), np.uint8)
+        pieces[np.arange(width) < lengths[:, None]] = np.frombuffer(joined["bytes"], np.uint8)
+        counts = np.frombuffer(joined["counts"], np.uint32)
+        keys, rows = (np.repeat(np.frombuffer(joined[c], np.int64), counts) for c in ("keys", "rows"))
+        piece, begin, end = repeated_spans(pieces, lengths, keys, window)
+        start = _joined(joined["low"], joined["high"])[piece]
+        # One row per document: its spans from this shard, merged.
+        row, begin, end = rows[piece], start + begin, start + end
+        order = np.lexsort((begin, row))
+        row, begin, end = row[order], begin[order], end[order]
+        if not len(row):
+            return pd.DataFrame({"row": row, "begin": begin, "end": end})
+        reach = np.maximum.accumulate(end + np.cumsum(np.append(0, np.diff(row) != 0)) * (1 << 33))
+        step = np.cumsum(np.append(0, np.diff(row) != 0)) * (1 << 33)
+        heads = np.flatnonzero(np.append(True, begin[1:] + step[1:] > reach[:-1]))
+        return pd.DataFrame({"row": row[heads], "begin": begin[heads], "end": (reach - step)[np.append(heads[1:], len(row)) - 1]})
 
     return run
 
@@ -298,12 +339,12 @@ def removed_spans(docs: DataFrame, window: int = 50, gram: int = 24, text: str =
 
     # All three uses take the same columns, so the plan has this exchange once.
     texts = rows.select("key", row.alias("row"), "bytes", "rest").repartition(parts, "row")
-    bundle = "bucket int, hashes binary, places binary, doc binary, rows binary"
+    bundle = "bucket int, hashes binary, low binary, high binary, lengths binary, counts binary, rows binary"
     marks = texts.join(searched, "row", "left").where("searched").select("key", "row", "bytes", "rest").mapInArrow(_mark_bundles(window, gram, parts), bundle)
-    suspects = marks.groupBy("bucket").applyInPandas(_suspects, "row long, hash long, at int")
-    spots = suspects.groupBy("row").agg(F.collect_list(F.struct("at", "hash")).alias("spots"))
-    shape = "bucket int, bytes binary, lengths binary, keys binary, rows binary, starts binary"
-    around = texts.join(spots, "row").select("key", "row", "bytes", "spots", "rest").mapInArrow(_surroundings(window, gram, parts), shape)
+    suspects = marks.groupBy("bucket").applyInPandas(_suspects, "row long, bucket int, low binary, high binary, lengths binary")
+    spots = suspects.groupBy("row").agg(F.collect_list(F.struct("bucket", "low", "high", "lengths")).alias("spots"))
+    shape = "bucket int, bytes binary, lengths binary, low binary, high binary, counts binary, keys binary, rows binary"
+    around = texts.join(spots, "row").select("key", "row", "bytes", "spots", "rest").mapInArrow(_surroundings(window, gram), shape)
     spans = around.groupBy("bucket").applyInPandas(_shard(window, gram), "row long, begin long, end long").groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     verdict = copies.join(spans, "row", "full").select(F.col("row"), "whole", "spans")
     return texts.join(verdict, "row", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))

@@ -80,11 +80,13 @@ def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
     return out
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, up to depth."""
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, limits: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of the suffixes at a and b, up to depth, or up to a limit for each."""
     out = np.zeros(len(a), np.uint8)
     alive = np.arange(len(a))
     for k in range(depth):
+        if limits is not None:
+            alive = alive[limits[alive] > k]
         x, y = a[alive] + k, b[alive] + k
         inside = (x < len(text)) & (y < len(text))
         alive = alive[inside]
@@ -111,10 +113,11 @@ def types_of(text: np.ndarray) -> np.ndarray:
     return is_s
 
 
-def sort_seeds(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
-    """Seeds in the order of their suffixes, to at least depth characters."""
+def sort_seeds(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds in the order of their suffixes, to at least depth characters, and the common prefix of
+    each with the one before (up to depth)."""
     if len(seeds) < 2:
-        return seeds
+        return seeds, np.zeros(len(seeds), np.uint8)
     # Names: strings from a seed to the next one, compared by (character, type), six at a time.
     symbol = text.astype(np.uint64) * np.uint64(2) + is_s
     ends = np.append(seeds[1:], len(text) - 1)
@@ -127,7 +130,7 @@ def sort_seeds(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, depth: int
             at = seeds[active] + offset + k
             inside = at <= ends[active]
             key = key << np.uint64(10) | np.where(inside, symbol[np.minimum(at, len(text) - 1)] + np.uint64(1), np.uint64(0))
-        order = np.lexsort((key, name[active]))
+        order = np.lexsort((key, name[active])) if offset else np.argsort(key)
         ids, keys = name[active][order], key[order]
         new_key = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
         new_id = np.append(True, ids[1:] != ids[:-1])
@@ -141,18 +144,39 @@ def sort_seeds(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, depth: int
         active = np.sort(active[order][more])
         offset += 6
     # The string of names is sorted by doubling: each round orders by twice as many names.
-    rank, step = name, 1
-    while step <= depth:
-        behind = np.zeros(len(rank), np.int64)
-        behind[:-step] = rank[step:] + 1
-        order = np.lexsort((behind, rank))
-        new = np.append(True, (rank[order][1:] != rank[order][:-1]) | (behind[order][1:] != behind[order][:-1]))
-        settled = np.empty(len(rank), np.int64)
-        settled[order] = np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))
-        rank, step = settled, step * 2
-        if new.all() or step >= len(rank):
+    # A string between seeds is two characters at least, so half as many names as characters do.
+    rank, step, rounds = name, 1, [name]
+    while step < min(len(rank), depth // 2 + 1):
+        key = rank * (len(rank) + 1)
+        key[:-step] += rank[step:] + 1
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        step *= 2
+        if new.all():
             break
-    return seeds[np.argsort(rank, kind="stable")]
+        rounds.append(rank)
+    order = np.argsort(rank, kind="stable")
+    # Equal ranks of a round are equal runs of names: the common prefix in names, by halves, then
+    # the characters within the first names that differ.
+    a, b = order[:-1], order[1:]
+    same = np.zeros(len(a), np.int64)
+    for k in reversed(range(len(rounds))):
+        x, y = a + same, b + same
+        inside = np.maximum(x, y) < len(seeds)
+        equal = inside.copy()
+        equal[inside] = rounds[k][x[inside]] == rounds[k][y[inside]]
+        # A run that meets the end of the text is shorter than the round's length.
+        equal &= np.maximum(x, y) + (1 << k) <= len(seeds)
+        same += np.where(equal, 1 << k, 0)
+    edge = np.append(seeds, len(text))
+    head = np.minimum(edge[a + same] - seeds[a], edge[b + same] - seeds[b])
+    lcp = np.full(len(a), depth, np.int64)
+    near = np.flatnonzero(head < depth)
+    lcp[near] = head[near] + common_prefix(text, seeds[a[near]] + head[near], seeds[b[near]] + head[near], depth, depth - head[near])
+    return seeds[order], np.append(0, lcp).astype(np.uint8)
 
 
 class Inducer:
@@ -201,9 +225,7 @@ def suffix_groups(text: np.ndarray, depth: int, folder: str | None = None) -> It
         characters = int(text.max()) + 1
         is_s = types_of(text)
         after_l = np.append(False, ~is_s[:-1])
-        seeds = sort_seeds(text, is_s, np.flatnonzero(is_s & after_l), depth)
-        seed_lcp = np.zeros(len(seeds), np.uint8)
-        seed_lcp[1:] = common_prefix(text, seeds[:-1], seeds[1:], depth)
+        seeds, seed_lcp = sort_seeds(text, is_s, np.flatnonzero(is_s & after_l), depth)
         bounds = np.searchsorted(text[seeds], np.arange(characters + 1))
 
         def meet(last: int | None, head: int) -> int:
