@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, hilbert, packing, risk_rules, suffix_dedup
+from . import bagminhash, bpe, hilbert, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
 
@@ -33,13 +37,19 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passage_digests(read(spark, sf_dir, "documents"))
 
 
+def op10_maximal_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_risk_controlled_rules": op5_risk_controlled_rules,
+    "op6_sparse_rule_ensemble": op6_sparse_rule_ensemble,
     "op8_bagminhash_near_dedup": op8_bagminhash_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_maximal_segment_toxicity": op10_maximal_segment_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
