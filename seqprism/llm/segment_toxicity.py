@@ -1,8 +1,9 @@
 """Toxic passages as maximal scoring segments of token log-odds (operator 10).
 
-Token counts of toxic and clean training documents give log-odds with an informative Dirichlet prior
-(the tokens' own background). Only tokens whose log-odds are significant are kept; all others lower
-a segment by a small drift. A linear-time scan finds every maximal scoring segment of a text. Under
+The numbers of toxic and clean training documents with each token give log-odds with an informative
+Dirichlet prior (the tokens' own background); equal texts count once, and so does a token that a text
+repeats. Only tokens whose log-odds are significantly high are kept; all others lower a segment by a
+small drift. A linear-time scan finds every maximal scoring segment of a text. Under
 chance, the best segment of m tokens scores S or more with probability 1 - exp(-K m exp(-lambda S)):
 lambda comes from the score distribution of clean text, K from the best segments of clean documents.
 A document's score is a logistic function of that expectation's logarithm.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_remainder
 
-#: Tokens that the model keeps at most (the most significant ones), and their least |z|.
-MAX_TERMS, LEAST_Z = 20_000, 5.0
+#: Tokens that the model keeps at most (the most significant ones), and their least z.
+MAX_TERMS, LEAST_Z = 50_000, 3.0
 #: Prior tokens in all, and at least for each token; score per token of a segment; bound of log-odds.
 PRIOR, PRIOR_EACH, DRIFT, MOST = 5_000.0, 0.5, 0.2, 6.0
 #: Labelled documents, about, whose best segments calibrate the score.
@@ -89,23 +90,27 @@ def maximal_segments(scored: list[tuple[int, float]]) -> list[tuple[int, int, fl
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, text, mark) of the documents to learn from; a document is toxic if any label row says so."""
+    """(key, text, mark) of the texts to learn from, once each; toxic if any label row of any document
+    with the text says so."""
     marks = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("label_key")).agg(F.max("toxic").alias("mark"))
     marks = marks.where(id_remainder("label_key", 5) != 0)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, F.col("key") == F.col("label_key")).select("key", "text", "mark")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    hashed = texts.select("key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    own = hashed.join(marks, F.col("key") == F.col("label_key")).groupBy("h1", "h2").agg(F.min("label_key").alias("label_key"), F.max("mark").alias("mark"))
+    return texts.join(own, F.col("key") == F.col("label_key")).select("key", "text", "mark")
 
 
 def _count(batches):
     for batch in batches:
         counts = Counter(), Counter()
         for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[mark > 0].update(tokens(text))
+            counts[mark > 0].update(set(tokens(text)))
         words = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["token", "clean", "toxic"])
 
 
 def significant_terms(learn: DataFrame) -> tuple[dict[str, float], float]:
-    """Log-odds of the significant tokens; counts are over all labelled documents to learn from."""
+    """Log-odds of the significantly toxic tokens and lambda; counts are over all texts to learn from."""
     counts = cut(learn.select("text", "mark").mapInArrow(_count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     clean, toxic = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not clean or not toxic:
@@ -114,8 +119,8 @@ def significant_terms(learn: DataFrame) -> tuple[dict[str, float], float]:
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (toxic + PRIOR - a)) - F.log(b / (clean + PRIOR - b))
     rated = counts.where((F.col("toxic") + PRIOR_EACH + F.col("toxic") + F.col("clean") < toxic + PRIOR) & (2 * F.col("clean") + F.col("toxic") + PRIOR_EACH < clean + PRIOR))
-    rated = rated.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (clean + PRIOR)).alias("share")).where(F.abs("z") >= LEAST_Z)
-    kept = rated.orderBy(F.abs("z").desc(), "token").limit(MAX_TERMS).collect()
+    rated = rated.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (clean + PRIOR)).alias("share")).where(F.col("z") >= LEAST_Z)
+    kept = rated.orderBy(F.col("z").desc(), "token").limit(MAX_TERMS).collect()
     scores = {r.token: float(np.clip(r.odds, -MOST, MOST)) for r in kept}
     return scores, _decay([(scores[r.token], r.share) for r in kept])
 
