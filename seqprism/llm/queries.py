@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, hilbert, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup
+from . import bagminhash, bpe, gru_language, hilbert, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op6_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_bidirectional_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_language.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_risk_controlled_rules": op5_risk_controlled_rules,
     "op6_sparse_rule_ensemble": op6_sparse_rule_ensemble,
+    "op7_bidirectional_gru_language": op7_bidirectional_gru_language,
     "op8_bagminhash_near_dedup": op8_bagminhash_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_maximal_segment_toxicity": op10_maximal_segment_toxicity,
