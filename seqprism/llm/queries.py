@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, gru_language, hilbert, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup
+from . import bagminhash, bpe, gru_language, hilbert, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_inverted_multi_index": op4_inverted_multi_index,
     "op5_risk_controlled_rules": op5_risk_controlled_rules,
     "op6_sparse_rule_ensemble": op6_sparse_rule_ensemble,
     "op7_bidirectional_gru_language": op7_bidirectional_gru_language,
