@@ -31,8 +31,8 @@ from .shingles import byte_column, mixed, multisets, occurrence_keys, shingle_ha
 #: At similarity 0.8 a pair shares no band of 26 with 5 registers each once in 30,000 times.
 BANDS, ROWS = 26, 5
 WORDS, SIMILARITY = 5, 0.8
-#: Hub rounds before the exact search, and members of a bucket in one part of its tasks.
-ROUNDS, PART = 2, 1024
+#: Members of a bucket in one part of its tasks.
+PART = 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
 def cross_links(grams: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links between members of different components, one of each pair in left and one in right
-    (index arrays; the same array for pairs within it). Shorter of them first, exact overlaps."""
+    (index arrays; the same array for pairs within it), by the overlap of their sets of shingles."""
     sizes = np.array([len(g) for g in grams])
     values, number = np.unique(np.concatenate([grams[i] for i in right]), return_inverse=True)
     owner = np.repeat(np.arange(len(right)), sizes[right])
@@ -181,14 +181,14 @@ def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
     hashed where they are and one row of each text goes on: no text moves for this.
     """
     banded = rows.select("node", "bytes").mapInArrow(_bands, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
-    members = cut(banded.select("node", F.explode("bands").alias("band")))
+    members = banded.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     inside = cut(members.join(shared, "band"))
     if inside.isEmpty():
         return None
-    degree = inside.groupBy("node").agg(F.sum("size").alias("degree"))
-    inside = cut(inside.join(degree, "node"))
-    wanted = inside.select("node").distinct().join(classes, "node").select("node", F.col("class_id").alias("key"))
+    degree = cut(inside.groupBy("node").agg(F.sum("size").alias("degree")))
+    inside = inside.join(degree, "node")
+    wanted = degree.select("node").join(classes, "node").select("node", F.col("class_id").alias("key"))
     sets = rows.join(wanted, ["node", "key"]).select("node", "bytes").mapInArrow(_gram_sets, "node long, grams binary")
     grams = stored(sets.groupBy("node").agg(F.first("grams").alias("grams")))
 
@@ -196,20 +196,6 @@ def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
     hubs = inside.groupBy("band").agg(F.max(rank)["node"].alias("hub"))
     pairs = inside.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = cut(verified(pairs, grams))
-    for _ in range(ROUNDS):
-        found = components(links)
-        labelled = inside.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_bands = labelled.groupBy("band").agg(F.max(rank)["node"].alias("hub"), F.max_by("component", rank).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        # The next hub of a bucket is the best member outside the first one's component.
-        rest = cut(labelled.join(mixed_bands, "band"))
-        second = rest.where("component <> main").groupBy("band").agg(F.max(rank)["node"].alias("next"), F.max_by("component", rank).alias("own"))
-        again = rest.join(second, "band").where("component <> own").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
-        more = cut(verified(again.join(pairs, ["a", "b"], "left_anti"), grams))
-        pairs = pairs.unionByName(again)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-
     found = components(links)
     labelled = inside.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Buckets with the same members are searched once; two members were compared as hub and member.
@@ -221,8 +207,7 @@ def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
     dealt = labelled.join(open_bands.select("band", "n"), "band").withColumn("part", part)
     # Part p of a bucket goes to the tasks (p, q) and (q, p) for every q.
     tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("band", "node", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    last = tasks.join(grams, "node").groupBy("band", "low", "high").applyInPandas(_search, "a long, b long")
-    last = cut(last)
+    last = cut(tasks.join(grams, "node").groupBy("band", "low", "high").applyInPandas(_search, "a long, b long"))
     return found if last.isEmpty() else components(links.unionByName(last))
 
 
