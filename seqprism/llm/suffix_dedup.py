@@ -32,6 +32,8 @@ from .suffix_sort import suffix_groups
 
 #: Bytes that a partition of texts, and a shard of landmarks, holds on average.
 PART_BYTES = 24 << 20
+#: Shards that a bucket of landmarks is sorted in: a shard's text and ranks are held in memory.
+SHARDS = 5
 #: Bytes that are hashed at once: the arrays then stay in the processor's cache.
 SPAN = 1 << 17
 
@@ -178,11 +180,13 @@ def _suspects(bundles: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     several = np.minimum.reduceat(rows[order], starts) != np.maximum.reduceat(rows[order], starts)
     keep = order[np.repeat(several, np.diff(np.append(starts, len(hashes))))]
-    keep = keep[np.argsort(rows[keep], kind="stable")]
+    shard = (hashes[keep] % SHARDS).astype(np.int32)
+    order = np.lexsort((rows[keep], shard))
+    keep, shard = keep[order], shard[order]
     rows, places, lengths = rows[keep], places[keep], lengths[keep]
-    heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.empty(0, np.int64)
+    heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (shard[1:] != shard[:-1]))) if len(rows) else np.empty(0, np.int64)
     own = [_halves(p) for p in np.split(places, heads[1:])] if len(rows) else []
-    return pd.DataFrame({"row": rows[heads], "bucket": np.full(len(heads), bundles["bucket"].iloc[0], np.int32), "low": [x[0] for x in own], "high": [x[1] for x in own], "lengths": [x.tobytes() for x in np.split(lengths, heads[1:])] if len(rows) else []})
+    return pd.DataFrame({"row": rows[heads], "bucket": bundles["bucket"].iloc[0] * SHARDS + shard[heads], "low": [x[0] for x in own], "high": [x[1] for x in own], "lengths": [x.tobytes() for x in np.split(lengths, heads[1:])] if len(rows) else []})
 
 
 def _surroundings(window: int, gram: int):
