@@ -1,4 +1,545 @@
-"""All queries by name."""
+"""All queries by name, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqprism.functions import scores, sequence
+from seqprism.operators import cluster, hills, infer, intervals, kmers, labels, motifs, simulate, stats, train
+from seqprism.operators.ranking import cut, ranked
+from seqprism.sources import writers
+from seqprism.streaming.scoring import score_rows
+
+from .fixture import CONFIG, event_intervals, read, sites, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+KMIN, KMAX = CONFIG.kmin, CONFIG.kmax
+#: Canonical k-mers of 4 and 5 letters: the smoothing constant of the surrogate weights.
+CANONICAL = 648
+#: Production parameters of single queries.
+LEAST, FOLDS, MOTIF_CUTOFF, CG_CUTOFF, BIN, TOP = 200, 3, 0.2, 0.25, 10, CONFIG.top_hills
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL over the shared views."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+# Sites, classes, hierarchy.
+
+
+@query("SELECT * FROM sites")
+def derive_sequences(spark, d):
+    return sites(spark, d)
+
+
+@query("SELECT site_id, unnest(string_split(annotation, ';')) AS label FROM sites")
+def annotation_explode(spark, d):
+    return sites(spark, d).select("site_id", F.explode(F.split("annotation", ";")).alias("label"))
+
+
+@query("SELECT * FROM subclasses")
+def subclass_counts(spark, d):
+    return labels.counts(sites(spark, d))
+
+
+@query("SELECT annotation, n, (SELECT max(n) FROM subclasses) / n AS weight FROM subclasses")
+def subclass_weights(spark, d):
+    return labels.weights(sites(spark, d))
+
+
+@query(f"SELECT site_id, annotation FROM sites WHERE annotation IN (SELECT annotation FROM subclasses WHERE n >= {LEAST})")
+def low_count_filter(spark, d):
+    return labels.keep_frequent(sites(spark, d), LEAST).select("site_id", "annotation")
+
+
+MERGE = f"SELECT l.annotation, list(h.annotation ORDER BY h.annotation) AS targets FROM (SELECT annotation, unnest(string_split(annotation, ';')) AS label FROM subclasses WHERE n < {LEAST}) l JOIN (SELECT annotation, unnest(string_split(annotation, ';')) AS label FROM subclasses WHERE n > {LEAST}) h USING (label) GROUP BY 1"
+
+
+@query(f"SELECT annotation, array_to_string(targets, ',') AS targets FROM ({MERGE})")
+def merge_candidates(spark, d):
+    return labels.merge_candidates(sites(spark, d), LEAST).select("annotation", F.array_join("targets", ",").alias("targets"))
+
+
+@query(f"SELECT site_id, s.annotation, coalesce(targets[CAST(('0x' || substring(md5('42:' || site_id), 1, 8)) AS BIGINT) % len(targets) + 1], s.annotation) AS merged FROM sites s LEFT JOIN ({MERGE}) m USING (annotation)")
+def merge_low_assign(spark, d):
+    return labels.merge_low(sites(spark, d), LEAST, 42).select("site_id", "annotation", "merged")
+
+
+@query("SELECT * FROM fan_out")
+def label_fanout(spark, d):
+    return labels.fan_out(sites(spark, d))
+
+
+HIERARCHY = """
+SELECT CAST(row_number() OVER (ORDER BY layer, first NULLS LAST, name) - 1 AS INT) AS node_idx, name, is_leaf, layer, parents, children FROM (
+SELECT replace(annotation, ';', '#') AS name, true AS is_leaf, 0 AS layer, min(site_id) AS first, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM pieces p WHERE p.annotation = sites.annotation AND label IN (SELECT label FROM fan_out)), '') AS parents, '' AS children FROM sites GROUP BY annotation
+UNION ALL SELECT label, false, 1, NULL, '', string_agg(replace(annotation, ';', '#'), ',' ORDER BY replace(annotation, ';', '#')) FROM pieces WHERE label IN (SELECT label FROM fan_out) GROUP BY label)"""
+
+
+@query(HIERARCHY)
+def class_hierarchy(spark, d):
+    return labels.hierarchy(sites(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("parents", "children")})
+
+
+@query("SELECT replace(annotation, ';', '#') AS name, n FROM subclasses UNION ALL SELECT label, CAST(sum(n) AS BIGINT) FROM pieces JOIN subclasses USING (annotation) JOIN fan_out USING (label) GROUP BY 1")
+def node_support(spark, d):
+    return labels.node_support(sites(spark, d))
+
+
+@query("SELECT model, site_id FROM (SELECT replace(annotation, ';', '#') AS model, annotation FROM subclasses UNION ALL SELECT label, annotation FROM pieces JOIN fan_out USING (label)) JOIN sites USING (annotation)")
+def model_membership(spark, d):
+    s = sites(spark, d)
+    return labels.membership(s, labels.hierarchy(s).select(F.col("name").alias("model")))
+
+
+@query(f"SELECT site_id, annotation, CAST((row_number() OVER (PARTITION BY annotation ORDER BY md5(CAST(site_id AS VARCHAR)), site_id) - 1) % {FOLDS} AS INT) AS fold FROM sites")
+def stratified_folds(spark, d):
+    return labels.stratified_folds(sites(spark, d), FOLDS)
+
+
+# k-mers and features.
+
+
+@query("SELECT * FROM counts")
+def kmer_counts(spark, d):
+    return kmers.site_counts(sites(spark, d), KMIN, KMAX)
+
+
+@query("SELECT annotation, kmer, count(*) AS cnt FROM occ GROUP BY ALL")
+def kmer_counts_by_class(spark, d):
+    return kmers.class_counts(sites(spark, d), "annotation", KMIN, KMAX)
+
+
+DINUCLEOTIDES = [a + b for a in "ACGT" for b in "ACGT"]
+
+
+@query("SELECT site_id, " + ", ".join(f"CAST(count(*) FILTER (w = '{k}') AS BIGINT) AS {k}" for k in DINUCLEOTIDES) + " FROM (SELECT site_id, substring(seq, p, 2) AS w FROM (SELECT *, unnest(range(1, length(seq))) AS p FROM sites WHERE length(seq) > 1)) GROUP BY 1")
+def kmer_matrix_wide(spark, d):
+    found = sites(spark, d).select("site_id", F.explode(sequence.windows(F.col("seq"), 2)).alias("kmer")).groupBy("site_id", "kmer").agg(F.count("*").alias("cnt"))
+    return kmers.wide(found, DINUCLEOTIDES)
+
+
+@query("SELECT kmer, list_sum(list_transform(range(1, length(kmer) + 1), lambda i: (strpos('ACGT', kmer[i]) - 1) * CAST(pow(4, length(kmer) - i) AS BIGINT)))::BIGINT AS code, CAST((pow(4, length(kmer)) - 256) / 3 AS BIGINT) + list_sum(list_transform(range(1, length(kmer) + 1), lambda i: (strpos('ACGT', kmer[i]) - 1) * CAST(pow(4, length(kmer) - i) AS BIGINT)))::BIGINT AS feature, kmer AS back FROM (SELECT DISTINCT kmer FROM counts)")
+def kmer_code_roundtrip(spark, d):
+    own = kmer_counts(spark, d).select("kmer").distinct()
+    coded = own.withColumn("code", sequence.kmer_code(F.col("kmer")))
+    return coded.select("kmer", "code", sequence.feature_index(F.col("kmer"), KMIN).alias("feature"), sequence.code_kmer(F.col("code"), F.length("kmer")).alias("back"))
+
+
+def _site_weights(s: DataFrame) -> DataFrame:
+    return s.select("site_id", "annotation").join(labels.weights(s).select("annotation", "weight"), "annotation").select("site_id", "weight")
+
+
+@query("SELECT kmer, round(mean, 6) AS mean, round(sd, 6) AS sd FROM feature_stats")
+def feature_stats(spark, d):
+    s = sites(spark, d)
+    return kmers.feature_stats(kmer_counts(spark, d), _site_weights(s)).select("kmer", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("SELECT kmer FROM counts GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM sites) AND min(cnt) = max(cnt)")
+def useless_features(spark, d):
+    return kmers.constant_features(kmer_counts(spark, d), sites(spark, d).count())
+
+
+@query(f"SELECT kmer, count(*) AS n, count(*) / (SELECT count(*) FROM sites) AS share FROM counts GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM sites) > {CONFIG.penetrance}")
+def kmer_penetrance(spark, d):
+    return kmers.penetrance(kmer_counts(spark, d), sites(spark, d).count()).where(F.col("share") > CONFIG.penetrance)
+
+
+@query("SELECT site_id, kmer, round((cnt - mean) / sd, 5) AS z FROM counts JOIN feature_stats USING (kmer) WHERE sd > 0")
+def standardized_features(spark, d):
+    s, counts = sites(spark, d), cut(kmer_counts(spark, d))
+    return kmers.standardized(counts, kmers.feature_stats(counts, _site_weights(s))).select("site_id", "kmer", F.round("z", 5).alias("z"))
+
+
+# Weights, inference, measures.
+
+
+def _weights(spark, d) -> DataFrame:
+    """Log-odds of each language's k-mers: a closed-form stand-in for trained weights."""
+    return cut(kmers.log_odds(cut(kmers.class_counts(sites(spark, d), "lang", KMIN, KMAX)), "lang", CANONICAL))
+
+
+@query("SELECT * FROM weights")
+def surrogate_weights(spark, d):
+    return _weights(spark, d)
+
+
+@query("SELECT model, kmer, sign(weight) * greatest(abs(weight) - 0.25, 0.0) AS weight FROM weights")
+def soft_threshold(spark, d):
+    return _weights(spark, d).select("model", "kmer", scores.soft_threshold(F.col("weight"), 0.25).alias("weight"))
+
+
+@query("SELECT kmer, quantile_disc(weight, 0.5) AS weight FROM weights GROUP BY 1")
+def label_median_weights(spark, d):
+    return _weights(spark, d).groupBy("kmer").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY weight)").alias("weight"))
+
+
+@query("SELECT model, kmer AS feature, weight AS value, round(exp(weight), 6) AS odds_ratio FROM weights")
+def odds_ratios(spark, d):
+    table = _weights(spark, d).select("model", F.col("kmer").alias("feature"), F.col("weight").alias("value"))
+    return writers.odds_ratios(table).withColumn("odds_ratio", F.round("odds_ratio", 6))
+
+
+def _logits(spark, d) -> DataFrame:
+    return infer.logits(sites(spark, d), _weights(spark, d), KMIN, KMAX)
+
+
+@query("SELECT site_id, model, round(logit, 5) AS logit FROM site_logits")
+def site_logits(spark, d):
+    return _logits(spark, d).withColumn("logit", F.round("logit", 5))
+
+
+@query("SELECT site_id, model, round(logit, 5) AS logit, round(prob, 6) AS prob FROM site_posteriors")
+def site_posteriors(spark, d):
+    return infer.posteriors(_logits(spark, d)).withColumns({"logit": F.round("logit", 5), "prob": F.round("prob", 6)})
+
+
+@query("SELECT site_id, max(prob) FILTER (model = 'de') AS de, max(prob) FILTER (model = 'en') AS en, max(prob) FILTER (model = 'es') AS es, max(prob) FILTER (model = 'fr') AS fr FROM (SELECT site_id, model, round(prob, 6) AS prob FROM site_posteriors) GROUP BY 1")
+def stream_posteriors(spark, d):
+    of: dict[str, dict[str, float]] = {}
+    for r in _weights(spark, d).collect():
+        of.setdefault(r.model, {})[r.kmer] = r.weight
+    scored = score_rows(sites(spark, d).where(F.length("seq") >= KMIN), of, KMIN, KMAX)
+    return scored.select("site_id", *[F.round(F.element_at("posterior", m), 6).alias(m) for m in ("de", "en", "es", "fr")])
+
+
+CONFUSION = """
+SELECT class, tp / positives AS tp_rate, fp / nullif(total - positives, 0) AS fp_rate, tp / nullif(called, 0) AS "precision", tp / positives AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1,
+(tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0) AS mcc FROM (
+SELECT *, called - tp AS fp, positives - tp AS fn, total - positives - called + tp AS tn FROM (
+SELECT lang AS class, CAST(count(*) AS DOUBLE) AS positives, CAST(count(*) FILTER (predicted = lang) AS DOUBLE) AS tp, CAST((SELECT count(*) FROM predictions q WHERE q.predicted = sites.lang) AS DOUBLE) AS called, CAST((SELECT count(*) FROM predictions) AS DOUBLE) AS total
+FROM sites JOIN predictions USING (site_id) GROUP BY lang))"""
+
+
+@query(CONFUSION)
+def confusion_metrics(spark, d):
+    predicted = infer.predictions(infer.posteriors(_logits(spark, d)))
+    actual = sites(spark, d).select("site_id", F.col("lang").alias("actual"))
+    return infer.confusion_metrics(actual.join(predicted, "site_id"))
+
+
+def _scored(spark, d) -> DataFrame:
+    found = infer.posteriors(_logits(spark, d))
+    return found.join(sites(spark, d).select("site_id", "lang"), "site_id").select("model", F.round("prob", 6).alias("score"), (F.col("model") == F.col("lang")).alias("positive"))
+
+
+BY_SCORE = "SELECT model, round(prob, 6) AS score, count(*) FILTER (model = lang) AS pos, count(*) FILTER (model <> lang) AS neg FROM site_posteriors JOIN sites USING (site_id) GROUP BY 1, 2"
+
+
+@query(f"SELECT model, round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_area FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ({BY_SCORE})) GROUP BY 1")
+def roc_area(spark, d):
+    return infer.roc_area(_scored(spark, d)).withColumn("roc_area", F.round("roc_area", 6))
+
+
+@query(f"SELECT model, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS prc_area FROM (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM ({BY_SCORE}) WINDOW w AS (PARTITION BY model ORDER BY score DESC)) GROUP BY 1")
+def prc_area(spark, d):
+    return infer.prc_area(_scored(spark, d)).withColumn("prc_area", F.round("prc_area", 6))
+
+
+# Windows and hills.
+
+
+def _scans(spark, d) -> DataFrame:
+    return sites(spark, d).select("site_id", F.col("lang").alias("model"), "seq")
+
+
+def _windows(spark, d, shortest=CONFIG.min_scan, longest=CONFIG.max_scan) -> DataFrame:
+    return hills.window_scores(_scans(spark, d), _weights(spark, d), KMIN, KMAX, shortest, longest)
+
+
+@query("SELECT site_id, model, count(*) AS n_windows, round(sum(score), 4) AS total, max(score) AS best FROM windows GROUP BY ALL")
+def window_scores(spark, d):
+    found = _windows(spark, d).where(F.size("windows") > 0)
+    total = F.aggregate("windows", F.lit(0.0), lambda held, w: held + w["score"])
+    return found.select("site_id", "model", F.size("windows").cast("long").alias("n_windows"), F.round(total, 4).alias("total"), F.array_max(F.transform("windows", lambda w: w["score"])).alias("best"))
+
+
+@query(f"SELECT model, len, count(*) AS n, max(score) AS best, round(avg(score), 6) AS mean FROM windows WHERE score > {CONFIG.hill_threshold} GROUP BY ALL")
+def hill_candidates(spark, d):
+    found = hills.candidates(_windows(spark, d), CONFIG.hill_threshold)
+    return found.groupBy("model", "len").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+def _hills(spark, d) -> DataFrame:
+    return cut(hills.best_windows(_windows(spark, d)))
+
+
+@query(f"SELECT model, site_id, start, len, score, hill, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, site_id) AS r FROM hills) WHERE r <= {TOP}")
+def hill_rank_topk(spark, d):
+    order = Window.partitionBy("model").orderBy(F.desc("score"), "site_id")
+    return _hills(spark, d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+
+
+@query("SELECT model, hill, max(score) AS score, arg_min(site_id, (-score, site_id)) AS site_id, count(*) AS n FROM hills GROUP BY model, hill")
+def hill_dedupe(spark, d):
+    return _hills(spark, d).groupBy("model", "hill").agg(F.max("score").alias("score"), F.min_by("site_id", F.struct(-F.col("score"), "site_id")).alias("site_id"), F.count("*").alias("n"))
+
+
+@query("SELECT model, site_id, CAST(least(2, (r - 1) // nullif(n // 3, 0)) AS INT) AS tertile FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, site_id) AS r, count(*) OVER (PARTITION BY model) AS n FROM hills)")
+def hill_tertiles(spark, d):
+    found = _hills(spark, d)
+    sizes = found.groupBy("model").agg(F.count("*").alias("n"))
+    placed = ranked(found.select("model", "site_id", "score"), "model", [F.desc("score"), F.col("site_id").asc()])
+    return placed.join(F.broadcast(sizes), "model").select("model", "site_id", hills.tertile(F.col("rank"), F.col("n")).alias("tertile"))
+
+
+def _weight_maps(spark, d) -> dict[str, dict[str, float]]:
+    of: dict[str, dict[str, float]] = {}
+    for r in _weights(spark, d).collect():
+        of.setdefault(r.model, {})[r.kmer] = r.weight
+    return of
+
+
+@query()
+def hills_online(spark, d):
+    return hills.hills(_scans(spark, d), _weight_maps(spark, d), KMIN, KMAX, CONFIG.min_scan, CONFIG.max_scan, CONFIG.hill_threshold)
+
+
+@query()
+def seqlets_online(spark, d):
+    return hills.hills(_scans(spark, d), _weight_maps(spark, d), KMIN, KMAX, CONFIG.min_scan, CONFIG.max_scan, CONFIG.hill_threshold, equal_coexists=True)
+
+
+# Hill statistics.
+
+
+def _hill_kmers(spark, d) -> DataFrame:
+    return stats.hill_kmers(_hills(spark, d), _weights(spark, d), KMIN, KMAX)
+
+
+@query("SELECT site_id, kmer, count(*) AS cnt FROM hill_kmers GROUP BY ALL")
+def hill_profiles(spark, d):
+    return _hill_kmers(spark, d).groupBy("site_id", "kmer").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT site_id, model, round(sum(weight), 5) AS score FROM hill_kmers GROUP BY ALL")
+def hill_scores(spark, d):
+    return stats.score_hills(_hill_kmers(spark, d)).withColumn("score", F.round("score", 5))
+
+
+def _motif_windows(spark, d) -> DataFrame:
+    best = hills.best_windows(_windows(spark, d, 8, 8))
+    return best.select(F.col("model").alias("motif"), "hill")
+
+
+def _motifs(spark, d) -> DataFrame:
+    return motifs.from_windows(_motif_windows(spark, d))
+
+
+def _motif_kmers(spark, d) -> DataFrame:
+    return motifs.consensus_kmers(motifs.consensus(_motifs(spark, d)), KMIN, KMAX)
+
+
+def _motif_kmer_list(spark, d) -> list[str]:
+    return [r.kmer for r in _motif_kmers(spark, d).select("kmer").distinct().orderBy("kmer").collect()]
+
+
+DIMER_COLUMNS = ", ".join(f"round(sum(CASE WHEN contains(kmer, '{x}') OR contains(kmer, '{y}') OR weight < 0 THEN weight ELSE 0 END) + 0.0, 2) AS score_{x.lower()}" for x, y in [("AA", "TT"), ("AC", "GT"), ("AG", "CT"), ("AT", "AT"), ("CA", "TG"), ("CC", "GG"), ("CG", "CG"), ("GA", "TC"), ("GC", "GC"), ("TA", "TA")])
+
+
+@query(f"SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 5) AS motif_score, {DIMER_COLUMNS} FROM hill_kmers GROUP BY ALL")
+def hill_dimer_stats(spark, d):
+    return stats.dimer_stats(_hill_kmers(spark, d), _motif_kmer_list(spark, d)).withColumn("motif_score", F.round("motif_score", 5))
+
+
+@query("SELECT site_id, model, round(sum(CASE WHEN contains(kmer, 'CG') OR weight < 0 THEN weight ELSE 0 END), 5) AS score FROM hill_kmers GROUP BY ALL")
+def cg_kmer_scores(spark, d):
+    return stats.score_where(_hill_kmers(spark, d), F.col("kmer").contains("CG")).withColumn("score", F.round("score", 5))
+
+
+@query(f"SELECT * FROM (SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 5) AS score FROM hill_kmers GROUP BY ALL) WHERE score > {MOTIF_CUTOFF}")
+def motif_hills(spark, d):
+    chosen = F.col("kmer").isin(_motif_kmer_list(spark, d))
+    return stats.score_where(_hill_kmers(spark, d), chosen).withColumn("score", F.round("score", 5)).where(F.col("score") > MOTIF_CUTOFF)
+
+
+@query(f"SELECT h.site_id, h.model, h.hill, round(m.score, 5) AS motif_score FROM hills h JOIN motif_only m USING (site_id, model) WHERE round(m.score, 5) < {MOTIF_CUTOFF} AND len(regexp_extract_all(h.hill, 'CG')) / nullif(h.len // 2, 0) > {CG_CUTOFF}")
+def cg_hills(spark, d):
+    only = stats.score_where(_hill_kmers(spark, d), F.col("kmer").isin(_motif_kmer_list(spark, d)), negative_too=False).withColumn("score", F.round("score", 5))
+    return stats.cg_hills(_hills(spark, d), only, MOTIF_CUTOFF, CG_CUTOFF).select("site_id", "model", "hill", "motif_score")
+
+
+@query(f"SELECT motif, count(*) FILTER (score > {MOTIF_CUTOFF}) AS n_hits, round(avg(score) FILTER (score > {MOTIF_CUTOFF}), 5) AS mean_score FROM (SELECT motif, site_id, round(sum(weight), 5) AS score FROM hill_kmers JOIN (SELECT DISTINCT motif, kmer FROM motif_kmers) USING (kmer) GROUP BY ALL) GROUP BY 1")
+def motif_hit_stats(spark, d):
+    own = F.broadcast(_motif_kmers(spark, d).distinct())
+    scored = _hill_kmers(spark, d).join(own, "kmer").groupBy("motif", "site_id").agg(F.round(F.sum("weight"), 5).alias("score"))
+    return stats.motif_hits(scored, MOTIF_CUTOFF).withColumn("mean_score", F.round("mean_score", 5))
+
+
+@query("SELECT model, dimer, round(total, 5) AS total FROM dimer_cells")
+def dimer_sums(spark, d):
+    return stats.dimer_sums(_weights(spark, d)).withColumn("total", F.round("total", 5))
+
+
+@query("SELECT model, dimer, round(total, 5) AS total, round((total - avg(total) OVER ()) / stddev_samp(total) OVER (), 5) AS z FROM dimer_cells")
+def dimer_zscores(spark, d):
+    return stats.z_scores(stats.dimer_sums(_weights(spark, d))).withColumns({"total": F.round("total", 5), "z": F.round("z", 5)})
+
+
+@query("SELECT * FROM cg_bins")
+def cg_profile_bins(spark, d):
+    return stats.cg_bins(sites(spark, d), BIN)
+
+
+@query("SELECT bin, round(sum(frac_cg) / (SELECT count(*) FROM sites), 6) AS mean_frac FROM cg_bins GROUP BY 1")
+def cg_profile_mean(spark, d):
+    return stats.cg_profile(sites(spark, d), BIN).withColumn("mean_frac", F.round("mean_frac", 6))
+
+
+@query("SELECT site_id, CAST(count(pos) AS BIGINT) AS n_cg, count(pos) / nullif(length(seq) // 2, 0) AS frac_cg FROM sites LEFT JOIN cg_pos USING (site_id) GROUP BY site_id, seq")
+def cg_totals(spark, d):
+    return stats.cg_totals(sites(spark, d))
+
+
+# Motifs.
+
+
+@query("SELECT motif, pos, round(a, 6) AS a, round(c, 6) AS c, round(g, 6) AS g, round(t, 6) AS t FROM motifs")
+def motif_matrix(spark, d):
+    return _motifs(spark, d).select("motif", "pos", *[F.round(b, 6).alias(b) for b in "acgt"])
+
+
+@query("SELECT * FROM consensus")
+def motif_consensus(spark, d):
+    return motifs.consensus(_motifs(spark, d))
+
+
+@query("SELECT motif, 7 - pos AS pos, round(t, 6) AS a, round(g, 6) AS c, round(c, 6) AS g, round(a, 6) AS t FROM motifs")
+def motif_revcomp(spark, d):
+    return motifs.reverse_complement(_motifs(spark, d)).select("motif", "pos", *[F.round(b, 6).alias(b) for b in "acgt"])
+
+
+@query("SELECT motif, model, round(sum(weight), 5) AS score FROM motif_kmers JOIN weights USING (kmer) GROUP BY ALL")
+def motif_model_scores(spark, d):
+    return motifs.model_scores(_motif_kmers(spark, d), _weights(spark, d)).withColumn("score", F.round("score", 5))
+
+
+@query()
+def heat_map_colors(spark, d):
+    return motif_model_scores(spark, d).select("motif", "model", scores.heat_color(F.col("score")).alias("color"))
+
+
+@query()
+def discover_motifs(spark, d):
+    """Motifs of each model's best hills; the top hills are a report's bound, not the data's."""
+    best = hill_rank_topk(spark, d)
+
+    def run(group):
+        import pandas as pd
+
+        own = group.sort_values("rank")["hill"].tolist()
+        found = motifs.discover_all(own, 2, 6, 8, CONFIG.seed, 0.5)
+        rows = [(group["model"].iloc[0], f"{group['model'].iloc[0]}_c0_{n}", pos, *map(float, row), area) for n, matrix, area in found for pos, row in enumerate(matrix)]
+        return pd.DataFrame(rows, columns=["model", "motif", "pos", "a", "c", "g", "t", "roc"])
+
+    return best.select("model", "rank", "hill").groupBy("model").applyInPandas(run, "model string, motif string, pos int, a double, c double, g double, t double, roc double")
+
+
+# Clusters.
+
+
+@query("SELECT * FROM assigned")
+def nearest_centroid(spark, d):
+    return _assigned(spark, d)
+
+
+def _assigned(spark, d) -> DataFrame:
+    e = read(spark, d, "embeddings").where("label IS NOT NULL")
+    places = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    # One vector per label.
+    centers = [[x.x for x in r.center] for r in places.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("center")).orderBy("label").collect()]
+    vectors = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return cluster.nearest(vectors, centers, "v").select("vec_id", "cluster", "distance")
+
+
+@query("SELECT cluster, n FROM (SELECT cluster, count(*) AS n FROM assigned GROUP BY 1) WHERE n >= least(floor((SELECT max(n) FROM (SELECT count(*) AS n FROM assigned GROUP BY cluster)) * 0.1), 500)")
+def cluster_sizes(spark, d):
+    return cluster.large_clusters(_assigned(spark, d).groupBy("cluster").agg(F.count("*").alias("n")))
+
+
+@query("SELECT label AS cluster, arg_min(vec_id, (mean, vec_id)) AS medoid, min(mean) AS mean_distance FROM (SELECT a.label, a.vec_id, round(avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]))))), 6) AS mean FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2) GROUP BY 1")
+def cluster_medoid(spark, d):
+    return cluster.medoids(read(spark, d, "embeddings").where("label IS NOT NULL"), "label", "vec_id", "embedding")
+
+
+@query()
+def cluster_select_k(spark, d):
+    """Quality of each number of clusters over profiles of the best hills of every model."""
+    best = hill_rank_topk(spark, d)
+    n = best.count()
+    long = hill_profiles(spark, d).join(best.select("site_id"), "site_id")
+    frequent = kmers.penetrance(long, n).where(F.col("share") > CONFIG.penetrance).orderBy("kmer")
+    names = [r.kmer for r in frequent.collect()]
+    wide = long.where(F.col("kmer").isin(names)).groupBy("site_id").pivot("kmer", names).agg(F.sum("cnt")).fillna(0).orderBy("site_id").toPandas()
+    points = wide[names].to_numpy(float)
+    strata = (np.arange(len(points)) * 3 // max(1, len(points))).astype(int)
+    quality, best_k, _ = cluster.select_k(points, strata, spark, CONFIG.k_values, 5, CONFIG.stratum_rows, CONFIG.cluster_rounds, CONFIG.seed)
+    return quality.withColumn("chosen", F.col("k") == best_k)
+
+
+# Intervals.
+
+
+@query("SELECT id, r_id, overlap FROM overlaps")
+def interval_overlap(spark, d):
+    own = event_intervals(spark, d)
+    return intervals.overlaps(own, own, 64).where("id < r_id").select("id", "r_id", "overlap")
+
+
+@query("SELECT id, chrom FROM intervals WHERE id NOT IN (SELECT id FROM overlaps UNION SELECT r_id FROM overlaps)")
+def interval_anti(spark, d):
+    own = event_intervals(spark, d)
+    met = intervals.overlaps(own, own, 64).where("id <> r_id").select("id").distinct()
+    return own.join(met, "id", "left_anti").select("id", "chrom")
+
+
+@query("SELECT a.id, a.chrom, coalesce(sum(least(a.stop, b.stop) - greatest(a.start, b.start) + 1), 0) / (a.stop - a.start + 1) AS repeat_share FROM intervals a LEFT JOIN intervals b ON a.chrom = b.chrom AND a.id <> b.id AND a.start <= b.stop AND b.start <= a.stop GROUP BY a.id, a.chrom, a.start, a.stop HAVING coalesce(sum(least(a.stop, b.stop) - greatest(a.start, b.start) + 1), 0) / (a.stop - a.start + 1) <= 0.5")
+def repeat_screen(spark, d):
+    own = event_intervals(spark, d)
+    sums = intervals.overlaps(own, own, 64).where("id <> r_id").groupBy("id").agg(F.sum("overlap").alias("covered"))
+    share = F.coalesce("covered", F.lit(0)) / (F.col("end") - F.col("start") + 1)
+    return own.join(sums, "id", "left").select("id", "chrom", share.alias("repeat_share")).where(F.col("repeat_share") <= CONFIG.max_repeat_share)
+
+
+@query()
+def random_regions(spark, d):
+    own = event_intervals(spark, d)
+    genome = own.groupBy("chrom").agg((F.max("end") - F.min("start") + 1).alias("length"))
+    moved = own.join(own.groupBy("chrom").agg(F.min("start").alias("origin")), "chrom").select("chrom", (F.col("start") - F.col("origin")).alias("start"), (F.col("end") - F.col("origin")).alias("end"))
+    return intervals.random_regions(genome, moved, 500, CONFIG.window, CONFIG.seed)
+
+
+# Training and simulation.
+
+
+@query()
+def train_leaf_model(spark, d):
+    """The hierarchical model with a shortened schedule."""
+    from dataclasses import replace
+
+    config = replace(CONFIG, outer_rounds=2, admm_rounds=6)
+    kept = labels.keep_frequent(sites(spark, d), LEAST)
+    return train.train(kept.select("site_id", "annotation", "seq"), config).table(spark)
+
+
+@query()
+def simulate_sites(spark, d):
+    read(spark, d, "region").schema
+    strong = lambda word: np.array([[0.91 if b == x else 0.03 for b in "ACGT"] for x in word])
+    planted = {"X": strong("TGACTCA"), "Y": strong("CACGTG"), "A": strong("GATAAG"), "B": strong("CCAAT")}
+    return simulate.simulate(spark, simulate.class_sizes(500), planted, {"": [0.3, 0.2, 0.2, 0.3]}, CONFIG.window, 0.7, CONFIG.seed)
