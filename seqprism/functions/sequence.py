@@ -33,6 +33,19 @@ def feature_index(kmer: Column, kmin: int) -> Column:
     return shorter.cast("long") + kmer_code(kmer)
 
 
+def weight_table(pairs: Column, kmin: int, kmax: int) -> Column:
+    """An array of the weights of all k-mers by feature_index() from an array of (kmer, weight): looked
+    up in constant time, where a map of Spark is searched from its beginning."""
+    known = F.map_from_entries(F.transform(pairs, lambda p: F.struct(feature_index(p["kmer"], kmin), p["weight"])))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(sum(4**k for k in range(kmin, kmax + 1)) - 1).cast("long"))
+    return F.transform(places, lambda i: F.coalesce(F.element_at(known, i), F.lit(0.0)))
+
+
+def kmer_weight(kmer: Column, k: int, kmin: int, table: Column) -> Column:
+    """The weight of a k-mer of known length, by its canonical form."""
+    return F.get(table, (kmer_code(canonical(kmer)) + (4**k - 4**kmin) // 3).cast("int"))
+
+
 def windows(seq: Column, size: int) -> Column:
     """Array of all substrings of a length, in order; empty if the sequence is shorter."""
     places = F.when(F.length(seq) >= size, F.sequence(F.lit(1), F.length(seq) - size + 1)).otherwise(F.array().cast("array<int>"))

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqprism.functions.sequence import canonical, windows
+from seqprism.functions.sequence import kmer_weight, weight_table, windows
 
+from .ranking import cut
 
-def _running(seq: Column, weight_of: Column, k: int) -> Column:
+
+def _running(seq: Column, weight_of: Column, k: int, kmin: int) -> Column:
     """Running sums of the weights of the k-mers from each place on, beginning with 0."""
-    values = F.transform(windows(seq, k), lambda s: F.coalesce(F.element_at(weight_of, canonical(s)), F.lit(0.0)))
+    values = F.transform(windows(seq, k), lambda s: kmer_weight(s, k, kmin, weight_of))
     start = F.array(F.lit(0.0))
     return F.aggregate(values, start, lambda held, v: F.concat(held, F.array(F.element_at(held, -1) + v)))
 
@@ -23,14 +25,14 @@ def window_scores(scans: DataFrame, weights: DataFrame, kmin: int, kmax: int, sh
     """scans (site_id, model, seq) with `windows`: an array of (len, start, score) over all windows.
 
     A window's score is the sum of the weights of all k-mers within it, from running sums: the work is
-    the number of windows, not windows times their length. The weights of one model are one map, with
+    the number of windows, not windows times their length. The weights of one model are one array, with
     as many entries as there are k-mers.
     """
-    table = weights.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "weight"))).alias("weight_of"))
+    table = cut(weights.groupBy("model").agg(F.collect_list(F.struct("kmer", "weight")).alias("pairs")).select("model", weight_table(F.col("pairs"), kmin, kmax).alias("weight_of")))
     lengths = list(range(kmin, kmax + 1))
     summed = scans.join(F.broadcast(table), "model")
     # One array holds the running sums of all lengths, so that they are computed once.
-    sums = F.array(*[_running(F.col("seq"), F.col("weight_of"), k) for k in lengths])
+    sums = F.array(*[_running(F.col("seq"), F.col("weight_of"), k, kmin) for k in lengths])
 
     def of(running: Column) -> Column:
         def scored(size: int) -> Column:

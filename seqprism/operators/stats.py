@@ -40,11 +40,11 @@ def score_where(found: DataFrame, keep: Column, negative_too: bool = True) -> Da
     return found.groupBy("site_id", "model").agg(F.sum(F.when(chosen, F.col("weight")).otherwise(0.0)).alias("score"))
 
 
-def dimer_stats(found: DataFrame, motif_kmers: list[str]) -> DataFrame:
-    """Per hill: the motif's score, and one score for each dimer, rounded to two places."""
+def dimer_stats(found: DataFrame, motif_kmers: list[str], digits: int = 2) -> DataFrame:
+    """Per hill: the motif's score, and one score for each dimer, rounded."""
     picked = lambda keep: F.sum(F.when(keep | (F.col("weight") < 0), F.col("weight")).otherwise(0.0))
     return found.groupBy("site_id", "model").agg(
-        picked(F.col("kmer").isin(motif_kmers)).alias("motif_score"), *[F.round(picked(contains_dimer(F.col("kmer"), d)), 2).alias(f"score_{d.lower()}") for d in DIMERS],
+        picked(F.col("kmer").isin(motif_kmers)).alias("motif_score"), *[F.round(picked(contains_dimer(F.col("kmer"), d)), digits).alias(f"score_{d.lower()}") for d in DIMERS],
     )
 
 

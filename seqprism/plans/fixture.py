@@ -56,9 +56,10 @@ VIEWS = {
     "site_weights": "SELECT site_id, (SELECT max(n) FROM subclasses) / n AS weight FROM sites JOIN subclasses USING (annotation)",
     "feature_stats": "SELECT kmer, s / w AS mean, sqrt(abs(q - w * (s / w) * (s / w)) / (w - 1)) AS sd FROM (SELECT kmer, sum(weight * cnt) AS s, sum(weight * cnt * cnt) AS q, (SELECT sum(weight) FROM site_weights) AS w FROM counts JOIN site_weights USING (site_id) GROUP BY 1)",
     "member_kmers": "SELECT o.site_id, o.lang AS model, k, pos, weight FROM occ o JOIN weights w ON w.model = o.lang AND w.kmer = o.kmer",
-    "running": "SELECT site_id, model, k, pos + 1 AS pos, sum(weight) OVER (PARTITION BY site_id, k ORDER BY pos) AS total FROM member_kmers UNION ALL SELECT DISTINCT site_id, model, k, 0, 0.0 FROM member_kmers",
+    "run4": "SELECT site_id, list_prepend(0.0, list(total ORDER BY pos)) AS r4 FROM (SELECT site_id, pos, sum(weight) OVER (PARTITION BY site_id ORDER BY pos) AS total FROM member_kmers WHERE k = 4) GROUP BY 1",
+    "run5": "SELECT site_id, list_prepend(0.0, list(total ORDER BY pos)) AS r5 FROM (SELECT site_id, pos, sum(weight) OVER (PARTITION BY site_id ORDER BY pos) AS total FROM member_kmers WHERE k = 5) GROUP BY 1",
     "spans": "SELECT site_id, lang AS model, seq, CAST(l AS INT) AS len, CAST(unnest(range(0, length(seq) - l + 1)) AS INT) AS start FROM sites, range(6, 15) r(l) WHERE length(seq) >= l",
-    "windows": "SELECT s.site_id, s.model, s.len, s.start, round((a4.total - b4.total) + (a5.total - b5.total), 6) AS score, substring(s.seq, s.start + 1, s.len) AS hill FROM spans s JOIN running b4 ON b4.site_id = s.site_id AND b4.k = 4 AND b4.pos = s.start JOIN running a4 ON a4.site_id = s.site_id AND a4.k = 4 AND a4.pos = s.start + s.len - 3 JOIN running b5 ON b5.site_id = s.site_id AND b5.k = 5 AND b5.pos = s.start JOIN running a5 ON a5.site_id = s.site_id AND a5.k = 5 AND a5.pos = s.start + s.len - 4",
+    "windows": "SELECT site_id, model, len, start, round((r4[start + len - 2] - r4[start + 1]) + (r5[start + len - 3] - r5[start + 1]), 6) AS score, substring(seq, start + 1, len) AS hill FROM spans JOIN run4 USING (site_id) JOIN run5 USING (site_id)",
     "hills": "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, len, start) AS r FROM windows) WHERE r = 1",
     "hill_kmers": "SELECT site_id, model, kmer, weight FROM (SELECT site_id, model, least(substring(hill, p, k), reverse(translate(substring(hill, p, k), 'ACGT', 'TGCA'))) AS kmer FROM (SELECT *, unnest(range(1, len - k + 2)) AS p FROM hills, (VALUES (4), (5)) ks(k))) JOIN weights USING (model, kmer)",
     "aligned": "SELECT model AS motif, hill FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, start) AS r FROM windows WHERE len = 8) WHERE r = 1",
@@ -73,8 +74,8 @@ VIEWS = {
     "centers": "SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL",
     "center_list": "SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS cluster, list(x ORDER BY i) AS center FROM centers GROUP BY label",
     "assigned": "SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT vec_id, cluster, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - center[i]) * (embedding[i] - center[i])))), 6) AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), center_list) GROUP BY 1",
-    "intervals": "SELECT event_id AS id, user_id AS chrom, CAST(epoch(ts) AS BIGINT) // 60 AS start, CAST(epoch(ts) AS BIGINT) // 60 + CAST(floor(coalesce(value, 0)) AS BIGINT) AS stop FROM events",
-    "overlaps": "SELECT a.id, b.id AS r_id, least(a.stop, b.stop) - greatest(a.start, b.start) + 1 AS overlap FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.id < b.id AND a.start <= b.stop AND b.start <= a.stop",
+    "intervals": "SELECT event_id AS id, user_id AS chrom, CAST(floor(epoch(ts)) AS BIGINT) // 60 AS start, CAST(floor(epoch(ts)) AS BIGINT) // 60 + CAST(floor(coalesce(value, 0)) AS BIGINT) AS stop FROM events",
+    "overlap_pairs": "SELECT a.id, b.id AS r_id, least(a.stop, b.stop) - greatest(a.start, b.start) + 1 AS overlap FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.id < b.id AND a.start <= b.stop AND b.start <= a.stop",
 }
 
 

@@ -199,14 +199,14 @@ def _logits(spark, d) -> DataFrame:
     return infer.logits(sites(spark, d), _weights(spark, d), KMIN, KMAX)
 
 
-@query("SELECT site_id, model, round(logit, 5) AS logit FROM site_logits")
+@query("SELECT site_id, model, round(logit, 6) AS logit FROM site_logits")
 def site_logits(spark, d):
-    return _logits(spark, d).withColumn("logit", F.round("logit", 5))
+    return _logits(spark, d).withColumn("logit", F.round("logit", 6))
 
 
-@query("SELECT site_id, model, round(logit, 5) AS logit, round(prob, 6) AS prob FROM site_posteriors")
+@query("SELECT site_id, model, round(logit, 6) AS logit, round(prob, 6) AS prob FROM site_posteriors")
 def site_posteriors(spark, d):
-    return infer.posteriors(_logits(spark, d)).withColumns({"logit": F.round("logit", 5), "prob": F.round("prob", 6)})
+    return infer.posteriors(_logits(spark, d)).withColumns({"logit": F.round("logit", 6), "prob": F.round("prob", 6)})
 
 
 @query("SELECT site_id, max(prob) FILTER (model = 'de') AS de, max(prob) FILTER (model = 'en') AS en, max(prob) FILTER (model = 'es') AS es, max(prob) FILTER (model = 'fr') AS fr FROM (SELECT site_id, model, round(prob, 6) AS prob FROM site_posteriors) GROUP BY 1")
@@ -255,18 +255,20 @@ def prc_area(spark, d):
 
 
 def _scans(spark, d) -> DataFrame:
-    return sites(spark, d).select("site_id", F.col("lang").alias("model"), "seq")
+    # Scanning is far dearer than moving 150 letters: sites are dealt evenly, however few files there are.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sites(spark, d).select("site_id", F.col("lang").alias("model"), "seq").repartition(parts, "site_id")
 
 
 def _windows(spark, d, shortest=CONFIG.min_scan, longest=CONFIG.max_scan) -> DataFrame:
     return hills.window_scores(_scans(spark, d), _weights(spark, d), KMIN, KMAX, shortest, longest)
 
 
-@query("SELECT site_id, model, count(*) AS n_windows, round(sum(score), 4) AS total, max(score) AS best FROM windows GROUP BY ALL")
+@query("SELECT site_id, model, count(*) AS n_windows, round(sum(score), 2) AS total, max(score) AS best FROM windows GROUP BY ALL")
 def window_scores(spark, d):
     found = _windows(spark, d).where(F.size("windows") > 0)
     total = F.aggregate("windows", F.lit(0.0), lambda held, w: held + w["score"])
-    return found.select("site_id", "model", F.size("windows").cast("long").alias("n_windows"), F.round(total, 4).alias("total"), F.array_max(F.transform("windows", lambda w: w["score"])).alias("best"))
+    return found.select("site_id", "model", F.size("windows").cast("long").alias("n_windows"), F.round(total, 2).alias("total"), F.array_max(F.transform("windows", lambda w: w["score"])).alias("best"))
 
 
 @query(f"SELECT model, len, count(*) AS n, max(score) AS best, round(avg(score), 6) AS mean FROM windows WHERE score > {CONFIG.hill_threshold} GROUP BY ALL")
@@ -327,9 +329,9 @@ def hill_profiles(spark, d):
     return _hill_kmers(spark, d).groupBy("site_id", "kmer").agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT site_id, model, round(sum(weight), 5) AS score FROM hill_kmers GROUP BY ALL")
+@query("SELECT site_id, model, round(sum(weight), 6) AS score FROM hill_kmers GROUP BY ALL")
 def hill_scores(spark, d):
-    return stats.score_hills(_hill_kmers(spark, d)).withColumn("score", F.round("score", 5))
+    return stats.score_hills(_hill_kmers(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def _motif_windows(spark, d) -> DataFrame:
@@ -349,46 +351,46 @@ def _motif_kmer_list(spark, d) -> list[str]:
     return [r.kmer for r in _motif_kmers(spark, d).select("kmer").distinct().orderBy("kmer").collect()]
 
 
-DIMER_COLUMNS = ", ".join(f"round(sum(CASE WHEN contains(kmer, '{x}') OR contains(kmer, '{y}') OR weight < 0 THEN weight ELSE 0 END) + 0.0, 2) AS score_{x.lower()}" for x, y in [("AA", "TT"), ("AC", "GT"), ("AG", "CT"), ("AT", "AT"), ("CA", "TG"), ("CC", "GG"), ("CG", "CG"), ("GA", "TC"), ("GC", "GC"), ("TA", "TA")])
+DIMER_COLUMNS = ", ".join(f"round(sum(CASE WHEN contains(kmer, '{x}') OR contains(kmer, '{y}') OR weight < 0 THEN weight ELSE 0 END) + 0.0, 6) AS score_{x.lower()}" for x, y in [("AA", "TT"), ("AC", "GT"), ("AG", "CT"), ("AT", "AT"), ("CA", "TG"), ("CC", "GG"), ("CG", "CG"), ("GA", "TC"), ("GC", "GC"), ("TA", "TA")])
 
 
-@query(f"SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 5) AS motif_score, {DIMER_COLUMNS} FROM hill_kmers GROUP BY ALL")
+@query(f"SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 6) AS motif_score, {DIMER_COLUMNS} FROM hill_kmers GROUP BY ALL")
 def hill_dimer_stats(spark, d):
-    return stats.dimer_stats(_hill_kmers(spark, d), _motif_kmer_list(spark, d)).withColumn("motif_score", F.round("motif_score", 5))
+    return stats.dimer_stats(_hill_kmers(spark, d), _motif_kmer_list(spark, d), 6).withColumn("motif_score", F.round("motif_score", 6))
 
 
-@query("SELECT site_id, model, round(sum(CASE WHEN contains(kmer, 'CG') OR weight < 0 THEN weight ELSE 0 END), 5) AS score FROM hill_kmers GROUP BY ALL")
+@query("SELECT site_id, model, round(sum(CASE WHEN contains(kmer, 'CG') OR weight < 0 THEN weight ELSE 0 END), 6) AS score FROM hill_kmers GROUP BY ALL")
 def cg_kmer_scores(spark, d):
-    return stats.score_where(_hill_kmers(spark, d), F.col("kmer").contains("CG")).withColumn("score", F.round("score", 5))
+    return stats.score_where(_hill_kmers(spark, d), F.col("kmer").contains("CG")).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT * FROM (SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 5) AS score FROM hill_kmers GROUP BY ALL) WHERE score > {MOTIF_CUTOFF}")
+@query(f"SELECT * FROM (SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 6) AS score FROM hill_kmers GROUP BY ALL) WHERE score > {MOTIF_CUTOFF}")
 def motif_hills(spark, d):
     chosen = F.col("kmer").isin(_motif_kmer_list(spark, d))
-    return stats.score_where(_hill_kmers(spark, d), chosen).withColumn("score", F.round("score", 5)).where(F.col("score") > MOTIF_CUTOFF)
+    return stats.score_where(_hill_kmers(spark, d), chosen).withColumn("score", F.round("score", 6)).where(F.col("score") > MOTIF_CUTOFF)
 
 
-@query(f"SELECT h.site_id, h.model, h.hill, round(m.score, 5) AS motif_score FROM hills h JOIN motif_only m USING (site_id, model) WHERE round(m.score, 5) < {MOTIF_CUTOFF} AND len(regexp_extract_all(h.hill, 'CG')) / nullif(h.len // 2, 0) > {CG_CUTOFF}")
+@query(f"SELECT h.site_id, h.model, h.hill, round(m.score, 6) AS motif_score FROM hills h JOIN motif_only m USING (site_id, model) WHERE round(m.score, 6) < {MOTIF_CUTOFF} AND len(regexp_extract_all(h.hill, 'CG')) / nullif(h.len // 2, 0) > {CG_CUTOFF}")
 def cg_hills(spark, d):
-    only = stats.score_where(_hill_kmers(spark, d), F.col("kmer").isin(_motif_kmer_list(spark, d)), negative_too=False).withColumn("score", F.round("score", 5))
+    only = stats.score_where(_hill_kmers(spark, d), F.col("kmer").isin(_motif_kmer_list(spark, d)), negative_too=False).withColumn("score", F.round("score", 6))
     return stats.cg_hills(_hills(spark, d), only, MOTIF_CUTOFF, CG_CUTOFF).select("site_id", "model", "hill", "motif_score")
 
 
-@query(f"SELECT motif, count(*) FILTER (score > {MOTIF_CUTOFF}) AS n_hits, round(avg(score) FILTER (score > {MOTIF_CUTOFF}), 5) AS mean_score FROM (SELECT motif, site_id, round(sum(weight), 5) AS score FROM hill_kmers JOIN (SELECT DISTINCT motif, kmer FROM motif_kmers) USING (kmer) GROUP BY ALL) GROUP BY 1")
+@query(f"SELECT motif, count(*) FILTER (score > {MOTIF_CUTOFF}) AS n_hits, round(avg(score) FILTER (score > {MOTIF_CUTOFF}), 6) AS mean_score FROM (SELECT motif, site_id, round(sum(weight), 6) AS score FROM hill_kmers JOIN (SELECT DISTINCT motif, kmer FROM motif_kmers) USING (kmer) GROUP BY ALL) GROUP BY 1")
 def motif_hit_stats(spark, d):
     own = F.broadcast(_motif_kmers(spark, d).distinct())
-    scored = _hill_kmers(spark, d).join(own, "kmer").groupBy("motif", "site_id").agg(F.round(F.sum("weight"), 5).alias("score"))
-    return stats.motif_hits(scored, MOTIF_CUTOFF).withColumn("mean_score", F.round("mean_score", 5))
+    scored = _hill_kmers(spark, d).join(own, "kmer").groupBy("motif", "site_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return stats.motif_hits(scored, MOTIF_CUTOFF).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query("SELECT model, dimer, round(total, 5) AS total FROM dimer_cells")
+@query("SELECT model, dimer, round(total, 6) AS total FROM dimer_cells")
 def dimer_sums(spark, d):
-    return stats.dimer_sums(_weights(spark, d)).withColumn("total", F.round("total", 5))
+    return stats.dimer_sums(_weights(spark, d)).withColumn("total", F.round("total", 6))
 
 
-@query("SELECT model, dimer, round(total, 5) AS total, round((total - avg(total) OVER ()) / stddev_samp(total) OVER (), 5) AS z FROM dimer_cells")
+@query("SELECT model, dimer, round(total, 6) AS total, round((total - avg(total) OVER ()) / stddev_samp(total) OVER (), 6) AS z FROM dimer_cells")
 def dimer_zscores(spark, d):
-    return stats.z_scores(stats.dimer_sums(_weights(spark, d))).withColumns({"total": F.round("total", 5), "z": F.round("z", 5)})
+    return stats.z_scores(stats.dimer_sums(_weights(spark, d))).withColumns({"total": F.round("total", 6), "z": F.round("z", 6)})
 
 
 @query("SELECT * FROM cg_bins")
@@ -424,9 +426,9 @@ def motif_revcomp(spark, d):
     return motifs.reverse_complement(_motifs(spark, d)).select("motif", "pos", *[F.round(b, 6).alias(b) for b in "acgt"])
 
 
-@query("SELECT motif, model, round(sum(weight), 5) AS score FROM motif_kmers JOIN weights USING (kmer) GROUP BY ALL")
+@query("SELECT motif, model, round(sum(weight), 6) AS score FROM motif_kmers JOIN weights USING (kmer) GROUP BY ALL")
 def motif_model_scores(spark, d):
-    return motifs.model_scores(_motif_kmers(spark, d), _weights(spark, d)).withColumn("score", F.round("score", 5))
+    return motifs.model_scores(_motif_kmers(spark, d), _weights(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -495,20 +497,20 @@ def cluster_select_k(spark, d):
 # Intervals.
 
 
-@query("SELECT id, r_id, overlap FROM overlaps")
+@query("SELECT id, r_id, overlap FROM overlap_pairs")
 def interval_overlap(spark, d):
     own = event_intervals(spark, d)
     return intervals.overlaps(own, own, 64).where("id < r_id").select("id", "r_id", "overlap")
 
 
-@query("SELECT id, chrom FROM intervals WHERE id NOT IN (SELECT id FROM overlaps UNION SELECT r_id FROM overlaps)")
+@query("SELECT id, chrom FROM intervals WHERE id NOT IN (SELECT id FROM overlap_pairs UNION SELECT r_id FROM overlap_pairs)")
 def interval_anti(spark, d):
     own = event_intervals(spark, d)
     met = intervals.overlaps(own, own, 64).where("id <> r_id").select("id").distinct()
     return own.join(met, "id", "left_anti").select("id", "chrom")
 
 
-@query("SELECT a.id, a.chrom, coalesce(sum(least(a.stop, b.stop) - greatest(a.start, b.start) + 1), 0) / (a.stop - a.start + 1) AS repeat_share FROM intervals a LEFT JOIN intervals b ON a.chrom = b.chrom AND a.id <> b.id AND a.start <= b.stop AND b.start <= a.stop GROUP BY a.id, a.chrom, a.start, a.stop HAVING coalesce(sum(least(a.stop, b.stop) - greatest(a.start, b.start) + 1), 0) / (a.stop - a.start + 1) <= 0.5")
+@query("SELECT a.id, a.chrom, coalesce(sum(least(a.stop, b.stop) - greatest(a.start, b.start) + 1) FILTER (b.id IS NOT NULL), 0) / (a.stop - a.start + 1) AS repeat_share FROM intervals a LEFT JOIN intervals b ON a.chrom = b.chrom AND a.id <> b.id AND a.start <= b.stop AND b.start <= a.stop GROUP BY a.id, a.chrom, a.start, a.stop HAVING coalesce(sum(least(a.stop, b.stop) - greatest(a.start, b.start) + 1) FILTER (b.id IS NOT NULL), 0) / (a.stop - a.start + 1) <= 0.5")
 def repeat_screen(spark, d):
     own = event_intervals(spark, d)
     sums = intervals.overlaps(own, own, 64).where("id <> r_id").groupBy("id").agg(F.sum("overlap").alias("covered"))
