@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 
 def kmeans(points: np.ndarray, k: int, random: np.random.Generator, rounds: int = 10, tolerance: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """(means, assignment) from k distinct points; fewer means if there are fewer distinct points."""
+    """(means, assignment) from k distinct points; fewer means if there are fewer distinct points.
+
+    Starts are drawn one by one with a chance that grows with the square of the distance to those
+    drawn before: uniform ones put two into one cluster too often.
+    """
     own = np.unique(points, axis=0)
-    means = own[random.permutation(len(own))[:k]]
+    starts = [int(random.integers(len(own)))]
+    while len(starts) < min(k, len(own)):
+        far = distances(own, own[starts]).min(axis=1) ** 2
+        far[starts] = 0
+        starts.append(int(random.choice(len(own), p=far / far.sum())))
+    means = own[starts]
     for _ in range(rounds):
         near = distances(points, means).argmin(axis=1)
         new = np.array([points[near == c].mean(axis=0) if (near == c).any() else means[c] for c in range(len(means))])
