@@ -31,6 +31,8 @@ CUTOFFS = {
 }
 #: Permitted share of good documents that a stratum's rules reject together, and the level.
 RISK, LEVEL = 0.05, 0.05
+#: Strata up to which their cutoffs (a few numbers each) are broadcast.
+BROADCAST_STRATA = 10_000
 
 
 def _repeated(hashes: Column) -> Column:
@@ -136,6 +138,9 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, key: str) -> DataFr
 
 def _verdict(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
     limits = cutoffs.select(F.col("stratum").alias("of_stratum"), F.struct(*CUTOFFS).alias("limits"))
+    if cutoffs.count() <= BROADCAST_STRATA:
+        # Texts stay where they are; with more strata they are joined by stratum.
+        limits = F.broadcast(limits)
     over = F.lit(False)
     for rule in CUTOFFS:
         over |= F.coalesce(F.col("s")[rule] > F.col("limits")[rule], F.lit(False))
@@ -149,7 +154,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     with too few for the level, apply the base rules alone. Repeated rows are judged alike.
     """
     stats = cut(docs.select(F.col(key).alias(key), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), statistics(F.col(text)).alias("s")))
-    cutoffs = calibrate(labelled_statistics(stats, labels, key))
+    cutoffs = cut(calibrate(labelled_statistics(stats, labels, key)))
     return _verdict(stats, cutoffs).select(key, *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
