@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqprism.config import AnalysisConfig
+
+from .ranking import cut, ranked
+
 
 def kmeans(points: np.ndarray, k: int, random: np.random.Generator, rounds: int = 10, tolerance: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """(means, assignment) from k distinct points; fewer means if there are fewer distinct points.
@@ -134,3 +140,111 @@ def medoids(points: DataFrame, cluster: str, key: str, vector: str, block: int =
     means = sums.groupBy("cluster", "key").agg((F.sum("total") / F.first("n")).alias("mean"))
     rounded = means.withColumn("mean", F.round("mean", digits))
     return rounded.groupBy("cluster").agg(F.min_by("key", F.struct("mean", "key")).alias("medoid"), F.min("mean").alias("mean_distance"))
+
+
+def canonical_kmers(kmin: int, kmax: int) -> list[str]:
+    """All canonical k-mers, by length and then by letter."""
+    other = str.maketrans("ACGT", "TGCA")
+    return [w for k in range(kmin, kmax + 1) for w in map("".join, itertools.product("ACGT", repeat=k)) if w <= w.translate(other)[::-1]]
+
+
+def profile_matrix(seqs: list[str], names: list[str], kmin: int, kmax: int) -> np.ndarray:
+    """Counts of the canonical k-mers in names (columns) in each sequence (rows)."""
+    other = str.maketrans("ACGT", "TGCA")
+    out = np.zeros((len(seqs), len(names)))
+    if not len(seqs):
+        return out
+    column = {name: i for i, name in enumerate(names)}
+    width = max(map(len, seqs))
+    letters = np.frombuffer("".join(s.ljust(width) for s in seqs).encode(), np.uint8).reshape(len(seqs), width)
+    digit = np.full(256, -1)
+    digit[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+    digits = digit[letters]
+    for k in range(kmin, kmax + 1):
+        if width < k:
+            continue
+        words = list(map("".join, itertools.product("ACGT", repeat=k)))
+        place = np.array([column.get(min(w, w.translate(other)[::-1]), -1) for w in words])
+        view = np.lib.stride_tricks.sliding_window_view(digits, k, axis=1)
+        at = np.where((view >= 0).all(axis=2), place[np.maximum(view, 0) @ 4 ** np.arange(k)[::-1]], -1)
+        row, spot = np.nonzero(at >= 0)
+        np.add.at(out, (row, at[row, spot]), 1)
+    return out
+
+
+def cluster_hills(hills: DataFrame, config: AnalysisConfig) -> tuple[DataFrame, DataFrame]:
+    """(quality, assigned): each model's hills clustered by their k-mer profiles.
+
+    hills: model, site_id, start, len, seq, score; all hills of a model with more than min_model_hills
+    count. The profile's k-mers are those in more than the penetrance share of them. For each k and
+    bootstrap a sample is drawn anew, with replacement, from the score tertiles of all hills. Means of
+    small clusters are dropped, and every hill goes to the nearest of the rest.
+    quality: model, k, bootstrap, silhouette, ssd, chosen; assigned: hills with cluster and distance.
+    """
+    spark, every = hills.sparkSession, canonical_kmers(config.kmin, config.kmax)
+    placed = cut(ranked(hills.select("model", "site_id", "start", "len", "seq", "score"), "model", [F.desc("score"), F.col("site_id").asc(), F.col("start").asc()]))
+    sizes = {r.model: r.n for r in placed.groupBy("model").agg(F.count("*").alias("n")).collect() if r.n > config.min_model_hills}
+    shape = "model string, site_id long, start int, len int, seq string, score double, rank long, cluster int, distance double"
+    if not sizes:
+        return spark.createDataFrame([], "model string, k int, bootstrap int, silhouette double, ssd double, chosen boolean"), spark.createDataFrame([], shape)
+
+    def present(batches):
+        for batch in batches:
+            for model, own in batch.groupby("model"):
+                if model in sizes:
+                    yield pd.DataFrame({"model": model, "kmer": every, "n": (profile_matrix(own["seq"].tolist(), every, config.kmin, config.kmax) > 0).sum(axis=0)})
+
+    names: dict[str, list[str]] = {model: [] for model in sizes}
+    for r in placed.select("model", "seq").mapInPandas(present, "model string, kmer string, n long").groupBy("model", "kmer").agg(F.sum("n").alias("n")).orderBy("model", "kmer").collect():
+        if r.n / sizes[r.model] > config.penetrance:
+            names[r.model].append(r.kmer)
+
+    # A draw takes places in the order of scores: bounded numbers of rows, from all of them.
+    plan = []
+    for model, n in sorted(sizes.items()):
+        third = n // 3
+        for stratum in range(3):
+            size = third if stratum < 2 else n - 2 * third
+            plan += [(model, k, b, stratum, stratum * third, size, min(config.stratum_rows, third // 2)) for k in config.k_values for b in range(config.bootstraps)]
+    strata = spark.createDataFrame(plan, "model string, k int, bootstrap int, stratum int, first long, size long, most int").repartition("model", "k", "bootstrap")
+    draws = strata.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
+    hashed = F.xxhash64(F.lit(config.seed), "model", "k", "bootstrap", "stratum", "i")
+    draws = draws.select("model", "k", "bootstrap", "stratum", "i", (F.col("first") + F.pmod(hashed, "size") + 1).alias("rank"))
+    drawn = draws.join(placed.select("model", "rank", "seq"), ["model", "rank"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["stratum", "i"])
+        model, k, b = group["model"].iloc[0], int(group["k"].iloc[0]), int(group["bootstrap"].iloc[0])
+        points = profile_matrix(group["seq"].tolist(), names[model], config.kmin, config.kmax)
+        means, near = kmeans(points, k, np.random.default_rng([config.seed, k, b]), config.cluster_rounds)
+        ssd = float((distances(points, means)[np.arange(len(points)), near] ** 2).sum())
+        return pd.DataFrame({"model": [model], "k": [k], "bootstrap": [b], "silhouette": [silhouette(points, near)], "ssd": [ssd], "means": [means.ravel().tolist()]})
+
+    tried = cut(drawn.groupBy("model", "k", "bootstrap").applyInPandas(run, "model string, k int, bootstrap int, silhouette double, ssd double, means array<double>"))
+    rows = tried.select("model", "k", "bootstrap", "silhouette").toPandas()
+    chosen: dict[str, int] = {}
+    centers: dict[str, np.ndarray] = {}
+    for model, own in rows.groupby("model"):
+        median = own.groupby("k")["silhouette"].median()
+        k = chosen[model] = int(min(median.index, key=lambda k: (-median[k], k)))
+        best = own[own["k"] == k].sort_values(["silhouette", "bootstrap"], ascending=[False, True]).iloc[0]
+        means = tried.where((F.col("model") == model) & (F.col("k") == k) & (F.col("bootstrap") == int(best["bootstrap"]))).first()["means"]
+        centers[model] = np.array(means).reshape(-1, len(names[model]))
+
+    def assign(centers: dict[str, np.ndarray]):
+        def run(batches):
+            for batch in batches:
+                for model, own in batch.groupby("model"):
+                    if model in centers:
+                        d = np.round(distances(profile_matrix(own["seq"].tolist(), names[model], config.kmin, config.kmax), centers[model]), 6)
+                        yield own.assign(cluster=d.argmin(axis=1).astype(np.int32), distance=d.min(axis=1))
+
+        return placed.mapInPandas(run, shape)
+
+    members = assign(centers).groupBy("model", "cluster").agg(F.count("*").alias("n")).toPandas()
+    for model, own in members.groupby("model"):
+        limit = min(int(own["n"].max() * 0.1), 500)
+        kept = sorted(own.loc[own["n"] >= limit, "cluster"])
+        centers[model] = centers[model][kept]
+    of = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
+    return tried.drop("means").withColumn("chosen", F.col("k") == F.element_at(of, F.col("model"))), assign(centers)

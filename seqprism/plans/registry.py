@@ -479,19 +479,20 @@ def cluster_medoid(spark, d):
     return cluster.medoids(read(spark, d, "embeddings").where("label IS NOT NULL"), "label", "vec_id", "embedding")
 
 
+def _clustered(spark, d) -> tuple[DataFrame, DataFrame]:
+    return cluster.cluster_hills(hills_online(spark, d), CONFIG)
+
+
 @query()
 def cluster_select_k(spark, d):
-    """Quality of each number of clusters over profiles of the best hills of every model."""
-    best = hill_rank_topk(spark, d)
-    n = best.count()
-    long = hill_profiles(spark, d).join(best.select("site_id"), "site_id")
-    frequent = kmers.penetrance(long, n).where(F.col("share") > CONFIG.penetrance).orderBy("kmer")
-    names = [r.kmer for r in frequent.collect()]
-    wide = long.where(F.col("kmer").isin(names)).groupBy("site_id").pivot("kmer", names).agg(F.sum("cnt")).fillna(0).orderBy("site_id").toPandas()
-    points = wide[names].to_numpy(float)
-    strata = (np.arange(len(points)) * 3 // max(1, len(points))).astype(int)
-    quality, best_k, _ = cluster.select_k(points, strata, spark, CONFIG.k_values, 5, CONFIG.stratum_rows, CONFIG.cluster_rounds, CONFIG.seed)
-    return quality.withColumn("chosen", F.col("k") == best_k)
+    """Quality of each number of clusters over the profiles of all hills, for each model."""
+    return _clustered(spark, d)[0]
+
+
+@query()
+def hill_clusters(spark, d):
+    """The cluster of every hill of the models with enough of them."""
+    return _clustered(spark, d)[1].drop("rank")
 
 
 # Intervals.
