@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqprism.config import AnalysisConfig
 from seqprism.functions.sequence import canonical, windows
 
+from .ranking import cut
+
 BASES = "ACGT"
 
 
@@ -131,3 +135,35 @@ def discover_all(seqs: list[str], count: int, min_width: int, max_width: int, se
             masked.append(s[:at] + "N" * len(matrix) + s[at + len(matrix) :] if view and view[at] > 0 else s)
         left = [piece for s in masked for piece in s.split("N") if len(piece) >= min_width]
     return out
+
+
+def lower_share(seq: str) -> float:
+    return sum(c.islower() for c in seq) / max(1, len(seq))
+
+
+def search_windows(top: DataFrame, sites: DataFrame, width: int) -> DataFrame:
+    """top with `window`: the letters of the site up to width / 2 from the hill's middle, in their case."""
+    half = width // 2
+    middle = F.col("start") + F.floor((F.col("len") - 1) / 2).cast("int")
+    first = F.greatest(middle - half, F.lit(0))
+    return sites.select("site_id", F.col("seq").alias("_site")).join(F.broadcast(top), "site_id").withColumn("window", F.substring("_site", first + 1, middle + half - first + 1)).drop("_site")
+
+
+def cluster_motifs(assigned: DataFrame, sites: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(model, motif, pos, a, c, g, t, roc): motifs of each cluster of each model, named model_c{cluster}_{number}.
+
+    assigned: model, cluster, site_id, start, len, score. A cluster's best top_hills hills are searched,
+    without those whose window is lower-case (repeats) for more than max_lower_case.
+    """
+    order = Window.partitionBy("model", "cluster").orderBy(F.desc("score"), "site_id", "start")
+    top = cut(assigned.select("model", "cluster", "site_id", "start", "len", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_hills))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seqs = [s.upper() for s in group.sort_values("rank")["window"] if lower_share(s) <= config.max_lower_case]
+        model, number = group["model"].iloc[0], int(group["cluster"].iloc[0])
+        found = discover_all(seqs, config.motifs_per_cluster, config.motif_min_width, config.motif_max_width, config.seed, config.motif_min_roc)
+        rows = [(model, f"{model}_c{number}_{n}", pos, *map(float, row), area) for n, matrix, area in found for pos, row in enumerate(matrix)]
+        return pd.DataFrame(rows, columns=["model", "motif", "pos", "a", "c", "g", "t", "roc"])
+
+    shape = "model string, motif string, pos int, a double, c double, g double, t double, roc double"
+    return search_windows(top, sites, config.motif_window).select("model", "cluster", "rank", "window").groupBy("model", "cluster").applyInPandas(run, shape)

@@ -438,18 +438,8 @@ def heat_map_colors(spark, d):
 
 @query()
 def discover_motifs(spark, d):
-    """Motifs of each model's best hills; the top hills are a report's bound, not the data's."""
-    best = hill_rank_topk(spark, d)
-
-    def run(group):
-        import pandas as pd
-
-        own = group.sort_values("rank")["hill"].tolist()
-        found = motifs.discover_all(own, 2, 6, 8, CONFIG.seed, 0.5)
-        rows = [(group["model"].iloc[0], f"{group['model'].iloc[0]}_c0_{n}", pos, *map(float, row), area) for n, matrix, area in found for pos, row in enumerate(matrix)]
-        return pd.DataFrame(rows, columns=["model", "motif", "pos", "a", "c", "g", "t", "roc"])
-
-    return best.select("model", "rank", "hill").groupBy("model").applyInPandas(run, "model string, motif string, pos int, a double, c double, g double, t double, roc double")
+    """Motifs of each cluster of each model; the top hills are a search's bound, not the data's."""
+    return motifs.cluster_motifs(_clustered(spark, d)[1], sites(spark, d), CONFIG)
 
 
 # Clusters.
