@@ -182,7 +182,9 @@ def cluster_hills(hills: DataFrame, config: AnalysisConfig) -> tuple[DataFrame,
     quality: model, k, bootstrap, silhouette, ssd, chosen; assigned: hills with cluster and distance.
     """
     spark, every = hills.sparkSession, canonical_kmers(config.kmin, config.kmax)
-    placed = cut(ranked(hills.select("model", "site_id", "start", "len", "seq", "score"), "model", [F.desc("score"), F.col("site_id").asc(), F.col("start").asc()]))
+    # Hills are found once: the range partitions of the ranks read their rows twice.
+    found = cut(hills.select("model", "site_id", "start", "len", "seq", "score"))
+    placed = cut(ranked(found, "model", [F.desc("score"), F.col("site_id").asc(), F.col("start").asc()]))
     sizes = {r.model: r.n for r in placed.groupBy("model").agg(F.count("*").alias("n")).collect() if r.n > config.min_model_hills}
     shape = "model string, site_id long, start int, len int, seq string, score double, rank long, cluster int, distance double"
     if not sizes:
