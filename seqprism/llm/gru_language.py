@@ -2,7 +2,7 @@
 
 The network reads chunks of a text's UTF-8 bytes in both directions and gives every byte a
 distribution over the languages; a document's is the mean over all its bytes. Weights are trained in
-numpy by backpropagation through time on a bounded sample of labelled text.
+numpy by backpropagation through time on a bounded sample of each language's labelled text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder
 
-#: Documents that training draws from, about, and bytes taken from each, at a place by its hash.
+#: Documents of each language that training draws from, about, and characters taken from each, at a place by its hash.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 6_000, 256
 #: Bytes of a chunk, width of each direction, chunks computed at once.
 CHUNK, HIDDEN, BLOCK = 64, 8, 1024
@@ -218,16 +218,17 @@ def train(chunks: list[tuple[bytes, int]], languages: list[str], steps: int = ST
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteTagger | None:
-    """Trains on about SAMPLE_DOCUMENTS documents that aren't held out, chosen by a hash, with a
-    stretch of SAMPLE_BYTES characters of each; None without labelled text."""
+    """Trains on about SAMPLE_DOCUMENTS documents of each language that aren't held out, chosen by a
+    hash, with a stretch of SAMPLE_BYTES characters of each; None without labelled text. Every
+    language of the labelled rows is learnt, however rare."""
     usable = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where((id_remainder("key", 5) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    n = usable.agg(F.count("*")).first()[0]
-    part = min(1 << 20, int(SAMPLE_DOCUMENTS / max(1, n) * (1 << 20)))
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None
+    part = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1 << 20, -(-SAMPLE_DOCUMENTS * (1 << 20) // n)))]), F.col("lang"))
     at = F.pmod(F.xxhash64("key", F.lit(3)), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(1))).cast("int") + 1
     rows = usable.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < part).select("key", "lang", F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text")).toPandas().sort_values(["key", "lang", "text"])
     languages = sorted(rows["lang"].unique())
-    if not languages:
-        return None
     number = {name: k for k, name in enumerate(languages)}
     chunks = [(body[i : i + CHUNK], number[name]) for body, name in zip(rows["text"].str.encode("utf-8"), rows["lang"], strict=True) for i in range(0, len(body), CHUNK)]
     return train(chunks, languages)
