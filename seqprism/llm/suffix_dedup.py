@@ -12,8 +12,9 @@ A byte goes if a `window`-byte string that covers it also starts in a document w
    of suffixes with a common prefix of `window` bytes are equal windows, and each is removed where
    the document has a larger id than the least one of the run.
 
-Shards hold bytes only of suspects, and sort on disk, so a shard of one frequent passage takes time,
-not memory. The texts are exchanged once: all joins are on that exchange's row key.
+Shards hold bytes only of suspects, once for each distinct run of a batch of texts, and sort on disk.
+All places of one landmark still meet in one shard, as a few numbers each, so a
+passage in very many texts takes memory there in proportion. The texts are exchanged once: all joins are on that exchange's row key.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ PART_BYTES = 24 << 20
 SHARDS = 5
 #: Bytes that are hashed at once: the arrays then stay in the processor's cache.
 SPAN = 1 << 17
+#: Pieces that are compared at once.
+ROWS = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,21 +215,29 @@ def _surroundings(window: int, gram: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own = order[a:b]
                 inside = np.arange(width) < size[own][:, None]
-                piece = data[np.minimum(first[own][:, None] + np.arange(width), len(data) - 1)]
+                piece = np.where(inside, data[np.minimum(first[own][:, None] + np.arange(width), len(data) - 1)], 0).astype(np.uint8)
+                kinds, number = _distinct(piece, size[own])
                 docs, counts = np.unique(doc[own], return_counts=True)
-                out.append((int(bucket[own[0]]), piece[inside].tobytes(), size[own].astype(np.uint8).tobytes(), *_halves(at[own]), counts.astype(np.uint32).tobytes(), keys[docs].tobytes(), rows[docs].tobytes()))
+                kinds, codes = _coded(kinds, number)
+                out.append((int(bucket[own[0]]), piece[kinds][inside[kinds]].tobytes(), size[own][kinds].astype(np.uint8).tobytes(), codes.tobytes(), *_halves(at[own]), counts.astype(np.uint32).tobytes(), keys[docs].tobytes(), rows[docs].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], names=["bucket", "bytes", "lengths", "low", "high", "counts", "keys", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 8), strict=True)], names=["bucket", "bytes", "lengths", "codes", "low", "high", "counts", "keys", "rows"])
 
     return run
 
 
 def _distinct(pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first, number of each piece's kind): equal pieces found by a hash and compared."""
+    factors = _mixed(np.arange(1, pieces.shape[1] + 1, dtype=np.uint64) * _ODD)
+    names = _mixed(lengths.astype(np.uint64))
     with np.errstate(over="ignore"):
-        names = (pieces * _mixed(np.arange(1, pieces.shape[1] + 1, dtype=np.uint64) * _ODD)).sum(axis=1, dtype=np.uint64) + _mixed(lengths.astype(np.uint64))
+        for a in range(0, len(pieces), ROWS):
+            names[a : a + ROWS] += (pieces[a : a + ROWS] * factors).sum(axis=1, dtype=np.uint64)
     _, first, number = np.unique(names, return_index=True, return_inverse=True)
-    alike = (lengths == lengths[first[number]]) & (pieces == pieces[first[number]]).all(axis=1)
+    alike = np.empty(len(pieces), bool)
+    for a in range(0, len(pieces), ROWS):
+        b = slice(a, a + ROWS)
+        alike[b] = (lengths[b] == lengths[first[number[b]]]) & (pieces[b] == pieces[first[number[b]]]).all(axis=1)
     if not alike.all():
         # A hash in common by chance: such pieces stand for themselves.
         odd = np.flatnonzero(~alike)
@@ -235,13 +246,32 @@ def _distinct(pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return first, number
 
 
-def repeated_spans(pieces: np.ndarray, lengths: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, start, end) of the runs to remove from each piece of a shard.
+def _coded(first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, codes) with kinds in the order they come: 0 for the next new kind, else its number from
+    1 on. Where all pieces differ the codes are zeros, which compress to nothing."""
+    order = np.argsort(first, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(1, len(order) + 1)
+    codes = place[number]
+    codes[first] = 0
+    return first[order], codes
 
-    pieces: one row of bytes for each, filled up with zeros beyond its length; keys: its document's id.
+
+def _numbers(codes: np.ndarray) -> np.ndarray:
+    """The kind of each piece, from its code."""
+    new = codes == 0
+    return np.where(new, np.cumsum(new) - 1, codes.astype(np.int64) - 1).astype(np.int32)
+
+
+def repeated_spans(pieces: np.ndarray, lengths: np.ndarray, number: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, start, end) of the runs to remove from each occurrence of a shard's pieces.
+
+    pieces: one row of bytes for each, filled up with zeros beyond its length; number and keys: the
+    piece and the document's id of each occurrence.
     """
     width = pieces.shape[1]
-    first, number = _distinct(pieces, lengths)
+    first, again = _distinct(pieces, lengths)
+    number = again.astype(np.int32)[number]
     least_key = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least_key, number, keys)
     # The text: every distinct piece once, each character raised by one, with a 0 after each.
@@ -280,25 +310,31 @@ def repeated_spans(pieces: np.ndarray, lengths: np.ndarray, keys: np.ndarray, wi
     grid = starts[:, None] + np.arange(tops)
     exists = size[:, None] - np.arange(tops) >= window
     by_piece = np.where(exists, least[np.minimum(grid, len(text) - 1)], np.iinfo(np.int64).max)
-    gone = np.zeros((len(pieces), tops + 2), np.int8)
-    gone[:, 1:-1] = by_piece[number] < keys[:, None]
-    change = np.diff(gone, axis=1)
-    piece, begin = np.nonzero(change == 1)
-    _, stop = np.nonzero(change == -1)
-    return piece, begin, stop + window - 1
+    found = []
+    for a in range(0, len(number), ROWS):
+        gone = np.zeros((len(number[a : a + ROWS]), tops + 2), np.int8)
+        gone[:, 1:-1] = by_piece[number[a : a + ROWS]] < keys[a : a + ROWS, None]
+        change = np.diff(gone, axis=1)
+        piece, begin = np.nonzero(change == 1)
+        _, stop = np.nonzero(change == -1)
+        found.append((piece + a, begin, stop + window - 1))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _shard(window: int, gram: int):
     width = 2 * window - gram
 
     def run(bundles: pd.DataFrame) -> pd.DataFrame:
+        # Kinds are numbered within each bundle.
+        number = [_numbers(np.frombuffer(c, np.uint32)) for c in bundles["codes"]]
+        number = np.concatenate([n + a for n, a in zip(number, np.cumsum([0, *map(len, bundles["lengths"])]), strict=False)])
         joined = {c: b"".join(bundles[c]) for c in ("bytes", "lengths", "low", "high", "counts", "keys", "rows")}
         lengths = np.frombuffer(joined["lengths"], np.uint8)
         pieces = np.zeros((len(lengths), width), np.uint8)
         pieces[np.arange(width) < lengths[:, None]] = np.frombuffer(joined["bytes"], np.uint8)
         counts = np.frombuffer(joined["counts"], np.uint32)
         keys, rows = (np.repeat(np.frombuffer(joined[c], np.int64), counts) for c in ("keys", "rows"))
-        piece, begin, end = repeated_spans(pieces, lengths, keys, window)
+        piece, begin, end = repeated_spans(pieces, lengths, number, keys, window)
         start = _joined(joined["low"], joined["high"])[piece]
         # One row per document: its spans from this shard, merged.
         row, begin, end = rows[piece], start + begin, start + end
@@ -347,7 +383,7 @@ def removed_spans(docs: DataFrame, window: int = 50, gram: int = 24, text: str =
     marks = texts.join(searched, "row", "left").where("searched").select("key", "row", "bytes", "rest").mapInArrow(_mark_bundles(window, gram, parts), bundle)
     suspects = marks.groupBy("bucket").applyInPandas(_suspects, "row long, bucket int, low binary, high binary, lengths binary")
     spots = suspects.groupBy("row").agg(F.collect_list(F.struct("bucket", "low", "high", "lengths")).alias("spots"))
-    shape = "bucket int, bytes binary, lengths binary, low binary, high binary, counts binary, keys binary, rows binary"
+    shape = "bucket int, bytes binary, lengths binary, codes binary, low binary, high binary, counts binary, keys binary, rows binary"
     around = texts.join(spots, "row").select("key", "row", "bytes", "spots", "rest").mapInArrow(_surroundings(window, gram), shape)
     spans = around.groupBy("bucket").applyInPandas(_shard(window, gram), "row long, begin long, end long").groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     verdict = copies.join(spans, "row", "full").select(F.col("row"), "whole", "spans")

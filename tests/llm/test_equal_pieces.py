@@ -1,0 +1,30 @@
+"""Equal surroundings are sent and held once, not once for each place."""
+
+import numpy as np
+import pyarrow as pa
+
+from seqprism.llm import suffix_dedup
+
+
+def test_equal_surroundings_are_sent_once():
+    body = b"q" * 5 + bytes(range(65, 65 + 50)) * 2 + b"z" * 5
+    n, places = 40, 3
+    low, high = suffix_dedup._halves(np.full(places, 5, np.uint32) + np.array([0, 7, 7], np.uint32))
+    spot = [{"bucket": 1, "low": low, "high": high, "lengths": bytes([4, 4, 4])}]
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("lengths", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([body] * n, pa.binary()), pa.array([spot] * n, kind)], names=["key", "row", "bytes", "spots"])
+    (out,) = suffix_dedup._surroundings(50, 24)([batch])
+    row = out.to_pylist()[0]
+    assert len(row["lengths"]) == 2 and len(row["bytes"]) == 2 * 53 and len(row["codes"]) == 4 * n * places
+    assert suffix_dedup._numbers(np.frombuffer(row["codes"], np.uint32)).tolist() == [0, 1, 1] * n
+    spans = suffix_dedup._shard(50, 24)(out.to_pandas())
+    assert sorted(spans["row"].unique()) == list(range(1, n))
+
+
+def test_codes_round_trip():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        pieces = draw.integers(0, 2, (draw.integers(1, 30), 4)).astype(np.uint8)
+        first, number = suffix_dedup._distinct(pieces, np.full(len(pieces), 4))
+        first, codes = suffix_dedup._coded(first, number)
+        assert (pieces[first][suffix_dedup._numbers(codes)] == pieces).all()
