@@ -9,6 +9,7 @@ not see each other, which costs at most a few part-filled sequences per block.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -44,7 +45,8 @@ class DocumentTokenizer:
         import tiktoken
 
         with open(file, encoding="utf-8") as text:
-            model = json.load(text)["model"]
+            whole = json.load(text)
+        model = whole["model"]
         byte = byte_characters()
         made = [model["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in model["merges"]]
         if made != sorted(made):
@@ -53,6 +55,9 @@ class DocumentTokenizer:
         merged = set(made)
         ranks = {token: rank for token, rank in ranks.items() if rank in merged or len(token) == 1}
         self.encode = tiktoken.Encoding("document", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # Tokens that the file adds are found in a text before it is split, the longest first.
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in whole.get("added_tokens", [])}
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.memo = ChunkMemo(lambda chunk: self.ids(" " + chunk))
 
     def ids(self, text: str) -> bytes:
@@ -64,6 +69,13 @@ class DocumentTokenizer:
         first, *rest = chunks(text)
         return self.ids(first) + b"".join(map(self.memo.__getitem__, rest))
 
+    def pack_document(self, text: str | None) -> bytes:
+        """As pack(), with the ids of the file's added tokens where the text holds them, as the library
+        does by default."""
+        if not text or self.literal is None:
+            return self.pack(text)
+        return b"".join(self.added[part] if i % 2 else self.pack(part) for i, part in enumerate(self.literal.split(text)))
+
 
 @lru_cache(maxsize=2)
 def document_tokenizer(file: str) -> DocumentTokenizer:
@@ -87,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int =
         for batch in batches:
             owner, rows, ids = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                packed = tokenize.pack(t) + end
+                packed = tokenize.pack_document(t) + end
                 view = memoryview(packed)
                 for number, (start, length) in enumerate(cut_points(len(packed) // 4, size)):
                     own = view[4 * start : 4 * (start + length)]
