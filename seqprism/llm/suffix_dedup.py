@@ -2,43 +2,45 @@
 
 A byte goes if a `window`-byte string that covers it also starts in a document with a smaller id.
 
-1. Documents with equal texts: only the one with the smallest id is searched; the others are removed
-   whole if they have a window at all.
-2. Every window of the rest has a landmark: the least hash among its `gram`-byte strings. The runs of
-   windows with one landmark are dealt by its hash; those with a landmark that two documents have
-   are suspects. Equal windows have equal landmarks, so none is missed.
-3. The bytes of each suspect run go to the shard of its hash. A shard sorts the suffixes of its
-   distinct runs by external induction with common prefixes; runs
-   of suffixes with a common prefix of `window` bytes are equal windows, and each is removed where
-   the document has a larger id than the least one of the run.
-
-Shards hold bytes only of suspects, once for each distinct run of a batch of texts, and sort on disk.
-All places of one landmark still meet in one shard, as a few numbers each, so a
-passage in very many texts takes memory there in proportion. The texts are exchanged once: all joins are on that exchange's row key.
+1. Of documents with equal texts only the one with the smallest id is searched; the others are removed
+   whole. Texts are dealt by a hash into parts of bounded size, once: every step below works on a part.
+2. Every window has a landmark: the least hash among its `gram`-byte strings. A run of windows with one
+   landmark, with all bytes they cover, is a piece. A part names its distinct pieces, each with the
+   least document that has it, to the bucket of the landmark. Equal windows have equal landmarks.
+3. A bucket tells every part which of its pieces matter (another document has the landmark, too) and
+   whether a smaller document outside the part has the same piece. If so, the piece goes wherever it
+   stands in the part; else the part sends the piece's bytes to the bucket, once.
+4. A bucket sorts the suffixes of its distinct pieces by external induction with common prefixes; runs
+   of suffixes with a common prefix of `window` bytes are equal windows, and a window is removed from
+   a piece whose least document is larger than the least one of the run.
+5. The part cuts what its occurrences of the pieces lose.
+
+A piece in very many texts is one entry for each part, not for each text, and its bytes travel once,
+so no group grows with the number of copies. Pieces reach the sort as a stream that is spooled to
+scratch files of the task, and the sort holds a bounded number of entries: a bucket may be far larger
+than memory. (These files are the task's own and go with it; a task that is lost starts anew.)
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import cut
-from .suffix_sort import suffix_groups
+from .suffix_sort import BUDGET, Scratch, induced, slices
 
-#: Bytes that a partition of texts, and a shard of landmarks, holds on average.
-PART_BYTES = 24 << 20
-#: Shards that a bucket of landmarks is sorted in: a shard's text and ranks are held in memory.
-SHARDS = 5
+#: Bytes of text that a part, and so a bucket, holds on average.
+PART_BYTES = 6 << 20
 #: Bytes that are hashed at once: the arrays then stay in the processor's cache.
 SPAN = 1 << 17
-#: Pieces that are compared at once.
-ROWS = 1 << 16
+#: Entries that a sort holds in memory.
+SORT_BUDGET = BUDGET
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,16 +85,18 @@ def sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     return out
 
 
-def landmarks(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, number of windows) of each run of windows with the same landmark.
+def landmarks(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, number of windows, hash of all its bytes) of each run of windows with the
+    same landmark.
 
     data: documents one after another, each ending at one of ends. A run has as many windows as a
     window has grams at most; longer ones (of periodic text) are split.
     """
     if len(data) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     width = window - gram + 1
-    least = sliding(gram_hashes(data, gram) | np.uint64(1), width, np.minimum)
+    grams = gram_hashes(data, gram)
+    least = sliding(grams | np.uint64(1), width, np.minimum)
     starts = np.append(0, ends[:-1])
     usable = ends - starts >= window
     edges = np.zeros(len(least) + 1, np.int32)
@@ -105,7 +109,13 @@ def landmarks(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
     parts = -(-length // width)
     number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     first = np.repeat(heads, parts) + number * width
-    return least[first], first, np.minimum(np.repeat(heads + length, parts) - first, width)
+    count = np.minimum(np.repeat(heads + length, parts) - first, width)
+    # Grams end to end cover the run's bytes; the last one ends where they do.
+    name, size = _mixed(count.astype(np.uint64)), count + window - 1
+    with np.errstate(over="ignore"):
+        for k in range(0, 2 * window - gram, gram):
+            name = _mixed(name * _ODD + grams[first + np.minimum(k, size - gram)])
+    return least[first], first, count, name
 
 
 def _spans(sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -119,233 +129,267 @@ def _spans(sizes: np.ndarray) -> list[tuple[int, int]]:
     return [*out, (first, len(sizes))] if len(sizes) else out
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(data, offsets) of a binary column, without a copy."""
-    _, offsets, data = column.buffers()
-    wide = pa.types.is_large_binary(column.type)
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), at
-
-
-def _halves(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """32-bit numbers as their low and high halves: the high ones compress to almost nothing."""
-    return (numbers & 0xFFFF).astype("<u2").tobytes(), (numbers >> 16).astype("<u2").tobytes()
-
-
-def _joined(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
-
-
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) % np.uint64(buckets)
 
 
-def _mark_bundles(window: int, gram: int, buckets: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = _bytes_of(batch.column(2))
-            rows = batch.column(1).to_numpy()
-            places, hashes, owners, lengths = [], [], [], []
-            for a, b in _spans(np.diff(offsets)):
-                own = offsets[a : b + 1] - offsets[a]
-                hashed, at, length = landmarks(data[offsets[a] : offsets[b]], own[1:], window, gram)
-                doc = np.searchsorted(own, at, side="right") - 1
-                places.append((at - own[doc]).astype(np.uint32))
-                hashes.append(hashed)
-                lengths.append(length.astype(np.uint8))
-                owners.append((doc + a).astype(np.uint32))
-            if not places or not sum(map(len, places)):
-                continue
-            hashes, places, owners, lengths = map(np.concatenate, (hashes, places, owners, lengths))
-            bucket = _bucket(hashes, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
-            for k in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[k] : bounds[k + 1]]
-                docs, counts = np.unique(owners[own], return_counts=True)
-                # Within a bucket of bounded size, 32 bits of the hash tell strings apart well enough
-                # for suspects; the bytes decide later.
-                out.append((int(k), hashes[own].astype(np.uint32).tobytes(), *_halves(places[own]), lengths[own].tobytes(), counts.astype(np.uint32).tobytes(), rows[docs].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "hashes", "low", "high", "lengths", "counts", "rows"])
+class Part:
+    """The searched texts of one part, and their pieces.
+
+    Pieces are numbered by (bucket, landmark, name); `least` is the smallest key with the piece here,
+    `several` whether more than one document here has its landmark.
+    """
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, bodies: list[bytes], searched: set[tuple[int, int]], window: int, gram: int, buckets: int):
+        self.window, self.position = window, {}
+        for i, pair in enumerate(zip(keys, rows, strict=True)):
+            # Repeated rows are one document.
+            if pair in searched:
+                self.position.setdefault(pair, i)
+        own = list(self.position.values())
+        self.place = {i: k for k, i in enumerate(own)}
+        sizes = np.array([len(bodies[i]) for i in own], np.int64)
+        self.data = np.frombuffer(b"".join(bodies[i] for i in own), np.uint8)
+        self.offsets = np.append(0, np.cumsum(sizes))
+        found = []
+        for a, b in _spans(sizes):
+            begin = self.offsets[a]
+            hashed, at, count, name = landmarks(self.data[begin : self.offsets[b]], self.offsets[a + 1 : b + 1] - begin, window, gram)
+            found.append((hashed, at + begin, count, name))
+        empty = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        hashed, at, count, name = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+        doc = np.searchsorted(self.offsets, at, side="right") - 1
+        key = np.array([keys[i] for i in own], np.int64)[doc] if len(own) else np.empty(0, np.int64)
+        bucket = _bucket(hashed, buckets).astype(np.int64)
+        short = hashed.astype(np.uint32)
+        order = np.lexsort((at, key, name, short, bucket))
+        self.at, self.count, self.doc, self.key = at[order], count[order], doc[order], key[order]
+        bucket, short, name = bucket[order], short[order], name[order]
+        mark = np.append(True, (bucket[1:] != bucket[:-1]) | (short[1:] != short[:-1])) if len(order) else np.empty(0, bool)
+        new = mark | np.append(True, name[1:] != name[:-1]) if len(order) else mark
+        self.heads = np.flatnonzero(new)
+        self.number = np.cumsum(new) - 1
+        self.bucket, self.short, self.name, self.least = bucket[self.heads], short[self.heads], name[self.heads], self.key[self.heads]
+        marks = np.flatnonzero(mark)
+        if len(marks):
+            mixed = np.minimum.reduceat(self.doc, marks) != np.maximum.reduceat(self.doc, marks)
+            self.several = mixed[(np.cumsum(mark) - 1)[self.heads]]
+        else:
+            self.several = np.empty(0, bool)
+        self.bounds = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])), len(self.bucket)) if len(self.bucket) else np.zeros(1, np.int64)
+
+    def bundles(self) -> Iterator[tuple[int, slice]]:
+        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
+            yield int(self.bucket[a]), slice(a, b)
+
+    def states(self, mail: dict[int, bytes]) -> np.ndarray:
+        """What the buckets say of each piece: 0 nothing, 1 a smaller document has it, 2 it is sorted."""
+        out = np.zeros(len(self.bucket), np.uint8)
+        for bucket, own in self.bundles():
+            if bucket in mail:
+                out[own] = np.frombuffer(mail[bucket], np.uint8)
+        return out
+
+
+_PAIR = "part int, key long, row long"
+_NAMED = "bucket int, part int, short binary, name binary, least binary, several binary"
+_STATES = "part int, bucket int, states binary"
+_BYTES = "bucket int, part int, piece binary, size binary, least binary, bytes binary"
+_SPANS = "part int, bucket int, piece binary, begin binary, end binary"
+#: What comes to a part besides its texts: searched rows, states of pieces, spans of sorted pieces.
+_MAIL = "part int, key long, row long, bucket int, states binary, piece binary, begin binary, end binary"
+
+
+def _read_part(texts: pa.Table, mail: pa.Table, window: int, gram: int, buckets: int) -> tuple[Part, list, list, list, list[dict]]:
+    keys, rows, bodies = (texts.column(c).to_pylist() for c in ("key", "row", "bytes"))
+    letters = mail.select(["key", "row", "bucket", "states", "piece", "begin", "end"]).to_pylist()
+    searched = {(x["key"], x["row"]) for x in letters if x["row"] is not None}
+    return Part(keys, rows, bodies, searched, window, gram, buckets), keys, rows, bodies, letters
+
+
+def _table(rows: list[tuple], shape: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in shape.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _part_number(texts: pa.Table) -> int:
+    return texts.column("part")[0].as_py()
+
+
+def _name_pieces(window: int, gram: int, buckets: int):
+    def run(texts: pa.Table, mail: pa.Table) -> pa.Table:
+        if not len(texts) or not len(mail):
+            return _table([], _NAMED)
+        own, *_ = _read_part(texts, mail, window, gram, buckets)
+        number = _part_number(texts)
+        return _table([(b, number, own.short[x].tobytes(), own.name[x].tobytes(), own.least[x].tobytes(), own.several[x].tobytes()) for b, x in own.bundles()], _NAMED)
 
     return run
 
 
-def _suspects(bundles: pd.DataFrame) -> pd.DataFrame:
-    """(row, bucket, low, high, lengths): runs of windows whose landmark more than one row has, by row."""
-    hashes = np.frombuffer(b"".join(bundles["hashes"]), np.uint32)
-    places = _joined(b"".join(bundles["low"]), b"".join(bundles["high"]))
-    lengths = np.frombuffer(b"".join(bundles["lengths"]), np.uint8)
-    rows = np.repeat(np.frombuffer(b"".join(bundles["rows"]), np.int64), np.frombuffer(b"".join(bundles["counts"]), np.uint32))
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    several = np.minimum.reduceat(rows[order], starts) != np.maximum.reduceat(rows[order], starts)
-    keep = order[np.repeat(several, np.diff(np.append(starts, len(hashes))))]
-    shard = (hashes[keep] % SHARDS).astype(np.int32)
-    order = np.lexsort((rows[keep], shard))
-    keep, shard = keep[order], shard[order]
-    rows, places, lengths = rows[keep], places[keep], lengths[keep]
-    heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (shard[1:] != shard[:-1]))) if len(rows) else np.empty(0, np.int64)
-    own = [_halves(p) for p in np.split(places, heads[1:])] if len(rows) else []
-    return pd.DataFrame({"row": rows[heads], "bucket": bundles["bucket"].iloc[0] * SHARDS + shard[heads], "low": [x[0] for x in own], "high": [x[1] for x in own], "lengths": [x.tobytes() for x in np.split(lengths, heads[1:])] if len(rows) else []})
-
-
-def _surroundings(window: int, gram: int):
-    """Cuts the bytes of each suspect run of windows."""
-    width = 2 * window - gram
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = _bytes_of(batch.column(2))
-            keys, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            spots = batch.column(3).flatten()
-            lists = np.asarray(batch.column(3).value_lengths().fill_null(0))
-            low, high = spots.field(1).to_pylist(), spots.field(2).to_pylist()
-            sizes = np.array([len(x) // 2 for x in low], np.int64)
-            at = _joined(b"".join(low), b"".join(high))
-            doc = np.repeat(np.repeat(np.arange(len(lists)), lists), sizes)
-            bucket = np.repeat(spots.field(0).to_numpy(), sizes)
-            size = np.frombuffer(b"".join(spots.field(3).to_pylist()), np.uint8).astype(np.int64) + window - 1
-            first = offsets[:-1][doc] + at
-            order = np.lexsort((at, doc, bucket))
-            cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)) if len(order) else [0]
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = order[a:b]
-                inside = np.arange(width) < size[own][:, None]
-                piece = np.where(inside, data[np.minimum(first[own][:, None] + np.arange(width), len(data) - 1)], 0).astype(np.uint8)
-                kinds, number = _distinct(piece, size[own])
-                docs, counts = np.unique(doc[own], return_counts=True)
-                kinds, codes = _coded(kinds, number)
-                out.append((int(bucket[own[0]]), piece[kinds][inside[kinds]].tobytes(), size[own][kinds].astype(np.uint8).tobytes(), codes.tobytes(), *_halves(at[own]), counts.astype(np.uint32).tobytes(), keys[docs].tobytes(), rows[docs].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 8), strict=True)], names=["bucket", "bytes", "lengths", "codes", "low", "high", "counts", "keys", "rows"])
+def _rate_pieces(named: pa.Table) -> pa.Table:
+    """For the pieces that each part named: states, as Part.states() reads them.
+
+    The landmark's low half is enough within a bucket of bounded size; the piece's own hash joins it to
+    96 bits beside the bucket. Pieces of which the part has the least key are sorted; so are those that
+    two parts have with the same key (of documents with one id).
+    """
+    parts, bucket = named.column("part").to_pylist(), named.column("bucket")[0].as_py()
+    joined = lambda c, kind: np.frombuffer(b"".join(named.column(c).to_pylist()), kind)
+    short, name, least, several = joined("short", np.uint32), joined("name", np.uint64), joined("least", np.int64), joined("several", bool)
+    order = np.lexsort((least, name, short))
+    mark = np.append(True, short[order][1:] != short[order][:-1])
+    new = mark | np.append(True, name[order][1:] != name[order][:-1])
+    first = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    heads = np.flatnonzero(mark)
+    size = np.diff(np.append(heads, len(order)))
+    matters = ((size > 1) | np.logical_or.reduceat(several[order], heads))[np.cumsum(mark) - 1]
+    states = np.empty(len(order), np.uint8)
+    states[order] = np.where(matters, np.where(least[order] == first, 2, 1), 0)
+    out, done = [], 0
+    for part, packed in zip(parts, named.column("short").to_pylist(), strict=True):
+        n = len(packed) // 4
+        if states[done : done + n].any():
+            out.append((part, bucket, states[done : done + n].tobytes()))
+        done += n
+    return _table(out, _STATES)
+
+
+def _send_pieces(window: int, gram: int, buckets: int):
+    def run(texts: pa.Table, mail: pa.Table) -> pa.Table:
+        if not len(texts) or not len(mail):
+            return _table([], _BYTES)
+        own, _, _, _, letters = _read_part(texts, mail, window, gram, buckets)
+        states, number, out = own.states({x["bucket"]: x["states"] for x in letters if x["states"] is not None}), _part_number(texts), []
+        for bucket, x in own.bundles():
+            chosen = np.flatnonzero(states[x] == 2)
+            if len(chosen):
+                at = own.heads[x][chosen]
+                size = own.count[at] + window - 1
+                flat = np.repeat(own.at[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                out.append((bucket, number, chosen.astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), own.least[x][chosen].tobytes(), own.data[flat].tobytes()))
+        return _table(out, _BYTES)
 
     return run
 
 
-def _distinct(pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first, number of each piece's kind): equal pieces found by a hash and compared."""
-    factors = _mixed(np.arange(1, pieces.shape[1] + 1, dtype=np.uint64) * _ODD)
-    names = _mixed(lengths.astype(np.uint64))
-    with np.errstate(over="ignore"):
-        for a in range(0, len(pieces), ROWS):
-            names[a : a + ROWS] += (pieces[a : a + ROWS] * factors).sum(axis=1, dtype=np.uint64)
-    _, first, number = np.unique(names, return_index=True, return_inverse=True)
-    alike = np.empty(len(pieces), bool)
-    for a in range(0, len(pieces), ROWS):
-        b = slice(a, a + ROWS)
-        alike[b] = (lengths[b] == lengths[first[number[b]]]) & (pieces[b] == pieces[first[number[b]]]).all(axis=1)
-    if not alike.all():
-        # A hash in common by chance: such pieces stand for themselves.
-        odd = np.flatnonzero(~alike)
-        number[odd] = len(first) + np.arange(len(odd))
-        first = np.append(first, odd)
-    return first, number
-
-
-def _coded(first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, codes) with kinds in the order they come: 0 for the next new kind, else its number from
-    1 on. Where all pieces differ the codes are zeros, which compress to nothing."""
-    order = np.argsort(first, kind="stable")
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(1, len(order) + 1)
-    codes = place[number]
-    codes[first] = 0
-    return first[order], codes
-
-
-def _numbers(codes: np.ndarray) -> np.ndarray:
-    """The kind of each piece, from its code."""
-    new = codes == 0
-    return np.where(new, np.cumsum(new) - 1, codes.astype(np.int64) - 1).astype(np.int32)
-
-
-def repeated_spans(pieces: np.ndarray, lengths: np.ndarray, number: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrence, start, end) of the runs to remove from each occurrence of a shard's pieces.
-
-    pieces: one row of bytes for each, filled up with zeros beyond its length; number and keys: the
-    piece and the document's id of each occurrence.
+class Shard:
+    """The distinct pieces of one bucket, spooled as they come: a text in which each is followed by 0,
+    and of each piece where it starts, its size, least key, part and number there."""
+
+    KINDS = {"text": np.uint16, "start": np.int64, "size": np.int32, "least": np.int64, "part": np.int32, "piece": np.uint32}
+
+    def __init__(self, budget: int):
+        self.scratch = Scratch(budget)
+        self.paths = {c: self.scratch.path() for c in self.KINDS}
+        self.files = {c: open(path, "wb") for c, path in self.paths.items()}
+        self.length = self.pieces = 0
+
+    def add(self, part: int, piece: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray) -> None:
+        stops = np.cumsum(size + 1)
+        text = np.zeros(int(stops[-1]), np.uint16)
+        inside = np.ones(len(text), bool)
+        inside[stops - 1] = False
+        text[inside] = data.astype(np.uint16) + 1
+        rows = {"text": text, "start": stops - size - 1 + self.length, "size": size, "least": least, "part": np.full(len(size), part), "piece": piece}
+        for c, values in rows.items():
+            self.files[c].write(np.asarray(values, self.KINDS[c]).tobytes())
+        self.length += len(text)
+        self.pieces += len(size)
+
+    def spans(self, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, piece, begin, end) of the runs of bytes that pieces lose, part by part as they came."""
+        for file in self.files.values():
+            file.close()
+        with self.scratch as scratch:
+            load = lambda c: np.memmap(self.paths[c], self.KINDS[c], "r") if len(self) > scratch.budget else np.fromfile(self.paths[c], self.KINDS[c])
+            text, start, size, least, part, piece = map(load, self.KINDS)
+            gone = scratch.array(self.length, bool)
+            for at in smaller_elsewhere(induced(text, 257, window, scratch), start, size, least, window, scratch):
+                gone[at] = True
+            edge = 0
+            for a, b in slices(self.pieces, max(1, scratch.batch // window)):
+                stop = int(start[b - 1]) + int(size[b - 1]) + 1
+                own = np.concatenate([[0], np.asarray(gone[edge:stop]).view(np.int8), [0]])
+                change = np.diff(own)
+                begin, end = np.flatnonzero(change == 1) + edge, np.flatnonzero(change == -1) + edge
+                owner = np.searchsorted(start[a:b], begin, "right") - 1 + a
+                for p in np.unique(part[owner]) if len(owner) else ():
+                    x = part[owner] == p
+                    yield int(p), piece[owner[x]], begin[x] - start[owner[x]], end[x] - start[owner[x]] + window - 1
+                edge = stop
+
+    def __len__(self) -> int:
+        return self.length
+
+
+def smaller_elsewhere(order: Iterator[tuple[np.ndarray, np.ndarray]], start: np.ndarray, size: np.ndarray, least: np.ndarray, window: int, scratch: Scratch) -> Iterator[np.ndarray]:
+    """Places of every window that a piece with a smaller key has, too.
+
+    A run of equal windows that goes on beyond a batch is spooled until its least key is known.
     """
-    width = pieces.shape[1]
-    first, again = _distinct(pieces, lengths)
-    number = again.astype(np.int32)[number]
-    least_key = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least_key, number, keys)
-    # The text: every distinct piece once, each character raised by one, with a 0 after each.
-    size = lengths[first].astype(np.int64)
-    stops = np.cumsum(size + 1)
-    starts = stops - size - 1
-    text = np.zeros(int(stops[-1]), np.uint16)
-    inside = np.arange(width) < size[:, None]
-    text[(starts[:, None] + np.arange(width))[inside]] = pieces[first][inside].astype(np.uint16) + 1
-    owner = np.repeat(np.arange(len(first)), size + 1)
-    room = stops - 1
-    least = np.full(len(text), np.iinfo(np.int64).max)
-    open_at, open_key = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def close(at: np.ndarray, run: np.ndarray, key: np.ndarray) -> None:
-        heads = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        least[at] = np.repeat(np.minimum.reduceat(key, heads), np.diff(np.append(heads, len(at))))
-
-    for at, lcp in suffix_groups(text, window):
-        run = np.append(np.zeros(len(open_at), np.int64), np.cumsum(lcp < window))
-        at = np.append(open_at, at)
-        key = np.append(open_key, least_key[owner[at[len(open_at) :]]])
-        usable = room[owner[at]] - at >= window
-        at, run, key = at[usable], run[usable], key[usable]
-        if not len(at):
-            open_at, open_key = at, key
-            continue
-        done = run < run[-1]
-        if done.any():
-            close(at[done], run[done], key[done])
-        open_at, open_key = at[~done], key[~done]
-    if len(open_at):
-        close(open_at, np.zeros(len(open_at), np.int64), open_key)
-    # A window goes from a piece if a smaller document has it; windows one after another make a span.
-    tops = width - window + 1
-    grid = starts[:, None] + np.arange(tops)
-    exists = size[:, None] - np.arange(tops) >= window
-    by_piece = np.where(exists, least[np.minimum(grid, len(text) - 1)], np.iinfo(np.int64).max)
-    found = []
-    for a in range(0, len(number), ROWS):
-        gone = np.zeros((len(number[a : a + ROWS]), tops + 2), np.int8)
-        gone[:, 1:-1] = by_piece[number[a : a + ROWS]] < keys[a : a + ROWS, None]
-        change = np.diff(gone, axis=1)
-        piece, begin = np.nonzero(change == 1)
-        _, stop = np.nonzero(change == -1)
-        found.append((piece + a, begin, stop + window - 1))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _shard(window: int, gram: int):
-    width = 2 * window - gram
-
-    def run(bundles: pd.DataFrame) -> pd.DataFrame:
-        # Kinds are numbered within each bundle.
-        number = [_numbers(np.frombuffer(c, np.uint32)) for c in bundles["codes"]]
-        number = np.concatenate([n + a for n, a in zip(number, np.cumsum([0, *map(len, bundles["lengths"])]), strict=False)])
-        joined = {c: b"".join(bundles[c]) for c in ("bytes", "lengths", "low", "high", "counts", "keys", "rows")}
-        lengths = np.frombuffer(joined["lengths"], np.uint8)
-        pieces = np.zeros((len(lengths), width), np.uint8)
-        pieces[np.arange(width) < lengths[:, None]] = np.frombuffer(joined["bytes"], np.uint8)
-        counts = np.frombuffer(joined["counts"], np.uint32)
-        keys, rows = (np.repeat(np.frombuffer(joined[c], np.int64), counts) for c in ("keys", "rows"))
-        piece, begin, end = repeated_spans(pieces, lengths, number, keys, window)
-        start = _joined(joined["low"], joined["high"])[piece]
-        # One row per document: its spans from this shard, merged.
-        row, begin, end = rows[piece], start + begin, start + end
-        order = np.lexsort((begin, row))
-        row, begin, end = row[order], begin[order], end[order]
-        if not len(row):
-            return pd.DataFrame({"row": row, "begin": begin, "end": end})
-        reach = np.maximum.accumulate(end + np.cumsum(np.append(0, np.diff(row) != 0)) * (1 << 33))
-        step = np.cumsum(np.append(0, np.diff(row) != 0)) * (1 << 33)
-        heads = np.flatnonzero(np.append(True, begin[1:] + step[1:] > reach[:-1]))
-        return pd.DataFrame({"row": row[heads], "begin": begin[heads], "end": (reach - step)[np.append(heads[1:], len(row)) - 1]})
+    spool, lowest = scratch.spool(), np.iinfo(np.int64).max
+
+    def owner_of(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(start, at, "right") - 1
+
+    def closed() -> Iterator[np.ndarray]:
+        for a, b in slices(len(spool), scratch.batch):
+            at = spool.read(a, b)["at"]
+            yield at[least[owner_of(at)] > lowest]
+        spool.clear()
+
+    for places, lcp in order:
+        for a, b in slices(len(places), scratch.batch):
+            at, new = places[a:b], lcp[a:b] < window
+            owner = owner_of(at)
+            usable = start[owner] + size[owner] - at >= window
+            # Suffixes too short for a window share none with their neighbours beyond their piece.
+            run = np.cumsum(new)
+            at, owner, run = at[usable], owner[usable], run[usable]
+            total = int(new.sum())
+            key = np.asarray(least[owner])
+            opening = run == 0
+            if opening.any():
+                spool.put(at[opening], np.zeros(int(opening.sum()), np.uint8))
+                lowest = min(lowest, int(key[opening].min()))
+            if total:
+                yield from closed()
+                lowest = np.iinfo(np.int64).max
+                whole = (run > 0) & (run < total)
+                if whole.any():
+                    heads = np.flatnonzero(np.append(True, run[whole][1:] != run[whole][:-1]))
+                    lows = np.repeat(np.minimum.reduceat(key[whole], heads), np.diff(np.append(heads, int(whole.sum()))))
+                    yield at[whole][key[whole] > lows]
+                tail = (run == total) & (run > 0)
+                if tail.any():
+                    spool.put(at[tail], np.zeros(int(tail.sum()), np.uint8))
+                    lowest = int(key[tail].min())
+    yield from closed()
+
+
+def _sort_shards(window: int, budget: int):
+    """Of a stream of bundles in the order of their buckets, the spans that pieces lose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, shard = None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if shard is not None:
+                rows = [(part, bucket, *(np.asarray(x, np.uint32).tobytes() for x in (piece, begin, end))) for part, piece, begin, end in shard.spans(window)]
+                yield from _table(rows, _SPANS).to_batches()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    yield from finish()
+                    bucket, shard = row["bucket"], Shard(budget)
+                numbers = (np.frombuffer(row[c], kind) for c, kind in (("piece", np.uint32), ("size", np.uint32), ("least", np.int64), ("bytes", np.uint8)))
+                piece, size, least, data = numbers
+                shard.add(row["part"], piece, size.astype(np.int64), least, data)
+        yield from finish()
 
     return run
 
@@ -359,88 +403,135 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[heads, 0], reach[np.append(heads[1:], len(spans)) - 1]], axis=1)
 
 
-def removed_spans(docs: DataFrame, window: int = 50, gram: int = 24, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
-    """(key, row, text as bytes, rest, whole, spans): spans to remove, unmerged; whole: all of it goes.
+def lost_spans(part: Part, letters: list[dict]) -> list[np.ndarray]:
+    """The maximal (begin, end) runs that each searched text of a part loses."""
+    window = part.window
+    states = part.states({x["bucket"]: x["states"] for x in letters if x["states"] is not None})
+    base = {bucket: own.start for bucket, own in part.bundles()}
+    # Occurrences of a piece that a smaller document has, here or elsewhere, go whole.
+    state = states[part.number]
+    whole = np.flatnonzero((state == 1) | ((state == 2) & (part.key > part.least[part.number])))
+    docs, begins, ends = [part.doc[whole]], [part.at[whole]], [part.at[whole] + part.count[whole] + window - 1]
+    tails = np.append(part.heads[1:], len(part.at))
+    for x in letters:
+        if x["piece"] is not None:
+            piece, begin, end = (np.frombuffer(x[c], np.uint32).astype(np.int64) for c in ("piece", "begin", "end"))
+            piece = piece + base[x["bucket"]]
+            size = tails[piece] - part.heads[piece]
+            of = np.repeat(np.arange(len(piece)), size)
+            at = np.repeat(part.heads[piece], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            own = part.key[at] == part.least[part.number[at]]
+            at, of = at[own], of[own]
+            docs.append(part.doc[at])
+            begins.append(part.at[at] + begin[of])
+            ends.append(part.at[at] + end[of])
+    doc, begin, end = (np.concatenate(x) for x in (docs, begins, ends))
+    order = np.argsort(doc, kind="stable")
+    doc, begin, end = doc[order], begin[order] - part.offsets[doc[order]], end[order] - part.offsets[doc[order]]
+    bounds = np.searchsorted(doc, np.arange(len(part.offsets)))
+    none = np.empty((0, 2), np.int64)
+    return [merged(np.stack([begin[a:b], end[a:b]], axis=1)) if b > a else none for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def removal(docs: DataFrame, finish, schema: Callable[[StructField], StructType], window: int, gram: int, text: str, key: str, carry: list[str] = ()) -> DataFrame:
+    """The rows of finish(texts, spans) for each part: texts as an Arrow table (key, bytes, rest), spans
+    a list of (begin, end) arrays, one for each row. schema: that of the rows, given the field `rest`.
 
     Null text: empty. Rows with a null id neither lose bytes nor take them from others; rows with
     equal ids don't take from each other. The struct `rest` holds the columns named in carry, and
     `known`, whether the text is not null.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), F.struct(F.col(text).isNotNull().alias("known"), *[docs[c].alias(f"of_{c}") for c in carry]).alias("rest"))
-    digest = F.xxhash64("bytes"), F.xxhash64(F.lit(1), F.col("bytes"))
-    row = F.xxhash64("key", *digest)
-    light = cut(rows.select("key", row.alias("row"), digest[0].alias("h1"), digest[1].alias("h2"), F.length("bytes").cast("long").alias("size")).where((F.col("size") >= window) & F.col("key").isNotNull()))
+    row, other = F.xxhash64("bytes"), F.xxhash64(F.lit(1), F.col("bytes"))
+    usable = (F.length("bytes") >= window) & F.col("key").isNotNull()
+    light = cut(rows.where(usable).select("key", row.alias("row"), other.alias("other"), F.length("bytes").cast("long").alias("size")))
     total = light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    conf = docs.sparkSession.conf
-    parts = max(int(conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    groups = light.groupBy("h1", "h2").agg(F.min(F.struct("key", "row")).alias("first"))
-    searched = groups.select(F.col("first.row").alias("row"), F.lit(True).alias("searched"))
-    copies = light.join(groups, ["h1", "h2"]).where(F.col("key") > F.col("first.key")).select("row").distinct().withColumn("whole", F.lit(True))
-
-    # All three uses take the same columns, so the plan has this exchange once.
-    texts = rows.select("key", row.alias("row"), "bytes", "rest").repartition(parts, "row")
-    bundle = "bucket int, hashes binary, low binary, high binary, lengths binary, counts binary, rows binary"
-    marks = texts.join(searched, "row", "left").where("searched").select("key", "row", "bytes", "rest").mapInArrow(_mark_bundles(window, gram, parts), bundle)
-    suspects = marks.groupBy("bucket").applyInPandas(_suspects, "row long, bucket int, low binary, high binary, lengths binary")
-    spots = suspects.groupBy("row").agg(F.collect_list(F.struct("bucket", "low", "high", "lengths")).alias("spots"))
-    shape = "bucket int, bytes binary, lengths binary, codes binary, low binary, high binary, counts binary, keys binary, rows binary"
-    around = texts.join(spots, "row").select("key", "row", "bytes", "spots", "rest").mapInArrow(_surroundings(window, gram), shape)
-    spans = around.groupBy("bucket").applyInPandas(_shard(window, gram), "row long, begin long, end long").groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    verdict = copies.join(spans, "row", "full").select(F.col("row"), "whole", "spans")
-    return texts.join(verdict, "row", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-
-
-def _merged_rows(batch: pa.RecordBatch, spans_at: int) -> list[np.ndarray]:
-    column = batch.column(spans_at)
-    ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0)))
-    flat = column.flatten()
-    pairs = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], axis=1)
-    return [merged(p) if len(p) else p for p in np.split(pairs, ends[:-1])] if len(ends) else []
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-total // PART_BYTES))
+    part = F.pmod(F.xxhash64("key", "row"), F.lit(parts)).cast("int").alias("part")
+    # A document is its id and the hash of its text; equal texts are told by 128 bits.
+    searched = light.groupBy("row", "other").agg(F.min("key").alias("key")).select("key", "row").distinct().select(part, "key", "row").repartition(tasks, "part")
+
+    # Every use takes the same columns, so the plan has this exchange once.
+    texts = rows.select("key", row.alias("row"), "bytes", "rest").select(part, "key", "row", "bytes", "rest").repartition(max(tasks, parts // 4), "part")
+
+    def letters(*sent: DataFrame) -> DataFrame:
+        names = [f.split(" ") for f in _MAIL.split(", ")]
+        whole = [df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast({"int": "int", "long": "bigint", "binary": "binary"}[kind])).alias(c) for c, kind in names]) for df in sent]
+        out = whole[0]
+        for df in whole[1:]:
+            out = out.unionByName(df)
+        return out
+
+    def at_parts(f, shape, *sent: DataFrame) -> DataFrame:
+        return texts.groupBy("part").cogroup(letters(*sent).groupBy("part")).applyInArrow(f, shape)
+
+    named = at_parts(_name_pieces(window, gram, parts), _NAMED, searched)
+    states = named.groupBy("bucket").applyInArrow(_rate_pieces, _STATES).repartition(tasks, "part")
+    pieces = at_parts(_send_pieces(window, gram, parts), _BYTES, searched, states)
+    dealt = pieces.repartition(max(tasks, parts // 4), "bucket").sortWithinPartitions("bucket")
+    spans = dealt.mapInArrow(_sort_shards(window, SORT_BUDGET), _SPANS)
+
+    def cut_part(texts: pa.Table, mail: pa.Table) -> pa.Table:
+        own, keys, rows, bodies, letters = _read_part(texts, mail, window, gram, parts)
+        lost, found = lost_spans(own, letters) if len(own.position) else [], []
+        for i, (k, r, body) in enumerate(zip(keys, rows, bodies, strict=True)):
+            if (k, r) in own.position:
+                found.append(lost[own.place[own.position[k, r]]])
+            else:
+                # Not the least document with its text: all of it stands in another one.
+                found.append(np.array([[0, len(body)]] if k is not None and len(body) >= window else [], np.int64).reshape(-1, 2))
+        return finish(keys, bodies, texts.column("rest").combine_chunks(), found)
+
+    return at_parts(cut_part, schema(rows.schema["rest"]), searched, states, spans)
 
 
 def passage_digests(docs: DataFrame, window: int = 50, gram: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
+    """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for whole, body, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _merged_rows(batch, 3), strict=True):
-                if whole:
-                    spans = np.array([[0, len(body)]])
-                kept = b"".join(body[a:b] for a, b in zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), len(body)], strict=True))
-                out.append((len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.string()), strict=True)] if out else [pa.array([], t) for t in (*[pa.int64()] * 3, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    Null and empty texts, and those shorter than a window, lose nothing; nor do rows with a null id.
+    Repeated rows give equal results. An empty table gives no rows.
+    """
 
-    found = removed_spans(docs, window, gram, text, key).select("key", "whole", "bytes", "spans", "rest")
-    return found.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("key", key)
+    def finish(keys: list, bodies: list[bytes], rest: pa.Array, found: list[np.ndarray]) -> pa.Table:
+        out = []
+        for body, spans in zip(bodies, found, strict=True):
+            kept = b"".join(body[a:b] for a, b in zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), len(body)], strict=True))
+            out.append((len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    schema = StructType([*(StructField(c, LongType()) for c in ("key", "n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())])
+    return removal(docs, finish, lambda rest: schema, window, gram, text, key).withColumnRenamed("key", key)
+
+
+def kept_text(body: bytes, spans: np.ndarray) -> bytes:
+    """body without the spans; one that begins or ends within a character gives that character back."""
+    at, parts = 0, []
+    for begin, end in spans.tolist():
+        while begin < end and body[begin] & 0xC0 == 0x80:
+            begin += 1
+        while begin < end < len(body) and body[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(body[at:begin])
+        at = end
+    return b"".join([*parts, body[at:]])
 
 
 def without_passages(docs: DataFrame, window: int = 50, gram: int = 24, text: str = "text", key: str = "doc_id", size: str = "n_chars") -> DataFrame:
     """The rows of docs with repeated passages cut from their text, and `size` counted anew.
 
     A span that begins or ends within a character gives that character back, so texts stay valid.
-    Documents that lose all their bytes stay, with an empty text.
+    Documents that lose all their bytes stay, with an empty text; null texts stay null. Rows with a
+    null id stay as they are, repeated rows are cut alike, an empty table gives no rows.
     """
+    others = [c for c in docs.columns if c != text]
 
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for whole, body, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _merged_rows(batch, 2), strict=True):
-                at, parts = 0, []
-                for begin, end in [] if whole else spans.tolist():
-                    while begin < end and body[begin] & 0xC0 == 0x80:
-                        begin += 1
-                    while begin < end < len(body) and body[end] & 0xC0 == 0x80:
-                        end -= 1
-                    parts.append(body[at:begin])
-                    at = end
-                kept.append(b"" if whole else b"".join([*parts, body[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(kept, pa.binary())], names=["rest", "kept"])
+    def finish(keys: list, bodies: list[bytes], rest: pa.Array, found: list[np.ndarray]) -> pa.Table:
+        return pa.table([rest, pa.array([kept_text(b, s) for b, s in zip(bodies, found, strict=True)], pa.binary())], names=["rest", "kept"])
 
-    others = [c for c in docs.columns if c != text]
-    found = removed_spans(docs, window, gram, text, key, carry=others).select("whole", "bytes", "spans", "rest")
-    result = found.mapInArrow(run, StructType([found.schema["rest"], StructField("kept", BinaryType())]))
+    result = removal(docs, finish, lambda rest: StructType([rest, StructField("kept", BinaryType())]), window, gram, text, key, carry=others)
     new = F.when(F.col("rest.known"), F.col("kept").cast("string"))
     columns = {c: F.col("rest")[f"of_{c}"] for c in others} | {text: new}
     if size in others:

@@ -11,29 +11,9 @@ import pytest
 import public_tokenizers as tokenizers
 from pyspark.sql import functions as F
 
-from seqprism.llm import bagminhash, bpe, gru_language, hilbert, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup, suffix_sort
+from seqprism.llm import bagminhash, bpe, gru_language, hilbert, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, row long"
-
-
-def words(n, seed):
-    draw = random.Random(seed)
-    return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 6))) for _ in range(n))
-
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    base, other = words(120, 1), words(150, 2)
-    edited = " ".join("zz" if i == 60 else w for i, w in enumerate(base.split()))
-    texts = [base, base, edited, other, other[:300] + " " + words(40, 3), None, "", "x", "é" * 60, "é" * 60 + "q", "a" * 500, " \n\t ", base + " " + other]
-    rows = [(i, t, None if i == 3 else "en", None if i % 4 == 0 else f"s{i % 3}", None if t is None else len(t), "k", 7) for i, t in enumerate(texts)]
-    rows += [rows[0], (None, base, "en", "s1", 1, "k", 7)]
-    return spark.createDataFrame(rows, DOCS)
-
-
-@pytest.fixture(scope="module")
-def nothing(spark):
-    return spark.createDataFrame([], DOCS)
+from .rows import DOCS, words
 
 
 def test_hilbert_curve_is_one(spark):
@@ -225,47 +205,6 @@ def test_cross_links_find_every_pair():
     assert {tuple(sorted(p)) for p in bagminhash.cross_links(grams, every, every, every)} == want
 
 
-@pytest.mark.parametrize(("batch", "page"), [(1 << 18, 1 << 16), (3, 2)])
-def test_suffix_order(batch, page, monkeypatch):
-    monkeypatch.setattr(suffix_sort, "BATCH", batch)
-    monkeypatch.setattr(suffix_sort, "PAGE", page)
-    draw = random.Random(3)
-    for _ in range(150):
-        k, depth, text = draw.choice([1, 2, 5]), draw.choice([3, 6, 50]), []
-        for _ in range(draw.randint(1, 5)):
-            text += [draw.randrange(k) + 1 for _ in range(draw.randint(1, 12))] + [0]
-        at, lcp = map(list, zip(*[(a, c) for p, q in suffix_sort.suffix_groups(np.array(text), depth) for a, c in zip(p.tolist(), q.tolist(), strict=True)], strict=True))
-        own = [tuple(text[a : a + depth]) for a in at]
-        assert sorted(at) == list(range(len(text))) and own == sorted(own)
-        for i in range(1, len(own)):
-            assert lcp[i] == sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(own[i - 1], own[i], strict=False)))
-
-
-def test_passages(docs, nothing):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    seen, want = set(), {}
-    for key, own in itertools.groupby(sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]), key=lambda r: r[0]):
-        mine = set()
-        for _, body in own:
-            gone = bytearray(len(body))
-            for i in range(len(body) - 49):
-                mine.add(body[i : i + 50])
-                if body[i : i + 50] in seen:
-                    gone[i : i + 50] = b"\1" * 50
-            want[key] = (len(body), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(bytes(x for x, g in zip(body, gone, strict=True) if not g)).hexdigest())
-        seen |= mine
-    got = suffix_dedup.passage_digests(docs).collect()
-    assert len(got) == 15
-    for r in got:
-        if r.doc_id is not None:
-            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
-        else:
-            assert r.n_removed == 0
-    cut = suffix_dedup.without_passages(docs)
-    assert cut.columns == docs.columns and all(r.text is None or r.n_chars == len(r.text) for r in cut.collect())
-    assert suffix_dedup.passage_digests(nothing).count() == 0
-
-
 def brute_segments(values):
     """All maximal scoring segments by their definition: the best one, then what is left and right of it."""
     best = max(((sum(values[a:b]), -(b - a), -a) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), default=(0, 0, 0))
