@@ -10,8 +10,10 @@ which all registers are surely full are not drawn, so most shingles cost one num
 
 Registers are banded. Each bucket of a band is linked through its hub, the member with the largest
 buckets, and each link is verified on the whole multisets. Buckets whose members are then not all
-connected are searched exactly: members of different components are compared in tasks of bounded
-size, through an inverted index of the task's shingles.
+connected are searched exactly: those outside the bucket's largest component are compared with all
+others, in tasks of bounded bytes, through an inverted index of the task's shingles. Buckets, hubs and
+copies of very many members are cut into parts wherever they are joined, and a text's identity is
+128 bits of it.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, salted_join, stored, text_id
 from .components import components
 from .shingles import byte_column, mixed, multisets, occurrence_keys, shingle_hashes, spans, word_hashes
 
 #: At similarity 0.8 a pair shares no band of 26 with 5 registers each once in 30,000 times.
 BANDS, ROWS = 26, 5
 WORDS, SIMILARITY = 5, 0.8
-#: Members of a bucket in one part of its tasks.
-PART = 1024
+#: Bytes of shingles of a bucket in one part of its tasks.
+PART_BYTES = 4 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,27 +131,23 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
-    of = lambda side: grams.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify, "a long, b long")
+def verified(pairs: DataFrame, grams: DataFrame, total: int) -> DataFrame:
+    """The pairs (node, hub), as links (a, b), whose multisets overlap enough. total: number of pairs."""
+    own = pairs.join(grams.select("node", "grams"), "node")
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(grams.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams")), "hub")
+    return salted_join(own, cut(hubs), "hub", "node", total).select("node", "hub", "grams", "hub_grams").mapInArrow(_verify, "a binary, b binary")
 
 
 def cross_links(grams: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between members of different components, one of each pair in left and one in right
-    (index arrays; the same array for pairs within it), by the overlap of their sets of shingles."""
+    """Links between a member in left and one in right (index arrays) of different components, by the
+    overlap of their sets of shingles; one into each other component connects as much as all."""
     sizes = np.array([len(g) for g in grams])
     values, number = np.unique(np.concatenate([grams[i] for i in right]), return_inverse=True)
     owner = np.repeat(np.arange(len(right)), sizes[right])
     order = np.argsort(number, kind="stable")
     owner, heads = owner[order], np.searchsorted(number[order], np.arange(len(values) + 1))
-    main = np.bincount(np.unique(component[right], return_inverse=True)[1]).argmax()
-    names = np.unique(component[right])
     out = []
     for i in left.tolist():
-        # Within one array the members of its main component are met from the others' side.
-        if left is right and component[i] == names[main]:
-            continue
         at = np.searchsorted(values, grams[i])
         at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == grams[i])]
         size = heads[at + 1] - heads[at]
@@ -157,7 +155,6 @@ def cross_links(grams: list[np.ndarray], component: np.ndarray, left: np.ndarray
         common = np.bincount(owner[flat], minlength=len(right))
         alike = common >= SIMILARITY * (sizes[i] + sizes[right] - common) - 1e-9
         linked = right[alike & (component[right] != component[i])]
-        # One link into each other component connects as much as all of them.
         _, one = np.unique(component[linked], return_index=True)
         out += [(i, j) for j in linked[one].tolist()]
     return out
@@ -165,13 +162,36 @@ def cross_links(grams: list[np.ndarray], component: np.ndarray, left: np.ndarray
 
 def _search(members: pd.DataFrame) -> pd.DataFrame:
     grams = [np.frombuffer(g, np.uint64) for g in members["grams"]]
-    node, component = members["node"].to_numpy(), members["component"].to_numpy()
-    part, low, high = members["part"].to_numpy(), members["low"].iloc[0], members["high"].iloc[0]
-    left = np.flatnonzero(part == low)
-    right = left if low == high else np.flatnonzero(part == high)
-    links = cross_links(grams, component, left, right) if len(left) and len(right) else []
-    a, b = np.array(links, np.int64).reshape(-1, 2).T
-    return pd.DataFrame({"a": node[a], "b": node[b]})
+    node, other = members["node"].to_numpy(), members["other"].to_numpy()
+    component = np.unique(members["component"].to_numpy(), return_inverse=True)[1]
+    links = cross_links(grams, component, np.flatnonzero(other), np.flatnonzero(~other)) if other.any() and not other.all() else []
+    return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]})
+
+
+def search_tasks(labelled: DataFrame, grams: DataFrame, total: int) -> DataFrame:
+    """(band, i, j, node, component, other): what each task of the open buckets compares.
+
+    labelled: band, node, component. In a bucket with more than one component, the members outside the
+    largest one (`other`) are dealt into parts i, all members into parts j, of PART_BYTES of shingles
+    each; the task (i, j) compares part i of the former with part j of the latter. So a bucket of n
+    bytes with m outside makes n * m / PART_BYTES^2 tasks.
+    """
+    sized = labelled.join(grams.select("node", F.length("grams").cast("long").alias("bytes")), "node")
+    kinds = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("content"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("content2"))
+    bands = kinds.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max(F.struct("n", "component", "bytes"))["bytes"].alias("main_bytes"),
+        F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.count("*").alias("kinds"), F.bit_xor("content").alias("content"), F.bit_xor("content2").alias("content2"),
+    )
+    # Buckets with the same members are searched once; two members were compared as hub and member.
+    wanted = bands.where("kinds > 1 AND n > 2").groupBy("n", "content", "content2").agg(F.min_by(F.struct("band", "main", "main_bytes", "bytes"), "band").alias("b")).select("b.*", "n")
+    parts = lambda size: F.greatest(F.ceil(size / PART_BYTES), F.lit(1)).cast("int")
+    wanted = cut(wanted.select("band", "main", "n", parts(F.col("bytes") - F.col("main_bytes")).alias("outside"), parts(F.col("bytes")).alias("whole")))
+    members = salted_join(labelled, wanted, "band", "node", total)
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    of = lambda is_other: ("band", "node", "component", F.lit(is_other).alias("other"))
+    every = members.withColumns({"i": F.explode_outer(F.sequence(F.lit(0), F.col("outside") - 1)), "j": part("whole")}).select(*of(False), "i", "j")
+    few = members.where("component <> main").withColumns({"i": part("outside"), "j": F.explode_outer(F.sequence(F.lit(0), F.col("whole") - 1))}).select(*of(True), "i", "j")
+    return every.unionByName(few)
 
 
 def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -180,34 +200,25 @@ def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
     rows: key, node, bytes; classes: node, class_id. Equal texts have equal bands, so all rows are
     hashed where they are and one row of each text goes on: no text moves for this.
     """
-    banded = rows.select("node", "bytes").mapInArrow(_bands, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
+    banded = cut(rows.select("node", "bytes").mapInArrow(_bands, "node binary, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands")))
     members = banded.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    inside = cut(members.join(shared, "band"))
+    total = banded.count() * BANDS
+    shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    inside = cut(salted_join(members, shared, "band", "node", total))
     if inside.isEmpty():
         return None
-    degree = cut(inside.groupBy("node").agg(F.sum("size").alias("degree")))
-    inside = inside.join(degree, "node")
+    degree = cut(inside.groupBy("node").agg(F.sum("n").alias("degree")))
     wanted = degree.select("node").join(classes, "node").select("node", F.col("class_id").alias("key"))
-    sets = rows.join(wanted, ["node", "key"]).select("node", "bytes").mapInArrow(_gram_sets, "node long, grams binary")
+    sets = rows.join(wanted, ["node", "key"]).select("node", "bytes").mapInArrow(_gram_sets, "node binary, grams binary")
     grams = stored(sets.groupBy("node").agg(F.first("grams").alias("grams")))
 
-    rank = F.struct("degree", "node")
-    hubs = inside.groupBy("band").agg(F.max(rank)["node"].alias("hub"))
-    pairs = inside.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = cut(verified(pairs, grams))
+    hubs = cut(inside.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count("*").alias("n")))
+    pairs = cut(salted_join(inside.select("band", "node"), hubs, "band", "node", total).where("node <> hub").select("node", "hub").distinct())
+    links = cut(verified(pairs, grams, total))
     found = components(links)
-    labelled = inside.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Buckets with the same members are searched once; two members were compared as hub and member.
-    open_bands = labelled.groupBy("band").agg(
-        F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("content"),
-    ).where("first <> last AND n > 2").groupBy("n", "content").agg(F.min("band").alias("band"))
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    part = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
-    dealt = labelled.join(open_bands.select("band", "n"), "band").withColumn("part", part)
-    # Part p of a bucket goes to the tasks (p, q) and (q, p) for every q.
-    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("band", "node", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    last = cut(tasks.join(grams, "node").groupBy("band", "low", "high").applyInPandas(_search, "a long, b long"))
+    labelled = cut(inside.select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    tasks = search_tasks(labelled, grams, total)
+    last = cut(tasks.join(grams, "node").groupBy("band", "i", "j").applyInPandas(_search, "a binary, b binary"))
     return found if last.isEmpty() else components(links.unionByName(last))
 
 
@@ -221,17 +232,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), filled.cast("binary").alias("bytes"), filled.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    node = F.xxhash64("bytes")
+    node = text_id(F.col("bytes"))
     light = cut(rows.select("key", node.alias("node"), (F.col("worded") & F.col("key").isNotNull()).alias("worded")))
     classes = cut(light.where("worded").groupBy("node").agg(F.min("key").alias("class_id"), F.count("*").alias("n")))
+    total = light.count()
     found = near_links(rows.where("worded AND key IS NOT NULL").select("key", node.alias("node"), "bytes"), classes)
     if found is None:
-        placed = classes.select("node", "class_id", F.col("class_id").alias("component_id"))
+        placed = classes.select("node", "class_id", F.col("class_id").alias("component_id"), "n")
     else:
         joined = cut(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        least = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
-        placed = joined.join(least, "component").select("node", "class_id", "component_id")
-    out = light.where("worded").join(placed, "node").unionByName(light.where("NOT worded").select("node", "key", "worded", F.col("key").alias("class_id"), F.col("key").alias("component_id")))
+        least = cut(joined.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("members")))
+        placed = salted_join(joined, least, "component", "node", total, "members").select("node", "class_id", "component_id", "n")
+    out = salted_join(light.where("worded"), cut(placed), "node", "key", total).select("node", "key", "worded", "class_id", "component_id").unionByName(light.where("NOT worded").select("node", "key", "worded", F.col("key").alias("class_id"), F.col("key").alias("component_id")))
     return out.select(F.col("key").alias(key), "node", "class_id", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -240,7 +252,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     verdict = near_duplicates(docs, text, key).where("kept AND class_id IS NOT NULL").groupBy(F.col(key).alias("kept_key"), F.col("node").alias("kept_node")).agg(F.first("component_id").alias("kept_component"))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     filled = F.coalesce(F.col("row")[text], F.lit(""))
-    marked = row.select("row", F.col("row")[key].cast("long").alias("key"), F.xxhash64(filled.cast("binary")).alias("node"), filled.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    marked = row.select("row", F.col("row")[key].cast("long").alias("key"), text_id(filled).alias("node"), filled.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     alone = marked.where("NOT worded OR key IS NULL").select("row.*")
     single = marked.where("worded AND key IS NOT NULL").join(verdict, (F.col("key") == F.col("kept_key")) & (F.col("node") == F.col("kept_node")))
     # Repeated rows are one document; those of one key and text are in one partition already.

@@ -30,12 +30,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), in a compressed Parquet table of the shared folder; for wide rows."""
+    """As cut(), in a compressed Parquet table of the shared folder; for wide rows, and for the rounds of
+    a loop: a checkpoint keeps what is known of its plan's order and partitions, and that multiplies
+    from round to round until planning takes longer than the work."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined (inner) with side, which has one row for each key and in n how many rows have it.
+
+    Keys of very many rows are cut by a hash of the column `spread`, and their row of side is repeated
+    for each cut: no task gets more than about `limit` rows of one key. total: number of rows, so that
+    there are 100,000 such keys at most, which are broadcast as two numbers each.
+    """
+    limit = max(1_000, -(-total // 100_000))
+    salts = lambda: F.ceil(F.greatest(F.col(n), F.lit(1)) / limit).cast("int")
+    hot = side.where(F.col(n) > limit).select(F.col(key).alias("_hot"), salts().alias("_salts"))
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    return salted.join(side.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), salts() - 1))), [key, "_salt"]).drop("_salt")
+
+
+def text_id(text: Column) -> Column:
+    """128 bits that stand for a text (its MD5): at any size no two texts are taken for one."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, inside one expression."""
     return F.transform(F.array(value), body)[0]

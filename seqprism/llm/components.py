@@ -1,28 +1,39 @@
-"""Connected components of links, by least labels and pointer jumping."""
+"""Connected components of links, by contraction in a random order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import salted_join, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of a link (a, b); component: the smallest node reachable.
 
-    Each round takes the least label among the neighbours and then the label of that label, so the
-    number of rounds grows with the logarithm of a component's diameter for the stars and short
-    chains that links make. The sums combine on each task before the shuffle, so a node with very
-    many links is no hot group.
+    Each round every node moves to the neighbour of least hash, if that is less than its own, and the
+    links then are between the nodes moved to. The order is random, so a constant share of the nodes
+    goes in each round and rounds grow with the logarithm of the nodes, whatever the shape: stars and
+    chains alike. Sums combine on each task before the shuffle, and the joins cut nodes with very many
+    links, or that very many nodes move to, into parts.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("least"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        moved = cut(least.join(jump, F.col("least") == F.col("at")).select("node", F.least("least", "beyond").alias("new"), "label"))
-        labels = moved.select("node", F.col("new").alias("label"))
-        if moved.where("new <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    total = places = None
+    while left := edges.count():
+        total = total or left
+        best = edges.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("best"), F.count("*").alias("n"))
+        less = F.struct(F.col("best.h"), F.col("best.b")) < F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
+        moves = stored(best.select(F.col("a").alias("node"), F.when(less, F.col("best.b")).otherwise(F.col("a")).alias("root"), "n"))
+        ends = lambda c, moves=moves: moves.select(F.col("node").alias(c), "n", F.col("root").alias(f"{c}_root"))
+        moved = salted_join(salted_join(edges, ends("a"), "a", "b", total).drop("n"), ends("b"), "b", "a", total)
+        edges = stored(moved.where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        if places is None:
+            places = moves.select("node", "root")
+        else:
+            held = places.groupBy("root").agg(F.count("*").alias("from"))
+            further = held.join(moves.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+            places = stored(salted_join(places, further, "root", "node", total, "from").select("node", F.coalesce("next", "root").alias("root")))
+    if places is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = places.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("from"))
+    return stored(salted_join(places, least, "root", "node", total, "from").select("node", "component"))

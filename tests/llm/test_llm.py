@@ -195,16 +195,6 @@ def test_bagminhash_is_unbiased_and_finds_components(docs, nothing):
     assert bagminhash.near_duplicates(nothing).count() == 0
 
 
-def test_cross_links_find_every_pair():
-    draw = random.Random(1)
-    sets = [sorted(draw.sample(range(60), 40)) for _ in range(25)]
-    sets += [sorted({*s[:-2], 100 + i, 101 + i}) for i, s in enumerate(sets)]
-    grams = [np.array(s, np.uint64) for s in sets]
-    every = np.arange(50)
-    want = {(i, j) for i, j in itertools.combinations(range(50), 2) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
-    assert {tuple(sorted(p)) for p in bagminhash.cross_links(grams, every, every, every)} == want
-
-
 def brute_segments(values):
     """All maximal scoring segments by their definition: the best one, then what is left and right of it."""
     best = max(((sum(values[a:b]), -(b - a), -a) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), default=(0, 0, 0))
