@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds (operator 5).
 
 A document fails on a few fixed base rules, or on one of five statistics above its stratum's cutoff.
-The cutoffs come from labelled documents: for each stratum, rule and candidate cutoff, the exact
-binomial tail tells how likely so few good documents would be rejected if the true rate of false
-rejection were the permitted one. A cutoff is admissible where that probability is below the level
-divided by the number of all such tests (Bonferroni), so with probability 1 - level every chosen
-cutoff holds its rate. Of the admissible cutoffs, the one with the largest gain (bad documents less
-good ones rejected) is taken, and none where there is no gain. Everything is DataFrame operations.
+The cutoffs come from labelled documents. A third of them, chosen by a hash, proposes for each budget
+of false rejections the strictest cutoff of each rule that keeps to it and rejects more bad documents
+than good ones: a sequence of sets of cutoffs, each stricter than the one before. The other two thirds
+test the sets in that order: the exact binomial tail tells how likely so few good documents would be
+rejected if the true rate of false rejection, of all rules together, were the permitted one. A set is
+admissible where that probability is at most the level divided by the number of strata, and only if
+all sets before it are (a fixed sequence needs no division by its length), so with probability
+1 - level no stratum's rules reject more than the permitted share of its good documents. The strictest
+admissible set is taken, and none where there is none. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, id_remainder, let, stored
 
 #: The characters that count as symbols, and white space between words.
 SYMBOLS = r"[#*$%&|<>]"
@@ -31,8 +34,11 @@ CUTOFFS = {
 }
 #: Permitted share of good documents that a stratum's rules reject together, and the level.
 RISK, LEVEL = 0.05, 0.05
-#: Strata up to which their cutoffs (a few numbers each) are broadcast.
-BROADCAST_STRATA = 10_000
+#: Shares of good documents, per mille, that a proposed cutoff may reject.
+BUDGETS = [0, 2, 5, 10, 20, 30]
+#: One row of cutoffs is broadcast for each stratum up to this many (a few numbers each); beyond it
+#: they are joined, with the rows of a stratum cut into parts.
+BROADCAST_STRATA, SALTS = 10_000, 64
 
 
 def _repeated(hashes: Column) -> Column:
@@ -104,11 +110,16 @@ def binomial_log_tail(rejected: Column, n: Column, risk: float) -> Column:
     return F.aggregate(steps, F.struct(none.alias("term"), none.alias("sum")), add)["sum"]
 
 
-def calibrate(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """One row per stratum with good documents: a cutoff for each rule, null where none is admissible.
+def proposes(key: str) -> Column:
+    """Whether a labelled document proposes cutoffs (one in three) rather than tests them."""
+    return id_remainder(key, 3) == 0
+
 
-    labelled: stratum, good (boolean), s (struct with the statistics). One aggregation with a partial
-    sum on each task; the grid of sums has len(CUTOFFS) times a few columns, whatever the rows.
+def proposals(labelled: DataFrame) -> DataFrame:
+    """(stratum, budget, limits): the set of cutoffs for each budget, from the proposing documents.
+
+    One aggregation with a partial sum on each task; its grid has a few columns for each of CUTOFFS,
+    whatever the rows.
     """
     sums = []
     for rule, cutoffs in CUTOFFS.items():
@@ -118,60 +129,98 @@ def calibrate(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) ->
                 F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"),
                 F.count_if(over & F.col("good")).alias("good_rejected"), F.count_if(over & ~F.col("good")).alias("bad_rejected"),
             ))
-    grid = labelled.groupBy("stratum").agg(F.count_if("good").alias("n"), F.array(*sums).alias("grid")).where("n > 0")
-    tests = grid.select("stratum", "n", F.explode("grid").alias("g")).select("stratum", "n", "g.*")
-    cells = sum(map(len, CUTOFFS.values()))
-    each = risk / len(CUTOFFS)
-    strata = F.count("*").over(Window.partitionBy()) / cells
-    bounded = tests.withColumn("limit", F.log(F.lit(level) / (strata * cells)))
-    possible = bounded.where((F.col("good_rejected") <= F.col("n") * each) & (F.col("bad_rejected") > F.col("good_rejected")))
-    passed = possible.where(binomial_log_tail(F.col("good_rejected"), F.col("n"), each) <= F.col("limit"))
-    best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("bad_rejected") - F.col("good_rejected"), "cutoff")).alias("cutoff"))
-    return best.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff"))
+    grid = labelled.where("proposes").groupBy("stratum").agg(F.count_if("good").alias("n"), F.array(*sums).alias("grid"))
+    cells = grid.select("stratum", "n", F.explode("grid").alias("g")).select("stratum", "n", "g.*").where("bad_rejected > good_rejected")
+    budgets = F.explode(F.array(*map(F.lit, BUDGETS))).alias("budget")
+    within = cells.select("*", budgets).where(F.col("good_rejected") * 1000 <= F.col("budget") * F.col("n"))
+    return within.groupBy("stratum", "budget").agg(F.struct(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in CUTOFFS]).alias("limits"))
+
+
+def rejected(limits: Column) -> Column:
+    """Whether a statistic lies above its cutoff; null cutoffs reject nothing."""
+    over = F.lit(False)
+    for rule in CUTOFFS:
+        over |= F.coalesce(F.col("s")[rule] > limits[rule], F.lit(False))
+    return over
+
+
+def calibrate(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, limits): the cutoffs of each stratum with an admissible set of them.
+
+    labelled: stratum, good, proposes (booleans), s (struct with the statistics), without documents
+    that the base rules reject.
+    """
+    labelled = labelled.select("stratum", "good", "proposes", F.struct(*[F.col("s")[r].alias(r) for r in CUTOFFS]).alias("s"))
+    sets = proposals(labelled).groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("budget", "limits"))).alias("sets"))
+    judges = labelled.where("good AND NOT proposes")
+    # A handful of sets for each stratum; texts aren't among these columns.
+    counts = judges.groupBy("stratum").agg(F.count("*").alias("judges"))
+    strata = F.count("*").over(Window.partitionBy())
+    bounds = counts.withColumn("bound", F.log(F.lit(level) / strata))
+    wide = with_limits(judges, sets, "sets", "judge").select("stratum", F.explode("sets").alias("set"), "s")
+    tests = wide.groupBy("stratum", F.col("set.budget").alias("budget")).agg(F.any_value("set.limits").alias("limits"), F.count_if(rejected(F.col("set.limits"))).alias("rejected"))
+    tails = tests.join(bounds, "stratum").withColumn("passed", binomial_log_tail(F.col("rejected"), F.col("judges"), risk) <= F.col("bound"))
+    # Sets are nested, so the rejected only grow; the first that fails ends the sequence.
+    first = tails.groupBy("stratum").agg(F.min(F.when(~F.col("passed"), F.col("budget"))).alias("failed"), F.collect_list(F.struct("budget", "limits")).alias("sets"))
+    open_sets = F.filter("sets", lambda x: F.col("failed").isNull() | (x["budget"] < F.col("failed")))
+    return first.select("stratum", F.array_max(F.transform(open_sets, lambda x: F.struct(x["budget"], x["limits"])))["limits"].alias("limits")).where("limits IS NOT NULL")
+
+
+def with_limits(df: DataFrame, sets: DataFrame, name: str, spread: str) -> DataFrame:
+    """df with the column `name` of its stratum's row of sets (null without one). spread: a column
+    that differs within a stratum, or "judge" for a random one."""
+    limits = sets.select(F.col("stratum").alias("_stratum"), name)
+    if sets.count() <= BROADCAST_STRATA:
+        return df.join(F.broadcast(limits), F.col("stratum") == F.col("_stratum"), "left").drop("_stratum")
+    salt = F.pmod(F.xxhash64("s" if spread == "judge" else spread), F.lit(SALTS)).cast("int")
+    copies = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_own", salt).join(copies, (F.col("stratum") == F.col("_stratum")) & (F.col("_own") == F.col("_salt")), "left").drop("_stratum", "_own", "_salt")
 
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """stats (key, stratum, s) with good: a document is bad if any of its label rows says 0."""
+    """stats (key, stratum, s) with good and proposes: a document is bad if any of its label rows says 0."""
     marks = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("label_key")).agg((F.min("quality") == 1).alias("good"))
-    return stats.join(marks, F.col(key) == F.col("label_key")).where(~F.col("s.base_failed")).select("stratum", "good", "s")
+    return stats.join(marks, F.col(key) == F.col("label_key")).where(~F.col("s.base_failed")).select("stratum", "good", proposes(key).alias("proposes"), "s")
 
 
-def _verdict(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    limits = cutoffs.select(F.col("stratum").alias("of_stratum"), F.struct(*CUTOFFS).alias("limits"))
-    if cutoffs.count() <= BROADCAST_STRATA:
-        # Texts stay where they are; with more strata they are joined by stratum.
-        limits = F.broadcast(limits)
-    over = F.lit(False)
-    for rule in CUTOFFS:
-        over |= F.coalesce(F.col("s")[rule] > F.col("limits")[rule], F.lit(False))
-    return df.join(limits, F.col("stratum") == F.col("of_stratum"), "left").withColumn("kept", ~F.col("s.base_failed") & ~over).drop("of_stratum", "limits")
+def _verdict(df: DataFrame, cutoffs: DataFrame, key: str) -> DataFrame:
+    """df with kept: neither base_failed nor above a cutoff of its stratum; without cutoffs the base
+    rules alone decide."""
+    return with_limits(df, cutoffs, "limits", key).withColumn("kept", ~F.col("s.base_failed") & ~rejected(F.col("limits"))).drop("limits")
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """Per document: key, the base counts, base_failed and kept.
 
-    Null text: empty, so it fails. Null stratum: a stratum of its own. Strata without labels, or
-    with too few for the level, apply the base rules alone. Repeated rows are judged alike.
+    Null text: empty, so it fails. Null stratum: that of the empty name. Strata without labels, or
+    with too few for the level, apply the base rules alone. Repeated rows are judged alike; a null key
+    has no label. An empty table gives no rows.
     """
     stats = cut(docs.select(F.col(key).alias(key), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), statistics(F.col(text)).alias("s")))
     cutoffs = cut(calibrate(labelled_statistics(stats, labels, key)))
-    return _verdict(stats, cutoffs).select(key, *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
+    return _verdict(stats, cutoffs, key).select(key, *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """The rows of docs that pass, with their columns as they are."""
+    """The rows of docs that pass, with their columns as they are; see judge() for nulls and repeats.
+
+    The statistics are computed once, in the pass that writes the rows with them to the shared folder;
+    calibration and verdict read them there.
+    """
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    stats = row.select("row", F.col("row")[key].alias(key), F.coalesce(F.col("row")[stratum], F.lit("")).alias("stratum"), statistics(F.col("row")[text]).alias("s"))
+    stats = stored(row.select("row", F.col("row")[key].alias(key), F.coalesce(F.col("row")[stratum], F.lit("")).alias("stratum"), statistics(F.col("row")[text]).alias("s")))
     cutoffs = cut(calibrate(labelled_statistics(stats.drop("row"), labels, key)))
-    return _verdict(stats, cutoffs).where("kept").select("row.*")
+    return _verdict(stats, cutoffs, key).where("kept").select("row.*")
 
 
 def oracle_sql() -> str:
     """judge() over `documents` and `labels` as DuckDB SQL."""
-    each = RISK / len(CUTOFFS)
     grid = ", ".join(f"('{rule}', {c})" for rule, cutoffs in CUTOFFS.items() for c in cutoffs)
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN s_{r}" for r in CUTOFFS) + " END"
-    over = " OR ".join(f"coalesce(s_{r} > (SELECT cutoff FROM best b WHERE b.stratum = r.stratum AND b.rule = '{r}'), false)" for r in CUTOFFS)
+    cutoffs = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS c_{r}" for r in CUTOFFS)
+    over = " OR ".join(f"coalesce(s_{r} > c_{r}, false)" for r in CUTOFFS)
+    crc_table = "(SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295)"
     return rf"""
 WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 split AS (SELECT r, doc_id, stratum, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines FROM numbered),
@@ -183,10 +232,14 @@ counted AS (SELECT r, doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CA
   CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper FROM split LEFT JOIN covered USING (r)),
 rated AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS s_symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS s_dup_lines,
   n_repeat_words * 1000 // greatest(n_words, 1) AS s_repeats, n_upper * 1000 // greatest(word_chars, 1) AS s_uppercase, word_chars * 10 // greatest(n_words, 1) AS s_word_length FROM counted),
-marks AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-tests AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {value} > cutoff) AS good_rejected, count(*) FILTER (NOT good AND {value} > cutoff) AS bad_rejected
-  FROM rated JOIN marks USING (doc_id), (VALUES {grid}) c(rule, cutoff) WHERE NOT base_failed GROUP BY ALL HAVING count(*) FILTER (good) > 0),
-tails AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each}))) FROM range(0, good_rejected + 1) t(i)) AS tail,
-  {LEVEL} / (SELECT count(*) FROM tests) AS bound FROM tests WHERE good_rejected <= n * {each} AND bad_rejected > good_rejected),
-best AS (SELECT stratum, rule, arg_max(cutoff, (bad_rejected - good_rejected) * 1000 + cutoff) AS cutoff FROM tails WHERE tail <= bound GROUP BY stratum, rule)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM rated r"""
+marks AS (SELECT doc_id, min(quality) = 1 AS good, {crc} % 3 = 0 AS proposes FROM labels, {crc_table} WHERE quality IS NOT NULL GROUP BY doc_id, t),
+labelled AS (SELECT * FROM rated JOIN marks USING (doc_id) WHERE NOT base_failed),
+cells AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {value} > cutoff) AS good_rejected, count(*) FILTER (NOT good AND {value} > cutoff) AS bad_rejected
+  FROM labelled, (VALUES {grid}) c(rule, cutoff) WHERE proposes GROUP BY ALL),
+sets AS (SELECT stratum, budget, {cutoffs} FROM cells, (VALUES {", ".join(f"({b})" for b in BUDGETS)}) b(budget) WHERE bad_rejected > good_rejected AND good_rejected * 1000 <= budget * n GROUP BY ALL),
+judges AS (SELECT * FROM labelled WHERE good AND NOT proposes),
+sizes AS (SELECT stratum, count(*) AS n, {LEVEL} / count(*) OVER () AS bound FROM judges GROUP BY stratum),
+tests AS (SELECT stratum, budget, count(*) FILTER ({over}) AS gone FROM judges JOIN sets USING (stratum) GROUP BY ALL),
+tails AS (SELECT stratum, budget, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) FROM range(0, gone + 1) t(i)) <= bound AS passed FROM tests JOIN sizes USING (stratum)),
+chosen AS (SELECT stratum, max(budget) AS budget FROM tails t WHERE NOT EXISTS (SELECT 1 FROM tails f WHERE f.stratum = t.stratum AND f.budget <= t.budget AND NOT f.passed) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM rated LEFT JOIN (SELECT * FROM sets JOIN chosen USING (stratum, budget)) USING (stratum)"""

@@ -124,20 +124,6 @@ def test_quality_rules(spark, docs, nothing):
     assert risk_rules.judge(nothing, labels).count() == 0 and risk_rules.keep_good(nothing, labels).columns == nothing.columns
 
 
-def test_risk_control_picks_admissible_cutoffs(spark):
-    rows = [("en", i % 10 != 0, 0 if i % 10 else 400) for i in range(20000)]
-    s = F.struct(*[F.col("v").cast("long").alias(r) if r == "symbols" else F.lit(0).cast("long").alias(r) for r in risk_rules.CUTOFFS])
-    df = spark.createDataFrame(rows, "stratum string, good boolean, v int").select("stratum", "good", s.alias("s"))
-    best = risk_rules.calibrate(df).first()
-    assert best.symbols == 350 and best.repeats is None
-    few = risk_rules.calibrate(df.limit(50))
-    assert few.count() == 0  # too few documents to bound the risk
-    tail = spark.range(1).select(risk_rules.binomial_log_tail(F.lit(3).cast("long"), F.lit(200).cast("long"), 0.05).alias("t")).first().t
-    import math
-
-    assert math.exp(tail) == pytest.approx(sum(math.comb(200, i) * 0.05**i * 0.95 ** (200 - i) for i in range(4)), rel=1e-9)
-
-
 def test_rule_ensemble(spark, nothing):
     rows = [(i, words(60, i).upper() + "!!" if i % 3 == 0 else words(60, i)) for i in range(300)] + [(900, None), (901, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("score"))
