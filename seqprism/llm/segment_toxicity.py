@@ -1,12 +1,17 @@
 """Toxic passages as maximal scoring segments of token log-odds (operator 10).
 
-The numbers of toxic and clean training documents with each token give log-odds with an informative
-Dirichlet prior (the tokens' own background); equal texts count once, and so does a token that a text
-repeats. Only tokens whose log-odds are significantly high are kept; all others lower a segment by a
-small drift. A linear-time scan finds every maximal scoring segment of a text. Under
-chance, the best segment of m tokens scores S or more with probability 1 - exp(-K m exp(-lambda S)):
-lambda comes from the score distribution of clean text, K from the best segments of clean documents.
-A document's score is a logistic function of that expectation's logarithm.
+The numbers of toxic and clean training texts with each token give its log-odds, with a Dirichlet
+prior that expects the token in both kinds alike; a score is what is left of the log-odds after two
+of its standard deviations, so that each token counts as far as it is certain, for or against. Equal
+texts count once, and so does a token that a text repeats. Every token costs a small drift besides. A
+linear-time scan finds every maximal scoring segment of a text. Under chance, segments that score S
+or more occur in m tokens about K m exp(-lambda S) times: their scores above a threshold are
+exponential with the rate lambda, and K comes from how many of them all clean texts have, those with
+none included. A document's strength is the sum of its segments' excesses over the threshold, in units
+of 1 / lambda, and its score a logistic function of that sum's logarithm.
+
+Three folds of the training texts are scored by the tokens of the other two, and threshold, lambda, K
+and the logistic function come from these scores: no text rates tokens that it chose itself.
 """
 
 from __future__ import annotations
@@ -17,17 +22,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_remainder
+from .common import id_remainder, stored
 
-#: Tokens that the model keeps at most (the most significant ones), and their least z.
-MAX_TERMS, LEAST_Z = 50_000, 3.0
-#: Prior tokens in all, and at least for each token; score per token of a segment; bound of log-odds.
-PRIOR, PRIOR_EACH, DRIFT, MOST = 5_000.0, 0.5, 0.2, 6.0
-#: Labelled documents, about, whose best segments calibrate the score.
-CALIBRATION_DOCUMENTS = 20_000
+#: Labelled documents of each kind that are learnt from, about; chosen by a hash of the id.
+SAMPLE_DOCUMENTS = 20_000
+#: Prior texts with a token, standard deviations taken off its log-odds, cost of each token.
+PRIOR, DOUBT, DRIFT = 3.0, 2.0, 0.1
+FOLDS = 3
+#: Share of clean segments below the threshold of the extreme-value fit.
+COMMON = 0.9
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -39,6 +45,7 @@ def tokens(text: str | None) -> list[str]:
 @dataclass
 class SegmentModel:
     scores: dict[str, float] = field(default_factory=dict)
+    threshold: float = 0.0
     scale: float = 1.0  # lambda
     log_k: float = 0.0
     offset: float = -20.0
@@ -49,9 +56,13 @@ class SegmentModel:
         get = self.scores.get
         return maximal_segments([(i, s) for i, w in enumerate(words) if (s := get(w)) is not None])
 
-    def strength(self, best: float, n_tokens: int) -> float:
+    def significance(self, score: float, n_tokens: int) -> float:
         """-log of the expected number of segments this good in that many tokens of clean text."""
-        return self.scale * best - self.log_k - np.log(max(n_tokens, 1))
+        return self.scale * score - self.log_k - np.log(max(n_tokens, 1))
+
+    def strength(self, scores: list[float]) -> float:
+        """Logarithm of (one more than) the sum of the excesses over the threshold, in units of 1 / scale."""
+        return float(np.log1p(self.scale * sum(max(0.0, s - self.threshold) for s in scores)))
 
     def probability(self, strength: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.offset + self.slope * strength, -40, 40))))
@@ -89,106 +100,113 @@ def maximal_segments(scored: list[tuple[int, float]]) -> list[tuple[int, int, fl
     return [(int(a), int(b), high - low) for a, b, low, high, _ in found]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, text, mark) of the texts to learn from, once each; toxic if any label row of any document
-    with the text says so."""
-    marks = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("label_key")).agg(F.max("toxic").alias("mark"))
+def sampled(docs: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[DataFrame, dict[int, float]]:
+    """(text, mark, fold) of the texts to learn from, once each, and the share taken of each kind.
+
+    A text is toxic if any label row of any of its documents says so. At most about SAMPLE_DOCUMENTS
+    ids of each kind are taken, so they are broadcast and no text moves before it is chosen.
+    """
+    marks = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("label_key")).agg((F.max("toxic") > 0).cast("int").alias("mark"))
     marks = marks.where(id_remainder("label_key", 5) != 0)
+    sizes = {r["mark"]: r["n"] for r in marks.groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    shares = {k: min(1.0, SAMPLE_DOCUMENTS / n) for k, n in sizes.items()}
+    most = F.when(F.col("mark") == 1, F.lit(int(shares.get(1, 0) * (1 << 20)))).otherwise(F.lit(int(shares.get(0, 0) * (1 << 20))))
+    chosen = marks.where(F.pmod(F.xxhash64("label_key"), F.lit(1 << 20)) < most)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    hashed = texts.select("key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    own = hashed.join(marks, F.col("key") == F.col("label_key")).groupBy("h1", "h2").agg(F.min("label_key").alias("label_key"), F.max("mark").alias("mark"))
-    return texts.join(own, F.col("key") == F.col("label_key")).select("key", "text", "mark")
+    own = texts.join(F.broadcast(chosen), F.col("key") == F.col("label_key"))
+    once = own.groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.first("text").alias("text"), F.max("mark").alias("mark"))
+    return once.select("text", "mark", F.pmod("h2", F.lit(FOLDS)).cast("int").alias("fold")), shares
 
 
 def _count(batches):
     for batch in batches:
-        counts = Counter(), Counter()
-        for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[mark > 0].update(set(tokens(text)))
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["token", "clean", "toxic"])
-
-
-def significant_terms(learn: DataFrame) -> tuple[dict[str, float], float]:
-    """Log-odds of the significantly toxic tokens and lambda; counts are over all texts to learn from."""
-    counts = cut(learn.select("text", "mark").mapInArrow(_count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    clean, toxic = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not clean or not toxic:
-        return {}, 1.0
-    prior = F.lit(PRIOR_EACH) + (F.col("clean") + F.col("toxic")) * (PRIOR / (clean + toxic))
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (toxic + PRIOR - a)) - F.log(b / (clean + PRIOR - b))
-    rated = counts.where((F.col("toxic") + PRIOR_EACH + F.col("toxic") + F.col("clean") < toxic + PRIOR) & (2 * F.col("clean") + F.col("toxic") + PRIOR_EACH < clean + PRIOR))
-    rated = rated.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (clean + PRIOR)).alias("share")).where(F.col("z") >= LEAST_Z)
-    kept = rated.orderBy(F.col("z").desc(), "token").limit(MAX_TERMS).collect()
-    scores = {r.token: float(np.clip(r.odds, -MOST, MOST)) for r in kept}
-    return scores, _decay([(scores[r.token], r.share) for r in kept])
-
-
-def _decay(rated: list[tuple[float, float]]) -> float:
-    """The lambda at which the mean of exp(lambda * score) over clean tokens is 1."""
-    scores = np.array([s for s, _ in rated] + [0.0]) - DRIFT
-    shares = np.array([p for _, p in rated])
-    shares = np.append(shares, max(0.0, 1 - shares.sum()))
-    excess = lambda x: float(np.log(np.sum(shares * np.exp(x * scores))))
-    if scores.max() <= 0 or excess(1e-6) >= 0:
-        return 1.0
-    low, high = 1e-6, 1.0
-    while excess(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-    return high
-
-
-def _best(model: SegmentModel):
+        counts = Counter()
+        for text, mark, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts.update((w, fold, mark) for w in set(tokens(text)))
+        columns = zip(*((*k, n) for k, n in counts.items()), strict=True) if counts else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["token", "fold", "mark", "n"])
+
+
+def certain_odds(toxic: Column, clean: Column, share: float) -> Column:
+    """What DOUBT standard deviations leave of a token's log-odds. share: that of toxic ones among all
+    (text, token) pairs."""
+    a, b = toxic + PRIOR * share, clean + PRIOR * (1 - share)
+    odds = F.log(a / share) - F.log(b / (1 - share))
+    return F.signum(odds) * F.greatest(F.abs(odds) - DOUBT * F.sqrt(1 / a + 1 / b), F.lit(0.0))
+
+
+def token_scores(learn: DataFrame) -> list[dict[str, float]]:
+    """Scores by all texts but those of each fold, and at last by all texts; tokens without are left
+    out. Their number is bounded by the sample's words."""
+    counted = learn.select("text", "mark", "fold").mapInArrow(_count, "token string, fold int, mark int, n long")
+    cells = [(f, m) for f in range(FOLDS) for m in (0, 1)]
+    sums = [F.sum(F.when((F.col("fold") == f) & (F.col("mark") == m), F.col("n")).otherwise(0)).alias(f"n{f}_{m}") for f, m in cells]
+    counts = stored(counted.groupBy("token").agg(*sums))
+    totals = counts.agg(*[F.coalesce(F.sum(f"n{f}_{m}"), F.lit(0)).alias(f"n{f}_{m}") for f, m in cells]).first()
+    columns = []
+    for left_out in [*range(FOLDS), None]:
+        used = [f for f in range(FOLDS) if f != left_out]
+        toxic, clean = (sum(totals[f"n{f}_{m}"] for f in used) for m in (1, 0))
+        if not toxic or not clean:
+            columns.append(F.lit(0.0))
+            continue
+        of = lambda m, used=used: sum((F.col(f"n{f}_{m}") for f in used), F.lit(0))
+        columns.append(certain_odds(of(1), of(0), toxic / (toxic + clean)))
+    rows = counts.select("token", F.array(*columns).alias("scores")).where(F.exists("scores", lambda x: x != 0)).toPandas()
+    return [{t: float(s[k]) for t, s in zip(rows["token"], rows["scores"], strict=True) if s[k] != 0} for k in range(FOLDS + 1)]
+
+
+def _fold_segments(scores: list[dict[str, float]]):
+    models = [SegmentModel(s) for s in scores]
+
     def run(batches):
         for batch in batches:
-            best, size = [], []
-            for text in batch.column(1).to_pylist():
+            found, size = [], []
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = tokens(text)
-                best.append(max((s for _, _, s in model.segments(words)), default=0.0))
+                found.append([s for _, _, s in models[fold].segments(words)])
                 size.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, pa.float64()), pa.array(size, pa.int64())], names=["key", "mark", "best", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64())), pa.array(size, pa.int64())], names=["mark", "segments", "size"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> SegmentModel:
-    """The model; without labelled documents of both kinds it rates every text near 0."""
-    learn = labelled(docs, labels, text, key)
-    model = SegmentModel()
-    model.scores, model.scale = significant_terms(learn)
-    if not model.scores:
+    """The model; without labelled documents of both kinds it rates every text near 0. Null texts,
+    labels and keys are left out."""
+    chosen, shares = sampled(docs, labels, text, key)
+    learn = stored(chosen)
+    *folds, whole = token_scores(learn)
+    model = SegmentModel(whole)
+    if not whole:
         return model
-    n = max(1, labels.count())
-    part = min(1 << 20, int(CALIBRATION_DOCUMENTS / n * (1 << 20)))
-    chosen = labels.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < part)
-    kind = docs.schema[key].dataType.simpleString()
-    # Numbers only, of a bounded number of documents, reach the driver.
-    rows = labelled(docs, chosen, text, key).mapInArrow(_best(model), f"key {kind}, mark int, best double, size long").select("mark", "best", "size").toPandas()
-    mark, best, size = rows["mark"].to_numpy() > 0, rows["best"].to_numpy(), np.maximum(rows["size"].to_numpy(), 1)
-    clean = ~mark
-    if clean.any() and (best[clean] > 0).any():
-        # The mean number of segments as good as the typical best one of a clean text is about one.
-        model.log_k = float(np.mean(model.scale * best[clean] - np.log(size[clean]))) - np.euler_gamma
-    strength = model.scale * best - model.log_k - np.log(size)
-    model.offset, model.slope = logistic(strength, mark)
+    rated = stored(learn.mapInArrow(_fold_segments(folds), "mark int, segments array<double>, size long"))
+    clean = rated.where("mark = 0")
+    each = clean.select(F.explode("segments").alias("s"))
+    model.threshold = each.agg(F.coalesce(F.percentile_approx("s", COMMON, 10_000), F.lit(0.0))).first()[0]
+    over = each.where(F.col("s") > model.threshold).agg(F.count("*").alias("n"), F.avg(F.col("s") - model.threshold).alias("excess")).first()
+    size = clean.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    model.scale = 1 / max(over["excess"] or 1.0, 1e-3)
+    model.log_k = float(np.log(max(over["n"], 0.5) / max(size, 1)) + model.scale * model.threshold)
+    excess = F.aggregate("segments", F.lit(0.0), lambda held, s: held + F.greatest(s - model.threshold, F.lit(0.0)))
+    rows = rated.select("mark", F.log1p(excess * model.scale).alias("strength")).toPandas()
+    mark = rows["mark"].to_numpy() > 0
+    weight = np.where(mark, 1 / shares.get(1, 1.0), 1 / shares.get(0, 1.0))
+    model.offset, model.slope = logistic(rows["strength"].to_numpy(), mark, weight)
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Offset and slope (not negative) of a one-variable logistic fit with a slight ridge."""
     center, spread = float(x.mean()), float(x.std()) or 1.0
     design = np.stack([np.ones(len(x)), (x - center) / spread], axis=1)
     w = np.zeros(2)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + 0.1 * np.array([0.0, w[1]])
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 0.1])
+        gradient = design.T @ (weight * (p - y)) + 0.1 * np.array([0.0, w[1]])
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 0.1])
         step = np.linalg.solve(hessian, gradient)
-        w -= np.clip(step, -2, 2)
+        w -= np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
     slope = max(0.0, float(w[1]) / spread)
@@ -198,7 +216,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score_documents(docs: DataFrame, model: SegmentModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, score (0 to 1), predicted, n_passages (significant ones), worst_score.
 
-    Null and empty texts have no segment and get the score of one clean token. No shuffle.
+    Null and empty texts have no segment, so the score of a text without any; repeated rows are scored
+    alike; an empty table gives no rows. No shuffle.
     """
 
     def run(batches):
@@ -207,8 +226,8 @@ def score_documents(docs: DataFrame, model: SegmentModel, text: str = "text", ke
             for t in batch.column(1).to_pylist():
                 words = tokens(t)
                 found = [s for _, _, s in model.segments(words)]
-                score = model.probability(model.strength(max(found, default=0.0), len(words)))
-                out.append((score, int(score >= 0.5), sum(model.strength(s, len(words)) > 3 for s in found), max(found, default=0.0)))
+                score = model.probability(model.strength(found))
+                out.append((score, int(score >= 0.5), sum(model.significance(s, len(words)) > 3 for s in found), max(found, default=0.0)))
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.int64(), pa.float64()), strict=True))], names=["key", "score", "predicted", "n_passages", "worst_score"])
 
@@ -217,7 +236,8 @@ def score_documents(docs: DataFrame, model: SegmentModel, text: str = "text", ke
 
 
 def toxic_passages(docs: DataFrame, model: SegmentModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, first_token, end_token, passage, score, strength) of every significant toxic passage."""
+    """(key, first_token, end_token, passage, score, strength) of every significant toxic passage;
+    strength: -log of how many as good clean text of that length would have. Null texts have none."""
 
     def run(batches):
         for batch in batches:
@@ -225,7 +245,7 @@ def toxic_passages(docs: DataFrame, model: SegmentModel, text: str = "text", key
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = tokens(t)
                 for a, b, s in model.segments(words):
-                    if (strength := model.strength(s, len(words))) > 3:
+                    if (strength := model.significance(s, len(words))) > 3:
                         keys.append(i)
                         out.append((a, b, " ".join(words[a:b]), s, float(strength)))
             columns = zip(*out, strict=True) if out else ([], [], [], [], [])
@@ -236,6 +256,7 @@ def toxic_passages(docs: DataFrame, model: SegmentModel, text: str = "text", key
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """score_documents() by a model of the rows that aren't held out (crc32 of the id modulo 5 is 0)."""
+    """score_documents() by a model of the rows that aren't held out (crc32 of the id modulo 5 is 0). Rows
+    with a null key are not held out and teach nothing."""
     scored = score_documents(docs, fit(docs, labels, text, key), text, key)
     return scored.withColumn("held_out", F.coalesce(id_remainder(key, 5) == 0, F.lit(False)))

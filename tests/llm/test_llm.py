@@ -199,17 +199,6 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in segment_toxicity.maximal_segments(kept)] == brute_segments(values)
 
 
-def test_toxicity(spark, nothing):
-    rows = [(i, words(80, i) + (" foul nasty " if i % 5 == 0 else " ") + words(30, 1000 + i)) for i in range(400)]
-    df = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in segment_toxicity.judge(df, labels).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(got[i].held_out for i in held) and np.mean([got[i].predicted == int(i % 5 == 0) for i in held]) > 0.95
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[900].predicted == 0
-    assert segment_toxicity.judge(nothing, labels).count() == 0
-
-
 def test_pipeline_keeps_columns(spark, docs):
     import corpus_pipeline
 
