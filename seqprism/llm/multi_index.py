@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 from .components import components
 
-#: Vectors that codebooks and visits are fitted on, about; codewords of a half at most.
-SAMPLE, MOST_WORDS = 4096, 256
-#: Vectors per cell that the number of codewords aims at; members or visitors in one block.
-PER_CELL, PART = 64, 1024
+#: Vectors that codebooks and visits are fitted on, about, and for each codeword: codewords grow with
+#: the square root of the vectors, so the sample does, too, beyond the first number.
+SAMPLE, SAMPLE_PER_WORD = 4096, 16
+#: Vectors per cell that the number of codewords aims at; members and visitors in one block. Blocks
+#: are larger where there are more than 2^30 visits, so that at most some 2^20 cells are cut.
+PER_CELL, MEMBERS, VISITORS, CUT_CELLS = 64, 1024, 4096, 1 << 20
 RECALL = 0.999
 
 
@@ -53,6 +55,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.sqrt((wide**2).sum(axis=1, keepdims=True))
 
 
+def nearest_words(d: np.ndarray, most: int) -> np.ndarray:
+    """Indexes of the `most` smallest distances of each row, in order; equal ones by index."""
+    if most >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    some = np.sort(np.argpartition(d, most, axis=1)[:, :most], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+
+
+def codewords(count: int) -> int:
+    """Codewords of each half for that many vectors."""
+    return max(2, int(np.sqrt(count / PER_CELL)))
+
+
 @dataclass
 class Index:
     first: np.ndarray
@@ -70,10 +85,8 @@ class Index:
         it at least, so only pairs with a product within the number of visits can be among them.
         """
         one, two = self.halves(vectors)
-        a, b = np.divmod(np.arange(one.shape[1] * two.shape[1]), two.shape[1])
-        within = (a + 1) * (b + 1) <= visits
-        a, b = a[within], b[within]
-        by_one, by_two = np.argsort(one, axis=1, kind="stable"), np.argsort(two, axis=1, kind="stable")
+        a, b = np.array([(a, b) for a in range(min(visits, one.shape[1])) for b in range(min(visits // (a + 1), two.shape[1]))]).T
+        by_one, by_two = nearest_words(one, visits), nearest_words(two, visits)
         total = np.take_along_axis(one, by_one, 1)[:, a] + np.take_along_axis(two, by_two, 1)[:, b]
         best = np.argsort(total, axis=1, kind="stable")[:, :visits]
         return by_one[np.arange(len(vectors))[:, None], a[best]] * two.shape[1] + by_two[np.arange(len(vectors))[:, None], b[best]]
@@ -82,7 +95,7 @@ class Index:
 def fit(sample: np.ndarray, count: int, threshold: float, seed: int = 1) -> Index:
     """Codebooks, and the visits at which random pairs at the threshold are met with RECALL."""
     middle = sample.shape[1] // 2 or 1
-    words = int(np.clip(np.sqrt(count / PER_CELL), 2, MOST_WORDS))
+    words = codewords(count)
     index = Index(codebook(sample[:, :middle], words, seed), codebook(sample[:, middle:] if sample.shape[1] > 1 else sample[:, :0], words, seed + 1), 1)
     random = np.random.default_rng(seed)
     own = sample[random.integers(0, len(sample), 4000)]
@@ -144,7 +157,7 @@ def _deal(index: Index, blocks: dict[tuple[int, int], int]):
                 cells, rows = cells[order], rows[order]
                 for own in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(cells)) + 1):
                     cell = int(cells[own[0]])
-                    mine, others = blocks[cell, role], blocks[cell, 1 - role]
+                    mine, others = blocks.get((cell, role), 1), blocks.get((cell, 1 - role), 1)
                     part = (node[rows[own]].view(np.uint64) >> np.uint64(7)) % np.uint64(mine)
                     for p in np.unique(part).tolist():
                         chosen = rows[own[part == p]]
@@ -200,39 +213,49 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, vector: str = "embedd
 
     n_links: other rows with a cosine of `threshold` or more; component_id: the smallest key
     reachable by links, its own included. Vectors that are null, empty, zero or hold null or
-    non-finite components have no links, nor have rows with a null key, nor vectors of another length
-    than the most frequent one.
+    non-finite components have no links, nor have rows with a null key. Vectors of different lengths
+    have no cosine: each length has an index of its own (and its own few jobs). Repeated rows count as
+    rows; an empty table gives no rows.
     """
     column = F.col(vector)
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.col(key).isNotNull() & column.isNotNull() & F.coalesce(finite & F.exists(column, lambda x: x != 0), F.lit(False))
     own = rows.select(F.col(key).cast("long").alias("key"), column.cast("array<float>").alias("v"), sound.alias("sound"))
-    light = own.select("key", F.when(F.col("sound"), F.xxhash64("v")).alias("node"), F.when(F.col("sound"), F.size("v")).alias("dims"))
-    light = cut(light)
-    widths = light.where("node IS NOT NULL").groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    empty = light.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    if widths is None:
-        return empty
-    dims = widths["dims"]
-    usable = own.where(F.col("sound") & (F.size("v") == dims)).select("key", F.xxhash64("v").alias("node"), "v")
-    classes = cut(usable.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")))
+    # Equal vectors are told by 128 bits.
+    own = own.select("key", "v", "sound", F.when(F.col("sound"), F.struct(F.size("v").alias("dims"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))).alias("node"))
+    light = cut(own.select("key", "sound", "node"))
+    none = light.where("NOT sound").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    found, total = none, light.count()
+    for r in light.where("sound").groupBy("node.dims").agg(F.count("*").alias("n")).orderBy("dims").collect():
+        usable = own.where(F.col("sound") & (F.size("v") == r["dims"]))
+        placed = _near_of_width(usable, r["dims"], threshold)
+        same = light.where(F.col("node.dims") == r["dims"])
+        found = found.unionByName(salted_join(same.select("key", "node"), placed, "node", "key", total).select("key", "n_links", "component_id"))
+    return found.select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _near_of_width(usable: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(node, n, n_links, component_id) of each distinct vector; usable: key, v, node, all of one length."""
+    classes = cut(usable.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("id", F.monotonically_increasing_id()))
     count = classes.count()
-    share = min(1 << 20, int(SAMPLE / max(1, count) * (1 << 20)) + 1)
-    # About SAMPLE vectors at any input size reach the driver.
-    sample = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share).orderBy("node").select("v").limit(2 * SAMPLE).toPandas()["v"]
+    wanted = max(SAMPLE, SAMPLE_PER_WORD * codewords(count))
+    share = min(1 << 20, int(wanted / max(1, count) * (1 << 20)) + 1)
+    # About `wanted` vectors reach the driver.
+    sample = classes.where(F.pmod(F.col("node.h1"), F.lit(1 << 20)) < share).orderBy("node").select("v").limit(2 * wanted).toPandas()["v"]
     sample = unit(np.stack([np.asarray(v, np.float32) for v in (sample if len(sample) else classes.select("v").limit(1).toPandas()["v"])]))
     index = fit(sample, count, threshold)
-    vectors = classes.select("node", "n", "v")
-    # At most as many rows as there are cells, for members and visitors.
-    tallies = vectors.mapInArrow(_tally(index), "cell long, role int, n long").groupBy("cell", "role").agg(F.sum("n").alias("n")).collect()
-    blocks = dict.fromkeys(((cell, role) for cell in range(len(index.first) * len(index.second)) for role in (0, 1)), 1) | {(r.cell, r.role): -(-r.n // PART) for r in tallies}
+    vectors = classes.select(F.col("id").alias("node"), "n", "v")
+    largest = max(1, count * (index.visits + 1) // CUT_CELLS)
+    limit = F.when(F.col("role") == 0, F.lit(max(MEMBERS, largest))).otherwise(F.lit(max(VISITORS, largest)))
+    # Only cells to be cut come to the driver: each has more than `largest` members or visitors.
+    tallies = vectors.mapInArrow(_tally(index), "cell long, role int, n long").groupBy("cell", "role").agg(F.sum("n").alias("n"))
+    blocks = {(r.cell, r.role): r.parts for r in tallies.where(F.col("n") > limit).select("cell", "role", F.ceil(F.col("n") / limit).cast("int").alias("parts")).collect()}
     shape = "cell long, members int, visitors int, role int, nodes binary, counts binary, vectors binary"
     dealt = vectors.mapInArrow(_deal(index, blocks), shape)
     found = cut(dealt.groupBy("cell", "members", "visitors").applyInPandas(_compare(index, dims, threshold), "a long, b long, links long"))
-    linked = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    parts = components(found.select("a", "b"))
-    joined = cut(classes.select("node", "least", "n").join(linked, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = joined.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = light.join(placed, "node", "left").select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id"))
-    return out.select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    linked = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    parts = components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
+    joined = cut(classes.select("node", "id", "least", "n").join(linked, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    placed = salted_join(joined, least, "component", "id", count, "members")
+    return cut(placed.select("node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"))
