@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder
 
-#: Documents of each language that training draws from, about, and characters taken from each, at a place by its hash.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 6_000, 256
+#: Documents of each language that training draws from, about: their whole texts.
+SAMPLE_DOCUMENTS = 2_000
 #: Bytes of a chunk, width of each direction, chunks computed at once.
 CHUNK, HIDDEN, BLOCK = 64, 8, 1024
 STEPS, BATCH, RATE = 500, 256, 0.02
@@ -192,21 +192,25 @@ class ByteTagger:
         return total / np.maximum(sizes, 1)[:, None]
 
 
-def train(chunks: list[tuple[bytes, int]], languages: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 1) -> ByteTagger:
-    """Adam on batches drawn with the same share for each language."""
+def train(texts: list[tuple[bytes, int]], languages: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 1) -> ByteTagger:
+    """Adam on batches of chunks drawn from the whole texts, with the same share for each language."""
     model = ByteTagger.new(languages, hidden, seed)
     random = np.random.default_rng(seed)
-    codes = np.zeros((CHUNK, len(chunks)), np.uint8)
-    mask = np.zeros((CHUNK, len(chunks)), bool)
-    for i, (text, _) in enumerate(chunks):
-        codes[: len(text), i] = np.frombuffer(text, np.uint8)
-        mask[: len(text), i] = True
-    target = np.array([label for _, label in chunks])
+    data = np.frombuffer(b"".join(body for body, _ in texts), np.uint8)
+    stops = np.cumsum([len(body) for body, _ in texts])
+    parts = np.array([-(-len(body) // CHUNK) for body, _ in texts])
+    owner = np.repeat(np.arange(len(texts)), parts)
+    start = (stops - [len(body) for body, _ in texts])[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * CHUNK
+    length = np.minimum(stops[owner] - start, CHUNK)
+    target = np.array([label for _, label in texts])[owner]
     by_language = [np.flatnonzero(target == k) for k in range(len(languages))]
+    steps_of_chunk = np.arange(CHUNK)[:, None]
     first, second = ([np.zeros_like(p) for p in model.parameters()] for _ in range(2))
     for step in range(1, steps + 1):
         own = np.concatenate([random.choice(x, max(1, BATCH // len(languages))) for x in by_language])
-        _, gradients = model.loss_gradients(codes[:, own], mask[:, own], target[own])
+        mask = steps_of_chunk < length[own]
+        codes = np.where(mask, data[np.minimum(start[own] + steps_of_chunk, len(data) - 1)], 0).astype(np.uint8)
+        _, gradients = model.loss_gradients(codes, mask, target[own])
         norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in gradients))
         rate = RATE * min(1.0, 3 * (1 - step / (steps + 1)))
         for p, g, m, v in zip(model.parameters(), gradients, first, second, strict=True):
@@ -218,20 +222,18 @@ def train(chunks: list[tuple[bytes, int]], languages: list[str], steps: int = ST
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteTagger | None:
-    """Trains on about SAMPLE_DOCUMENTS documents of each language that aren't held out, chosen by a
-    hash, with a stretch of SAMPLE_BYTES characters of each; None without labelled text. Every
-    language of the labelled rows is learnt, however rare."""
+    """Trains on the whole texts of about SAMPLE_DOCUMENTS documents of each language that aren't held
+    out, chosen by a hash; None without labelled text. Every language of the labelled rows is learnt,
+    however rare. The driver holds the chosen texts."""
     usable = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where((id_remainder("key", 5) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     part = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1 << 20, -(-SAMPLE_DOCUMENTS * (1 << 20) // n)))]), F.col("lang"))
-    at = F.pmod(F.xxhash64("key", F.lit(3)), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(1))).cast("int") + 1
-    rows = usable.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < part).select("key", "lang", F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text")).toPandas().sort_values(["key", "lang", "text"])
+    rows = usable.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < part).select("key", "lang", "text").toPandas().sort_values(["key", "lang", "text"])
     languages = sorted(rows["lang"].unique())
     number = {name: k for k, name in enumerate(languages)}
-    chunks = [(body[i : i + CHUNK], number[name]) for body, name in zip(rows["text"].str.encode("utf-8"), rows["lang"], strict=True) for i in range(0, len(body), CHUNK)]
-    return train(chunks, languages)
+    return train([(body, number[name]) for body, name in zip(rows["text"].str.encode("utf-8"), rows["lang"], strict=True)], languages)
 
 
 def predict(docs: DataFrame, model: ByteTagger | None, text: str = "text", key: str = "doc_id") -> DataFrame:
