@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .pretoken import ChunkMemo, chunks
 
 #: Short pieces that one block packs, on average; each document has one at most.
@@ -152,25 +153,31 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return sequence, offset
 
 
-def pack_pieces(rows: DataFrame, n_documents: int, size: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to the rows of pieces()."""
-    blocks = max(1, -(-n_documents // BLOCK_PIECES))
+def pack_pieces(rows: DataFrame, size: int = 2048) -> DataFrame:
+    """Adds sequence_id and offset to the rows of pieces(), which are read twice.
+
+    Pieces of full size are sequences of their own (negative ids) and meet in no task; the others are
+    dealt into blocks of BLOCK_PIECES on average, however long their documents are.
+    """
+    names = [*rows.columns, "sequence_id", "offset"]
+    full = rows.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = rows.where(F.col("length") < size)
+    blocks = max(1, -(-short.count() // BLOCK_PIECES))
     spread = F.xxhash64("key", "start", "length", "ids_crc32")
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
         sequence, offset = sum_of_squares(block["length"].to_numpy(), size)
         return block.assign(sequence_id=(block["block"].to_numpy() << 36) + sequence, offset=offset)[names]
 
-    names = [*rows.columns, "sequence_id", "offset"]
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    return rows.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("long")).groupBy("block").applyInPandas(pack, shape)
+    return short.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("long")).groupBy("block").applyInPandas(pack, shape).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Packs all documents into sequences of at most `size` tokens.
 
-    One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset. An empty table
+    One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset. Null text: empty, so
+    the end id alone; repeated rows and null keys are packed as rows of their own. An empty table
     gives no rows. Ties between pieces of equal length are broken by input order.
     """
-    rows = pieces(docs, tokenizer_file, size, end_id, text, key)
-    return pack_pieces(rows, docs.count(), size).withColumnRenamed("key", key)
+    return pack_pieces(cut(pieces(docs, tokenizer_file, size, end_id, text, key)), size).withColumnRenamed("key", key)
