@@ -18,12 +18,11 @@ def softmax(value: Column, *by: str) -> Column:
 
 
 def heat_color(value: Column, low: float = -0.4, high: float = 0.4) -> Column:
-    """`#rrggbb` from blue over white to red, values clamped to [low, high]."""
-    part = (F.least(F.greatest(value, F.lit(low)), F.lit(high)) - low) / (high - low)
-    fade = F.floor(255 * (1 - F.abs(2 * part - 1))).cast("int")
-    full = F.lit(255)
-    red, blue = F.when(part >= 0.5, full).otherwise(fade), F.when(part >= 0.5, fade).otherwise(full)
-    return F.format_string("#%02x%02x%02x", red, fade, blue)
+    """`#rrggbb` from blue over black (0) to yellow, values clamped to [low, high], channels cut to whole
+    numbers."""
+    up, down = F.least(value / high, F.lit(1.0)), F.least(value / low, F.lit(1.0))
+    channel = lambda part: F.floor(255 * F.greatest(part, F.lit(0.0))).cast("int")
+    return F.format_string("#%02x%02x%02x", channel(up), channel(up), channel(down))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -46,6 +46,15 @@ def kmer_weight(kmer: Column, k: int, kmin: int, table: Column) -> Column:
     return F.get(table, (kmer_code(canonical(kmer)) + (4**k - 4**kmin) // 3).cast("int"))
 
 
+def kmer_places(seq: Column, kmin: int, kmax: int) -> Column:
+    """Array of the feature_index() of the canonical form of every k-mer, shorter ones first."""
+
+    def of_length(k: int) -> Column:
+        return F.transform(windows(seq, k), lambda s: (kmer_code(canonical(s)) + (4**k - 4**kmin) // 3).cast("int"))
+
+    return F.concat(*map(of_length, range(kmin, kmax + 1)))
+
+
 def windows(seq: Column, size: int) -> Column:
     """Array of all substrings of a length, in order; empty if the sequence is shorter."""
     places = F.when(F.length(seq) >= size, F.sequence(F.lit(1), F.length(seq) - size + 1)).otherwise(F.array().cast("array<int>"))

@@ -5,28 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqprism.functions.scores import softmax
+from seqprism.functions.sequence import kmer_places, weight_table
 
-from .kmers import occurrences
+from .ranking import cut
 
 
-def logits(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None = None) -> DataFrame:
-    """(site_id, model, logit): the sum of the weights of a site's k-mers, and the model's intercept.
+def _site_scores(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None) -> DataFrame:
+    """(site_id, scores): an array of (model, logit) for each site with a k-mer, made within its row.
 
-    weights has at most (number of k-mers) x (number of models) rows, whatever the input: the one side
-    that is broadcast. Every site starts from zero; nothing is carried from one to the next.
+    All weights are one broadcast row, an array for each model with as many entries as there are
+    k-mers: at most (number of k-mers) x (number of models) numbers, whatever the input. The places of
+    a site's k-mers are found once for all models. Every site starts from zero.
     """
-    found = occurrences(sites.select("site_id", "seq"), kmin, kmax).select("site_id", "kmer")
-    per_kmer = found.groupBy("site_id", "kmer").agg(F.count("*").alias("cnt"))
-    sums = per_kmer.join(F.broadcast(weights), "kmer").groupBy("site_id", "model").agg(F.sum(F.col("cnt") * F.col("weight")).alias("logit"))
+    table = weights.groupBy("model").agg(weight_table(F.collect_list(F.struct("kmer", "weight")), kmin, kmax).alias("weight_of"))
     if intercepts is None:
-        return sums
-    return sums.join(F.broadcast(intercepts), "model").select("site_id", "model", (F.col("logit") + F.col("intercept")).alias("logit"))
+        table = table.withColumn("intercept", F.lit(0.0))
+    else:
+        table = table.join(intercepts, "model", "left").withColumn("intercept", F.coalesce("intercept", F.lit(0.0)))
+    models = cut(table.agg(F.sort_array(F.collect_list(F.struct("model", "intercept", "weight_of"))).alias("models")))
+
+    def logit(places, m):
+        return F.aggregate(places, m["intercept"].cast("double"), lambda held, i: held + F.get(m["weight_of"], i))
+
+    def scores(places):
+        return F.transform("models", lambda m: F.struct(m["model"].alias("model"), logit(places, m).alias("logit")))
+
+    # The outer transform holds the places, so that they are computed once.
+    whole = F.transform(F.array(kmer_places(F.col("seq"), kmin, kmax)), scores)[0]
+    return sites.where(F.length("seq") >= kmin).select("site_id", "seq").crossJoin(F.broadcast(models)).select("site_id", whole.alias("scores"))
+
+
+def logits(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None = None) -> DataFrame:
+    """(site_id, model, logit): the sum of the weights of a site's k-mers, and the model's intercept."""
+    return _site_scores(sites, weights, kmin, kmax, intercepts).select("site_id", F.inline("scores"))
+
+
+def posteriors(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None = None) -> DataFrame:
+    """(site_id, model, logit, prob): logits and their softmax over the models, without a shuffle."""
+
+    def weighed(scores):
+        highest = F.array_max(F.transform(scores, lambda x: x["logit"]))
+        return F.transform(scores, lambda x: F.struct(x["model"].alias("model"), x["logit"].alias("logit"), F.exp(x["logit"] - highest).alias("part")))
 
+    def shared(parts):
+        total = F.aggregate(parts, F.lit(0.0), lambda held, x: held + x["part"])
+        return F.transform(parts, lambda x: F.struct(x["model"].alias("model"), x["logit"].alias("logit"), (x["part"] / total).alias("prob")))
 
-def posteriors(site_logits: DataFrame) -> DataFrame:
-    """(site_id, model, logit, prob)."""
-    return site_logits.withColumn("prob", softmax(F.col("logit"), "site_id"))
+    rows = _site_scores(sites, weights, kmin, kmax, intercepts)
+    parts = F.transform(F.array("scores"), weighed)
+    return rows.select("site_id", F.inline(F.transform(parts, shared)[0]))
 
 
 def predictions(site_posteriors: DataFrame) -> DataFrame:

@@ -282,6 +282,6 @@ def cross_validate(sites: DataFrame, config: AnalysisConfig) -> DataFrame:
         weights = leaves.where("feature <> '(Intercept)'").select("model", F.col("feature").alias("kmer"), F.col("value").alias("weight"))
         intercepts = leaves.where("feature = '(Intercept)'").select("model", F.col("value").alias("intercept"))
         held = sites.join(folds.where(F.col("fold") == fold), "site_id", "left_semi")
-        found = infer.posteriors(infer.logits(held, weights, config.kmin, config.kmax, intercepts)).join(held.select("site_id", "annotation"), "site_id")
+        found = infer.posteriors(held, weights, config.kmin, config.kmax, intercepts).join(held.select("site_id", "annotation"), "site_id")
         out = found if out is None else out.unionByName(found)
     return out.select("site_id", "annotation", "model", "prob")

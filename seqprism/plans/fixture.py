@@ -13,8 +13,8 @@ from seqprism.config import AnalysisConfig
 from seqprism.session import prepare
 
 CONFIG = AnalysisConfig()
-#: Sites of one document at most: ids are document * SITES + tile.
-SITES = 100_000
+#: Ids of sites are document * SITES + tile: a text of 2 GB, the most there can be, has fewer tiles.
+SITES = 100_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

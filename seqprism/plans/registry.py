@@ -199,6 +199,10 @@ def _logits(spark, d) -> DataFrame:
     return infer.logits(sites(spark, d), _weights(spark, d), KMIN, KMAX)
 
 
+def _posteriors(spark, d) -> DataFrame:
+    return infer.posteriors(sites(spark, d), _weights(spark, d), KMIN, KMAX)
+
+
 @query("SELECT site_id, model, round(logit, 6) AS logit FROM site_logits")
 def site_logits(spark, d):
     return _logits(spark, d).withColumn("logit", F.round("logit", 6))
@@ -206,7 +210,7 @@ def site_logits(spark, d):
 
 @query("SELECT site_id, model, round(logit, 6) AS logit, round(prob, 6) AS prob FROM site_posteriors")
 def site_posteriors(spark, d):
-    return infer.posteriors(_logits(spark, d)).withColumns({"logit": F.round("logit", 6), "prob": F.round("prob", 6)})
+    return _posteriors(spark, d).withColumns({"logit": F.round("logit", 6), "prob": F.round("prob", 6)})
 
 
 @query("SELECT site_id, max(prob) FILTER (model = 'de') AS de, max(prob) FILTER (model = 'en') AS en, max(prob) FILTER (model = 'es') AS es, max(prob) FILTER (model = 'fr') AS fr FROM (SELECT site_id, model, round(prob, 6) AS prob FROM site_posteriors) GROUP BY 1")
@@ -228,13 +232,13 @@ FROM sites JOIN predictions USING (site_id) GROUP BY lang))"""
 
 @query(CONFUSION)
 def confusion_metrics(spark, d):
-    predicted = infer.predictions(infer.posteriors(_logits(spark, d)))
+    predicted = infer.predictions(_posteriors(spark, d))
     actual = sites(spark, d).select("site_id", F.col("lang").alias("actual"))
     return infer.confusion_metrics(actual.join(predicted, "site_id"))
 
 
 def _scored(spark, d) -> DataFrame:
-    found = infer.posteriors(_logits(spark, d))
+    found = _posteriors(spark, d)
     return found.join(sites(spark, d).select("site_id", "lang"), "site_id").select("model", F.round("prob", 6).alias("score"), (F.col("model") == F.col("lang")).alias("positive"))
 
 
@@ -431,7 +435,7 @@ def motif_model_scores(spark, d):
     return motifs.model_scores(_motif_kmers(spark, d), _weights(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("SELECT motif, model, printf('#%02x%02x%02x', up, up, down) AS color FROM (SELECT motif, model, CAST(floor(255 * greatest(least(score / 0.4, 1.0), 0.0)) AS INT) AS up, CAST(floor(255 * greatest(least(score / -0.4, 1.0), 0.0)) AS INT) AS down FROM (SELECT motif, model, CAST(round(sum(weight), 6) AS DOUBLE) AS score FROM motif_kmers JOIN weights USING (kmer) GROUP BY ALL))")
 def heat_map_colors(spark, d):
     return motif_model_scores(spark, d).select("motif", "model", scores.heat_color(F.col("score")).alias("color"))
 

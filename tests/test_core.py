@@ -92,7 +92,7 @@ def test_streamed_rows_agree_with_batch(spark):
     seqs = spark.createDataFrame([(1, "ACGTACGT"), (2, "AAAAACCC")], "site_id long, seq string")
     of = {"a": {"ACGT": 1.0, "AAAA": -0.5}, "b": {"CCCC": 2.0, "AAAA": 0.25}}
     weights = spark.createDataFrame([(m, k, w) for m, d in of.items() for k, w in d.items()], "model string, kmer string, weight double")
-    batch = {(r.site_id, r.model): r.prob for r in infer.posteriors(infer.logits(seqs, weights, 4, 4)).collect()}
+    batch = {(r.site_id, r.model): r.prob for r in infer.posteriors(seqs, weights, 4, 4).collect()}
     row = {r.site_id: r.posterior for r in score_rows(seqs, of, 4, 4).collect()}
     assert row[2]["a"] == pytest.approx(batch[2, "a"]) and sum(row[1].values()) == pytest.approx(1)
 
@@ -196,4 +196,4 @@ def test_files_round_trip(spark, tmp_path):
 def test_colors_and_threshold(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (0.4,)], "v double")
     rows = df.select(scores.heat_color(F.col("v")).alias("c"), scores.soft_threshold(F.col("v"), 0.25).alias("s")).collect()
-    assert [r.c for r in rows] == ["#0000ff", "#ffffff", "#ff0000"] and [round(r.s, 6) for r in rows] == [-0.75, 0.0, 0.15]
+    assert [r.c for r in rows] == ["#0000ff", "#000000", "#ffff00"] and [round(r.s, 6) for r in rows] == [-0.75, 0.0, 0.15]
