@@ -14,43 +14,45 @@ from seqprism.functions.sequence import kmer_weight, weight_table, windows
 from .ranking import cut
 
 
-def _running(seq: Column, weight_of: Column, k: int, kmin: int) -> Column:
-    """Running sums of the weights of the k-mers from each place on, beginning with 0."""
-    values = F.transform(windows(seq, k), lambda s: kmer_weight(s, k, kmin, weight_of))
-    start = F.array(F.lit(0.0))
-    return F.aggregate(values, start, lambda held, v: F.concat(held, F.array(F.element_at(held, -1) + v)))
-
-
 def window_scores(scans: DataFrame, weights: DataFrame, kmin: int, kmax: int, shortest: int, longest: int) -> DataFrame:
     """scans (site_id, model, seq) with `windows`: an array of (len, start, score) over all windows.
 
-    A window's score is the sum of the weights of all k-mers within it, from running sums: the work is
-    the number of windows, not windows times their length. The weights of one model are one array, with
+    A window's score is the sum of the weights of all k-mers within it: that of the window one shorter
+    at the same place, and the k-mers that end with its last letter. So the work is the number of
+    windows, not windows times their length. The weights of one model are one array, with
     as many entries as there are k-mers.
     """
     table = cut(weights.groupBy("model").agg(F.collect_list(F.struct("kmer", "weight")).alias("pairs")).select("model", weight_table(F.col("pairs"), kmin, kmax).alias("weight_of")))
     lengths = list(range(kmin, kmax + 1))
-    summed = scans.join(F.broadcast(table), "model")
-    # One array holds the running sums of all lengths, so that they are computed once.
-    sums = F.array(*[_running(F.col("seq"), F.col("weight_of"), k, kmin) for k in lengths])
+    valued = scans.join(F.broadcast(table), "model")
+    def weights_of(k: int) -> Column:
+        return F.transform(windows(F.col("seq"), k), lambda s: kmer_weight(s, k, kmin, F.col("weight_of")))
+
+    # One array holds the weights of the k-mers of all lengths, so that they are looked up once.
+    values = F.array(*map(weights_of, lengths))
+
+    def starts(size: Column) -> Column:
+        return F.when(F.length("seq") >= size, F.sequence(F.lit(0), F.length("seq") - size)).otherwise(F.array().cast("array<int>"))
 
-    def of(running: Column) -> Column:
-        def scored(size: int) -> Column:
-            starts = F.when(F.length("seq") >= size, F.sequence(F.lit(0), F.length("seq") - size)).otherwise(F.array().cast("array<int>"))
+    def of(value: Column) -> Column:
+        def total(i: Column, places: list[tuple[int, Column]]) -> Column:
+            return sum((value[n][i + p] for n, p in places), F.lit(0.0))
 
+        def longer(held: Column, size: Column) -> Column:
             def score(i: Column) -> Column:
-                total = F.lit(0.0)
-                for n, k in enumerate(lengths):
-                    if k <= size:
-                        total = total + running[n][i + (size - k + 1)] - running[n][i]
-                return F.struct(F.lit(size).alias("len"), i.alias("start"), F.round(total, 6).alias("score"))
+                ends = [F.when(size >= k, value[n][F.greatest(i + size - k, F.lit(0))]).otherwise(0.0) for n, k in enumerate(lengths)]
+                return sum(ends, F.element_at(held, -1)[i])
 
-            return F.transform(starts, score)
+            return F.concat(held, F.array(F.transform(starts(size), score)))
 
-        return F.concat(*[scored(size) for size in range(shortest, longest + 1)])
+        first = [(n, F.lit(p)) for n, k in enumerate(lengths) for p in range(shortest - k + 1)]
+        sizes = F.sequence(F.lit(shortest + 1), F.lit(longest)) if longest > shortest else F.array().cast("array<int>")
+        by_size = F.aggregate(sizes, F.array(F.transform(starts(F.lit(shortest)), lambda i: total(i, first))), longer)
+        named = F.transform(by_size, lambda held, n: F.transform(held, lambda x, i: F.struct((n + shortest).alias("len"), i.alias("start"), F.round(x, 6).alias("score"))))
+        return F.flatten(named)
 
-    found = F.transform(F.array(sums), of)[0]
-    return summed.select("site_id", "model", "seq", found.alias("windows"))
+    found = F.transform(F.array(values), of)[0]
+    return valued.select("site_id", "model", "seq", found.alias("windows"))
 
 
 def candidates(scored: DataFrame, threshold: float) -> DataFrame:

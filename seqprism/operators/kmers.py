@@ -24,15 +24,28 @@ def occurrences(sites: DataFrame, kmin: int, kmax: int, seq: str = "seq") -> Dat
     return sites.select(*others, F.explode(F.concat(*parts)).alias("o")).select(*others, "o.k", "o.pos", "o.kmer")
 
 
-def site_counts(sites: DataFrame, kmin: int, kmax: int) -> DataFrame:
-    """(site_id, k, kmer, cnt). All rows of a site come from one row, so the sums are made before the
-    shuffle."""
-    return occurrences(sites.select("site_id", "seq"), kmin, kmax).groupBy("site_id", "k", "kmer").agg(F.count("*").alias("cnt"))
+def _spelled(sites: DataFrame, others: list[str], kmin: int, kmax: int) -> DataFrame:
+    """others, k and the k-mer as it stands in the sequence, for each occurrence."""
+    lengths = sites.select(*others, "seq", F.explode(F.array(*map(F.lit, range(kmin, kmax + 1)))).alias("k")).where(F.length("seq") >= F.col("k"))
+    placed = lengths.select(*others, "seq", "k", F.explode(F.sequence(F.lit(1), F.length("seq") - F.col("k") + 1)).alias("_at"))
+    return placed.select(*others, "k", F.substring("seq", F.col("_at"), F.col("k")).alias("_spelled"))
+
+
+def site_counts(sites: DataFrame, kmin: int, kmax: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(site_id, keep, k, kmer, cnt); keep: columns with one value for each site.
+
+    Where the sites are dealt by site_id, no k-mer is shuffled.
+    """
+    others = ["site_id", *keep]
+    found = _spelled(sites, others, kmin, kmax).withColumn("kmer", canonical(F.col("_spelled")))
+    return found.groupBy(*others, "k", "kmer").agg(F.count("*").alias("cnt"))
 
 
 def class_counts(sites: DataFrame, by: str, kmin: int, kmax: int) -> DataFrame:
-    """(by, kmer, cnt): at most one row for each class and k-mer leaves a task."""
-    return occurrences(sites.select(by, "seq"), kmin, kmax).groupBy(by, "kmer").agg(F.count("*").alias("cnt"))
+    """(by, kmer, cnt): at most one row for each class and spelling of a k-mer leaves a task; the two
+    spellings of a k-mer meet after that."""
+    spelled = _spelled(sites, [by], kmin, kmax).groupBy(by, "_spelled").agg(F.count("*").alias("_n"))
+    return spelled.groupBy(by, canonical(F.col("_spelled")).alias("kmer")).agg(F.sum("_n").alias("cnt"))
 
 
 def all_kmers(spark, kmin: int, kmax: int) -> DataFrame:
@@ -51,14 +64,24 @@ def feature_stats(counts: DataFrame, site_weights: DataFrame) -> DataFrame:
 
     sd = sqrt(|sum(w x^2) - W mean^2| / (W - 1)), W the sum of all weights.
     """
-    total = site_weights.agg(F.sum("weight")).first()[0] or 0.0
-    sums = counts.join(site_weights, "site_id").groupBy("kmer").agg(F.sum(F.col("weight") * F.col("cnt")).alias("s"), F.sum(F.col("weight") * F.col("cnt") * F.col("cnt")).alias("q"))
+    return weighted_stats(counts.join(site_weights, "site_id"), site_weights.agg(F.sum("weight")).first()[0] or 0.0)
+
+
+def weighted_stats(counts: DataFrame, total: float) -> DataFrame:
+    """feature_stats() of counts that have their site's weight; total: the sum of all sites' weights."""
+    sums = counts.groupBy("kmer").agg(F.sum(F.col("weight") * F.col("cnt")).alias("s"), F.sum(F.col("weight") * F.col("cnt") * F.col("cnt")).alias("q"))
     mean = F.col("s") / total
     return sums.select("kmer", mean.alias("mean"), F.sqrt(F.abs(F.col("q") - total * mean * mean) / (total - 1)).alias("sd"))
 
 
-def constant_features(counts: DataFrame, n_sites: int) -> DataFrame:
-    """k-mers that every site has equally often (absent ones aside)."""
+def constant_features(counts: DataFrame, n_sites: int, kmin: int, kmax: int) -> DataFrame:
+    """k-mers that every site has equally often: those of all sites, and those of none, among which are
+    all that are not canonical. As many rows as there are k-mers, at most."""
+    never = all_kmers(counts.sparkSession, kmin, kmax).select("kmer").join(F.broadcast(counts.select("kmer").distinct()), "kmer", "left_anti")
+    return _everywhere(counts, n_sites).unionByName(never)
+
+
+def _everywhere(counts: DataFrame, n_sites: int) -> DataFrame:
     spread = counts.groupBy("kmer").agg(F.count("*").alias("n"), F.min("cnt").alias("low"), F.max("cnt").alias("high"))
     return spread.where((F.col("n") == n_sites) & (F.col("low") == F.col("high"))).select("kmer")
 

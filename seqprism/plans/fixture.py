@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, lang, annotation, seq)."""
     quality = F.when(F.col("quality") == 1, "hi").when(F.col("quality") == 0, "lo").otherwise("un")
-    letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
+    letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]+", ""))
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     rows = docs.select("doc_id", "lang", F.concat("lang", F.lit(";"), quality).alias("annotation"), letters.alias("letters")).where("letters <> ''")
     width = CONFIG.window
@@ -32,6 +32,12 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "annotation", F.posexplode(tiles).alias("tile", "seq")).select((F.col("doc_id") * SITES + F.col("tile")).alias("site_id"), "lang", "annotation", "seq")
 
 
+def dealt_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sites() dealt evenly by site_id, for work that is far dearer than moving 150 letters: a long text
+    would otherwise keep all its sites in one task. Groupings on site_id and more need no other shuffle."""
+    return sites(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "site_id")
+
+
 def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, chrom, start, end): each event as an interval of minutes, as long as its value, per user."""
     minutes = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)
@@ -47,6 +53,7 @@ VIEWS = {
     "subclasses": "SELECT annotation, count(*) AS n FROM sites GROUP BY 1",
     "pieces": "SELECT annotation, unnest(list_distinct(string_split(annotation, ';'))) AS label FROM subclasses",
     "fan_out": "SELECT label, count(*) AS n_subgroups FROM pieces GROUP BY 1 HAVING count(*) > 1",
+    "all_kmers": "SELECT array_to_string(list_transform(range(k), lambda i: substring('ACGT', CAST((c // CAST(pow(4, k - 1 - i) AS BIGINT)) % 4 + 1 AS BIGINT), 1)), '') AS kmer FROM (VALUES (4), (5)) ks(k), range(1024) r(c) WHERE c < pow(4, k)",
     "class_kmers": "SELECT lang, kmer, count(*) AS cnt FROM occ GROUP BY ALL",
     "grid": "SELECT t.lang AS model, o.kmer, coalesce(c.cnt, 0) AS cnt, t.n_class, o.n_kmer, (SELECT sum(cnt) FROM class_kmers) AS n_all FROM (SELECT lang, sum(cnt) AS n_class FROM class_kmers GROUP BY 1) t CROSS JOIN (SELECT kmer, sum(cnt) AS n_kmer FROM class_kmers GROUP BY 1) o LEFT JOIN class_kmers c ON c.lang = t.lang AND c.kmer = o.kmer",
     "weights": "SELECT model, kmer, round(ln((cnt + 1) / (n_class + 648.0)) - ln((n_kmer - cnt + 1) / (n_all - n_class + 648.0)), 6) AS weight FROM grid",
@@ -92,5 +99,6 @@ def with_views(body: str) -> str:
                 add(VIEWS[name])
 
     add(body)
-    clause = ", ".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed)
+    # What several views read is made once.
+    clause = ", ".join(f"{name} AS {'MATERIALIZED ' if name in ('sites', 'counts', 'feature_stats') else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
     return f"WITH {clause} {body}" if clause else body

@@ -14,7 +14,7 @@ from seqprism.operators.ranking import cut, ranked
 from seqprism.sources import writers
 from seqprism.streaming.scoring import score_rows
 
-from .fixture import CONFIG, event_intervals, read, sites, with_views
+from .fixture import CONFIG, dealt_sites, event_intervals, read, sites, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,8 @@ ORACLE_SQL: dict[str, str] = {}
 KMIN, KMAX = CONFIG.kmin, CONFIG.kmax
 #: Canonical k-mers of 4 and 5 letters: the smoothing constant of the surrogate weights.
 CANONICAL = 648
+#: Subclasses whose weights are broadcast at most.
+MOST_SUBCLASSES = 100_000
 #: Production parameters of single queries.
 LEAST, FOLDS, MOTIF_CUTOFF, CG_CUTOFF, BIN, TOP = 200, 3, 0.2, 0.25, 10, CONFIG.top_hills
 
@@ -116,12 +118,12 @@ def stratified_folds(spark, d):
 
 @query("SELECT * FROM counts")
 def kmer_counts(spark, d):
-    return kmers.site_counts(sites(spark, d), KMIN, KMAX)
+    return kmers.site_counts(dealt_sites(spark, d), KMIN, KMAX)
 
 
 @query("SELECT annotation, kmer, count(*) AS cnt FROM occ GROUP BY ALL")
 def kmer_counts_by_class(spark, d):
-    return kmers.class_counts(sites(spark, d), "annotation", KMIN, KMAX)
+    return kmers.class_counts(dealt_sites(spark, d), "annotation", KMIN, KMAX)
 
 
 DINUCLEOTIDES = [a + b for a in "ACGT" for b in "ACGT"]
@@ -140,19 +142,25 @@ def kmer_code_roundtrip(spark, d):
     return coded.select("kmer", "code", sequence.feature_index(F.col("kmer"), KMIN).alias("feature"), sequence.code_kmer(F.col("code"), F.length("kmer")).alias("back"))
 
 
-def _site_weights(s: DataFrame) -> DataFrame:
-    return s.select("site_id", "annotation").join(labels.weights(s).select("annotation", "weight"), "annotation").select("site_id", "weight")
+def _weighted(spark, d) -> tuple[DataFrame, float]:
+    """Counts with the weight of their site, and the sum of all sites' weights. Weights are as many as
+    subclasses: they ride on the sites, so that no k-mer is joined. Beyond MOST_SUBCLASSES they are joined
+    without a broadcast."""
+    weighed = cut(labels.weights(sites(spark, d)))
+    n, total = weighed.agg(F.count("*"), F.sum(F.col("n") * F.col("weight"))).first()
+    weights = weighed.select("annotation", "weight")
+    own = dealt_sites(spark, d).join(F.broadcast(weights) if n <= MOST_SUBCLASSES else weights, "annotation")
+    return kmers.site_counts(own, KMIN, KMAX, ("weight",)), total or 0.0
 
 
 @query("SELECT kmer, round(mean, 6) AS mean, round(sd, 6) AS sd FROM feature_stats")
 def feature_stats(spark, d):
-    s = sites(spark, d)
-    return kmers.feature_stats(kmer_counts(spark, d), _site_weights(s)).select("kmer", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    return kmers.weighted_stats(*_weighted(spark, d)).select("kmer", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query("SELECT kmer FROM counts GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM sites) AND min(cnt) = max(cnt)")
+@query("SELECT kmer FROM all_kmers LEFT JOIN counts USING (kmer) GROUP BY 1 HAVING count(cnt) = 0 OR count(cnt) = (SELECT count(*) FROM sites) AND min(cnt) = max(cnt)")
 def useless_features(spark, d):
-    return kmers.constant_features(kmer_counts(spark, d), sites(spark, d).count())
+    return kmers.constant_features(kmer_counts(spark, d), sites(spark, d).count(), KMIN, KMAX)
 
 
 @query(f"SELECT kmer, count(*) AS n, count(*) / (SELECT count(*) FROM sites) AS share FROM counts GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM sites) > {CONFIG.penetrance}")
@@ -162,8 +170,9 @@ def kmer_penetrance(spark, d):
 
 @query("SELECT site_id, kmer, round((cnt - mean) / sd, 5) AS z FROM counts JOIN feature_stats USING (kmer) WHERE sd > 0")
 def standardized_features(spark, d):
-    s, counts = sites(spark, d), cut(kmer_counts(spark, d))
-    return kmers.standardized(counts, kmers.feature_stats(counts, _site_weights(s))).select("site_id", "kmer", F.round("z", 5).alias("z"))
+    counts, total = _weighted(spark, d)
+    counts = cut(counts)
+    return kmers.standardized(counts, F.broadcast(kmers.weighted_stats(counts, total))).select("site_id", "kmer", F.round("z", 5).alias("z"))
 
 
 # Weights, inference, measures.
@@ -171,7 +180,7 @@ def standardized_features(spark, d):
 
 def _weights(spark, d) -> DataFrame:
     """Log-odds of each language's k-mers: a closed-form stand-in for trained weights."""
-    return cut(kmers.log_odds(cut(kmers.class_counts(sites(spark, d), "lang", KMIN, KMAX)), "lang", CANONICAL))
+    return cut(kmers.log_odds(cut(kmers.class_counts(dealt_sites(spark, d), "lang", KMIN, KMAX)), "lang", CANONICAL))
 
 
 @query("SELECT * FROM weights")
@@ -196,11 +205,11 @@ def odds_ratios(spark, d):
 
 
 def _logits(spark, d) -> DataFrame:
-    return infer.logits(sites(spark, d), _weights(spark, d), KMIN, KMAX)
+    return infer.logits(dealt_sites(spark, d), _weights(spark, d), KMIN, KMAX)
 
 
 def _posteriors(spark, d) -> DataFrame:
-    return infer.posteriors(sites(spark, d), _weights(spark, d), KMIN, KMAX)
+    return infer.posteriors(dealt_sites(spark, d), _weights(spark, d), KMIN, KMAX)
 
 
 @query("SELECT site_id, model, round(logit, 6) AS logit FROM site_logits")
@@ -259,9 +268,7 @@ def prc_area(spark, d):
 
 
 def _scans(spark, d) -> DataFrame:
-    # Scanning is far dearer than moving 150 letters: sites are dealt evenly, however few files there are.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sites(spark, d).select("site_id", F.col("lang").alias("model"), "seq").repartition(parts, "site_id")
+    return dealt_sites(spark, d).select("site_id", F.col("lang").alias("model"), "seq")
 
 
 def _windows(spark, d, shortest=CONFIG.min_scan, longest=CONFIG.max_scan) -> DataFrame:
