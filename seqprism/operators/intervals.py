@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import cut
+
 
 def overlaps(left: DataFrame, right: DataFrame, bin_size: int, right_prefix: str = "r_") -> DataFrame:
     """All pairs of overlapping rows, columns of right prefixed, and `overlap` (places in common).
@@ -41,11 +43,13 @@ def screen_repeats(regions: DataFrame, repeats: DataFrame, bin_size: int, key: s
 
 
 def random_regions(genome: DataFrame, taken: DataFrame, n: int, width: int, seed: int, oversample: int = 4) -> DataFrame:
-    """About n windows at places uniform over the genome, free of `taken` and of each other.
+    """n windows at places uniform over the genome, free of `taken` and of each other.
 
     Candidate i lies at a place from a hash of (seed, i), so the result depends on nothing else. Of
     two candidates that overlap the one with the smaller number stays (a candidate that lost itself
-    still excludes later ones). genome: chrom, length; one row per chromosome.
+    still excludes later ones), so more candidates never change what was found among fewer. They are
+    doubled until n are found, or until twice as many find none more: only then are there fewer than
+    n. genome: chrom, length; one row per chromosome. The n windows found are held as a checkpoint.
     """
     from pyspark.sql import Window
 
@@ -55,10 +59,22 @@ def random_regions(genome: DataFrame, taken: DataFrame, n: int, width: int, seed
         return spark.createDataFrame([], "id long, chrom string, start long, end long")
     ends = F.sum("length").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, 0))
     spread = genome.select("chrom", "length", (ends - F.col("length")).alias("first"), ends.alias("after"))
-    drawn = spark.range(n * oversample).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)))
+    tried, held = n * oversample, -1
+    while True:
+        found = cut(_regions_among(tried, spread, taken, total, width, seed).orderBy("id").limit(n))
+        size = found.count()
+        if size >= n or size == held:
+            return found
+        tried, held = tried * 2, size
+
+
+def _regions_among(tried: int, spread: DataFrame, taken: DataFrame, total: int, width: int, seed: int) -> DataFrame:
+    """The windows that stay of the first `tried` candidates."""
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    drawn = spread.sparkSession.range(tried).withColumn("place", number % F.lit(total))
     at = drawn.join(F.broadcast(spread), (F.col("place") >= F.col("first")) & (F.col("place") < F.col("after")))
     fits = at.where(F.col("place") - F.col("first") + width <= F.col("length")).select("id", "chrom", (F.col("place") - F.col("first")).alias("start"))
     regions = fits.withColumn("end", F.col("start") + width - 1)
     free = without_overlap(regions, taken, max(width, 1000), "id")
     losers = overlaps(free, free, max(width, 1000)).where("r_id < id").select("id").distinct()
-    return free.join(losers, "id", "left_anti").orderBy("id").limit(n)
+    return free.join(losers, "id", "left_anti")

@@ -44,7 +44,8 @@ def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("chrom"), minutes.alias("start"), (minutes + F.floor(F.coalesce("value", F.lit(0.0)))).alias("end"))
 
 
-#: DuckDB views of the same tables, each over those before it.
+#: DuckDB views of the same tables, each over those before it. Of random places (drawn) there are more
+#: than the operator tries; that does not change the first ones that stay.
 VIEWS = {
     "letters": "SELECT doc_id, lang, lang || ';' || CASE quality WHEN 1 THEN 'hi' WHEN 0 THEN 'lo' ELSE 'un' END AS annotation, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM documents LEFT JOIN labels USING (doc_id)",
     "sites": f"SELECT doc_id * {SITES} + t AS site_id, lang, annotation, substring(s, t * 150 + 1, 150) AS seq FROM (SELECT *, unnest(range(0, (length(s) + 149) // 150)) AS t FROM letters WHERE s <> '')",
@@ -82,6 +83,9 @@ VIEWS = {
     "center_list": "SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS cluster, list(x ORDER BY i) AS center FROM centers GROUP BY label",
     "assigned": "SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT vec_id, cluster, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - center[i]) * (embedding[i] - center[i])))), 6) AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), center_list) GROUP BY 1",
     "intervals": "SELECT event_id AS id, user_id AS chrom, CAST(floor(epoch(ts)) AS BIGINT) // 60 AS start, CAST(floor(epoch(ts)) AS BIGINT) // 60 + CAST(floor(coalesce(value, 0)) AS BIGINT) AS stop FROM events",
+    "genome": "SELECT *, CAST(sum(length) OVER (ORDER BY chrom) AS BIGINT) - length AS first FROM (SELECT chrom, max(stop) - min(start) + 1 AS length, min(start) AS origin FROM intervals GROUP BY 1)",
+    "drawn": "SELECT i AS id, chrom, place - first AS start, place - first + 149 AS stop FROM (SELECT i, CAST('0x' || substring(md5('42:' || i), 1, 15) AS BIGINT) % (SELECT CAST(sum(length) AS BIGINT) FROM genome) AS place FROM range(8000) r(i)) JOIN genome ON place >= first AND place < first + length WHERE place - first + 150 <= length",
+    "untaken": "SELECT * FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM intervals t JOIN genome g ON t.chrom = g.chrom WHERE t.chrom = d.chrom AND t.start - g.origin <= d.stop AND d.start <= t.stop - g.origin)",
     "overlap_pairs": "SELECT a.id, b.id AS r_id, least(a.stop, b.stop) - greatest(a.start, b.start) + 1 AS overlap FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.id < b.id AND a.start <= b.stop AND b.start <= a.stop",
 }
 

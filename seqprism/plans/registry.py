@@ -520,7 +520,7 @@ def repeat_screen(spark, d):
     return own.join(sums, "id", "left").select("id", "chrom", share.alias("repeat_share")).where(F.col("repeat_share") <= CONFIG.max_repeat_share)
 
 
-@query()
+@query('SELECT id, chrom, start, stop AS "end" FROM untaken u WHERE NOT EXISTS (SELECT 1 FROM untaken o WHERE o.chrom = u.chrom AND o.id < u.id AND o.start <= u.stop AND u.start <= o.stop) ORDER BY id LIMIT 500')
 def random_regions(spark, d):
     own = event_intervals(spark, d)
     genome = own.groupBy("chrom").agg((F.max("end") - F.min("start") + 1).alias("length"))
