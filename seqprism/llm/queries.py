@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, gru_language, hilbert, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup
+from . import bagminhash, bpe, gru_language, hilbert, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup, whitening
 from .common import read
 
 
@@ -49,6 +49,10 @@ def op10_maximal_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
     return segment_toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_two_pass_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digests(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_bagminhash_near_dedup": op8_bagminhash_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_maximal_segment_toxicity": op10_maximal_segment_toxicity,
+    "op11_two_pass_whitening": op11_two_pass_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
