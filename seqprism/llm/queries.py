@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, gru_language, hilbert, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup, whitening
+from . import bagminhash, bpe, gru_language, hilbert, merkle, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup, whitening
 from .common import read
 
 
@@ -53,6 +53,10 @@ def op11_two_pass_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_digests(read(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -65,9 +69,11 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_maximal_segment_toxicity": op10_maximal_segment_toxicity,
     "op11_two_pass_whitening": op11_two_pass_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_hilbert_sharding": hilbert.oracle_sql(24, ["lang", "source"]),
     "op5_risk_controlled_rules": risk_rules.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
 }
