@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,13 @@ def let(value: Column, body) -> Column:
 def id_remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor: the split of labelled rows (a null id gives null)."""
     return F.crc32(F.col(column).cast("string")) % divisor
+
+
+def by_length(column: pa.Array, most: int = 4096):
+    """(rows, matrix of their entries) for each length of the list column's vectors but 0, `most` rows at a time."""
+    starts = column.offsets.to_numpy()
+    sizes, values = np.diff(starts), column.values.to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        for some in np.array_split(rows, -(-len(rows) // most)):
+            yield some, values[starts[some][:, None] + np.arange(size)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, gru_language, hilbert, merkle, multi_index, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup, whitening
+from . import bagminhash, bpe, gru_language, hilbert, merkle, multi_index, nn_descent, packing, risk_rules, rule_ensemble, segment_toxicity, suffix_dedup, whitening
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(read(spark, sf_dir, "documents"))
 
 
+def op13_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_rows(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -70,6 +74,7 @@ QUERIES = {
     "op10_maximal_segment_toxicity": op10_maximal_segment_toxicity,
     "op11_two_pass_whitening": op11_two_pass_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_nn_descent_search": op13_nn_descent_search,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_length
+
 #: Quantisation: floor(SCALE * entry) + SHIFT; entries beyond MOST in size count as MOST.
 SCALE, SHIFT, MOST = 64, 1_000_000, float(1 << 60)
-#: Rows of one matrix product, and an eigenvalue's share of the largest below which it is rounding.
-ROWS, NOISE = 4096, 1e-12
+#: An eigenvalue's share of the largest below which it is rounding.
+NOISE = 1e-12
 LONG = (1 << 63) - 1
 
 
@@ -57,16 +59,6 @@ def quantised(vectors: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(SCALE * vectors.astype(np.float64)), -MOST, MOST).astype(np.int64) + SHIFT
 
 
-def by_length(column: pa.Array):
-    """(rows, matrix of their entries) for each length of the list column's vectors but 0."""
-    starts = column.offsets.to_numpy()
-    sizes, values = np.diff(starts), column.values.to_numpy(zero_copy_only=False)
-    for size in np.unique(sizes[sizes > 0]).tolist():
-        rows = np.flatnonzero(sizes == size)
-        for some in np.array_split(rows, -(-len(rows) // ROWS)):
-            yield some, values[starts[some][:, None] + np.arange(size)]
-
-
 def _sums(batches):
     """One row: for each length n, and exact sums of the low and the high 32 bits of the integers."""
     held: dict[int, list] = {}
