@@ -7,10 +7,11 @@ descent a node sees its neighbours and nodes that it is a neighbour of, and thes
 neighbours of neighbours, joined by Spark. Nodes are numbered along one of the orders, so that a
 bucket of consecutive nodes wants much the same vectors, and gets each once.
 
-A query keeps a beam of its best nodes, and in each round the best that are not yet expanded bring
-their neighbours. Products are in half precision until then; the last beams are scored in double
-precision on the original vectors. Hubs are no hot keys: what a node sees in return is bounded before
-the shuffle, and a bucket asks for a vector once.
+A query keeps a beam of its best nodes, and in each round goes to the buckets of the best that are not
+yet expanded, where their neighbours' vectors are, and comes back with what it likes of these. Products
+are in half precision until then; the last beams are scored in double precision on the original
+vectors. Hubs are no hot keys: what a node sees in return is bounded before the shuffle, a bucket asks
+for a vector once, and one that very many queries go to is copied for parts of them.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ class Settings:
     start: int = 32
     #: Nodes of a bucket as a power of two, queries of a bucket as a power of two.
     bits: int = 10
-    query_bits: int = 6
+    query_bits: int = 8
+    #: Visits to one copy of a bucket in a round, at least.
+    visits: int = 20_000
     #: Best nodes of a query, those expanded in a round, rounds, and nodes that every query begins with.
     beam: int = 160
     expand: int = 50
@@ -55,7 +58,8 @@ class Settings:
 
 @dataclass
 class Index:
-    """members: (class, key); nodes: (node, class, dims, v, half); graph: (node, nbrs), both ways."""
+    """members: (class, key); nodes: (node, class, v, half); graph: a row for each bucket, with the
+    neighbours of its nodes, both ways, and these neighbours' vectors."""
 
     members: DataFrame
     nodes: DataFrame
@@ -261,18 +265,43 @@ def seen_in_return(state: DataFrame, s: Settings, order: list[Column], extra: st
     edges = state.select(F.col("node").alias("of"), F.explode(F.arrays_zip("nbrs", "scores", "fresh")).alias("e"))
     edges = edges.select(F.col("e.nbrs").alias("node"), "of", F.col("e.scores").alias("score"), F.col("e.fresh").alias("fresh"))
     placed = edges.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("place") <= s.back)
-    return placed.groupBy("node").agg(F.collect_list("of").alias("nbrs"), F.collect_list(extra).alias(extra))
+    return placed.groupBy("node").agg(F.collect_list("of").alias("nbrs"), F.collect_list("score" if extra == "scores" else extra).alias(extra))
+
+
+def lists_and_vectors(state: DataFrame, s: Settings, order: list[Column], extra: str) -> tuple[DataFrame, DataFrame]:
+    """By bucket (`place`): what its nodes see, and (by `bucket`) the vectors of all that, each once."""
+    back = seen_in_return(state, s, order, extra)
+    seen = state.select("node", "nbrs", extra).unionByName(back).select(F.shiftright("node", s.bits).alias("place"), "node", "nbrs", extra).repartition("place")
+    low = F.when(F.size("scores") >= s.degree, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float")).alias("low")
+    wanted = seen.select(F.col("place").alias("bucket"), F.explode("nbrs").alias("node")).distinct()
+    return seen, wanted.join(state.select("node", "half", low), "node")
 
 
 def descend(state: DataFrame, s: Settings, number: int) -> DataFrame:
     """One round: neighbours of neighbours propose each other, and every node takes the best."""
-    bucket = F.shiftright("node", s.bits).alias("bucket")
-    back = seen_in_return(state, s, [F.desc("fresh"), F.xxhash64(F.lit(number), "of", "node").asc(), F.col("of").asc()], "fresh")
-    seen = state.select("node", "nbrs", "fresh").unionByName(back).select(bucket, "node", "nbrs", "fresh").repartition("bucket")
-    low = F.when(F.size("scores") >= s.degree, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float")).alias("low")
-    wanted = seen.select("bucket", F.explode("nbrs").alias("node")).distinct().join(state.select("node", "half", low), "node")
-    proposed = seen.select(F.col("bucket").alias("place"), "node", "nbrs", "fresh").groupBy("place").cogroup(wanted.groupBy("bucket")).applyInArrow(_propose(s), "bucket long, to array<long>, of array<long>, score array<float>")
-    return stored(state.select("*", bucket).groupBy("bucket").cogroup(proposed.groupBy("bucket")).applyInArrow(_accept(s), STATE))
+    seen, vectors = lists_and_vectors(state, s, [F.desc("fresh"), F.xxhash64(F.lit(number), "of", "node").asc(), F.col("of").asc()], "fresh")
+    proposed = seen.groupBy("place").cogroup(vectors.groupBy("bucket")).applyInArrow(_propose(s), "bucket long, to array<long>, of array<long>, score array<float>")
+    own = state.select("*", F.shiftright("node", s.bits).alias("place"))
+    return stored(own.groupBy("place").cogroup(proposed.groupBy("bucket")).applyInArrow(_accept(s), STATE))
+
+
+GRAPH = "bucket long, width int, ids binary, halves binary, nodes binary, sizes binary, nbrs binary"
+
+
+def _bundle(seen: pa.Table, vectors: pa.Table) -> pa.Table:
+    """A bucket in one row: ids and vectors of the neighbours, and for each of its nodes their places there."""
+    ids = vectors.column("node").to_numpy()
+    order = np.argsort(ids)
+    ids, x = ids[order], matrix(vectors.column("half"))[order]
+    other, sizes = flat(seen, "nbrs")
+    owner = np.repeat(seen.column("node").to_numpy(), sizes)
+    pairs = np.unique(np.stack([owner, other]), axis=1)
+    nodes, held = np.unique(pairs[0], return_counts=True)
+    places = np.searchsorted(ids, pairs[1])
+    # Vectors of different lengths are never neighbours, so the filling meets none of its length.
+    row = [seen.column("place")[0].as_py(), x.shape[1], ids.tobytes(), x.tobytes(), nodes.tobytes(), held.astype(np.int64).tobytes(), places.astype(np.int64).tobytes()]
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["bucket", "width", "ids", "halves", "nodes", "sizes", "nbrs"])
 
 
 def build(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", settings: Settings | None = None) -> Index | None:
@@ -297,8 +326,8 @@ def build(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", setti
     state = stored(nodes.select("node", "half").join(lists, "node").select("node", "half", "nbrs", "scores", "fresh"))
     for number in range(s.rounds):
         state = descend(state, s, number)
-    back = seen_in_return(state, s, [F.desc("score"), F.col("of").asc()], "score").select("node", "nbrs")
-    graph = state.select("node", "nbrs").join(back.withColumnRenamed("nbrs", "more"), "node", "left").select("node", F.array_union("nbrs", F.coalesce("more", F.array().cast("array<long>"))).alias("nbrs"))
+    seen, vectors = lists_and_vectors(state, s, [F.desc("score"), F.col("of").asc()], "scores")
+    graph = seen.groupBy("place").cogroup(vectors.groupBy("bucket")).applyInArrow(_bundle, GRAPH)
     return Index(members, nodes.drop("codes"), stored(graph), s)
 
 
@@ -343,32 +372,71 @@ def _beams(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "bucket", "half", "beam", "scores", "expanded", "next"])
 
 
-def _expand(s: Settings):
-    """One round of the queries of a bucket: the neighbours of the nodes to expand enter the beams."""
+def _visit(s: Settings):
+    """What queries find at the nodes of a bucket that they expand: for each query one row."""
 
-    def run(queries: pa.Table, brought: pa.Table) -> pa.Table:
-        kind = brought.column("half").is_null().to_numpy()
-        lists, vectors = brought.filter(pa.array(kind)), brought.filter(pa.array(~kind))
-        nbrs = dict(zip(lists.column("node").to_pylist(), lists.column("nbrs").to_pylist(), strict=True))
-        ids = vectors.column("node").to_numpy()
-        order = np.argsort(ids)
-        ids, x = ids[order], matrix(vectors.column("half"))[order]
+    def run(visits: pa.Table, bucket: pa.Table) -> pa.Table:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()))
+        out = []
+        if len(bucket) and len(visits):
+            of = lambda c, kind: np.frombuffer(bucket.column(c)[0].as_buffer(), kind)
+            ids, nodes, sizes, nbrs = (of(c, np.int64) for c in ("ids", "nodes", "sizes", "nbrs"))
+            x = of("halves", np.float16).reshape(len(ids), -1)
+            begin = np.cumsum(sizes) - sizes
+            visits = visits.sort_by("query")
+            rows = list(zip(*(visits.column(c).to_pylist() for c in ("query", "home", "half", "low")), strict=True))
+            at = np.searchsorted(nodes, visits.column("node").to_numpy())
+            ends = np.flatnonzero(np.diff(visits.column("query").to_numpy())) + 1
+            for own in np.split(np.arange(len(rows)), ends):
+                query, home, half, low = rows[own[0]]
+                places = np.unique(np.concatenate([nbrs[begin[n] : begin[n] + sizes[n]] for n in at[own]]))
+                q = np.frombuffer(half, np.float16).astype(np.float32)
+                score = x[places, : len(q)].astype(np.float32) @ q
+                top = np.argsort(-score, kind="stable")[: s.beam]
+                top = top[score[top] >= low]
+                out.append((query, home, ids[places[top]].tolist(), score[top].tolist()))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query", "home", "ids", "scores"])
+
+    return run
+
+
+def _return(s: Settings):
+    """The queries of a bucket with what they found: better nodes enter the beams."""
+
+    def run(queries: pa.Table, found: pa.Table) -> pa.Table:
+        came: dict[int, list] = {}
+        for query, ids, scores in zip(*(found.column(c).to_pylist() for c in ("query", "ids", "scores")), strict=True):
+            came.setdefault(query, []).append((ids, scores))
         out = []
         for query, bucket, half, *held in zip(*(queries.column(c).to_pylist() for c in ("query", "bucket", "half", "beam", "scores", "expanded", "next")), strict=True):
-            beam, scores, expanded = np.array(held[0], np.int64), np.array(held[1], np.float32), np.array(held[2], bool)
-            came = np.array([n for e in held[3] for n in nbrs.get(e, ())], np.int64)
-            new = np.setdiff1d(came, beam)
-            q = np.frombuffer(half, np.float16).astype(np.float32)
-            score = x[np.searchsorted(ids, new), : len(q)].astype(np.float32) @ q if len(new) else np.zeros(0, np.float32)
-            if not held[3]:
-                out.append((query, bucket, half, *held))
-                continue
-            out.append((query, bucket, half, *(c.tolist() for c in _chosen(np.concatenate([beam, new]), np.concatenate([scores, score]), np.concatenate([expanded, np.zeros(len(new), bool)]), s))))
+            ids = np.array([*held[0], *(i for own, _ in came.get(query, ()) for i in own)], np.int64)
+            scores = np.array([*held[1], *(x for _, own in came.get(query, ()) for x in own)], np.float32)
+            expanded = np.concatenate([np.array(held[2], bool), np.zeros(len(ids) - len(held[0]), bool)])
+            # The first of equal ids: what the beam has.
+            _, once = np.unique(ids, return_index=True)
+            out.append((query, bucket, half, *(c.tolist() for c in _chosen(ids[once], scores[once], expanded[once], s))))
         return _beams(out)
 
     return run
 
 
+def expand(beams: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
+    """One round of the search. Buckets that more queries go to than `visits`, and a 100,000th of all
+    visits, are copied, so that no task gets more of them."""
+    low = F.when(F.size("scores") >= s.beam, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float"))
+    visits = beams.select("query", F.col("bucket").alias("home"), "half", low.alias("low"), F.explode("next").alias("node")).withColumn("to", F.shiftright("node", s.bits))
+    counts = stored(visits.groupBy("to").agg(F.count("*").alias("n")))
+    limit = max(s.visits, -(-(counts.agg(F.sum("n")).first()[0] or 0) // 100_000))
+    copies = counts.where(F.col("n") > limit).select(F.col("to").alias("hot"), F.ceil(F.col("n") / limit).cast("int").alias("copies"))
+    salt = F.pmod(F.xxhash64("query"), F.coalesce("copies", F.lit(1))).cast("int")
+    salted = visits.join(F.broadcast(copies), F.col("to") == F.col("hot"), "left").withColumn("salt", salt).drop("hot", "copies")
+    places = graph.join(counts.select("to"), F.col("bucket") == F.col("to"), "left_semi").join(F.broadcast(copies), F.col("bucket") == F.col("hot"), "left")
+    places = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("hot", "copies")
+    found = salted.groupBy("to", "salt").cogroup(places.groupBy("bucket", "salt")).applyInArrow(_visit(s), "query long, home long, ids array<long>, scores array<float>")
+    return stored(beams.groupBy("bucket").cogroup(found.groupBy("home")).applyInArrow(_return(s), BEAMS))
+
+
 def _query_halves(batches):
     """Query vectors of norm 1 in half precision; their last entry is 0."""
     for batch in batches:
@@ -391,13 +459,8 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     ordered = halves.repartitionByRange("home", "query").sortWithinPartitions("home", "query")
     dealt = ordered.select("query", F.shiftright(F.monotonically_increasing_id(), s.query_bits).alias("bucket"), "half", "home")
     beams = stored(dealt.mapInArrow(_begin(entries, s), BEAMS))
-    nothing = F.lit(None).cast
     for _ in range(s.searches):
-        wanted = beams.select(F.col("bucket").alias("place"), F.explode("next").alias("node")).distinct()
-        lists = wanted.join(index.graph, "node").select("place", "node", "nbrs").repartition("place")
-        vectors = lists.select("place", F.explode("nbrs").alias("node")).distinct().join(index.nodes.select("node", "half"), "node")
-        brought = lists.select("place", "node", "nbrs", nothing("binary").alias("half")).unionByName(vectors.select("place", "node", nothing("array<long>").alias("nbrs"), "half"))
-        beams = stored(beams.groupBy("bucket").cogroup(brought.groupBy("place")).applyInArrow(_expand(s), BEAMS))
+        beams = expand(beams, index.graph, s)
     found = beams.select("query", F.explode(F.slice("beam", 1, s.verified)).alias("node"))
     scored = found.join(index.nodes.select("node", F.col("v").alias("other")), "node").join(queries.select("query", "v"), "query")
     product = F.aggregate(F.zip_with("v", "other", lambda x, y: x * y), F.lit(0.0), lambda held, x: held + x)
