@@ -42,8 +42,9 @@ class Settings:
     directions: int = 16
     block: int = 512
     start: int = 32
-    #: Nodes of a bucket as a power of two, queries of a bucket as a power of two.
+    #: Nodes of a bucket as a power of two, in the descent and in the graph that is searched, and queries of one.
     bits: int = 10
+    graph_bits: int = 8
     query_bits: int = 8
     #: Visits to one copy of a bucket in a round, at least.
     visits: int = 20_000
@@ -268,10 +269,10 @@ def seen_in_return(state: DataFrame, s: Settings, order: list[Column], extra: st
     return placed.groupBy("node").agg(F.collect_list("of").alias("nbrs"), F.collect_list("score" if extra == "scores" else extra).alias(extra))
 
 
-def lists_and_vectors(state: DataFrame, s: Settings, order: list[Column], extra: str) -> tuple[DataFrame, DataFrame]:
+def lists_and_vectors(state: DataFrame, s: Settings, bits: int, order: list[Column], extra: str) -> tuple[DataFrame, DataFrame]:
     """By bucket (`place`): what its nodes see, and (by `bucket`) the vectors of all that, each once."""
     back = seen_in_return(state, s, order, extra)
-    seen = state.select("node", "nbrs", extra).unionByName(back).select(F.shiftright("node", s.bits).alias("place"), "node", "nbrs", extra).repartition("place")
+    seen = state.select("node", "nbrs", extra).unionByName(back).select(F.shiftright("node", bits).alias("place"), "node", "nbrs", extra).repartition("place")
     low = F.when(F.size("scores") >= s.degree, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float")).alias("low")
     wanted = seen.select(F.col("place").alias("bucket"), F.explode("nbrs").alias("node")).distinct()
     return seen, wanted.join(state.select("node", "half", low), "node")
@@ -279,7 +280,7 @@ def lists_and_vectors(state: DataFrame, s: Settings, order: list[Column], extra:
 
 def descend(state: DataFrame, s: Settings, number: int) -> DataFrame:
     """One round: neighbours of neighbours propose each other, and every node takes the best."""
-    seen, vectors = lists_and_vectors(state, s, [F.desc("fresh"), F.xxhash64(F.lit(number), "of", "node").asc(), F.col("of").asc()], "fresh")
+    seen, vectors = lists_and_vectors(state, s, s.bits, [F.desc("fresh"), F.xxhash64(F.lit(number), "of", "node").asc(), F.col("of").asc()], "fresh")
     proposed = seen.groupBy("place").cogroup(vectors.groupBy("bucket")).applyInArrow(_propose(s), "bucket long, to array<long>, of array<long>, score array<float>")
     own = state.select("*", F.shiftright("node", s.bits).alias("place"))
     return stored(own.groupBy("place").cogroup(proposed.groupBy("bucket")).applyInArrow(_accept(s), STATE))
@@ -326,7 +327,7 @@ def build(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", setti
     state = stored(nodes.select("node", "half").join(lists, "node").select("node", "half", "nbrs", "scores", "fresh"))
     for number in range(s.rounds):
         state = descend(state, s, number)
-    seen, vectors = lists_and_vectors(state, s, [F.desc("score"), F.col("of").asc()], "scores")
+    seen, vectors = lists_and_vectors(state, s, s.graph_bits, [F.desc("score"), F.col("of").asc()], "scores")
     graph = seen.groupBy("place").cogroup(vectors.groupBy("bucket")).applyInArrow(_bundle, GRAPH)
     return Index(members, nodes.drop("codes"), stored(graph), s)
 
@@ -383,11 +384,12 @@ def _visit(s: Settings):
             ids, nodes, sizes, nbrs = (of(c, np.int64) for c in ("ids", "nodes", "sizes", "nbrs"))
             x = of("halves", np.float16).reshape(len(ids), -1)
             begin = np.cumsum(sizes) - sizes
-            visits = visits.sort_by("query")
+            # A node without neighbours has no place in the bucket.
+            visits = visits.filter(pa.array(np.isin(visits.column("node").to_numpy(), nodes))).sort_by("query")
             rows = list(zip(*(visits.column(c).to_pylist() for c in ("query", "home", "half", "low")), strict=True))
             at = np.searchsorted(nodes, visits.column("node").to_numpy())
             ends = np.flatnonzero(np.diff(visits.column("query").to_numpy())) + 1
-            for own in np.split(np.arange(len(rows)), ends):
+            for own in np.split(np.arange(len(rows)), ends) if rows else ():
                 query, home, half, low = rows[own[0]]
                 places = np.unique(np.concatenate([nbrs[begin[n] : begin[n] + sizes[n]] for n in at[own]]))
                 q = np.frombuffer(half, np.float16).astype(np.float32)
@@ -425,7 +427,7 @@ def expand(beams: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
     """One round of the search. Buckets that more queries go to than `visits`, and a 100,000th of all
     visits, are copied, so that no task gets more of them."""
     low = F.when(F.size("scores") >= s.beam, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float"))
-    visits = beams.select("query", F.col("bucket").alias("home"), "half", low.alias("low"), F.explode("next").alias("node")).withColumn("to", F.shiftright("node", s.bits))
+    visits = beams.select("query", F.col("bucket").alias("home"), "half", low.alias("low"), F.explode("next").alias("node")).withColumn("to", F.shiftright("node", s.graph_bits))
     counts = stored(visits.groupBy("to").agg(F.count("*").alias("n")))
     limit = max(s.visits, -(-(counts.agg(F.sum("n")).first()[0] or 0) // 100_000))
     copies = counts.where(F.col("n") > limit).select(F.col("to").alias("hot"), F.ceil(F.col("n") / limit).cast("int").alias("copies"))
