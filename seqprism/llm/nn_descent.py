@@ -382,7 +382,7 @@ def _visit(s: Settings):
         if len(bucket) and len(visits):
             of = lambda c, kind: np.frombuffer(bucket.column(c)[0].as_buffer(), kind)
             ids, nodes, sizes, nbrs = (of(c, np.int64) for c in ("ids", "nodes", "sizes", "nbrs"))
-            x = of("halves", np.float16).reshape(len(ids), -1)
+            x = of("halves", np.float16).reshape(len(ids), bucket.column("width")[0].as_py())
             begin = np.cumsum(sizes) - sizes
             # A node without neighbours has no place in the bucket.
             visits = visits.filter(pa.array(np.isin(visits.column("node").to_numpy(), nodes))).sort_by("query")
