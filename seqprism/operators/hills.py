@@ -93,54 +93,94 @@ def suppress_online(rows: Iterator[tuple[int, int, float]], equal_coexists: bool
     return kept
 
 
+def value_tables(of: dict[str, float], kmin: int, kmax: int) -> dict[int, np.ndarray]:
+    """For each length the weights of all k-mers by their number in base 4, both strands alike; unknown
+    ones are 0, and so is the last entry, which stands for k-mers with other letters."""
+    tables = {k: np.zeros(4**k + 1) for k in range(kmin, kmax + 1)}
+    digits, other = str.maketrans("ACGT", "0123"), str.maketrans("ACGT", "TGCA")
+    for kmer, weight in of.items():
+        if len(kmer) in tables:
+            for strand in (kmer, kmer.translate(other)[::-1]):
+                tables[len(kmer)][int(strand.translate(digits), 4)] = weight
+    return tables
+
+
+def window_matrix(seqs: list[str], tables: dict[int, np.ndarray], shortest: int, longest: int) -> dict[int, np.ndarray]:
+    """For each window length the scores of all windows, a row for each sequence; -inf beyond its end.
+
+    A score is the difference of two running sums for each length of k-mers.
+    """
+    ends = np.array([len(s) for s in seqs], int)
+    width = int(ends.max(initial=0))
+    letters = np.frombuffer("".join(s.ljust(width, "-") for s in seqs).encode("ascii", "replace"), np.uint8).reshape(len(seqs), width)
+    code = np.full(256, -1)
+    code[list(b"ACGT")] = range(4)
+    digits = code[letters]
+    sums = {}
+    for k, table in tables.items():
+        places = max(0, width - k + 1)
+        number, known = np.zeros((len(seqs), places), int), np.ones((len(seqs), places), bool)
+        for i in range(k):
+            own = digits[:, i : i + places]
+            number, known = number * 4 + own, known & (own >= 0)
+        values = table[np.where(known, number, len(table) - 1)]
+        sums[k] = np.concatenate([np.zeros((len(seqs), 1)), np.cumsum(values, axis=1)], axis=1)
+    out = {}
+    for size in range(shortest, min(longest, width) + 1):
+        starts = np.arange(width - size + 1)
+        total = np.zeros((len(seqs), len(starts)))
+        for k, s in sums.items():
+            if k <= size:
+                total += s[:, starts + size - k + 1] - s[:, starts]
+        out[size] = np.where(starts[None, :] + size <= ends[:, None], np.round(total, 6), -np.inf)
+    return out
+
+
 def hills(scans: DataFrame, weights: dict[str, dict[str, float]], kmin: int, kmax: int, shortest: int, longest: int, threshold: float, equal_coexists: bool = False) -> DataFrame:
     """(model, site_id, start, len, seq, score) after online suppression within each scan.
 
-    The fold depends on its order, so it is Python over whole rows: one narrow pass without a shuffle.
-    weights: of the models, as many entries as k-mers each; only those above the threshold are folded,
-    by length and then by start. With equal_coexists, windows of the same score may overlap (the rule
-    for sequences without genome places).
+    The fold depends on its order, so it is Python over whole rows: one narrow pass without a shuffle,
+    whose window scores are made of running sums for many rows at once. weights: of the models, as many
+    entries as k-mers each; only windows above the threshold are folded, by length and then by start.
+    With equal_coexists, windows of the same score may overlap (the rule for sequences without genome
+    places). A null sequence or model has no hill.
     """
-    other = str.maketrans("ACGT", "TGCA")
-
-    def scores(seq: str, of: dict[str, float]) -> list[tuple[int, int, float]]:
-        sums = {}
-        for k in range(kmin, kmax + 1):
-            values = [of.get(min(w, w.translate(other)[::-1]), 0.0) for w in (seq[i : i + k] for i in range(len(seq) - k + 1))]
-            sums[k] = np.append(0.0, np.cumsum(values))
-        out = []
-        for size in range(shortest, min(longest, len(seq)) + 1):
-            starts = np.arange(len(seq) - size + 1)
-            total = np.zeros(len(starts))
-            for k, s in sums.items():
-                if k <= size:
-                    total += s[starts + size - k + 1] - s[starts]
-            total = np.round(total, 6)
-            out += [(int(i), size, float(total[i])) for i in np.flatnonzero(total > threshold)]
-        return out
+    tables = {model: value_tables(of, kmin, kmax) for model, of in weights.items()}
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+
+    def some(rows: list[tuple[int, str]], model: str) -> Iterator[tuple]:
+        found: list[list[tuple[int, int, float]]] = [[] for _ in rows]
+        for size, scores in window_matrix([seq for _, seq in rows], tables[model], shortest, longest).items():
+            row, start = np.nonzero(scores > threshold)
+            for n, i, score in zip(row.tolist(), start.tolist(), scores[row, start].tolist(), strict=True):
+                found[n].append((i, size, score))
+        for (site, seq), windows_ in zip(rows, found, strict=True):
+            for start, size, score in suppress_online(windows_, equal_coexists):
+                yield model, site, start, size, seq[start : start + size], score
 
     def run(batches):
         for batch in batches:
-            out = []
+            by_model: dict[str, list[tuple[int, str]]] = {}
             for site, model, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for start, size, score in suppress_online(scores(seq, weights.get(model, {})), equal_coexists):
-                    out.append((model, site, start, size, seq[start : start + size], score))
+                if seq and model in tables:
+                    by_model.setdefault(model, []).append((site, seq))
+            out = []
+            for model, rows in by_model.items():
+                # Sequences of like lengths share a matrix of some million places at most.
+                rows.sort(key=lambda r: len(r[1]))
+                at = 0
+                while at < len(rows):
+                    n = 1
+                    while at + n < len(rows) and (n + 1) * len(rows[at + n][1]) <= 200_000:
+                        n += 1
+                    out += some(rows[at : at + n], model)
+                    at += n
             columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["model", "site_id", "start", "len", "seq", "score"])
 
     return scans.select("site_id", "model", "seq").mapInArrow(run, "model string, site_id long, start int, len int, seq string, score double")
 
 
-def suppress_by_score(rows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Ordinary suppression, for comparison: the highest first, without overlaps."""
-    kept: list[tuple[int, int, float]] = []
-    for start, size, score in sorted(rows, key=lambda r: (-r[2], r[1], r[0])):
-        if all(old[0] >= start + size or start >= old[0] + old[1] for old in kept):
-            kept.append((start, size, score))
-    return kept
-
-
 def tertile(rank: Column, n: Column) -> Column:
     """0, 1 or 2 by place: floor(index / floor(n / 3)), at most 2."""
     return F.least(F.lit(2), F.try_divide(rank - 1, F.floor(n / 3)).cast("int"))

@@ -21,29 +21,33 @@ def z_scores(cells: DataFrame, value: str = "total", ddof: int = 1) -> DataFrame
     return cells.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(everything), spread(value).over(everything)))
 
 
+#: What tells one hill of a model from another.
+HILL = ["site_id", "model", "start", "len"]
+
+
 def hill_kmers(hills: DataFrame, weights: DataFrame, kmin: int, kmax: int) -> DataFrame:
-    """(site_id, model, kmer, weight): every k-mer occurrence of every hill with its model's weight.
+    """(site_id, model, start, len, kmer, weight): every k-mer occurrence of every hill with its model's weight.
 
     All hill statistics are aggregates over this. weights is bounded by the models' own size.
     """
     parts = F.concat(*[F.transform(windows(F.col("hill"), k), canonical) for k in range(kmin, kmax + 1)])
-    return hills.select("site_id", "model", F.explode(parts).alias("kmer")).join(F.broadcast(weights), ["model", "kmer"])
+    return hills.select(*HILL, F.explode(parts).alias("kmer")).join(F.broadcast(weights), ["model", "kmer"])
 
 
 def score_hills(found: DataFrame) -> DataFrame:
-    return found.groupBy("site_id", "model").agg(F.sum("weight").alias("score"))
+    return found.groupBy(*HILL).agg(F.sum("weight").alias("score"))
 
 
 def score_where(found: DataFrame, keep: Column, negative_too: bool = True) -> DataFrame:
     """Sum of the weights of the chosen k-mers, and of negative ones if asked for."""
     chosen = keep | (F.col("weight") < 0) if negative_too else keep
-    return found.groupBy("site_id", "model").agg(F.sum(F.when(chosen, F.col("weight")).otherwise(0.0)).alias("score"))
+    return found.groupBy(*HILL).agg(F.sum(F.when(chosen, F.col("weight")).otherwise(0.0)).alias("score"))
 
 
 def dimer_stats(found: DataFrame, motif_kmers: list[str], digits: int = 2) -> DataFrame:
     """Per hill: the motif's score, and one score for each dimer, rounded."""
     picked = lambda keep: F.sum(F.when(keep | (F.col("weight") < 0), F.col("weight")).otherwise(0.0))
-    return found.groupBy("site_id", "model").agg(
+    return found.groupBy(*HILL).agg(
         picked(F.col("kmer").isin(motif_kmers)).alias("motif_score"), *[F.round(picked(contains_dimer(F.col("kmer"), d)), digits).alias(f"score_{d.lower()}") for d in DIMERS],
     )
 
@@ -52,7 +56,7 @@ def cg_hills(hills: DataFrame, motif_scores: DataFrame, motif_threshold: float,
     """Hills with a low motif score and a high share of CG dinucleotides (of half their length)."""
     n = F.size(F.filter(windows(F.col("hill"), 2), lambda s: s == "CG"))
     share = F.try_divide(n.cast("double"), F.floor(F.col("len") / 2).cast("double"))
-    return hills.join(motif_scores.select("site_id", "model", F.col("score").alias("motif_score")), ["site_id", "model"]).withColumn("cg_share", share).where((F.col("motif_score") < motif_threshold) & (F.col("cg_share") > least_cg))
+    return hills.join(motif_scores.select(*HILL, F.col("score").alias("motif_score")), HILL).withColumn("cg_share", share).where((F.col("motif_score") < motif_threshold) & (F.col("cg_share") > least_cg))
 
 
 def motif_hits(scored: DataFrame, cutoff: float) -> DataFrame:

@@ -44,6 +44,15 @@ def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("chrom"), minutes.alias("start"), (minutes + F.floor(F.coalesce("value", F.lit(0.0)))).alias("end"))
 
 
+def _folded(drops: str) -> str:
+    """Suppression in the order of hill_windows: a kept window that overlaps the new one and is `drops`
+    it goes, up to the first that is higher, which rejects the new one."""
+    meets = "k.start < new[1].start + new[1].len AND new[1].start < k.start + k.len"
+    higher = f"coalesce(list_position(list_transform(kept, lambda k: {meets} AND k.score > new[1].score), true), 0)"
+    step = f"list_transform([{higher}], lambda p: list_concat(list_filter(kept, lambda k, i: (p > 0 AND i >= p) OR NOT ({meets} AND k.score {drops} new[1].score)), CASE WHEN p > 0 THEN [] ELSE new END))[1]"
+    return f"SELECT site_id, model, h.start AS start, h.len AS len, h.score AS score, h.hill AS hill FROM (SELECT site_id, model, unnest(list_reduce(list_transform(found, lambda w: [w]), lambda kept, new: {step})) AS h FROM hill_windows)"
+
+
 #: DuckDB views of the same tables, each over those before it. Of random places (drawn) there are more
 #: than the operator tries; that does not change the first ones that stay.
 VIEWS = {
@@ -68,13 +77,15 @@ VIEWS = {
     "run5": "SELECT site_id, list_prepend(0.0, list(total ORDER BY pos)) AS r5 FROM (SELECT site_id, pos, sum(weight) OVER (PARTITION BY site_id ORDER BY pos) AS total FROM member_kmers WHERE k = 5) GROUP BY 1",
     "spans": "SELECT site_id, lang AS model, seq, CAST(l AS INT) AS len, CAST(unnest(range(0, length(seq) - l + 1)) AS INT) AS start FROM sites, range(6, 15) r(l) WHERE length(seq) >= l",
     "windows": "SELECT site_id, model, len, start, round((r4[start + len - 2] - r4[start + 1]) + (r5[start + len - 3] - r5[start + 1]), 6) AS score, substring(seq, start + 1, len) AS hill FROM spans JOIN run4 USING (site_id) JOIN run5 USING (site_id)",
-    "hills": "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, len, start) AS r FROM windows) WHERE r = 1",
-    "hill_kmers": "SELECT site_id, model, kmer, weight FROM (SELECT site_id, model, least(substring(hill, p, k), reverse(translate(substring(hill, p, k), 'ACGT', 'TGCA'))) AS kmer FROM (SELECT *, unnest(range(1, len - k + 2)) AS p FROM hills, (VALUES (4), (5)) ks(k))) JOIN weights USING (model, kmer)",
+    "hill_windows": f"SELECT site_id, model, list({{'start': start, 'len': len, 'score': score, 'hill': hill}} ORDER BY len, start) AS found FROM windows WHERE score > {CONFIG.hill_threshold} GROUP BY ALL",
+    "hills": _folded("<="),
+    "seqlets": _folded("<"),
+    "hill_kmers": "SELECT site_id, model, start, len, kmer, weight FROM (SELECT site_id, model, start, len, least(substring(hill, p, k), reverse(translate(substring(hill, p, k), 'ACGT', 'TGCA'))) AS kmer FROM (SELECT *, unnest(range(1, len - k + 2)) AS p FROM hills, (VALUES (4), (5)) ks(k))) JOIN weights USING (model, kmer)",
     "aligned": "SELECT model AS motif, hill FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, start) AS r FROM windows WHERE len = 8) WHERE r = 1",
     "motifs": "SELECT motif, CAST(p AS INT) AS pos, avg(CAST(b = 'A' AS INT)) AS a, avg(CAST(b = 'C' AS INT)) AS c, avg(CAST(b = 'G' AS INT)) AS g, avg(CAST(b = 'T' AS INT)) AS t FROM (SELECT motif, p, substring(hill, p + 1, 1) AS b FROM aligned, range(0, 8) r(p)) GROUP BY ALL",
     "consensus": "SELECT motif, string_agg(CASE WHEN a >= c AND a >= g AND a >= t THEN 'A' WHEN c >= g AND c >= t THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END, '' ORDER BY pos) AS consensus FROM motifs GROUP BY 1",
     "motif_kmers": "SELECT motif, least(substring(consensus, p, k), reverse(translate(substring(consensus, p, k), 'ACGT', 'TGCA'))) AS kmer FROM (SELECT *, unnest(range(1, length(consensus) - k + 2)) AS p FROM consensus, (VALUES (4), (5)) ks(k))",
-    "motif_only": "SELECT site_id, model, sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) THEN weight ELSE 0 END) AS score FROM hill_kmers GROUP BY ALL",
+    "motif_only": "SELECT site_id, model, start, len, sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) THEN weight ELSE 0 END) AS score FROM hill_kmers GROUP BY ALL",
     "dimers": "SELECT * FROM (VALUES ('AA', 'TT'), ('AC', 'GT'), ('AG', 'CT'), ('AT', 'AT'), ('CA', 'TG'), ('CC', 'GG'), ('CG', 'CG'), ('GA', 'TC'), ('GC', 'GC'), ('TA', 'TA')) d(dimer, other)",
     "dimer_cells": "SELECT model, dimer, sum(CASE WHEN contains(kmer, dimer) OR contains(kmer, other) THEN weight ELSE 0 END) AS total FROM weights, dimers GROUP BY ALL",
     "cg_pos": "SELECT site_id, p - 1 AS pos FROM (SELECT *, unnest(range(1, length(seq))) AS p FROM sites WHERE length(seq) > 1) WHERE substring(seq, p, 2) = 'CG'",
@@ -104,5 +115,5 @@ def with_views(body: str) -> str:
 
     add(body)
     # What several views read is made once.
-    clause = ", ".join(f"{name} AS {'MATERIALIZED ' if name in ('sites', 'counts', 'feature_stats') else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
+    clause = ", ".join(f"{name} AS {'MATERIALIZED ' if name in ('sites', 'counts', 'feature_stats', 'weights', 'hills', 'seqlets', 'hill_kmers', 'motif_kmers') else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
     return f"WITH {clause} {body}" if clause else body

@@ -288,14 +288,19 @@ def hill_candidates(spark, d):
     return found.groupBy("model", "len").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 
 
+def _folded(spark, d, equal_coexists: bool = False) -> DataFrame:
+    return hills.hills(_scans(spark, d), _weight_maps(spark, d), KMIN, KMAX, CONFIG.min_scan, CONFIG.max_scan, CONFIG.hill_threshold, equal_coexists)
+
+
 def _hills(spark, d) -> DataFrame:
-    return cut(hills.best_windows(_windows(spark, d)))
+    """The suppressed hills of all sites: the table of record of every statistic on hills."""
+    return cut(_folded(spark, d).withColumnRenamed("seq", "hill"))
 
 
-@query(f"SELECT model, site_id, start, len, score, hill, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, site_id) AS r FROM hills) WHERE r <= {TOP}")
+@query(f"SELECT model, site_id, start, len, score, hill, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, site_id, start, len) AS r FROM hills) WHERE r <= {TOP}")
 def hill_rank_topk(spark, d):
-    order = Window.partitionBy("model").orderBy(F.desc("score"), "site_id")
-    return _hills(spark, d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    order = Window.partitionBy("model").orderBy(F.desc("score"), "site_id", "start", "len")
+    return _hills(spark, d).select("model", "site_id", "start", "len", "score", "hill").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
 
 
 @query("SELECT model, hill, max(score) AS score, arg_min(site_id, (-score, site_id)) AS site_id, count(*) AS n FROM hills GROUP BY model, hill")
@@ -303,12 +308,12 @@ def hill_dedupe(spark, d):
     return _hills(spark, d).groupBy("model", "hill").agg(F.max("score").alias("score"), F.min_by("site_id", F.struct(-F.col("score"), "site_id")).alias("site_id"), F.count("*").alias("n"))
 
 
-@query("SELECT model, site_id, CAST(least(2, (r - 1) // nullif(n // 3, 0)) AS INT) AS tertile FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, site_id) AS r, count(*) OVER (PARTITION BY model) AS n FROM hills)")
+@query("SELECT model, site_id, start, len, CAST(least(2, (r - 1) // nullif(n // 3, 0)) AS INT) AS tertile FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, site_id, start, len) AS r, count(*) OVER (PARTITION BY model) AS n FROM hills)")
 def hill_tertiles(spark, d):
     found = _hills(spark, d)
     sizes = found.groupBy("model").agg(F.count("*").alias("n"))
-    placed = ranked(found.select("model", "site_id", "score"), "model", [F.desc("score"), F.col("site_id").asc()])
-    return placed.join(F.broadcast(sizes), "model").select("model", "site_id", hills.tertile(F.col("rank"), F.col("n")).alias("tertile"))
+    placed = ranked(found.select("model", "site_id", "start", "len", "score"), "model", [F.desc("score"), *[F.col(c).asc() for c in ("site_id", "start", "len")]])
+    return placed.join(F.broadcast(sizes), "model").select("model", "site_id", "start", "len", hills.tertile(F.col("rank"), F.col("n")).alias("tertile"))
 
 
 def _weight_maps(spark, d) -> dict[str, dict[str, float]]:
@@ -318,14 +323,14 @@ def _weight_maps(spark, d) -> dict[str, dict[str, float]]:
     return of
 
 
-@query()
+@query("SELECT model, site_id, start, len, hill AS seq, score FROM hills")
 def hills_online(spark, d):
-    return hills.hills(_scans(spark, d), _weight_maps(spark, d), KMIN, KMAX, CONFIG.min_scan, CONFIG.max_scan, CONFIG.hill_threshold)
+    return _folded(spark, d)
 
 
-@query()
+@query("SELECT model, site_id, start, len, hill AS seq, score FROM seqlets")
 def seqlets_online(spark, d):
-    return hills.hills(_scans(spark, d), _weight_maps(spark, d), KMIN, KMAX, CONFIG.min_scan, CONFIG.max_scan, CONFIG.hill_threshold, equal_coexists=True)
+    return _folded(spark, d, equal_coexists=True)
 
 
 # Hill statistics.
@@ -335,12 +340,12 @@ def _hill_kmers(spark, d) -> DataFrame:
     return stats.hill_kmers(_hills(spark, d), _weights(spark, d), KMIN, KMAX)
 
 
-@query("SELECT site_id, kmer, count(*) AS cnt FROM hill_kmers GROUP BY ALL")
+@query("SELECT site_id, start, len, kmer, count(*) AS cnt FROM hill_kmers GROUP BY ALL")
 def hill_profiles(spark, d):
-    return _hill_kmers(spark, d).groupBy("site_id", "kmer").agg(F.count("*").alias("cnt"))
+    return _hill_kmers(spark, d).groupBy("site_id", "start", "len", "kmer").agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT site_id, model, round(sum(weight), 6) AS score FROM hill_kmers GROUP BY ALL")
+@query("SELECT site_id, model, start, len, round(sum(weight), 6) AS score FROM hill_kmers GROUP BY ALL")
 def hill_scores(spark, d):
     return stats.score_hills(_hill_kmers(spark, d)).withColumn("score", F.round("score", 6))
 
@@ -365,32 +370,32 @@ def _motif_kmer_list(spark, d) -> list[str]:
 DIMER_COLUMNS = ", ".join(f"round(sum(CASE WHEN contains(kmer, '{x}') OR contains(kmer, '{y}') OR weight < 0 THEN weight ELSE 0 END) + 0.0, 6) AS score_{x.lower()}" for x, y in [("AA", "TT"), ("AC", "GT"), ("AG", "CT"), ("AT", "AT"), ("CA", "TG"), ("CC", "GG"), ("CG", "CG"), ("GA", "TC"), ("GC", "GC"), ("TA", "TA")])
 
 
-@query(f"SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 6) AS motif_score, {DIMER_COLUMNS} FROM hill_kmers GROUP BY ALL")
+@query(f"SELECT site_id, model, start, len, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 6) AS motif_score, {DIMER_COLUMNS} FROM hill_kmers GROUP BY ALL")
 def hill_dimer_stats(spark, d):
     return stats.dimer_stats(_hill_kmers(spark, d), _motif_kmer_list(spark, d), 6).withColumn("motif_score", F.round("motif_score", 6))
 
 
-@query("SELECT site_id, model, round(sum(CASE WHEN contains(kmer, 'CG') OR weight < 0 THEN weight ELSE 0 END), 6) AS score FROM hill_kmers GROUP BY ALL")
+@query("SELECT site_id, model, start, len, round(sum(CASE WHEN contains(kmer, 'CG') OR weight < 0 THEN weight ELSE 0 END), 6) AS score FROM hill_kmers GROUP BY ALL")
 def cg_kmer_scores(spark, d):
     return stats.score_where(_hill_kmers(spark, d), F.col("kmer").contains("CG")).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT * FROM (SELECT site_id, model, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 6) AS score FROM hill_kmers GROUP BY ALL) WHERE score > {MOTIF_CUTOFF}")
+@query(f"SELECT * FROM (SELECT site_id, model, start, len, round(sum(CASE WHEN kmer IN (SELECT kmer FROM motif_kmers) OR weight < 0 THEN weight ELSE 0 END), 6) AS score FROM hill_kmers GROUP BY ALL) WHERE score > {MOTIF_CUTOFF}")
 def motif_hills(spark, d):
     chosen = F.col("kmer").isin(_motif_kmer_list(spark, d))
     return stats.score_where(_hill_kmers(spark, d), chosen).withColumn("score", F.round("score", 6)).where(F.col("score") > MOTIF_CUTOFF)
 
 
-@query(f"SELECT h.site_id, h.model, h.hill, round(m.score, 6) AS motif_score FROM hills h JOIN motif_only m USING (site_id, model) WHERE round(m.score, 6) < {MOTIF_CUTOFF} AND len(regexp_extract_all(h.hill, 'CG')) / nullif(h.len // 2, 0) > {CG_CUTOFF}")
+@query(f"SELECT h.site_id, h.model, h.start, h.hill, round(m.score, 6) AS motif_score FROM hills h JOIN motif_only m USING (site_id, model, start, len) WHERE round(m.score, 6) < {MOTIF_CUTOFF} AND len(regexp_extract_all(h.hill, 'CG')) / nullif(h.len // 2, 0) > {CG_CUTOFF}")
 def cg_hills(spark, d):
     only = stats.score_where(_hill_kmers(spark, d), F.col("kmer").isin(_motif_kmer_list(spark, d)), negative_too=False).withColumn("score", F.round("score", 6))
-    return stats.cg_hills(_hills(spark, d), only, MOTIF_CUTOFF, CG_CUTOFF).select("site_id", "model", "hill", "motif_score")
+    return stats.cg_hills(_hills(spark, d), only, MOTIF_CUTOFF, CG_CUTOFF).select("site_id", "model", "start", "hill", "motif_score")
 
 
-@query(f"SELECT motif, count(*) FILTER (score > {MOTIF_CUTOFF}) AS n_hits, round(avg(score) FILTER (score > {MOTIF_CUTOFF}), 6) AS mean_score FROM (SELECT motif, site_id, round(sum(weight), 6) AS score FROM hill_kmers JOIN (SELECT DISTINCT motif, kmer FROM motif_kmers) USING (kmer) GROUP BY ALL) GROUP BY 1")
+@query(f"SELECT motif, count(*) FILTER (score > {MOTIF_CUTOFF}) AS n_hits, round(avg(score) FILTER (score > {MOTIF_CUTOFF}), 6) AS mean_score FROM (SELECT motif, round(sum(weight), 6) AS score FROM hill_kmers JOIN (SELECT DISTINCT motif, kmer FROM motif_kmers) USING (kmer) GROUP BY motif, site_id, start, len) GROUP BY 1")
 def motif_hit_stats(spark, d):
     own = F.broadcast(_motif_kmers(spark, d).distinct())
-    scored = _hill_kmers(spark, d).join(own, "kmer").groupBy("motif", "site_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    scored = _hill_kmers(spark, d).join(own, "kmer").groupBy("motif", "site_id", "start", "len").agg(F.round(F.sum("weight"), 6).alias("score"))
     return stats.motif_hits(scored, MOTIF_CUTOFF).withColumn("mean_score", F.round("mean_score", 6))
 
 

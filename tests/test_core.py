@@ -63,7 +63,6 @@ def test_online_suppression_differs_from_ordinary():
     # The third window drops the first and is then rejected by the second: its place stays empty.
     rows = [(0, 4, 1.0), (5, 4, 3.0), (2, 5, 2.0)]
     assert hills.suppress_online(rows) == [(5, 4, 3.0)]
-    assert hills.suppress_by_score(rows) == [(5, 4, 3.0), (0, 4, 1.0)]
     assert hills.suppress_online([(0, 4, 1.0), (1, 4, 1.0)]) == [(1, 4, 1.0)]
     assert hills.suppress_online([(0, 4, 1.0), (1, 4, 1.0)], equal_coexists=True) == [(0, 4, 1.0), (1, 4, 1.0)]
 
