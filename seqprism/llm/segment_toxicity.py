@@ -7,8 +7,9 @@ texts count once, and so does a token that a text repeats. Every token costs a s
 linear-time scan finds every maximal scoring segment of a text. Under chance, segments that score S
 or more occur in m tokens about K m exp(-lambda S) times: their scores above a threshold are
 exponential with the rate lambda, and K comes from how many of them all clean texts have, those with
-none included. A document's strength is the sum of its segments' excesses over the threshold, in units
-of 1 / lambda, and its score a logistic function of that sum's logarithm.
+none included. A segment counts with -log of how many as good its text's number of tokens gives by
+chance, where that is positive: what chance gives in a long text counts no more than in a short one. A
+document's strength is the logarithm of the sum, and its score a logistic function of it.
 
 Three folds of the training texts are scored by the tokens of the other two, and threshold, lambda, K
 and the logistic function come from these scores: no text rates tokens that it chose itself.
@@ -60,9 +61,9 @@ class SegmentModel:
         """-log of the expected number of segments this good in that many tokens of clean text."""
         return self.scale * score - self.log_k - np.log(max(n_tokens, 1))
 
-    def strength(self, scores: list[float]) -> float:
-        """Logarithm of (one more than) the sum of the excesses over the threshold, in units of 1 / scale."""
-        return float(np.log1p(self.scale * sum(max(0.0, s - self.threshold) for s in scores)))
+    def strength(self, scores: list[float], n_tokens: int) -> float:
+        """Logarithm of (one more than) the sum of the segments' positive significances."""
+        return float(np.log1p(sum(max(0.0, self.significance(s, n_tokens)) for s in scores)))
 
     def probability(self, strength: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.offset + self.slope * strength, -40, 40))))
@@ -188,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     size = clean.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     model.scale = 1 / max(over["excess"] or 1.0, 1e-3)
     model.log_k = float(np.log(max(over["n"], 0.5) / max(size, 1)) + model.scale * model.threshold)
-    excess = F.aggregate("segments", F.lit(0.0), lambda held, s: held + F.greatest(s - model.threshold, F.lit(0.0)))
-    rows = rated.select("mark", F.log1p(excess * model.scale).alias("strength")).toPandas()
+    level = F.log(F.greatest(F.col("size"), F.lit(1))) + model.log_k
+    total = F.aggregate("segments", F.lit(0.0), lambda held, s: held + F.greatest(s * model.scale - level, F.lit(0.0)))
+    rows = rated.select("mark", F.log1p(total).alias("strength")).toPandas()
     mark = rows["mark"].to_numpy() > 0
     weight = np.where(mark, 1 / shares.get(1, 1.0), 1 / shares.get(0, 1.0))
     model.offset, model.slope = logistic(rows["strength"].to_numpy(), mark, weight)
@@ -226,7 +228,7 @@ def score_documents(docs: DataFrame, model: SegmentModel, text: str = "text", ke
             for t in batch.column(1).to_pylist():
                 words = tokens(t)
                 found = [s for _, _, s in model.segments(words)]
-                score = model.probability(model.strength(found))
+                score = model.probability(model.strength(found, len(words)))
                 out.append((score, int(score >= 0.5), sum(model.significance(s, len(words)) > 3 for s in found), max(found, default=0.0)))
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.int64(), pa.float64()), strict=True))], names=["key", "score", "predicted", "n_passages", "worst_score"])

@@ -1,22 +1,31 @@
 """Toxicity by maximal segments: held-out rows, awkward rows, the extreme-value fit."""
 
+import random
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from seqprism.llm import segment_toxicity
-from seqprism.llm.common import read
+from seqprism.llm.common import id_remainder, read
 
 from .rows import words
 
 
-def test_held_out_rows_of_the_tables(spark):
+def test_held_out_rows_of_the_tables_alone_and_joined(spark):
+    """Recall and precision on held-out rows; as clean texts get longer, no more of them come out toxic."""
     docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
-    got = segment_toxicity.judge(docs, labels)
-    both = got.where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id").select("predicted", "toxic").toPandas()
+    model = segment_toxicity.fit(docs, labels)
+    held = docs.where(id_remainder("doc_id", 5) == 0).join(labels.where("toxic IS NOT NULL"), "doc_id").select("doc_id", "text", "toxic")
+    both = segment_toxicity.score_documents(held, model).join(held, "doc_id").toPandas()
     hit = int(((both["predicted"] == 1) & (both["toxic"] == 1)).sum())
     assert hit >= 0.9 * (both["toxic"] == 1).sum() and hit >= 0.95 * (both["predicted"] == 1).sum()
+    clean = both.loc[(both["toxic"] == 0) & (both["predicted"] == 0), "text"].tolist()
+    draw = random.Random(1)
+    joined = [(size * 1000 + i, " ".join(draw.choices(clean, k=size))) for size in (5, 20, 50, 200) for i in range(40)]
+    got = segment_toxicity.score_documents(spark.createDataFrame(joined, "doc_id long, text string").repartition(8), model).toPandas()
+    called = got.groupby(got["doc_id"] // 1000)["predicted"].sum()
+    assert (called <= 2).all()
 
 
 def test_toy_classes_and_awkward_rows(spark, nothing):
