@@ -58,7 +58,7 @@ def simulate(spark: SparkSession, sizes: dict[str, int], motifs: dict[str, np.nd
                 out.append((site, name, "".join(letters)))
             yield pd.DataFrame(out, columns=["site_id", "annotation", "seq"])
 
-    return spark.range(int(ends[-1])).mapInPandas(run, "site_id long, annotation string, seq string")
+    return spark.range(int(ends[-1]) if len(ends) else 0).mapInPandas(run, "site_id long, annotation string, seq string")
 
 
 def sweep(overlaps: list[float], rates: list[float]) -> list[dict[str, float]]:

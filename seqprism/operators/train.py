@@ -3,16 +3,19 @@
 Leaves are classes, and each shared label is a node above them. The aim is the weighted negative log
 likelihood plus 2 * lambda * sum |x_leaf - s_label| over all (leaf, label) pairs (against zero for a
 leaf without labels), with s_label the lower median of its leaves, feature by feature. Rows are dealt
-into blocks by a hash of the site; each block solves its own smooth problem in a task, the driver
-holds only coefficients: (features + 1) x (leaves + pairs) numbers, whatever the input.
+into blocks by a hash of the site, one for each partition. A block's rows, coefficients and multipliers
+stay with it from round to round; sums over the blocks come up a tree. So the driver holds (features +
+1) x (leaves + pairs) numbers, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from .ranking import cut
 
 #: Sites of one block at most, on average; more sites make more blocks.
 BLOCK_SITES = 100_000
+#: Rounds between checkpoints of the blocks' states: what a lost executor costs at most.
+CHECKPOINT_ROUNDS = 10
 
 
 def lower_median(values: np.ndarray) -> np.ndarray:
@@ -83,7 +88,7 @@ class Rows:
         leaves, intercepts first. Absent features count as zeros and are never stored."""
         slope = x[1:] / sd[:, None]
         leaves = x.shape[1]
-        logit = np.stack([np.bincount(self.row, self.value * slope[self.index, c], len(self.label)) for c in range(leaves)], axis=1)
+        logit = np.stack([np.bincount(self.row, self.value * slope[self.index, c], len(self.label)) for c in range(leaves)], axis=1).astype(float)
         logit += x[0] - mean @ slope
         logit -= logit.max(axis=1, keepdims=True)
         total = np.log(np.exp(logit).sum(axis=1))
@@ -92,7 +97,7 @@ class Rows:
         delta = np.exp(logit - total[:, None])
         delta[rows, self.label] -= 1
         delta *= self.weight[:, None]
-        down = np.stack([np.bincount(self.index, self.value * delta[self.row, c], len(mean)) for c in range(leaves)], axis=1)
+        down = np.stack([np.bincount(self.index, self.value * delta[self.row, c], len(mean)) for c in range(leaves)], axis=1).astype(float)
         sums = delta.sum(axis=0)
         return value, np.vstack([sums, (down - mean[:, None] * sums) / sd[:, None]])
 
@@ -141,11 +146,119 @@ def _rows(r) -> Rows:
     return Rows(np.frombuffer(r["heads"], np.int64), np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"]), np.frombuffer(r["label"], np.int32), np.frombuffer(r["weight"]))
 
 
+@dataclass
+class Carry:
+    """What all blocks get for a round: the common target, and by what multipliers are to be divided."""
+
+    z: np.ndarray  # pairs x d
+    s: np.ndarray  # pairs x d: the labels' weights
+    common: np.ndarray  # intercepts
+    scale: float
+    rho: float
+
+
+@dataclass
+class Held:
+    """What a block keeps: its coefficients, and its multipliers before the round's mean is taken off."""
+
+    x: np.ndarray  # (d + 1) x leaves
+    v: np.ndarray  # pairs x d
+    w0: np.ndarray  # leaves
+
+
+@dataclass
+class Sums:
+    """Over blocks: of v and of the pairs' coefficients, of their squares for each pair, and of w0."""
+
+    n: int
+    v: np.ndarray
+    copies: np.ndarray
+    v2: np.ndarray
+    copies2: np.ndarray
+    w0: np.ndarray
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(*(getattr(self, f) + getattr(other, f) for f in self.__dataclass_fields__))
+
+
+def squares(total: np.ndarray, mean_of: np.ndarray, about: np.ndarray, n: int) -> np.ndarray:
+    """For each pair the sum over blocks of |value - about|^2, from the sums of squares and of values."""
+    return np.maximum(total - 2 * (about * mean_of).sum(axis=1) + n * (about**2).sum(axis=1), 0)
+
+
+def converged(number: int, moved: list[float], norms: list[float], budget: int, tolerance: float) -> bool:
+    """Whether the outer rounds end: every node moved by less than its tolerance, or, beyond half the
+    budget, by less than twice its norm. number counts from 0."""
+    if all(a <= tolerance * b for a, b in zip(moved, norms, strict=True)):
+        return True
+    return number > budget // 2 and all(a < 2 * b for a, b in zip(moved, norms, strict=True))
+
+
+def solve(rows: Rows, held: Held, carry: Carry, leaf: np.ndarray, mean: np.ndarray, sd: np.ndarray, over_relaxation: float) -> Held:
+    """A block's round: its multipliers follow the last means, then its own smooth problem is solved."""
+    u, u0 = (held.v - carry.z) / carry.scale, (held.w0 - carry.common) / carry.scale
+    target, intercept, shape = carry.z + carry.s - u, carry.common - u0, held.x.shape
+
+    def objective(flat):
+        own = flat.reshape(shape)
+        value, gradient = rows.loss(own, mean, sd)
+        gap, shift = own[1:].T[leaf] - target, own[0] - intercept
+        value += carry.rho / 2 * float((gap**2).sum() + (shift**2).sum())
+        pull = np.zeros((shape[1], shape[0] - 1))
+        np.add.at(pull, leaf, carry.rho * gap)
+        gradient[1:] += pull.T
+        gradient[0] += carry.rho * shift
+        return value, gradient.ravel()
+
+    x = lbfgs(objective, held.x.ravel()).reshape(shape)
+    relaxed = over_relaxation * x[1:].T[leaf] + (1 - over_relaxation) * (carry.z + carry.s)
+    return Held(x, relaxed - carry.s + u, x[0] + u0)
+
+
+def sums_of(held: Held, leaf: np.ndarray) -> Sums:
+    copies = held.x[1:].T[leaf]
+    return Sums(1, held.v, copies, (held.v**2).sum(axis=1), (copies**2).sum(axis=1), held.w0)
+
+
+class Blocks:
+    """The rows of all blocks, one for each partition, and their states, which stay beside them."""
+
+    def __init__(self, blocks: DataFrame, n: int, first: Callable[[], Held]):
+        names = ("heads", "at", "value", "label", "weight")
+        pairs = blocks.rdd.map(lambda r: (r["block"], {c: bytes(r[c]) for c in names}))
+        self.context, self.n = blocks.sparkSession.sparkContext, n
+        # A partition without rows has a block all the same: an empty one.
+        empty = {c: b"" for c in names}
+        dealt = pairs.partitionBy(n, lambda block: block).mapPartitions(lambda own: iter([next((r for _, r in own), empty)]), preservesPartitioning=True)
+        self.rows: RDD = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows.checkpoint()
+        self.states: RDD = self.rows.map(lambda _: first())
+        self.rounds = 0
+
+    def advance(self, step: Callable[[dict, Held], Held], sums: Callable[[Held], Sums]) -> Sums:
+        """Every block's next state; the sums over all of them."""
+        old = self.states
+        self.states = self.rows.zip(old).map(lambda pair: step(*pair)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rounds += 1
+        if self.rounds % CHECKPOINT_ROUNDS == 0:
+            self.states.checkpoint()
+        found = self.states.map(sums).treeReduce(lambda a, b: a + b, max(2, int(np.ceil(np.log(max(2, self.n)) / np.log(16)))))
+        old.unpersist()
+        return found
+
+    def total(self, of: Callable[[dict], float]) -> float:
+        return self.rows.map(of).sum()
+
+    def close(self) -> None:
+        self.states.unpersist()
+        self.rows.unpersist()
+
+
 def fit(blocks: DataFrame, n_blocks: int, features: list[str], leaves: list[str], parents: dict[str, list[str]], mean: np.ndarray, sd: np.ndarray, support: np.ndarray, config: AnalysisConfig) -> Model:
     """Alternates consensus optimisation of the leaves and medians for the labels.
 
     A pair is (leaf, label), or (leaf, none) for a leaf without labels. Each block has its own copy of
-    the leaves' coefficients, drawn together by z and the block's multipliers u; intercepts are drawn
+    the leaves' coefficients, drawn together by z and the block's multipliers; intercepts are drawn
     to their mean and not penalised, and residuals leave them out.
     """
     labels = sorted({p for own in parents.values() for p in own})
@@ -153,97 +266,56 @@ def fit(blocks: DataFrame, n_blocks: int, features: list[str], leaves: list[str]
     pairs += [(i, -1) for i, name in enumerate(leaves) if not parents.get(name)]
     d, n_leaves = len(features), len(leaves)
     leaf = np.array([p[0] for p in pairs])
-    x = np.zeros((n_blocks, d + 1, n_leaves))
-    x[:, 0, :] = np.log(support + 1) - np.log(support[-1] + 1)
-    labels_at = np.zeros((d, len(labels)))
-    z, u = np.zeros((len(pairs), d)), np.zeros((n_blocks, len(pairs), d))
-    common, u0 = x[0, 0].copy(), np.zeros((n_blocks, n_leaves))
-    rho, history = config.rho, []
-
-    def above() -> np.ndarray:
-        return np.stack([labels_at[:, p] if p >= 0 else np.zeros(d) for _, p in pairs])
-
-    def step(s: np.ndarray) -> dict[int, tuple[np.ndarray, float]]:
-        state = {t: (x[t], z + s - u[t], common - u0[t]) for t in range(n_blocks)}
-
-        def run(batches):
-            for batch in batches:
-                out = []
-                for r in batch.to_dict("records"):
-                    rows, (start, target, intercept) = _rows(r), state[r["block"]]
-
-                    def objective(flat, rows=rows, target=target, intercept=intercept):
-                        own = flat.reshape(d + 1, n_leaves)
-                        value, gradient = rows.loss(own, mean, sd)
-                        gap = own[1:].T[leaf] - target
-                        shift = own[0] - intercept
-                        value += rho / 2 * float((gap**2).sum() + (shift**2).sum())
-                        pull = np.zeros((n_leaves, d))
-                        np.add.at(pull, leaf, rho * gap)
-                        gradient[1:] += pull.T
-                        gradient[0] += rho * shift
-                        return value, gradient.ravel()
-
-                    new = lbfgs(objective, start.ravel())
-                    out.append((r["block"], new.tobytes(), rows.loss(new.reshape(d + 1, n_leaves), mean, sd)[0]))
-                yield pd.DataFrame(out, columns=["block", "x", "loss"])
-
-        return {r.block: (np.frombuffer(r.x).reshape(d + 1, n_leaves), r.loss) for r in blocks.mapInPandas(run, "block int, x binary, loss double").collect()}
+    common = np.log(support + 1) - np.log(support[-1] + 1)
+    labels_at, agreed = np.zeros((d, len(labels))), np.zeros((d, n_leaves))
+    z = np.zeros((len(pairs), d))
+    rho, scale, history, relaxation = config.rho, 1.0, [], config.over_relaxation
+
+    def first(common=common, n_pairs=len(pairs)) -> Held:
+        return Held(np.vstack([common, np.zeros((d, n_leaves))]), np.zeros((n_pairs, d)), common)
 
+    held = Blocks(blocks, n_blocks, first)
+    context = held.context
+    scaling = context.broadcast((mean, sd))
     outer = config.outer_rounds if labels else 1
     for number in range(outer):
-        before = x.mean(axis=0)[1:].copy(), labels_at.copy()
-        s = above()
+        before = np.vstack([common, agreed]), labels_at.copy()
+        s = np.stack([labels_at[:, p] if p >= 0 else np.zeros(d) for _, p in pairs])
         for _ in range(config.admm_rounds):
-            for t, (new, _) in step(s).items():
-                x[t] = new
-            copies = x[:, 1:, :].transpose(0, 2, 1)[:, leaf, :]
-            relaxed = config.over_relaxation * copies + (1 - config.over_relaxation) * (z + s)
-            old = z
-            middle = (relaxed - s + u).mean(axis=0)
+            carry = context.broadcast(Carry(z, s, common, scale, rho))
+            found = held.advance(lambda r, own, carry=carry: solve(_rows(r), own, carry.value, leaf, *scaling.value, relaxation), lambda own: sums_of(own, leaf))
+            old, middle = z, found.v / n_blocks
             t = 2 * config.regularization / (rho * n_blocks)
             z = np.sign(middle) * np.maximum(np.abs(middle) - t, 0)
-            u += relaxed - s - z
-            common = (x[:, 0] + u0).mean(axis=0)
-            u0 += x[:, 0] - common
-            primal = np.sqrt(((copies - s - z) ** 2).sum(axis=(0, 2)))
+            common = found.w0 / n_blocks
+            primal = np.sqrt(squares(found.copies2, found.copies, s + z, n_blocks))
             dual = rho * np.sqrt(n_blocks) * np.sqrt(((z - old) ** 2).sum(axis=1))
-            norm = np.maximum(np.sqrt((copies**2).sum(axis=(0, 2))), np.sqrt(n_blocks * ((z + s) ** 2).sum(axis=1)))
+            norm = np.maximum(np.sqrt(found.copies2), np.sqrt(n_blocks * ((z + s) ** 2).sum(axis=1)))
             close = np.sqrt(d) * config.tolerance + config.tolerance * norm
-            close_dual = np.sqrt(d) * config.tolerance + config.tolerance * rho * np.sqrt((u**2).sum(axis=(0, 2)))
+            close_dual = np.sqrt(d) * config.tolerance + config.tolerance * rho * np.sqrt(squares(found.v2, found.v, z, n_blocks))
+            scale = 1.0
             if (primal <= close).all() and (dual <= close_dual).all():
                 break
             if number == 0:
-                scale = 2.0 if primal.sum() > 10 * dual.sum() else 0.5 if dual.sum() > 10 * primal.sum() else 1.0
-                if rho * scale <= config.rho_max:
-                    rho *= scale
-                    u /= scale
-                    u0 /= scale
-        # Coefficients in common: exact differences z where all pairs of a leaf agree, the mean else.
-        agreed = np.zeros((d, n_leaves))
-        for i in range(n_leaves):
-            agreed[:, i] = (z + s)[leaf == i].mean(axis=0)
+                wanted = 2.0 if primal.sum() > 10 * dual.sum() else 0.5 if dual.sum() > 10 * primal.sum() else 1.0
+                if rho * wanted <= config.rho_max:
+                    rho, scale = rho * wanted, wanted
+        # Coefficients in common: the mean over a leaf's pairs, which agree where z is exact.
+        agreed = np.stack([(z + s)[leaf == i].mean(axis=0) for i in range(n_leaves)], axis=1)
         for k in range(len(labels)):
             labels_at[:, k] = lower_median(np.stack([agreed[:, i] for i, p in pairs if p == k]))
         penalty = 2 * config.regularization * float(sum(np.abs(agreed[:, i] - (labels_at[:, p] if p >= 0 else 0)).sum() for i, p in pairs))
         current = np.vstack([common, agreed])
-        history.append(penalty + _total_loss(blocks, current, mean, sd))
-        moved = [(np.linalg.norm(agreed - before[0]), np.linalg.norm(agreed)), (np.linalg.norm(labels_at - before[1]), np.linalg.norm(labels_at))]
-        if all(a <= config.tolerance * b for a, b in moved):
+        history.append(penalty + held.total(lambda r, current=current: _rows(r).loss(current, *scaling.value)[0]))
+        nodes, earlier = np.hstack([current, np.vstack([np.zeros(len(labels)), labels_at])]), np.hstack([before[0], np.vstack([np.zeros(len(labels)), before[1]])])
+        if converged(number, np.linalg.norm(nodes - earlier, axis=0).tolist(), np.linalg.norm(nodes, axis=0).tolist(), outer, config.tolerance):
             break
+    held.close()
     slope = agreed / sd[:, None]
     coefficients = np.vstack([common - mean @ slope, slope])
     return Model(features, leaves, labels, coefficients, labels_at / sd[:, None], history)
 
 
-def _total_loss(blocks: DataFrame, x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> float:
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"loss": [_rows(r).loss(x, mean, sd)[0] for r in batch.to_dict("records")]})
-
-    return blocks.mapInPandas(run, "loss double").agg(F.sum("loss")).first()[0] or 0.0
-
-
 def train(sites: DataFrame, config: AnalysisConfig) -> Model:
     """sites (site_id, annotation, seq) to a model of all classes and shared labels."""
     from . import kmers, labels

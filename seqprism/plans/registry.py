@@ -533,19 +533,48 @@ def random_regions(spark, d):
     return intervals.random_regions(genome, moved, 500, CONFIG.window, CONFIG.seed)
 
 
-# Training and simulation.
+# Training: the main workflow on trained weights.
+
+
+def _trained(spark, d) -> tuple[DataFrame, train.Model]:
+    kept = cut(labels.keep_frequent(sites(spark, d), LEAST).select("site_id", "annotation", "seq"))
+    return kept, train.train(kept, CONFIG)
 
 
 @query()
 def train_leaf_model(spark, d):
     """The hierarchical model by the production schedule, which ends by its tolerance."""
-    kept = labels.keep_frequent(sites(spark, d), LEAST)
-    return train.train(kept.select("site_id", "annotation", "seq"), CONFIG).table(spark)
+    return _trained(spark, d)[1].table(spark)
+
+
+@query()
+def cross_validation(spark, d):
+    """Posteriors of every site by a model of the folds that it isn't in."""
+    kept = labels.keep_frequent(sites(spark, d), LEAST).select("site_id", "annotation", "seq")
+    return train.cross_validate(cut(kept), CONFIG)
+
+
+@query()
+def trained_hills(spark, d):
+    """Hills of every site under the trained weights of each model that it belongs to: its class and the
+    shared labels of it."""
+    kept, model = _trained(spark, d)
+    of: dict[str, dict[str, float]] = {}
+    for name, values in [*zip(model.leaves, model.coefficients[1:].T, strict=True), *zip(model.labels, model.label_weights.T, strict=True)]:
+        of[name] = dict(zip(model.features, values.tolist(), strict=True))
+    nodes = labels.hierarchy(kept).select(F.col("name").alias("model"))
+    scans = labels.membership(kept, nodes).join(kept.select("site_id", "seq"), "site_id")
+    return hills.hills(scans, of, KMIN, KMAX, CONFIG.min_scan, CONFIG.max_scan, CONFIG.hill_threshold)
 
 
 @query()
 def simulate_sites(spark, d):
-    read(spark, d, "region").schema
+    """As many sites of each class as the tables have, over their letter frequencies, with the consensus
+    of each language's motif planted in its classes."""
+    own = sites(spark, d)
+    sizes = {r.annotation: r.n for r in labels.counts(own).orderBy("annotation").collect()}
+    letters = own.agg(*[F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(b)))).alias(b) for b in "ACGT"]).first()
+    shares = [n / (sum(letters) or 1) for n in letters] if sizes else [0.25] * 4
     strong = lambda word: np.array([[0.91 if b == x else 0.03 for b in "ACGT"] for x in word])
-    planted = {"X": strong("TGACTCA"), "Y": strong("CACGTG"), "A": strong("GATAAG"), "B": strong("CCAAT")}
-    return simulate.simulate(spark, simulate.class_sizes(500), planted, {"": [0.3, 0.2, 0.2, 0.3]}, CONFIG.window, 0.7, CONFIG.seed)
+    planted = {r.motif: strong(r.consensus) for r in motifs.consensus(_motifs(spark, d)).collect()}
+    return simulate.simulate(spark, sizes, planted, {"": shares}, CONFIG.window, 0.7, CONFIG.seed)
