@@ -179,19 +179,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n = max(1, labels.count())
     part = min(1 << 20, int(SAMPLE / n * (1 << 20)))
     marks = marks.where((id_remainder("label_key", 3) != 1) & (F.pmod(F.xxhash64("label_key"), F.lit(1 << 20)) < part))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, F.col("key") == F.col("label_key"))
+    # About SAMPLE ids at most: broadcast, so that no text moves before it is chosen.
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marks), F.col("key") == F.col("label_key"))
     got = rows.select("key", "mark", features(F.col("text")).alias("f")).select("key", "mark", "f.*").toPandas().sort_values(["key", *FEATURES])
     return fit_rules(got[FEATURES].to_numpy(float), (got["mark"].to_numpy() > 0).astype(float))
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, held_out (crc32 of the id modulo 3 is 1), score, predicted."""
+    """Per row: key, held_out (crc32 of the id modulo 3 is 1), score, predicted.
+
+    Null and empty texts have statistics of 0 and are scored by them; a null key is not held out;
+    repeated rows are scored alike; an empty table gives no rows; without labels of both kinds every
+    text has the same score.
+    """
     model = fit(docs, labels, text, key)
     scored = docs.select(F.col(key).alias(key), let(features(F.col(text)), model.column).alias("score"))
     return scored.select(key, F.coalesce(id_remainder(key, 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that score 0.5 or more, columns as they are. One pass, no shuffle."""
+    """The rows of docs that score 0.5 or more, columns as they are. One pass, no shuffle. Nulls, empty
+    texts and repeated rows as in judge(); an empty table stays empty."""
     model = fit(docs, labels, text, key)
     return docs.where(let(features(F.col(text)), model.column) >= 0.5)
