@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_remainder, let, stored
+from .common import cut, id_remainder, let
 
 #: The characters that count as symbols, and white space between words.
 SYMBOLS = r"[#*$%&|<>]"
@@ -205,10 +205,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """The rows of docs that pass, with their columns as they are; see judge() for nulls and repeats.
 
     The statistics are computed once, in the pass that writes the rows with them to the shared folder;
-    calibration and verdict read them there.
+    calibration and verdict read them there. It is a checkpoint, so Spark removes it with the result
+    where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    stats = stored(row.select("row", F.col("row")[key].alias(key), F.coalesce(F.col("row")[stratum], F.lit("")).alias("stratum"), statistics(F.col("row")[text]).alias("s")))
+    stats = cut(row.select("row", F.col("row")[key].alias(key), F.coalesce(F.col("row")[stratum], F.lit("")).alias("stratum"), statistics(F.col("row")[text]).alias("s")))
     cutoffs = cut(calibrate(labelled_statistics(stats.drop("row"), labels, key)))
     return _verdict(stats, cutoffs, key).where("kept").select("row.*")
 
