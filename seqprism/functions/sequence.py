@@ -46,11 +46,15 @@ def kmer_weight(kmer: Column, k: int, kmin: int, table: Column) -> Column:
     return F.get(table, (kmer_code(canonical(kmer)) + (4**k - 4**kmin) // 3).cast("int"))
 
 
-def kmer_places(seq: Column, kmin: int, kmax: int) -> Column:
-    """Array of the feature_index() of the canonical form of every k-mer, shorter ones first."""
+def kmer_places(seq: Column, kmin: int, kmax: int, any_letters: bool = False) -> Column:
+    """Array of the feature_index() of the canonical form of every k-mer, shorter ones first.
+
+    With any_letters the sequence may hold more than A, C, G, T; k-mers with such a letter are left out.
+    """
 
     def of_length(k: int) -> Column:
-        return F.transform(windows(seq, k), lambda s: (kmer_code(canonical(s)) + (4**k - 4**kmin) // 3).cast("int"))
+        found = F.filter(windows(seq, k), lambda s: ~s.rlike("[^ACGT]")) if any_letters else windows(seq, k)
+        return F.transform(found, lambda s: (kmer_code(canonical(s)) + (4**k - 4**kmin) // 3).cast("int"))
 
     return F.concat(*map(of_length, range(kmin, kmax + 1)))
 

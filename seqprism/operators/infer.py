@@ -10,8 +10,8 @@ from seqprism.functions.sequence import kmer_places, weight_table
 from .ranking import cut
 
 
-def _site_scores(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None) -> DataFrame:
-    """(site_id, scores): an array of (model, logit) for each site with a k-mer, made within its row.
+def _site_scores(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None, keep: tuple[str, ...] = (), any_letters: bool = False) -> DataFrame:
+    """(site_id, keep, scores): an array of (model, logit) for each site with a k-mer, made within its row.
 
     All weights are one broadcast row, an array for each model with as many entries as there are
     k-mers: at most (number of k-mers) x (number of models) numbers, whatever the input. The places of
@@ -31,8 +31,8 @@ def _site_scores(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, int
         return F.transform("models", lambda m: F.struct(m["model"].alias("model"), logit(places, m).alias("logit")))
 
     # The outer transform holds the places, so that they are computed once.
-    whole = F.transform(F.array(kmer_places(F.col("seq"), kmin, kmax)), scores)[0]
-    return sites.where(F.length("seq") >= kmin).select("site_id", "seq").crossJoin(F.broadcast(models)).select("site_id", whole.alias("scores"))
+    whole = F.transform(F.array(kmer_places(F.col("seq"), kmin, kmax, any_letters)), scores)[0]
+    return sites.where(F.length("seq") >= kmin).select("site_id", *keep, "seq").crossJoin(F.broadcast(models)).select("site_id", *keep, whole.alias("scores"))
 
 
 def logits(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None = None) -> DataFrame:
@@ -40,8 +40,9 @@ def logits(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercept
     return _site_scores(sites, weights, kmin, kmax, intercepts).select("site_id", F.inline("scores"))
 
 
-def posteriors(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None = None) -> DataFrame:
-    """(site_id, model, logit, prob): logits and their softmax over the models, without a shuffle."""
+def posteriors(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, intercepts: DataFrame | None = None, keep: tuple[str, ...] = (), any_letters: bool = False) -> DataFrame:
+    """(site_id, keep, model, logit, prob): logits and their softmax over the models, without a shuffle.
+    With any_letters, k-mers that hold more than A, C, G, T weigh nothing."""
 
     def weighed(scores):
         highest = F.array_max(F.transform(scores, lambda x: x["logit"]))
@@ -51,9 +52,9 @@ def posteriors(sites: DataFrame, weights: DataFrame, kmin: int, kmax: int, inter
         total = F.aggregate(parts, F.lit(0.0), lambda held, x: held + x["part"])
         return F.transform(parts, lambda x: F.struct(x["model"].alias("model"), x["logit"].alias("logit"), (x["part"] / total).alias("prob")))
 
-    rows = _site_scores(sites, weights, kmin, kmax, intercepts)
+    rows = _site_scores(sites, weights, kmin, kmax, intercepts, keep, any_letters)
     parts = F.transform(F.array("scores"), weighed)
-    return rows.select("site_id", F.inline(F.transform(parts, shared)[0]))
+    return rows.select("site_id", *keep, F.inline(F.transform(parts, shared)[0]))
 
 
 def predictions(site_posteriors: DataFrame) -> DataFrame:

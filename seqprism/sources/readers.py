@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqprism.session import prepare
+
+from .records import RecordSource
+
+#: Letters of a piece of a genome.
+CHUNK = 1 << 16
+
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
@@ -27,18 +34,31 @@ def labelled_loci(spark: SparkSession, path: str, window: int | None = None) ->
     return base.withColumns({"start": F.greatest(middle - window // 2, F.lit(0)), "end": F.greatest(middle - window // 2, F.lit(0)) + window - 1})
 
 
-def labelled_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(site_id, seq, annotation) from `ACGT...<TAB>a;b`, upper-cased."""
-    rows = _fields(spark, path).select(F.upper(F.col("f")[0]).alias("seq"), F.get("f", F.lit(1)).alias("annotation"))
-    return rows.withColumn("site_id", F.monotonically_increasing_id()).select("site_id", "seq", "annotation")
+def records(spark: SparkSession, path: str, start: str = "", **options) -> DataFrame:
+    """(id, file, offset, value) of the records of text files; see RecordSource."""
+    prepare(spark).dataSource.register(RecordSource)
+    return spark.read.format(RecordSource.name()).options(path=path, start=start, **options).load()
+
+
+def labelled_sequences(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(site_id, seq, annotation) from `ACGT...<TAB>a;b`, upper-cased; ids from file and offset."""
+    f = F.split(F.regexp_replace("value", r"\r?\n$", ""), "\t")
+    rows = records(spark, path, **options).where(~F.col("value").startswith("#") & F.col("value").rlike(r"\S"))
+    return rows.select(F.col("id").alias("site_id"), F.upper(f[0]).alias("seq"), F.get(f, F.lit(1)).alias("annotation"))
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq); records may go over many lines."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+def fasta(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(site_id, name, seq); a record begins with `>` at the beginning of a line and may go over many lines."""
     head = F.substring_index("value", "\n", 1)
     body = F.substring(F.col("value"), F.length(head) + 1, F.length("value"))
-    return records.select(F.trim(head).alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    return records(spark, path, ">", **options).select(F.col("id").alias("site_id"), F.trim(F.regexp_replace(head, r"^>|\r$", "")).alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"))
+
+
+def genome_chunks(spark: SparkSession, path: str, chunk: int = CHUNK, **options) -> DataFrame:
+    """(chrom, chunk, part) of a FASTA genome for region_sequences(): the letters of each record in pieces
+    as they are read. chrom is the first word of its line."""
+    found = records(spark, path, ">", chunk=str(chunk), **options)
+    return found.select(F.regexp_extract("head", r"^>\s*(\S+)", 1).alias("chrom"), "chunk", "part")
 
 
 def genome_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -78,12 +98,13 @@ def design(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].cast("int").alias("node_idx"), f[1].alias("name"), (f[2] == "1").alias("is_leaf"), ints(f[3]).alias("parents"), ints(f[4]).alias("children"), f[5].cast("int").alias("layer"))
 
 
-def motifs(spark: SparkSession, path: str) -> DataFrame:
-    """(motif, pos, a, c, g, t) from TRANSFAC records: `DE name`, numbered rows, `XX`."""
-    records = spark.read.option("lineSep", "XX").text(path).where(F.col("value").contains("DE"))
-    name = F.regexp_extract("value", r"DE\s+(\S+)", 1)
-    lines = F.filter(F.split("value", r"\n"), lambda x: x.rlike(r"^\s*\d+\s"))
-    rows = records.select(name.alias("motif"), F.explode(F.transform(lines, lambda x: F.split(F.trim(x), r"\s+"))).alias("f"))
+def motifs(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(motif, pos, a, c, g, t) from TRANSFAC records: `DE name`, numbered rows up to a line `XX`."""
+    found = records(spark, path, r"DE\s", **options)
+    every = F.split("value", r"\r?\n")
+    last = F.array_position(F.transform(every, lambda x: F.trim(x)), "XX")
+    body = F.filter(F.when(last > 0, F.slice(every, F.lit(1), last.cast("int") - 1)).otherwise(every), lambda x: x.rlike(r"^\s*\d+\s"))
+    rows = found.select(F.regexp_extract("value", r"^DE\s+(\S+)", 1).alias("motif"), F.explode(F.transform(body, lambda x: F.split(F.trim(x), r"\s+"))).alias("f"))
     return rows.select("motif", F.col("f")[0].cast("int").alias("pos"), *[F.col("f")[i + 1].cast("double").alias(b) for i, b in enumerate("acgt")])
 
 
@@ -93,15 +114,21 @@ def markov(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(F.substring(k, F.lit(1), F.length(k) - 1).alias("context"), F.right(k, F.lit(1)).alias("base"), F.col("f")[1].cast("double").alias("p"))
 
 
-def region_sequences(places: DataFrame, genome: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """places (chrom, start, end) with seq. genome: chrom, seq; long chromosomes are cut into chunks and
-    joined by chunk, so no task holds a whole one."""
-    size = F.lit(chunk)
-    chunks = genome.select("chrom", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / size))).alias("chunk"), "seq").select("chrom", "chunk", F.substring("seq", (F.col("chunk") * chunk + 1).cast("int"), size).alias("part"))
-    columns = places.columns
-    wanted = places.withColumn("_place", F.monotonically_increasing_id()).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor(F.col("end") / chunk))))
+def cut_genome(genome: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(chrom, chunk, part) of genome (chrom, seq): one pass over each sequence, in time linear in its
+    length (a substring would count its way from the beginning for each chunk)."""
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    return genome.select("chrom", F.posexplode(parts).alias("chunk", "part")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+def region_sequences(places: DataFrame, genome: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """places (chrom, start, end) with seq, ends inclusive, as far as their chromosome goes; places on none
+    or outside of it are left out, places of the same region have one row each. genome: chunks of that
+    length from genome_chunks() or cut_genome(), joined by chunk, so no task holds a whole chromosome."""
+    spots = places.select("chrom", "start", "end").distinct()
+    wanted = spots.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor(F.col("end") / chunk))))
     low = F.greatest(F.col("start") - F.col("chunk") * chunk, F.lit(0))
     high = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk - 1))
-    cut = wanted.join(chunks, ["chrom", "chunk"]).withColumn("_piece", F.substring("part", (low + 1).cast("int"), (high - low + 1).cast("int")))
+    cut = wanted.join(genome, ["chrom", "chunk"]).withColumn("_piece", F.substring("part", (low + 1).cast("int"), (high - low + 1).cast("int")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "_piece"))), lambda x: x["_piece"]), "")
-    return cut.groupBy("_place", *columns).agg(joined.alias("seq")).drop("_place")
+    return places.join(cut.groupBy("chrom", "start", "end").agg(joined.alias("seq")).where("seq <> ''"), ["chrom", "start", "end"]).select(*places.columns, "seq")

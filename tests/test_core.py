@@ -181,7 +181,7 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r.name, r.seq) for r in readers.fasta(spark, str(tmp_path / "f.fa")).collect()] == [("one x", "ACGT"), ("two", "GG")]
     genome = spark.createDataFrame([("c", "ACGTACGTAC")], "chrom string, seq string")
     places = spark.createDataFrame([("c", 2, 7)], "chrom string, start long, end long")
-    assert readers.region_sequences(places, genome, 4).first().seq == "GTACGT"
+    assert readers.region_sequences(places, readers.cut_genome(genome, 4), 4).first().seq == "GTACGT"
     rows = spark.createDataFrame([("m1", 0, 0.5, 0.5, 0.0, 0.0), ("m1", 1, 0.0, 0.0, 0.25, 0.75)], "motif string, pos int, a double, c double, g double, t double")
     writers.motifs(rows, str(tmp_path / "m"))
     assert sorted(map(tuple, readers.motifs(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, rows.collect()))
