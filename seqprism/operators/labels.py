@@ -11,6 +11,20 @@ def subgroup(annotation: Column) -> Column:
     return F.translate(annotation, ";", "#")
 
 
+#: The class of random regions.
+BACKGROUND = "Random"
+
+
+def without_background(rows: DataFrame, model: str = "model") -> DataFrame:
+    """Rows of all models but that of random regions; those without a model stay."""
+    return rows.where(~F.col(model).eqNullSafe(F.lit(BACKGROUND)))
+
+
+def smallest(sites: DataFrame) -> int:
+    """Sites of the smallest class, 0 without sites: as many as there are random regions."""
+    return counts(sites).agg(F.min("n")).first()[0] or 0
+
+
 def counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("annotation").agg(F.count("*").alias("n"))
 
@@ -32,21 +46,38 @@ def fan_out(sites: DataFrame) -> DataFrame:
     return pieces.groupBy("label").agg(F.count("*").alias("n_subgroups")).where("n_subgroups > 1")
 
 
+def class_names(sites: DataFrame) -> DataFrame:
+    """(annotation, name, parents, first): each class with the name of its node, its shared labels (sorted)
+    and its first site. A class named like a shared label X becomes `XOnly#X`, or, where another class has
+    that name, the first of `XOnlyOnly#X` and so on that none has, so that no two classes share a name."""
+    shared = fan_out(sites).select("label")
+    classes = sites.groupBy("annotation").agg(F.min("site_id").alias("first"))
+    pieces = classes.select("annotation", F.explode(F.array_distinct(F.split("annotation", ";"))).alias("label"))
+    known = pieces.join(shared, "label").groupBy("annotation").agg(F.sort_array(F.collect_set("label")).alias("parents"))
+    named = classes.withColumn("_name", subgroup(F.col("annotation"))).join(known, "annotation", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    # Names of the form XOnly...#X that classes have already, by X.
+    forms = named.select(F.regexp_extract("_name", r"^(.*?)((?:Only)+)#\1$", 1).alias("_of"), (F.length(F.regexp_extract("_name", r"^(.*?)((?:Only)+)#\1$", 2)) / 4).cast("int").alias("_times"))
+    used = forms.where("_times > 0").groupBy("_of").agg(F.collect_set("_times").alias("_used"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_used") + 1), "_used"))
+    times = F.when(F.col("_used").isNull(), 1).otherwise(free)
+    name = F.when(F.array_contains("parents", F.col("_name")), F.concat("_name", F.repeat(F.lit("Only"), times), F.lit("#"), "_name")).otherwise(F.col("_name"))
+    return named.join(used, F.col("_name") == F.col("_of"), "left").select("annotation", name.alias("name"), "parents", "first")
+
+
+def renamed(sites: DataFrame) -> DataFrame:
+    """sites with the annotation of their node's name, so that counts, weights, membership and training see
+    the classes that hierarchy() has. Sites without an annotation stay as they are."""
+    names = class_names(sites).select("annotation", F.translate("name", "#", ";").alias("_named"))
+    return sites.join(names, "annotation", "left").withColumn("annotation", F.col("_named")).select(*sites.columns)
+
+
 def hierarchy(sites: DataFrame) -> DataFrame:
     """Nodes: classes (leaves) in the order of their first site, then labels by name.
 
     A class named like a label becomes `XOnly#X`. Columns: node_idx, name, is_leaf, layer, parents and
     children (sorted names). Without shared labels all leaves are roots and there is one layer.
     """
-    shared = fan_out(sites).select("label")
-    classes = sites.groupBy("annotation").agg(F.min("site_id").alias("first"))
-    pieces = classes.select("annotation", "first", F.explode(F.array_distinct(F.split("annotation", ";"))).alias("label"))
-    known = pieces.join(shared, "label").groupBy("annotation").agg(F.sort_array(F.collect_set("label")).alias("parents"))
-    parents = F.coalesce("parents", F.array().cast("array<string>"))
-    name = subgroup(F.col("annotation"))
-    leaves = classes.join(known, "annotation", "left").select(
-        F.when(F.array_contains(parents, name), F.concat(name, F.lit("Only#"), name)).otherwise(name).alias("name"), parents.alias("parents"), "first",
-    )
+    leaves = class_names(sites)
     children = leaves.select("name", F.explode("parents").alias("label")).groupBy("label").agg(F.sort_array(F.collect_set("name")).alias("children"))
     none = F.array().cast("array<string>")
     nodes = leaves.select("name", F.lit(True).alias("is_leaf"), F.lit(0).alias("layer"), "parents", none.alias("children"), "first").unionByName(
@@ -59,11 +90,8 @@ def hierarchy(sites: DataFrame) -> DataFrame:
 
 def node_support(sites: DataFrame) -> DataFrame:
     """(name, n): sites under each node; a label has those of all its classes."""
-    nodes = hierarchy(sites).where("is_leaf").select("name", "parents")
-    per_class = counts(sites).select(subgroup(F.col("annotation")).alias("subgroup"), "n")
-    leaf = nodes.join(per_class, F.regexp_replace("name", "^.*Only#", "") == F.col("subgroup")).select("name", "parents", "n")
-    own = leaf.select("name", "n")
-    return own.unionByName(leaf.select(F.explode("parents").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n")))
+    leaf = class_names(sites).join(counts(sites), "annotation").select("name", "parents", "n")
+    return leaf.select("name", "n").unionByName(leaf.select(F.explode("parents").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n")))
 
 
 def membership(sites: DataFrame, models: DataFrame) -> DataFrame:

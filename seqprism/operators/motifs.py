@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqprism.config import AnalysisConfig
 from seqprism.functions.sequence import canonical, windows
 
+from .labels import without_background
 from .ranking import cut
 
 BASES = "ACGT"
@@ -153,8 +154,10 @@ def cluster_motifs(assigned: DataFrame, sites: DataFrame, config: AnalysisConfig
     """(model, motif, pos, a, c, g, t, roc): motifs of each cluster of each model, named model_c{cluster}_{number}.
 
     assigned: model, cluster, site_id, start, len, score. A cluster's best top_hills hills are searched,
-    without those whose window is lower-case (repeats) for more than max_lower_case.
+    without those whose window is lower-case (repeats) for more than max_lower_case. Random regions have
+    no motifs.
     """
+    assigned = without_background(assigned)
     order = Window.partitionBy("model", "cluster").orderBy(F.desc("score"), "site_id", "start")
     top = cut(assigned.select("model", "cluster", "site_id", "start", "len", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_hills))
 

@@ -30,3 +30,13 @@ def ranked(df: DataFrame, group: str, order: list[Column], name: str = "rank") -
     pieces = pieces.withColumn("_before", before)
     same = F.col(group).eqNullSafe(F.col("_group")) & (part == F.col("_part"))
     return placed.join(pieces, same).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*df.columns, name)
+
+
+def sums_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows before each one, 0 for the first: sums within partitions by
+    range, and one row per partition in a window."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    earlier = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = placed.groupBy("_part").agg(F.sum(value).alias(value)).select("_part", earlier(Window.orderBy("_part")).alias("_before"))
+    within = placed.withColumn(name, earlier(Window.partitionBy("_part").orderBy("_at")))
+    return within.join(pieces, "_part").withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)

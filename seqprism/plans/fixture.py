@@ -15,6 +15,8 @@ from seqprism.session import prepare
 CONFIG = AnalysisConfig()
 #: Ids of sites are document * SITES + tile: a text of 2 GB, the most there can be, has fewer tiles.
 SITES = 100_000_000
+#: Letters of a tile that is a repeat where it stands twice.
+REPEAT = 50
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +46,31 @@ def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("chrom"), minutes.alias("start"), (minutes + F.floor(F.coalesce("value", F.lit(0.0)))).alias("end"))
 
 
+def text_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, annotation, seq): each document as a chromosome of its letters A, C, G, T, other letters than
+    ASCII being N; annotation is null where the quality is unknown."""
+    letters = F.regexp_replace(F.regexp_replace("text", r"[^ACGTacgt\x{80}-\x{10FFFF}]+", ""), "[^ACGTacgt]", "N")
+    quality = F.when(F.col("quality") == 1, "hi").when(F.col("quality") == 0, "lo")
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("chrom"), F.concat("lang", F.lit(";"), quality).alias("annotation"), F.upper(letters).alias("seq")).where("seq <> ''")
+
+
+def placed_sites(genome: DataFrame) -> DataFrame:
+    """(site_id, chrom, start, end, annotation, seq): all windows of the chromosomes that have an annotation."""
+    tiles = F.transform(F.regexp_extract_all("seq", F.lit(f".{{1,{CONFIG.window}}}"), F.lit(0)), lambda x, i: F.struct(i.cast("long").alias("tile"), x.alias("part")))
+    rows = genome.where("annotation IS NOT NULL").select("chrom", "annotation", F.inline(tiles))
+    start = F.col("tile") * CONFIG.window
+    return rows.select((F.col("chrom") * SITES + F.col("tile")).alias("site_id"), "chrom", start.alias("start"), (start + F.length("part") - 1).alias("end"), "annotation", F.col("part").alias("seq"))
+
+
+def repeat_places(genome: DataFrame) -> DataFrame:
+    """(chrom, start, end): whole tiles of REPEAT letters that stand as a tile at two places or more."""
+    tiles = F.transform(F.regexp_extract_all("seq", F.lit(f".{{{REPEAT}}}"), F.lit(0)), lambda x, i: F.struct((i.cast("long") * REPEAT).alias("start"), x.alias("tile")))
+    placed = genome.select("chrom", F.inline(tiles))
+    often = placed.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1").select("tile")
+    return placed.join(often, "tile", "left_semi").select("chrom", "start", (F.col("start") + REPEAT - 1).alias("end"))
+
+
 def _folded(drops: str) -> str:
     """Suppression in the order of hill_windows: a kept window that overlaps the new one and is `drops`
     it goes, up to the first that is higher, which rejects the new one."""
@@ -97,6 +124,20 @@ VIEWS = {
     "genome": "SELECT *, CAST(sum(length) OVER (ORDER BY chrom) AS BIGINT) - length AS first FROM (SELECT chrom, max(stop) - min(start) + 1 AS length, min(start) AS origin FROM intervals GROUP BY 1)",
     "drawn": "SELECT i AS id, chrom, place - first AS start, place - first + 149 AS stop FROM (SELECT i, CAST('0x' || substring(md5('42:' || i), 1, 15) AS BIGINT) % (SELECT CAST(sum(length) AS BIGINT) FROM genome) AS place FROM range(8000) r(i)) JOIN genome ON place >= first AND place < first + length WHERE place - first + 150 <= length",
     "untaken": "SELECT * FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM intervals t JOIN genome g ON t.chrom = g.chrom WHERE t.chrom = d.chrom AND t.start - g.origin <= d.stop AND d.start <= t.stop - g.origin)",
+    "bare_sites": "SELECT site_id, replace(annotation, ';un', '') AS annotation FROM sites",
+    "bare_shared": "SELECT label FROM (SELECT annotation, unnest(string_split(annotation, ';')) AS label FROM (SELECT DISTINCT annotation FROM bare_sites)) GROUP BY 1 HAVING count(*) > 1",
+    "bare_named": "SELECT site_id, CASE WHEN annotation IN (SELECT label FROM bare_shared) THEN annotation || 'Only;' || annotation ELSE annotation END AS annotation FROM bare_sites",
+    "text_genome": r"SELECT * FROM (SELECT doc_id AS chrom, lang || ';' || CASE quality WHEN 1 THEN 'hi' WHEN 0 THEN 'lo' END AS annotation, upper(regexp_replace(regexp_replace(text, '[^ACGTacgt\x{80}-\x{10FFFF}]+', '', 'g'), '[^ACGTacgt]', 'N', 'g')) AS s FROM documents LEFT JOIN labels USING (doc_id)) WHERE s <> ''",
+    "text_tiles": f"SELECT chrom, t * {REPEAT} AS start, substring(s, t * {REPEAT} + 1, {REPEAT}) AS tile FROM (SELECT *, unnest(range(0, length(s) // {REPEAT})) AS t FROM text_genome)",
+    "text_repeats": f"SELECT chrom, start, start + {REPEAT - 1} AS stop FROM text_tiles WHERE tile IN (SELECT tile FROM text_tiles GROUP BY 1 HAVING count(*) > 1)",
+    "text_sites": f"SELECT chrom * {SITES} + t AS site_id, chrom, t * 150 AS start, least(t * 150 + 149, length(s) - 1) AS stop, annotation, substring(s, t * 150 + 1, 150) AS seq FROM (SELECT *, unnest(range(0, (length(s) + 149) // 150)) AS t FROM text_genome WHERE annotation IS NOT NULL)",
+    "text_cover": "SELECT site_id, sum(least(t.stop, r.stop) - greatest(t.start, r.start) + 1) AS covered FROM text_sites t JOIN text_repeats r ON t.chrom = r.chrom AND r.start <= t.stop AND t.start <= r.stop GROUP BY 1",
+    "text_screened": f"SELECT t.* FROM text_sites t LEFT JOIN text_cover USING (site_id) WHERE coalesce(covered, 0) / (stop - start + 1) <= {CONFIG.max_repeat_share}",
+    "text_kept": f"SELECT *, count(*) OVER (PARTITION BY annotation) AS size FROM text_screened QUALIFY size >= {CONFIG.min_subclass}",
+    "text_lengths": "SELECT chrom, s, length(s) AS length, CAST(sum(length(s)) OVER (ORDER BY chrom) AS BIGINT) - length(s) AS first FROM text_genome",
+    "text_drawn": "SELECT i AS id, chrom, place - first AS start, place - first + 149 AS stop, substring(s, CAST(place - first + 1 AS BIGINT), 150) AS seq FROM (SELECT i, CAST('0x' || substring(md5('42:' || i), 1, 15) AS BIGINT) % (SELECT CAST(sum(length) AS BIGINT) FROM text_lengths) AS place FROM range(400000) r(i)) JOIN text_lengths ON place >= first AND place < first + length WHERE place - first + 150 <= length",
+    "text_free": "SELECT * FROM text_drawn d WHERE NOT contains(seq, 'N') AND NOT EXISTS (SELECT 1 FROM text_kept k WHERE k.chrom = d.chrom AND k.start <= d.stop AND d.start <= k.stop)",
+    "text_low": f"SELECT f.* FROM text_free f LEFT JOIN (SELECT id, sum(least(f.stop, r.stop) - greatest(f.start, r.start) + 1) AS covered FROM text_free f JOIN text_repeats r ON f.chrom = r.chrom AND r.start <= f.stop AND f.start <= r.stop GROUP BY 1) USING (id) WHERE coalesce(covered, 0) / 150 <= {CONFIG.max_repeat_share}",
     "overlap_pairs": "SELECT a.id, b.id AS r_id, least(a.stop, b.stop) - greatest(a.start, b.start) + 1 AS overlap FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.id < b.id AND a.start <= b.stop AND b.start <= a.stop",
 }
 
@@ -115,5 +156,5 @@ def with_views(body: str) -> str:
 
     add(body)
     # What several views read is made once.
-    clause = ", ".join(f"{name} AS {'MATERIALIZED ' if name in ('sites', 'counts', 'feature_stats', 'weights', 'hills', 'seqlets', 'hill_kmers', 'motif_kmers') else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
+    clause = ", ".join(f"{name} AS {'MATERIALIZED ' if name in ('sites', 'counts', 'feature_stats', 'weights', 'hills', 'seqlets', 'hill_kmers', 'motif_kmers', 'text_genome', 'text_repeats', 'text_kept', 'text_free', 'text_low') else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
     return f"WITH {clause} {body}" if clause else body

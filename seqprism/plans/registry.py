@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqprism.functions import scores, sequence
-from seqprism.operators import cluster, hills, infer, intervals, kmers, labels, motifs, simulate, stats, train
+from seqprism.operators import background, cluster, hills, infer, intervals, kmers, labels, motifs, simulate, stats, train
 from seqprism.operators.ranking import cut, ranked
-from seqprism.sources import writers
+from seqprism.sources import readers, writers
 from seqprism.streaming.scoring import score_rows
 
-from .fixture import CONFIG, dealt_sites, event_intervals, read, sites, with_views
+from .fixture import CONFIG, dealt_sites, event_intervals, placed_sites, read, repeat_places, sites, text_genome, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,6 +109,15 @@ def model_membership(spark, d):
     return labels.membership(s, labels.hierarchy(s).select(F.col("name").alias("model")))
 
 
+@query("SELECT replace(annotation, ';', '#') AS model, count(*) AS n FROM bare_named GROUP BY 1 UNION ALL SELECT label, count(*) FROM (SELECT unnest(string_split(annotation, ';')) AS label FROM bare_named) JOIN bare_shared USING (label) GROUP BY 1")
+def renamed_classes(spark, d):
+    """Sites of each model where documents of unknown quality are labelled by language alone: such a class is
+    named like a label."""
+    bare = labels.renamed(sites(spark, d).withColumn("annotation", F.replace("annotation", F.lit(";un"), F.lit(""))))
+    models = labels.hierarchy(bare).select(F.col("name").alias("model"))
+    return labels.membership(bare, models).groupBy("model").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT site_id, annotation, CAST((row_number() OVER (PARTITION BY annotation ORDER BY md5(CAST(site_id AS VARCHAR)), site_id) - 1) % {FOLDS} AS INT) AS fold FROM sites")
 def stratified_folds(spark, d):
     return labels.stratified_folds(sites(spark, d), FOLDS)
@@ -533,6 +543,17 @@ def random_regions(spark, d):
     return intervals.random_regions(genome, moved, 500, CONFIG.window, CONFIG.seed)
 
 
+@query("SELECT site_id, annotation, seq FROM text_kept UNION ALL (SELECT -1 - id, 'Random', seq FROM text_low u WHERE NOT EXISTS (SELECT 1 FROM text_low o WHERE o.chrom = u.chrom AND o.id < u.id AND o.start <= u.stop AND u.start <= o.stop) ORDER BY id LIMIT (SELECT coalesce(min(size), 0) FROM text_kept))")
+def background_sites(spark, d):
+    """The windows of labelled documents without those in repeats, and as many random regions of all documents
+    as the smallest class has windows, free of repeats, of N and of each other."""
+    genome = text_genome(spark, d)
+    config = replace(CONFIG, screen_repeats=True, random_regions=True)
+    lengths = genome.select("chrom", F.length("seq").cast("long").alias("length"))
+    found = background.training_sites(placed_sites(genome), config, lengths, readers.cut_genome(genome), repeat_places(genome))
+    return found.select("site_id", "annotation", "seq")
+
+
 # Training: the main workflow on trained weights.
 
 
