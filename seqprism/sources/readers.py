@@ -79,6 +79,13 @@ def weight_matrix(spark: SparkSession, path: str, name: str = "kmer", value: str
     return long.select("model", name, F.col(value).cast("double").alias(value))
 
 
+def count_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(site_id, class, kmer, cnt) of a wide table of counts whose last column is the class; `?` is null."""
+    wide = spark.read.option("sep", "\t").option("header", True).option("nullValue", "?").csv(path)
+    first, *kmers, last = wide.columns
+    return wide.unpivot([first, last], kmers, "kmer", "cnt").select(F.col(first).cast("long").alias("site_id"), F.col(last).alias("class"), "kmer", F.col("cnt").cast("double").alias("cnt"))
+
+
 def coefficients(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(weights, intercepts) of a table whose intercept row is known by its name, wherever it stands."""
     rows = weight_matrix(spark, path, "feature", "value")

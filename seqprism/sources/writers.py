@@ -22,10 +22,42 @@ def weight_matrix(weights: DataFrame, kmers: DataFrame, path: str) -> None:
     _tsv(kmers.select("kmer").unionByName(extra).join(wide, "kmer", "left").fillna(0.0).orderBy("kmer"), path)
 
 
-def simple_scores(scores: DataFrame, path: str) -> None:
-    """Motif by model, only names without `#`."""
-    kept = scores.where(~F.col("model").contains("#") & ~F.col("motif").contains("#"))
-    _tsv(kept.groupBy("motif").pivot("model").agg(F.first("score")).orderBy("motif"), path)
+def motif_scores(scores: DataFrame, models: list[str], path: str) -> None:
+    """Motif by model, one column for each of the models in that order; absent scores are empty. Rows are
+    sorted by motif over part files, each of which begins with the header."""
+    _tsv(scores.groupBy("motif").pivot("model", models).agg(F.first("score")).orderBy("motif"), path)
+
+
+def simple_scores(scores: DataFrame, models: list[str], path: str) -> None:
+    """motif_scores() of only the names without `#`."""
+    motif_scores(scores.where(~F.col("motif").contains("#")), [m for m in models if "#" not in m], path)
+
+
+def count_matrix(counts: DataFrame, sites: DataFrame, kmers: list[str], path: str) -> None:
+    """One row for each site, by site_id, with a column for each of the k-mers (absent ones zero) and the
+    class last, `?` where it is null. Sites without a k-mer have zeros. Each part file has the header."""
+    wide = counts.where(F.col("kmer").isin(kmers)).groupBy("site_id").pivot("kmer", kmers).agg(F.sum("cnt"))
+    rows = sites.select("site_id", F.col("annotation").alias("class")).join(wide, "site_id", "left").fillna(0, kmers)
+    _tsv(rows.select("site_id", *kmers, F.coalesce("class", F.lit("?")).alias("class")).orderBy("site_id"), path)
+
+
+def arff(counts: DataFrame, sites: DataFrame, kmers: list[str], classes: list[str], path: str, relation: str = "sites") -> None:
+    """Sparse ARFF: numeric attributes for the k-mers, then the class out of `classes`; the header is the
+    beginning of the first part file, rows are sorted by site_id over the files. k-mers and classes are
+    given, so nothing is looked for in the rows; a class that isn't among them, or is null, is `?`."""
+    spark = sites.sparkSession
+    quoted = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    head = [f"@relation {quoted(relation)}", *[f"@attribute {k} numeric" for k in kmers], f"@attribute class {{{','.join(map(quoted, classes))}}}", "@data"]
+    place = spark.createDataFrame(list(zip(kmers, range(len(kmers)), strict=True)), "kmer string, i int")
+    # As many rows as there are k-mers.
+    found = counts.join(F.broadcast(place), "kmer").groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("i", "cnt"))).alias("cells"))
+    names = F.create_map(*[F.lit(x) for c in classes for x in (c, quoted(c))]) if classes else F.create_map().cast("map<string,string>")
+    cells = F.transform(F.coalesce("cells", F.array().cast("array<struct<i:int,cnt:bigint>>")), lambda c: F.concat_ws(" ", c["i"].cast("string"), c["cnt"].cast("string")))
+    label = F.concat(F.lit(f"{len(kmers)} "), F.coalesce(F.when(F.col("annotation").isNotNull(), F.try_element_at(names, "annotation")), F.lit("?")))
+    line = F.concat(F.lit("{"), F.array_join(F.concat(cells, F.array(label)), ", "), F.lit("}"))
+    rows = sites.select("site_id", "annotation").join(found, "site_id", "left").select(F.lit(len(head)).alias("at"), "site_id", line.alias("value"))
+    header = spark.createDataFrame([(i, None, value) for i, value in enumerate(head)], "at int, site_id long, value string")
+    header.unionByName(rows).orderBy("at", "site_id").select("value").write.mode("overwrite").text(path)
 
 
 def design(nodes: DataFrame, path: str) -> None:
