@@ -15,18 +15,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprism.config import AnalysisConfig
+from seqprism.functions import arrays
 
+from .cluster import canonical_kmers
 from .ranking import cut
 
 #: Sites of one block at most, on average; more sites make more blocks.
 BLOCK_SITES = 100_000
 #: Rounds between checkpoints of the blocks' states: what a lost executor costs at most.
 CHECKPOINT_ROUNDS = 10
+#: Blocks whose sums the driver adds up itself; those of more come up a tree.
+DRIVER_SUMS = 16
+#: Rows of a dense block that are in double precision at once.
+DENSE_ROWS = 2048
+#: Longest k-mers of which so many are in a site that a block is a matrix: it has up to 700 columns at 5.
+DENSE_KMAX = 5
 
 
 def lower_median(values: np.ndarray) -> np.ndarray:
@@ -102,6 +112,35 @@ class Rows:
         return value, np.vstack([sums, (down - mean[:, None] * sums) / sd[:, None]])
 
 
+@dataclass
+class DenseRows:
+    """Rows of which most features are present: a matrix of small counts, which two products go over."""
+
+    counts: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+
+    def loss(self, x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> tuple[float, np.ndarray]:
+        """As of Rows."""
+        slope = x[1:] / sd[:, None]
+        shift = x[0] - mean @ slope
+        value, sums, down = 0.0, np.zeros(x.shape[1]), np.zeros_like(slope)
+        for at in range(0, len(self.label), DENSE_ROWS):
+            own, label, weight = self.counts[at : at + DENSE_ROWS].astype(float), self.label[at : at + DENSE_ROWS], self.weight[at : at + DENSE_ROWS]
+            logit = own @ slope + shift
+            logit -= logit.max(axis=1, keepdims=True)
+            delta = np.exp(logit)
+            parts = delta.sum(axis=1)
+            rows = np.arange(len(label))
+            value += float((weight * (np.log(parts) - logit[rows, label])).sum())
+            delta /= parts[:, None]
+            delta[rows, label] -= 1
+            delta *= weight[:, None]
+            down += own.T @ delta
+            sums += delta.sum(axis=0)
+        return value, np.vstack([sums, (down - mean[:, None] * sums) / sd[:, None]])
+
+
 @dataclass
 class Model:
     features: list[str]
@@ -142,7 +181,70 @@ def make_blocks(counts: DataFrame, sites: DataFrame, features: list[str], leaves
     return cut(dealt.select("block", "site_id", "label", "weight", "f").groupBy("block").applyInPandas(gather, "block int, heads binary, at binary, value binary, label binary, weight binary"))
 
 
-def _rows(r) -> Rows:
+def count_matrix(seqs: pa.Array, column_of: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """Counts of features in each sequence. column_of: for each length the column of the k-mer of each number;
+    width, one more than the last, for those that aren't features."""
+    text, offsets = arrays.flat(seqs)
+    out = np.zeros((len(seqs), width), np.uint8)
+    for a, b in arrays.pieces(offsets):
+        part, at = text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        owner = np.repeat(np.arange(b - a), np.diff(at))
+        found = sum(np.bincount(owner * (width + 1) + column[arrays.numbers(part, at, k)], minlength=(b - a) * (width + 1)) for k, column in column_of.items())
+        found = found.reshape(b - a, width + 1)[:, :width]
+        if found.max(initial=0) > np.iinfo(out.dtype).max:
+            out = out.astype(np.int64)
+        out[a:b] = found
+    return out
+
+
+def columns_of(features: list[str], kmin: int, kmax: int) -> dict[int, np.ndarray]:
+    place = {f: i for i, f in enumerate(features)}
+    return {k: np.array([place.get(min(w, w.translate(arrays.OTHER)[::-1]), len(features)) for w in arrays.spellings(k)] + [len(features)]) for k in range(kmin, kmax + 1)}
+
+
+def dense_stats(marked: DataFrame, total: float, kmin: int, kmax: int) -> DataFrame:
+    """kmers.feature_stats() from (seq, weight) of sites of the letters A, C, G, T: a task gives two numbers for
+    each k-mer."""
+    names = canonical_kmers(kmin, kmax)
+    columns = columns_of(names, kmin, kmax)
+
+    def run(batches):
+        s, q = np.zeros(len(names)), np.zeros(len(names))
+        for batch in batches:
+            for first in range(0, len(batch), DENSE_ROWS):
+                own = batch.slice(first, DENSE_ROWS)
+                counts, weight = count_matrix(own.column(0), columns, len(names)).astype(float), own.column(1).to_numpy(zero_copy_only=False)
+                s += weight @ counts
+                q += weight @ (counts * counts)
+        at = np.flatnonzero(s)
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array(s[at]), pa.array(q[at])], names=["kmer", "s", "q"])
+
+    sums = marked.select("seq", "weight").mapInArrow(run, "kmer string, s double, q double").groupBy("kmer").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / total
+    return sums.select("kmer", mean.alias("mean"), F.sqrt(F.abs(F.col("q") - total * mean * mean) / (total - 1)).alias("sd"))
+
+
+def dense_blocks(marked: DataFrame, features: list[str], leaves: list[str], weights: dict[str, float], kmin: int, kmax: int, blocks: int) -> DataFrame:
+    """make_blocks() from (site_id, leaf, seq), so that no k-mer is a row: `value` is a block's matrix of counts,
+    of the type that `heads` names, and `at` is empty."""
+    number, columns = {name: i for i, name in enumerate(leaves)}, columns_of(features, kmin, kmax)
+    dealt = marked.withColumn("block", F.pmod(F.xxhash64("site_id"), F.lit(blocks)).cast("int"))
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.sort_by("site_id").combine_chunks()
+        leaf = group.column("leaf").to_pylist()
+        seqs = group.column("seq").combine_chunks()
+        counts = count_matrix(seqs.chunk(0) if isinstance(seqs, pa.ChunkedArray) else seqs, columns, len(features))
+        packed = [np.array([number[x] for x in leaf], np.int32), np.array([weights[x] for x in leaf], float)]
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "heads": pa.array([counts.dtype.str.encode()], pa.binary()), "at": pa.array([b""], pa.binary()), "value": pa.array([counts.tobytes()], pa.binary()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("label", "weight"), packed, strict=True)}})
+
+    return cut(dealt.select("block", "site_id", "leaf", "seq").groupBy("block").applyInArrow(gather, "block int, heads binary, at binary, value binary, label binary, weight binary"))
+
+
+def _rows(r) -> Rows | DenseRows:
+    label = np.frombuffer(r["label"], np.int32)
+    if len(label) and len(r["heads"]) < 8:
+        return DenseRows(np.frombuffer(r["value"], np.dtype(r["heads"].decode())).reshape(len(label), -1), label, np.frombuffer(r["weight"]))
     return Rows(np.frombuffer(r["heads"], np.int64), np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"]), np.frombuffer(r["label"], np.int32), np.frombuffer(r["weight"]))
 
 
@@ -220,6 +322,12 @@ def sums_of(held: Held, leaf: np.ndarray) -> Sums:
     return Sums(1, held.v, copies, (held.v**2).sum(axis=1), (copies**2).sum(axis=1), held.w0)
 
 
+def one_by_one(rdd: RDD) -> RDD:
+    """rdd with each element packed alone. zip() sends RDDs of other packing through Python once more each, and
+    a block's rows are large."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+
 class Blocks:
     """The rows of all blocks, one for each partition, and their states, which stay beside them."""
 
@@ -230,19 +338,20 @@ class Blocks:
         # A partition without rows has a block all the same: an empty one.
         empty = {c: b"" for c in names}
         dealt = pairs.partitionBy(n, lambda block: block).mapPartitions(lambda own: iter([next((r for _, r in own), empty)]), preservesPartitioning=True)
-        self.rows: RDD = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows: RDD = one_by_one(dealt).persist(StorageLevel.MEMORY_AND_DISK)
         self.rows.checkpoint()
-        self.states: RDD = self.rows.map(lambda _: first())
+        self.states: RDD = one_by_one(self.rows.map(lambda _: first()))
         self.rounds = 0
 
     def advance(self, step: Callable[[dict, Held], Held], sums: Callable[[Held], Sums]) -> Sums:
         """Every block's next state; the sums over all of them."""
         old = self.states
-        self.states = self.rows.zip(old).map(lambda pair: step(*pair)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.states = one_by_one(self.rows.zip(old).map(lambda pair: step(*pair))).persist(StorageLevel.MEMORY_AND_DISK)
         self.rounds += 1
         if self.rounds % CHECKPOINT_ROUNDS == 0:
             self.states.checkpoint()
-        found = self.states.map(sums).treeReduce(lambda a, b: a + b, max(2, int(np.ceil(np.log(max(2, self.n)) / np.log(16)))))
+        parts = self.states.map(sums)
+        found = parts.reduce(lambda a, b: a + b) if self.n <= DRIVER_SUMS else parts.treeReduce(lambda a, b: a + b, max(2, int(np.ceil(np.log(self.n) / np.log(16)))))
         old.unpersist()
         return found
 
@@ -329,13 +438,19 @@ def train(sites: DataFrame, config: AnalysisConfig) -> Model:
     of_class = {name.split("Only#")[-1]: name for name in leaves}
     per_class = {of_class[r.subgroup]: (r.n, r.weight) for r in labels.weights(usable).withColumn("subgroup", labels.subgroup(F.col("annotation"))).collect()}
     leaf_of = F.create_map(*[F.lit(v) for pair in of_class.items() for v in pair])
-    marked = usable.select("site_id", F.element_at(leaf_of, labels.subgroup(F.col("annotation"))).alias("leaf"))
-    counts = cut(kmers.site_counts(usable, config.kmin, config.kmax).select("site_id", "kmer", "cnt"))
-    weight_of = F.create_map(*[F.lit(v) for name, (_, w) in per_class.items() for v in (name, float(w))])
-    stats = kmers.feature_stats(counts, marked.select("site_id", F.element_at(weight_of, F.col("leaf")).alias("weight"))).where("sd > 0").orderBy("kmer").collect()
+    marked = usable.select("site_id", F.element_at(leaf_of, labels.subgroup(F.col("annotation"))).alias("leaf"), "seq")
+    weight_of = {name: float(w) for name, (_, w) in per_class.items()}
+    weighed = F.element_at(F.create_map(*[F.lit(v) for pair in weight_of.items() for v in pair]), F.col("leaf")).alias("weight")
     n = sum(v[0] for v in per_class.values())
     blocks = max(config.blocks, -(-n // BLOCK_SITES))
-    data = make_blocks(counts, marked, [r.kmer for r in stats], leaves, {k: v[1] for k, v in per_class.items()}, blocks)
+    if config.kmax <= DENSE_KMAX and usable.where(F.col("seq").rlike("[^ACGT]")).isEmpty():
+        total = sum(size * w for size, w in per_class.values())
+        stats = dense_stats(marked.select("seq", weighed), float(total), config.kmin, config.kmax).where("sd > 0").orderBy("kmer").collect()
+        data = dense_blocks(marked, [r.kmer for r in stats], leaves, weight_of, config.kmin, config.kmax, blocks)
+    else:
+        counts = cut(kmers.site_counts(usable, config.kmin, config.kmax).select("site_id", "kmer", "cnt"))
+        stats = kmers.feature_stats(counts, marked.select("site_id", weighed)).where("sd > 0").orderBy("kmer").collect()
+        data = make_blocks(counts, marked.drop("seq"), [r.kmer for r in stats], leaves, weight_of, blocks)
     support = np.array([per_class[name][0] for name in leaves], float)
     return fit(data, blocks, [r.kmer for r in stats], leaves, parents, np.array([r["mean"] for r in stats]), np.array([r.sd for r in stats]), support, config)
 

@@ -115,3 +115,23 @@ def test_cross_validation_scores_every_site_by_the_other_folds(spark):
     assert len(got) == 90 * 2 and got.groupby("site_id")["prob"].sum().round(6).eq(1).all()
     best = got.loc[got.groupby("site_id")["prob"].idxmax()]
     assert (best["model"].str.endswith(("A", "B"))).all() and (best["model"].str[-1] == best["annotation"]).mean() > 0.9
+
+
+def test_dense_blocks_have_the_loss_of_sparse_ones(spark):
+    """Before, there were sparse rows only, made of a row for each site and k-mer."""
+    from seqprism.operators import kmers
+    from seqprism.operators.cluster import canonical_kmers
+
+    draw = random.Random(6)
+    data = [(i, LEAVES[i % 3], "".join(draw.choices("ACGT", k=draw.choice([3, 40])))) for i in range(60)] + [(99, "a", "A" * 400)]
+    marked = spark.createDataFrame(data, "site_id long, leaf string, seq string")
+    names, weights = canonical_kmers(3, 4), {"a": 1.0, "b": 2.0, "c": 0.5}
+    counts = kmers.site_counts(marked.drop("leaf"), 3, 4).select("site_id", "kmer", "cnt")
+    sparse = {r.block: train._rows(r) for r in train.make_blocks(counts, marked.drop("seq"), names, LEAVES, weights, 3).collect()}
+    dense = {r.block: train._rows(r) for r in train.dense_blocks(marked, names, LEAVES, weights, 3, 4, 3).collect()}
+    x, sd = np.random.default_rng(7).normal(size=(len(names) + 1, 3)), np.linspace(0.5, 2, len(names))
+    assert set(sparse) == set(dense)
+    for block, own in dense.items():
+        assert isinstance(own, train.DenseRows)
+        (value, gradient), (wanted, slope) = own.loss(x, sd / 3, sd), sparse[block].loss(x, sd / 3, sd)
+        assert np.isclose(value, wanted) and np.allclose(gradient, slope)
