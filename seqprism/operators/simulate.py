@@ -34,6 +34,7 @@ def simulate(spark: SparkSession, sizes: dict[str, int], motifs: dict[str, np.nd
     names = list(sizes)
     ends = np.cumsum([sizes[n] for n in names])
     order = max(map(len, background))
+    even = np.cumsum(background[""]) if order == 0 else None
 
     def run(batches):
         for batch in batches:
@@ -41,12 +42,17 @@ def simulate(spark: SparkSession, sizes: dict[str, int], motifs: dict[str, np.nd
             for site in batch["id"]:
                 random = np.random.default_rng([seed, site])
                 name = names[int(np.searchsorted(ends, site, side="right"))]
-                text = ""
-                for u in random.random(length):
-                    for k in range(min(order, len(text)), -1, -1):
-                        if (chances := background.get(text[len(text) - k :] if k else "")) is not None:
-                            break
-                    text += BASES[min(3, int(np.searchsorted(np.cumsum(chances), u, side="right")))]
+                drawn = random.random(length)
+                if order == 0:
+                    # Without a context a letter follows from its own draw.
+                    text = "".join(BASES[np.minimum(3, np.searchsorted(even, drawn, side="right"))])
+                else:
+                    text = ""
+                    for u in drawn:
+                        for k in range(min(order, len(text)), -1, -1):
+                            if (chances := background.get(text[len(text) - k :] if k else "")) is not None:
+                                break
+                        text += BASES[min(3, int(np.searchsorted(np.cumsum(chances), u, side="right")))]
                 chosen = [m for label in name.split(";") if (m := motifs.get(label)) is not None and random.random() < insert_rate]
                 letters = list(text)
                 for i, matrix in enumerate(chosen):
