@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seqprism.config import AnalysisConfig
 
 from .ranking import cut, ranked
+from .stats import hill_presence
 
 
 def kmeans(points: np.ndarray, k: int, random: np.random.Generator, rounds: int = 10, tolerance: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
@@ -172,16 +173,17 @@ def profile_matrix(seqs: list[str], names: list[str], kmin: int, kmax: int) -> n
     return out
 
 
-def cluster_hills(hills: DataFrame, config: AnalysisConfig) -> tuple[DataFrame, DataFrame]:
+def cluster_hills(hills: DataFrame, config: AnalysisConfig, assigning: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(quality, assigned): each model's hills clustered by their k-mer profiles.
 
     hills: model, site_id, start, len, seq, score; all hills of a model with more than min_model_hills
     count. The profile's k-mers are those in more than the penetrance share of them. For each k and
     bootstrap a sample is drawn anew, with replacement, from the score tertiles of all hills. Means of
     small clusters are dropped, and every hill goes to the nearest of the rest.
-    quality: model, k, bootstrap, silhouette, ssd, chosen; assigned: hills with cluster and distance.
+    quality: model, k, bootstrap, silhouette, ssd, chosen; assigned: hills with cluster and distance, None
+    unless assigning, which takes another pass over all hills.
     """
-    spark, every = hills.sparkSession, canonical_kmers(config.kmin, config.kmax)
+    spark = hills.sparkSession
     # Hills are found once: the range partitions of the ranks read their rows twice.
     found = cut(hills.select("model", "site_id", "start", "len", "seq", "score"))
     placed = cut(ranked(found, "model", [F.desc("score"), F.col("site_id").asc(), F.col("start").asc()]))
@@ -190,14 +192,8 @@ def cluster_hills(hills: DataFrame, config: AnalysisConfig) -> tuple[DataFrame,
     if not sizes:
         return spark.createDataFrame([], "model string, k int, bootstrap int, silhouette double, ssd double, chosen boolean"), spark.createDataFrame([], shape)
 
-    def present(batches):
-        for batch in batches:
-            for model, own in batch.groupby("model"):
-                if model in sizes:
-                    yield pd.DataFrame({"model": model, "kmer": every, "n": (profile_matrix(own["seq"].tolist(), every, config.kmin, config.kmax) > 0).sum(axis=0)})
-
     names: dict[str, list[str]] = {model: [] for model in sizes}
-    for r in placed.select("model", "seq").mapInPandas(present, "model string, kmer string, n long").groupBy("model", "kmer").agg(F.sum("n").alias("n")).orderBy("model", "kmer").collect():
+    for r in hill_presence(found.withColumnRenamed("seq", "hill"), sorted(sizes), config.kmin, config.kmax).orderBy("model", "kmer").collect():
         if r.n / sizes[r.model] > config.penetrance:
             names[r.model].append(r.kmer)
 
@@ -233,6 +229,11 @@ def cluster_hills(hills: DataFrame, config: AnalysisConfig) -> tuple[DataFrame,
         means = tried.where((F.col("model") == model) & (F.col("k") == k) & (F.col("bootstrap") == int(best["bootstrap"]))).first()["means"]
         centers[model] = np.array(means).reshape(-1, len(names[model]))
 
+    of = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
+    quality = tried.drop("means").withColumn("chosen", F.col("k") == F.element_at(of, F.col("model")))
+    if not assigning:
+        return quality, None
+
     def assign(centers: dict[str, np.ndarray]):
         def run(batches):
             for batch in batches:
@@ -248,5 +249,4 @@ def cluster_hills(hills: DataFrame, config: AnalysisConfig) -> tuple[DataFrame,
         limit = min(int(own["n"].max() * 0.1), 500)
         kept = sorted(own.loc[own["n"] >= limit, "cluster"])
         centers[model] = centers[model][kept]
-    of = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
-    return tried.drop("means").withColumn("chosen", F.col("k") == F.element_at(of, F.col("model"))), assign(centers)
+    return quality, assign(centers)

@@ -40,3 +40,15 @@ def test_every_hill_of_a_model_is_clustered(spark):
     # The second kind has only ranks beyond the best 750; all 1,100 hills have a cluster, by kind.
     assert set(found) == {r[1] for r in rows if r[0] == "a"}
     assert len({found[i] for i in range(800)}) == 1 and {found[1000 + i] for i in range(300)} == {1 - found[0]}
+
+
+def test_quality_alone_makes_no_clusters_of_all_hills(spark, monkeypatch):
+    """Before, each query on quality put every hill into a cluster as well, and profiled it twice."""
+    rows, df = hill_rows(spark)
+    want = {tuple(r) for r in cluster.cluster_hills(df, CONFIG)[0].collect()}
+    quality, none = cluster.cluster_hills(df, CONFIG, assigning=False)
+    assert none is None and {tuple(r) for r in quality.collect()} == want
+    present = {(r.model, r.kmer): r.n for r in cluster.hill_presence(df.withColumnRenamed("seq", "hill"), ["a"], 4, 5).collect()}
+    names = cluster.canonical_kmers(4, 5)
+    plain = (cluster.profile_matrix([r[4] for r in rows if r[0] == "a"], names, 4, 5) > 0).sum(axis=0)
+    assert present == {("a", w): n for w, n in zip(names, plain.tolist(), strict=True) if n}
