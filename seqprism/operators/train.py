@@ -6,6 +6,10 @@ leaf without labels), with s_label the lower median of its leaves, feature by fe
 into blocks by a hash of the site, one for each partition. A block's rows, coefficients and multipliers
 stay with it from round to round; sums over the blocks come up a tree. So the driver holds (features +
 1) x (leaves + pairs) numbers, whatever the number of blocks.
+
+Few features (k-mers of up to DENSE_KMAX letters) need no consensus: fit_dense() finds the same leaves with
+all rows as one problem. Blocks only give sums over their rows, one pass for each step, and the driver holds
+(features + 1) x (features + 1) numbers and the last MEMORY steps besides.
 """
 
 from __future__ import annotations
@@ -37,6 +41,12 @@ DRIVER_SUMS = 16
 DENSE_ROWS = 2048
 #: Longest k-mers of which so many are in a site that a block is a matrix: it has up to 700 columns at 5.
 DENSE_KMAX = 5
+#: Rows of a dense block in one product of a pass: as many as a processor's own memory holds.
+PASS_ROWS = 512
+#: Sites of a dense block at least, where blocks are made for the cores' sake.
+LEAST_SITES = 4096
+#: Steps that a dense fit remembers, and rounds in which it finds the least of its quadratic model.
+MEMORY, MODEL_ROUNDS = 60, 60
 
 
 def lower_median(values: np.ndarray) -> np.ndarray:
@@ -122,23 +132,58 @@ class DenseRows:
 
     def loss(self, x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> tuple[float, np.ndarray]:
         """As of Rows."""
+        found = self.sums(x, mean, sd, np.float64)
+        return found.value, found.gradient
+
+    def sums(self, x: np.ndarray, mean: np.ndarray, sd: np.ndarray, kind: type = np.float32) -> Smooth:
+        """The loss, its gradient and the spread of the classes; kind: of the numbers in the products, whose sums
+        are in double precision."""
         slope = x[1:] / sd[:, None]
-        shift = x[0] - mean @ slope
-        value, sums, down = 0.0, np.zeros(x.shape[1]), np.zeros_like(slope)
-        for at in range(0, len(self.label), DENSE_ROWS):
-            own, label, weight = self.counts[at : at + DENSE_ROWS].astype(float), self.label[at : at + DENSE_ROWS], self.weight[at : at + DENSE_ROWS]
-            logit = own @ slope + shift
+        shift, slope = (x[0] - mean @ slope).astype(kind), slope.astype(kind)
+        leaves = np.arange(x.shape[1])
+        value, sums, down, spread = 0.0, np.zeros(len(leaves)), np.zeros(slope.shape), np.zeros((len(leaves), len(leaves)))
+        held = np.empty((PASS_ROWS, len(slope)), kind)
+        for at in range(0, len(self.label), PASS_ROWS):
+            label, weight = self.label[at : at + PASS_ROWS], self.weight[at : at + PASS_ROWS]
+            own, rows = held[: len(label)], np.arange(len(label))
+            np.copyto(own, self.counts[at : at + PASS_ROWS], casting="unsafe")
+            logit = own @ slope
+            logit += shift
             logit -= logit.max(axis=1, keepdims=True)
-            delta = np.exp(logit)
-            parts = delta.sum(axis=1)
-            rows = np.arange(len(label))
-            value += float((weight * (np.log(parts) - logit[rows, label])).sum())
-            delta /= parts[:, None]
-            delta[rows, label] -= 1
-            delta *= weight[:, None]
+            part = np.exp(logit)
+            total = part.sum(axis=1)
+            value += float((weight * (np.log(total) - logit[rows, label])).sum())
+            part /= total[:, None]
+            delta = part * weight[:, None].astype(kind)
+            spread -= delta.T @ part
+            spread[leaves, leaves] += delta.sum(axis=0)
+            delta[rows, label] -= weight.astype(kind)
             down += own.T @ delta
             sums += delta.sum(axis=0)
-        return value, np.vstack([sums, (down - mean[:, None] * sums) / sd[:, None]])
+        return Smooth(value, np.vstack([sums, (down - mean[:, None] * sums) / sd[:, None]]), spread)
+
+    def gram(self) -> np.ndarray:
+        """Weighted products of all pairs of columns, a column of ones first."""
+        out = np.zeros((self.counts.shape[1] + 1, self.counts.shape[1] + 1))
+        for at in range(0, len(self.label), DENSE_ROWS):
+            own = self.counts[at : at + DENSE_ROWS]
+            own = np.hstack([np.ones((len(own), 1), np.float32), own.astype(np.float32)])
+            own *= np.sqrt(self.weight[at : at + DENSE_ROWS, None]).astype(np.float32)
+            out += own.T @ own
+        return out
+
+
+@dataclass
+class Smooth:
+    """Over rows: the weighted loss, its gradient, and the weighted sum of diag(p) - p p' for the rows'
+    probabilities p of the leaves."""
+
+    value: float
+    gradient: np.ndarray
+    spread: np.ndarray
+
+    def __add__(self, other: Smooth) -> Smooth:
+        return Smooth(self.value + other.value, self.gradient + other.gradient, self.spread + other.spread)
 
 
 @dataclass
@@ -283,6 +328,13 @@ class Sums:
         return Sums(*(getattr(self, f) + getattr(other, f) for f in self.__dataclass_fields__))
 
 
+def pairs_of(leaves: list[str], parents: dict[str, list[str]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """The labels, and the numbers of (leaf, label), or of (leaf, -1) for a leaf without labels."""
+    labels = sorted({p for own in parents.values() for p in own})
+    pairs = [(i, labels.index(p)) for i, name in enumerate(leaves) for p in parents.get(name, [])]
+    return labels, pairs + [(i, -1) for i, name in enumerate(leaves) if not parents.get(name)]
+
+
 def squares(total: np.ndarray, mean_of: np.ndarray, about: np.ndarray, n: int) -> np.ndarray:
     """For each pair the sum over blocks of |value - about|^2, from the sums of squares and of values."""
     return np.maximum(total - 2 * (about * mean_of).sum(axis=1) + n * (about**2).sum(axis=1), 0)
@@ -329,9 +381,9 @@ def one_by_one(rdd: RDD) -> RDD:
 
 
 class Blocks:
-    """The rows of all blocks, one for each partition, and their states, which stay beside them."""
+    """The rows of all blocks, one for each partition, and their states, if any, which stay beside them."""
 
-    def __init__(self, blocks: DataFrame, n: int, first: Callable[[], Held]):
+    def __init__(self, blocks: DataFrame, n: int, first: Callable[[], Held] | None = None):
         names = ("heads", "at", "value", "label", "weight")
         pairs = blocks.rdd.map(lambda r: (r["block"], {c: bytes(r[c]) for c in names}))
         self.context, self.n = blocks.sparkSession.sparkContext, n
@@ -340,7 +392,7 @@ class Blocks:
         dealt = pairs.partitionBy(n, lambda block: block).mapPartitions(lambda own: iter([next((r for _, r in own), empty)]), preservesPartitioning=True)
         self.rows: RDD = one_by_one(dealt).persist(StorageLevel.MEMORY_AND_DISK)
         self.rows.checkpoint()
-        self.states: RDD = one_by_one(self.rows.map(lambda _: first()))
+        self.states: RDD | None = one_by_one(self.rows.map(lambda _: first())) if first else None
         self.rounds = 0
 
     def advance(self, step: Callable[[dict, Held], Held], sums: Callable[[Held], Sums]) -> Sums:
@@ -350,16 +402,23 @@ class Blocks:
         self.rounds += 1
         if self.rounds % CHECKPOINT_ROUNDS == 0:
             self.states.checkpoint()
-        parts = self.states.map(sums)
-        found = parts.reduce(lambda a, b: a + b) if self.n <= DRIVER_SUMS else parts.treeReduce(lambda a, b: a + b, max(2, int(np.ceil(np.log(self.n) / np.log(16)))))
+        found = self._sum(self.states.map(sums))
         old.unpersist()
         return found
 
+    def _sum(self, parts: RDD):
+        return parts.reduce(lambda a, b: a + b) if self.n <= DRIVER_SUMS else parts.treeReduce(lambda a, b: a + b, max(2, int(np.ceil(np.log(self.n) / np.log(16)))))
+
+    def sum_of(self, of: Callable[[dict], Smooth | np.ndarray]) -> Smooth | np.ndarray:
+        """The sum over all blocks of what is made of one's rows."""
+        return self._sum(self.rows.map(of))
+
     def total(self, of: Callable[[dict], float]) -> float:
         return self.rows.map(of).sum()
 
     def close(self) -> None:
-        self.states.unpersist()
+        if self.states is not None:
+            self.states.unpersist()
         self.rows.unpersist()
 
 
@@ -370,9 +429,7 @@ def fit(blocks: DataFrame, n_blocks: int, features: list[str], leaves: list[str]
     the leaves' coefficients, drawn together by z and the block's multipliers; intercepts are drawn
     to their mean and not penalised, and residuals leave them out.
     """
-    labels = sorted({p for own in parents.values() for p in own})
-    pairs = [(i, labels.index(p)) for i, name in enumerate(leaves) for p in parents.get(name, [])]
-    pairs += [(i, -1) for i, name in enumerate(leaves) if not parents.get(name)]
+    labels, pairs = pairs_of(leaves, parents)
     d, n_leaves = len(features), len(leaves)
     leaf = np.array([p[0] for p in pairs])
     common = np.log(support + 1) - np.log(support[-1] + 1)
@@ -425,6 +482,188 @@ def fit(blocks: DataFrame, n_blocks: int, features: list[str], leaves: list[str]
     return Model(features, leaves, labels, coefficients, labels_at / sd[:, None], history)
 
 
+@dataclass
+class Penalty:
+    """strength * sum |x_leaf - knot| over the knots of each leaf: its labels' weights, or zero."""
+
+    strength: float
+    knots: np.ndarray  # most knots of a leaf x d x leaves, ascending; inf where a leaf has fewer
+    n: np.ndarray  # knots of each leaf
+
+    @classmethod
+    def of(cls, strength: float, labels_at: np.ndarray, pairs: list[tuple[int, int]], n_leaves: int) -> Penalty:
+        own = [[labels_at[:, p] if p >= 0 else np.zeros(len(labels_at)) for i, p in pairs if i == k] for k in range(n_leaves)]
+        knots = np.full((max(map(len, own)), len(labels_at), n_leaves), np.inf)
+        for k, values in enumerate(own):
+            knots[: len(values), :, k] = np.sort(np.stack(values), axis=0)
+        return cls(strength, knots, np.array([len(values) for values in own]))
+
+    def value(self, slopes: np.ndarray) -> float:
+        gaps = np.abs(slopes - self.knots)
+        return self.strength * float(gaps[np.isfinite(gaps)].sum())
+
+    def nearest(self, at: np.ndarray, rho: float) -> np.ndarray:
+        """Where the penalty and rho / 2 * |x - at|^2 are least together: beside or at a knot."""
+        t = self.strength / rho
+        out = np.minimum(at + t * self.n, self.knots[0])
+        for j, knot in enumerate(self.knots):
+            beyond = at + t * (self.n - 2 * (j + 1))
+            out = np.where(beyond > knot, np.minimum(beyond, self.knots[j + 1]) if j + 1 < len(self.knots) else beyond, out)
+        return out
+
+
+class Curvature:
+    """The Hessian of the loss, nearly: the spread of the classes times the Gram matrix of the columns, in the
+    basis in which both are diagonal, and corrected by the remembered steps as BFGS does. memory: steps and
+    changes of the gradient, in the columns' basis already."""
+
+    def __init__(self, values: np.ndarray, basis: np.ndarray, spread: np.ndarray, memory: list[tuple[np.ndarray, np.ndarray]]):
+        own, self.right = np.linalg.eigh(spread)
+        own = np.maximum(own, 0)
+        self.left = basis
+        self.diagonal = (values[:, None] * own + 1e-6 * values.mean() * own.mean() + 1e-12).ravel()
+        self.wide = np.zeros((len(self.diagonal), 0))
+        self.middle = np.zeros((0, 0))
+        if memory:
+            steps, changes = (np.stack([(pair[i] @ self.right).ravel() for pair in memory], axis=1) for i in range(2))
+            scaled, products = self.diagonal[:, None] * steps, steps.T @ changes
+            below = np.tril(products, -1)
+            self.wide = np.hstack([scaled, changes])
+            self.middle = np.block([[steps.T @ scaled, below], [below.T, -np.diag(np.diag(products))]])
+
+    def into(self, x: np.ndarray) -> np.ndarray:
+        return (self.left.T @ x @ self.right).ravel()
+
+    def back(self, flat: np.ndarray) -> np.ndarray:
+        return self.left @ flat.reshape(len(self.left), -1) @ self.right.T
+
+    def times(self, flat: np.ndarray) -> np.ndarray:
+        return self.diagonal * flat - self.wide @ np.linalg.solve(self.middle, self.wide.T @ flat)
+
+    def inverse(self, rho: float) -> Callable[[np.ndarray], np.ndarray]:
+        """Of this and rho on the diagonal."""
+        plain = 1 / (self.diagonal + rho)
+        narrow = plain[:, None] * self.wide
+        middle = np.linalg.inv(self.middle - self.wide.T @ narrow)
+        return lambda flat: plain * flat + narrow @ (middle @ (narrow.T @ flat))
+
+
+@dataclass
+class Search:
+    """What goes on from step to step: the model's own target, multipliers and their weight."""
+
+    rho: float
+    z: np.ndarray
+    u: np.ndarray
+
+
+def least_of_model(x: np.ndarray, gradient: np.ndarray, curvature: Curvature, penalty: Penalty, search: Search, rounds: int) -> np.ndarray:
+    """Where the quadratic model of the loss about x and the penalty are least together, by alternating
+    directions; all on the driver, without rows."""
+    slope = curvature.into(gradient) - curvature.times(curvature.into(x))
+    inverse, free = curvature.inverse(search.rho), x[:1]
+    for number in range(1, rounds + 1):
+        found = curvature.back(inverse(search.rho * curvature.into(np.vstack([free, search.z - search.u])) - slope))
+        free = found[:1]
+        relaxed = 1.6 * found[1:] - 0.6 * search.z
+        old, search.z = search.z, penalty.nearest(relaxed + search.u, search.rho)
+        search.u = search.u + relaxed - search.z
+        if number % 10 == 0:
+            apart, moved = np.linalg.norm(found[1:] - search.z), np.linalg.norm(search.z - old)
+            if max(apart, moved) <= 1e-3 * np.linalg.norm(search.z - x[1:]):
+                break
+            wanted = 2.0 if apart > 5 * moved else 0.5 if moved > 5 * apart else 1.0
+            if wanted != 1:
+                search.rho *= wanted
+                search.u = search.u / wanted
+                inverse = curvature.inverse(search.rho)
+    return np.vstack([free, search.z])
+
+
+def fit_dense(blocks: DataFrame, n_blocks: int, features: list[str], leaves: list[str], parents: dict[str, list[str]], mean: np.ndarray, sd: np.ndarray, support: np.ndarray, config: AnalysisConfig) -> Model:
+    """As fit(), for dense_blocks(): the same alternation of leaves and labels' medians, but the leaves' problem
+    goes over all rows at once, by proximal quasi-Newton steps.
+
+    A step leads to where a quadratic model of the loss and the exact penalty are least; each costs one pass over
+    all rows, or more where the aim wouldn't sink enough. A round ends where a step is within the tolerance for
+    every leaf and lowers the aim by less than a hundredth of it, in proportion.
+    """
+    labels, pairs = pairs_of(leaves, parents)
+    d, n_leaves = len(features), len(leaves)
+    held = Blocks(blocks, n_blocks)
+    scaling = held.context.broadcast((mean, sd))
+
+    def smooth(x: np.ndarray) -> Smooth:
+        def of(r: dict) -> Smooth:
+            rows = _rows(r)
+            return rows.sums(x, *scaling.value) if len(rows.label) else Smooth(0.0, np.zeros_like(x), np.zeros((x.shape[1], x.shape[1])))
+
+        return held.sum_of(of)
+
+    def gram(r: dict) -> np.ndarray:
+        rows = _rows(r)
+        return rows.gram() if len(rows.label) else np.zeros((d + 1, d + 1))
+
+    standard = np.diag(np.append(1.0, 1 / sd))
+    standard[1:, 0] = -mean / sd
+    products = held.sum_of(gram)
+    values, basis = np.linalg.eigh(standard @ products @ standard.T)
+    values = np.maximum(values, 1e-7 * values[-1]) / max(products[0, 0], 1e-300)
+    # The loss is the same for intercepts that all are greater by one number: their sum is as in fit().
+    start = np.log(support + 1) - np.log(support[-1] + 1)
+    x = np.vstack([np.full(n_leaves, start.mean()), np.zeros((d, n_leaves))])
+    labels_at = np.zeros((d, len(labels)))
+    here, memory, stiffness, history = smooth(x), [], 1.0, []
+    strength = 2 * config.regularization
+    outer = config.outer_rounds if labels else 1
+    for number in range(outer):
+        before, labels_before = x, labels_at
+        penalty = Penalty.of(strength, labels_at, pairs, n_leaves)
+        search = Search(10 * strength or 1.0, x[1:], np.zeros((d, n_leaves)))
+        aim, passes = here.value + penalty.value(x[1:]), 0
+        while passes < config.admm_rounds:
+            curvature = Curvature(values, basis, stiffness * here.spread, memory)
+            wanted = least_of_model(x, here.gradient, curvature, penalty, search, MODEL_ROUNDS)
+            step, gain = wanted - x, float((here.gradient * (wanted - x)).sum()) + penalty.value(wanted[1:]) - penalty.value(x[1:])
+            if gain >= 0:  # the model's least was not found near enough
+                wanted = least_of_model(x, here.gradient, curvature, penalty, search, 10 * MODEL_ROUNDS)
+                step, gain = wanted - x, float((here.gradient * (wanted - x)).sum()) + penalty.value(wanted[1:]) - penalty.value(x[1:])
+                if gain >= 0:
+                    break
+            share = 1.0
+            while True:
+                there = smooth(x + share * step)
+                passes += 1
+                found = there.value + penalty.value((x + share * step)[1:])
+                if found <= aim + 1e-3 * share * gain or share < 1e-3 or passes >= config.admm_rounds:
+                    break
+                low = share * gain
+                share *= min(0.6, max(0.2, -low / (2 * (found - aim - low))))
+            if found > aim:
+                if not memory:
+                    break
+                memory = []
+                continue
+            moved, change = share * step, there.gradient - here.gradient
+            if (moved * change).sum() > 1e-10 * np.linalg.norm(moved) * np.linalg.norm(change):
+                memory = [*memory, (basis.T @ moved, basis.T @ change)][-MEMORY:]
+            stiffness = min(10.0, max(1.0, stiffness * (0.9 if share == 1 else share**-0.5)))
+            x, here, aim = x + moved, there, found
+            near = np.linalg.norm(step, axis=0) <= config.tolerance * (np.sqrt(d) + np.linalg.norm(x, axis=0))
+            if near.all() and -gain <= config.tolerance / 100 * aim:
+                break
+        for k in range(len(labels)):
+            labels_at = labels_at.copy()
+            labels_at[:, k] = lower_median(np.stack([x[1:, i] for i, p in pairs if p == k]))
+        history.append(here.value + Penalty.of(strength, labels_at, pairs, n_leaves).value(x[1:]))
+        nodes, earlier = (np.hstack([leaf, np.vstack([np.zeros(len(labels)), label])]) for leaf, label in ((x, labels_at), (before, labels_before)))
+        if converged(number, np.linalg.norm(nodes - earlier, axis=0).tolist(), np.linalg.norm(nodes, axis=0).tolist(), outer, config.tolerance):
+            break
+    held.close()
+    slope = x[1:] / sd[:, None]
+    return Model(features, leaves, labels, np.vstack([x[0] - mean @ slope, slope]), labels_at / sd[:, None], history)
+
+
 def train(sites: DataFrame, config: AnalysisConfig) -> Model:
     """sites (site_id, annotation, seq) to a model of all classes and shared labels."""
     from . import kmers, labels
@@ -445,14 +684,15 @@ def train(sites: DataFrame, config: AnalysisConfig) -> Model:
     blocks = max(config.blocks, -(-n // BLOCK_SITES))
     if config.kmax <= DENSE_KMAX and usable.where(F.col("seq").rlike("[^ACGT]")).isEmpty():
         total = sum(size * w for size, w in per_class.values())
+        blocks = max(blocks, min(usable.sparkSession.sparkContext.defaultParallelism, n // LEAST_SITES))
         stats = dense_stats(marked.select("seq", weighed), float(total), config.kmin, config.kmax).where("sd > 0").orderBy("kmer").collect()
-        data = dense_blocks(marked, [r.kmer for r in stats], leaves, weight_of, config.kmin, config.kmax, blocks)
+        data, fitting = dense_blocks(marked, [r.kmer for r in stats], leaves, weight_of, config.kmin, config.kmax, blocks), fit_dense
     else:
         counts = cut(kmers.site_counts(usable, config.kmin, config.kmax).select("site_id", "kmer", "cnt"))
         stats = kmers.feature_stats(counts, marked.select("site_id", weighed)).where("sd > 0").orderBy("kmer").collect()
-        data = make_blocks(counts, marked.drop("seq"), [r.kmer for r in stats], leaves, weight_of, blocks)
+        data, fitting = make_blocks(counts, marked.drop("seq"), [r.kmer for r in stats], leaves, weight_of, blocks), fit
     support = np.array([per_class[name][0] for name in leaves], float)
-    return fit(data, blocks, [r.kmer for r in stats], leaves, parents, np.array([r["mean"] for r in stats]), np.array([r.sd for r in stats]), support, config)
+    return fitting(data, blocks, [r.kmer for r in stats], leaves, parents, np.array([r["mean"] for r in stats]), np.array([r.sd for r in stats]), support, config)
 
 
 def cross_validate(sites: DataFrame, config: AnalysisConfig) -> DataFrame:

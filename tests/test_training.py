@@ -5,6 +5,7 @@ import tracemalloc
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 
 from seqprism.config import AnalysisConfig
 from seqprism.operators import train
@@ -135,3 +136,47 @@ def test_dense_blocks_have_the_loss_of_sparse_ones(spark):
         assert isinstance(own, train.DenseRows)
         (value, gradient), (wanted, slope) = own.loss(x, sd / 3, sd), sparse[block].loss(x, sd / 3, sd)
         assert np.isclose(value, wanted) and np.allclose(gradient, slope)
+
+
+def test_dense_rows_reach_the_optimum_in_few_passes(spark, monkeypatch):
+    """Before, each block of a dense fit was solved anew in every round, a hundred passes over its rows each."""
+    draw = random.Random(8)
+    words = {"A": "TGACTCA", "B": "CACGTGC", "C": "GGGCGGG"}
+    site = lambda word: "".join(draw.choices("ACGT", k=20)) + word * draw.choice([0, 1]) + "".join(draw.choices("ACGT", k=20))
+    data = [(i, "ABC"[i % 3], site(words["ABC"[i % 3]])) for i in range(300)]
+    df = spark.createDataFrame(data, "site_id long, annotation string, seq string")
+    passes, real = [], train.Blocks.sum_of
+    monkeypatch.setattr(train.Blocks, "sum_of", lambda self, of: passes.append(1) or real(self, of))
+    config = replace(AnalysisConfig(), kmin=3, kmax=3, regularization=2.0, tolerance=1e-3, blocks=3)
+    model = train.train(df, config)
+    columns = train.columns_of(model.features, 3, 3)
+    x = train.count_matrix(pa.array([r[2] for r in data]), columns, len(model.features))
+    best = plain_optimum(x, np.array([i % 3 for i in range(300)]), 2.0)
+    assert best * 0.9999 <= model.objective[-1] <= best * 1.001
+    assert len(passes) < 60
+
+
+def test_dense_leaves_and_labels_alternate_as_sparse_ones(spark):
+    """The aim of the dense fit is the one of the consensus fit, which only nears it by its tolerance."""
+    draw = random.Random(9)
+    data = [(i, LEAVES[i % 3], "".join(draw.choices("ACGT", weights=[4 + i % 3, 3, 2, 3], k=60))) for i in range(240)]
+    marked = spark.createDataFrame(data, "site_id long, leaf string, seq string")
+    columns = train.columns_of(FEATURES, 4, 4)
+    x = train.count_matrix(pa.array([r[2] for r in data]), columns, len(FEATURES))
+    args = (FEATURES, LEAVES, {"a": ["x"], "b": ["x", "y"]}, x.mean(axis=0), x.std(axis=0, ddof=1), np.full(3, 80.0))
+    config = replace(AnalysisConfig(), regularization=0.5, tolerance=1e-3, outer_rounds=2)
+    blocks = train.dense_blocks(marked, FEATURES, LEAVES, dict.fromkeys(LEAVES, 1.0), 4, 4, 3)
+    dense, consensus = train.fit_dense(blocks, 3, *args, config), train.fit(blocks, 3, *args, config)
+    assert np.isclose(dense.objective, consensus.objective, rtol=2e-3).all()
+
+
+def test_the_penalty_is_least_at_or_beside_a_knot():
+    pairs, strength, rho = [(0, 0), (0, 1), (1, 1), (2, -1)], 3.0, 2.0
+    labels_at = np.array([[0.5, -1.0], [2.0, 2.0], [0.0, 3.0]])
+    penalty = train.Penalty.of(strength, labels_at, pairs, 3)
+    at = np.random.default_rng(1).normal(size=(3, 3)) * 3
+    found = penalty.nearest(at, rho)
+    aim = lambda x: penalty.value(x) + rho / 2 * ((x - at) ** 2).sum()
+    assert np.isclose(penalty.value(at), strength * sum(np.abs(at[:, i] - (labels_at[:, p] if p >= 0 else 0)).sum() for i, p in pairs))
+    for step in np.eye(9).reshape(9, 3, 3):
+        assert aim(found) <= min(aim(found + 1e-4 * step), aim(found - 1e-4 * step))
